@@ -221,7 +221,7 @@ def range_score(score, rho) -> Column:
 
 def incidence(n: Vec, p: Vec) -> Column:
     """Angle between the viewing ray of ``p`` and the line of normal ``n``."""
-    return F.acos(F.least(F.abs(n.dot(p) / p.norm()), F.lit(1.0)))
+    return F.acos(F.least(F.abs(F.try_divide(n.dot(p), p.norm())), F.lit(1.0)))
 
 
 def unsigned_normal_error(n: Vec, g: Vec) -> Column:

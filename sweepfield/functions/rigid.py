@@ -64,7 +64,7 @@ class Rigid(NamedTuple):
 
 def normalised(q: tuple[Column, ...]) -> tuple[Column, ...]:
     n = F.sqrt(sum((c * c for c in q[1:]), q[0] * q[0]))
-    return tuple(c / n for c in q)
+    return tuple(F.try_divide(c, n) for c in q)
 
 
 def rigid_from_quaternion(q, t: Vec) -> Rigid:
@@ -102,8 +102,8 @@ def slerp(q0, q1, fraction) -> tuple[Column, ...]:
     omega = F.acos(cosine)
     near = cosine > 0.9995
     s = F.sin(omega)
-    wa = F.when(near, 1 - f).otherwise(F.sin((1 - f) * omega) / s)
-    wb = F.when(near, f).otherwise(F.sin(f * omega) / s) * sign
+    wa = F.when(near, 1 - f).otherwise(F.try_divide(F.sin((1 - f) * omega), s))
+    wb = F.when(near, f).otherwise(F.try_divide(F.sin(f * omega), s)) * sign
     return normalised(tuple(wa * u + wb * v for u, v in zip(a, b)))
 
 

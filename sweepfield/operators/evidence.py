@@ -78,7 +78,7 @@ def seen_through(points: DataFrame, poses: DataFrame, map_points: DataFrame, fra
     polar = polar_ray(p)
     cand = cand.withColumns({"rho": polar.rho, "theta": polar.theta, "phi": polar.phi})
     level = F.abs(F.col("_nz")) > 0.5
-    angle = F.acos(F.least(F.abs(p.dot(n) / F.col("rho")), F.lit(1.0)))
+    angle = F.acos(F.least(F.abs(F.try_divide(p.dot(n), F.col("rho"))), F.lit(1.0)))
     cand = cand.where(
         (F.col("rho") > 2 * dl) & (F.col("rho") < F.col("rho_max"))
         & F.col("theta").between(F.col("theta0"), F.col("theta_max") + theta_dl)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import XYZ, cells
+from ..runtime import checkpointed
 from .scans import prefix_scan, running
 from .voxels import VOXEL, holds_own_centroid, sphere_members
 
@@ -22,8 +23,8 @@ def first_hit_state(points: DataFrame, dl: float, frame: str = "frame_idx", p_id
     """Points as single-row map states that :func:`merge_first_hit` can combine."""
     return points.select(
         *(c.alias(n) for n, c in cells(dl).items()), *XYZ,
-        F.col(frame).cast("long").alias("frame_idx"), F.col(p_id).cast("long").alias("id"), *NORMAL, "score",
-        F.col(frame).cast("long").alias("normal_frame"), F.col(p_id).cast("long").alias("normal_id"),
+        F.col(frame).cast("long").alias("frame_idx"), F.col(p_id).alias("id"), *NORMAL, "score",
+        F.col(frame).cast("long").alias("normal_frame"), F.col(p_id).alias("normal_id"),
         F.lit(1).cast("long").alias("hits"))
 
 
@@ -34,10 +35,10 @@ def merge_first_hit(states: DataFrame) -> DataFrame:
     merge in any grouping: batch, session by session, or micro-batch.
     """
     first = F.struct("frame_idx", "id")
-    best = F.struct(F.col("score"), -F.col("normal_frame"), -F.col("normal_id"))
+    best = F.struct(-F.col("score"), F.col("normal_frame"), F.col("normal_id"))
     out = states.groupBy(*VOXEL).agg(
         F.min_by(F.struct(*XYZ, "frame_idx", "id"), first).alias("_f"),
-        F.max_by(F.struct(*NORMAL, "score", "normal_frame", "normal_id"), best).alias("_n"),
+        F.min_by(F.struct(*NORMAL, "score", "normal_frame", "normal_id"), best).alias("_n"),
         F.sum("hits").alias("hits"))
     return out.select(*VOXEL, "_f.*", "_n.*", "hits")
 
@@ -89,11 +90,12 @@ def merged_normals(points: DataFrame, dl: float, base: DataFrame | None, frame:
     order). Only voxels where they do not are folded in order.
     """
     new = points.withColumns(cells(dl)).select(
-        *VOXEL, F.col(frame).cast("long").alias("_f"), F.col(p_id).cast("long").alias("_i"),
+        *VOXEL, F.col(frame).cast("long").alias("_f"), F.col(p_id).alias("_i"),
         *NORMAL, "score")
     if base is not None:
         old = base.withColumns(cells(dl)).withColumn("_k", F.col("count").cast("double")).select(
-            *VOXEL, F.lit(-(1 << 40)).cast("long").alias("_f"), F.lit(0).cast("long").alias("_i"),
+            *VOXEL, F.lit(-(1 << 60)).cast("long").alias("_f"),
+            F.lit(None).cast(new.schema["_i"].dataType).alias("_i"),
             *((F.col(n) * F.col("_k")).alias(n) for n in NORMAL), "score")
         new = new.unionByName(old)
     scanned = prefix_scan(new, VOXEL, ["_f", "_i"], F.col("_f"), {
@@ -113,6 +115,8 @@ def merged_normals(points: DataFrame, dl: float, base: DataFrame | None, frame:
                     * _dot(lambda n: F.col("_seed")[n], lambda n: F.col("_seed")[n]))
     sign = F.when(dot > 0, 1.0).otherwise(-1.0)
     tail = tail.withColumns({"_sign": sign, "_cone": F.abs(dot) >= 0.70711 * length})
+    # Three readers follow; without the cut each would redo the scan and the join.
+    tail = checkpointed(tail.select(*VOXEL, "_f", "_i", *NORMAL, "_sign", "_cone", "_from", "_top"))
     summed = tail.groupBy(*VOXEL).agg(
         *(F.sum(F.col(n) * F.col("_sign")).alias(n) for n in NORMAL),
         F.max("_top").alias("score"),

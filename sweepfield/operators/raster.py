@@ -53,7 +53,7 @@ def visibility_ranges(points: DataFrame, by: list[str], low: float, high: float,
     framed = framed.withColumns({
         "_pb": F.coalesce(F.col("_p")["bin"], F.col("_last")["bin"] - n), "_pr": F.coalesce(F.col("_p")["r"], F.col("_last")["r"]),
         "_nb": F.coalesce(F.col("_n")["bin"], F.col("_first")["bin"] + n), "_nr": F.coalesce(F.col("_n")["r"], F.col("_first")["r"])})
-    share = (F.col("bin") - F.col("_pb")) / (F.col("_nb") - F.col("_pb"))
+    share = F.try_divide(F.col("bin") - F.col("_pb"), F.col("_nb") - F.col("_pb"))
     filled = F.col("_nr") if fill == "next" else (1 - share) * F.col("_pr") + share * F.col("_nr")
     return framed.select(*by, "bin", F.coalesce("r", filled).alias("range"), F.col("r").isNotNull().alias("seen"))
 

@@ -55,14 +55,14 @@ def frame_normals(points: DataFrame, by: list[str], n_lines: int, h_scale: float
     res = angular_resolution(points, by, n_lines)
     polar = polar_ray(xyz())
     radius = F.col("angle_res") * 1.5
-    factor = radius / (r_scale * F.log((1 + radius) / (1 - radius)))
+    factor = F.try_divide(radius, r_scale * F.log(F.try_divide(1 + radius, 1 - radius)))
     scaled = points.join(res, by).withColumns({
         "_u": F.log(polar.rho) * factor, "_v": polar.theta, "_w": squeeze_phi(polar.phi, h_scale)})
-    line = F.floor((F.col("_v") - F.col("min_theta")) / F.col("angle_res") + 0.5).cast("int")
+    line = F.floor(F.try_divide(F.col("_v") - F.col("min_theta"), F.col("angle_res")) + 0.5).cast("int")
     lined = scan_line_outliers(scaled.withColumn("_line", line), by, "_line", p_id, "_u",
                                outlier_jump, passes, first_point)
     # In units of its own radius every frame has neighbours within 1.
-    unit = lined.withColumns({a: F.col(a) / radius for a in ("_u", "_v", "_w")})
+    unit = lined.withColumns({a: F.try_divide(F.col(a), radius) for a in ("_u", "_v", "_w")})
     s = unit.select(*by, F.col(p_id).alias("_s"), "_u", "_v", "_w", *(F.col(a).alias("_p" + a) for a in XYZ))
     q = unit.where(~F.col("outlier")).select(*by, p_id, "_u", "_v", "_w", *(F.col(a).alias("_o" + a) for a in XYZ))
     pairs = radius_pairs(q, s, 1.0, by, p_id, "_s", axes=("_u", "_v", "_w"),

@@ -311,7 +311,7 @@ def deskew(points: DataFrame, poses: DataFrame, by: list[str], frame: str, strid
                       {"_last": previous("_row")}).where("_last IS NOT NULL").drop("_row")
     joined = phi.join(seq, keys)
     phi0 = F.col("_last")["_phi1"] - F.lit(stride * 2 * math.pi)
-    f = (F.col("_phi") - phi0) / (F.col("_phi1") - phi0)
+    f = F.try_divide(F.col("_phi") - phi0, F.col("_phi1") - phi0)
     q = slerp([F.col("_last")[c] for c in QUATERNION], list(QUATERNION), f)
     t = Vec(*(lerp(F.col("_last")[c], c, f) for c in POSITION))
     moved = rigid_from_quaternion(q, t).apply(xyz()).columns()
@@ -323,7 +323,7 @@ def azimuth_slices(points: DataFrame, by: list[str], n: int) -> DataFrame:
     phi = points.withColumn("phi", polar_wrapped(xyz()).phi)
     box = phi.groupBy(*by).agg(F.min("phi").alias("_lo"), F.max("phi").alias("_hi"))
     width = (F.col("_hi") - F.col("_lo")) / n
-    at = (F.col("phi") - F.col("_lo")) / width
+    at = F.try_divide(F.col("phi") - F.col("_lo"), width)
     cut = phi.join(box, by).withColumn("slice", F.floor(at).cast("int"))
     inside = (F.col("phi") > F.col("_lo") + F.col("slice") * width) & (F.col("slice").between(0, n - 1))
     return (cut.where(inside)
@@ -337,7 +337,7 @@ def slice_poses(slices: DataFrame, poses: DataFrame, by: list[str], phi0: str =
     ``poses`` holds per frame both poses (suffix 0 and 1) and both azimuths.
     """
     rows = slices.select(*by, "slice", "slice_phi").distinct().join(poses, by)
-    f = (F.col("slice_phi") - F.col(phi0)) / (F.col(phi1) - F.col(phi0))
+    f = F.try_divide(F.col("slice_phi") - F.col(phi0), F.col(phi1) - F.col(phi0))
     q = slerp([c + "0" for c in QUATERNION], [c + "1" for c in QUATERNION], f)
     t = Vec(*(lerp(c + "0", c + "1", f) for c in POSITION))
     return rows.select(*by, "slice", *(c.alias(n) for n, c in rigid_from_quaternion(q, t).columns().items()))
