@@ -69,11 +69,12 @@ def normalised(q: tuple[Column, ...]) -> tuple[Column, ...]:
 
 def rigid_from_quaternion(q, t: Vec) -> Rigid:
     """Matrix of the quaternion (x, y, z, w), which need not have unit length."""
-    x, y, z, w = normalised(tuple(col(c) for c in q))
+    x, y, z, w = (col(c) for c in q)
+    s = F.try_divide(F.lit(2.0), x * x + y * y + z * z + w * w)
     return Rigid(
-        Vec(1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w)),
-        Vec(2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w)),
-        Vec(2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y)),
+        Vec(1 - s * (y * y + z * z), s * (x * y - z * w), s * (x * z + y * w)),
+        Vec(s * (x * y + z * w), 1 - s * (x * x + z * z), s * (y * z - x * w)),
+        Vec(s * (x * z - y * w), s * (y * z + x * w), 1 - s * (x * x + y * y)),
         t,
     )
 
@@ -91,20 +92,29 @@ def rigid_from_euler(roll, pitch, heading, t: Vec, degrees: bool = True) -> Rigi
     )
 
 
-def slerp(q0, q1, fraction) -> tuple[Column, ...]:
-    """Shortest-arc interpolation between unit quaternions; linear when they nearly agree."""
-    a = normalised(tuple(col(c) for c in q0))
-    b = normalised(tuple(col(c) for c in q1))
-    f = col(fraction)
-    dot = sum((u * v for u, v in zip(a[1:], b[1:])), a[0] * b[0])
-    sign = F.when(dot < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
-    cosine = F.least(F.abs(dot), F.lit(1.0))
-    omega = F.acos(cosine)
-    near = cosine > 0.9995
+def with_slerp(df: DataFrame, q0, q1, fraction) -> DataFrame:
+    """Add ``qx, qy, qz, qw``: the shortest-arc interpolation between two quaternions.
+
+    Linear where they nearly agree. Built up in steps, since a quaternion that
+    is written out inside its own norm several times over makes an expression
+    far larger than the computation.
+    """
+    a, b = ["_a" + n for n in QUATERNION], ["_b" + n for n in QUATERNION]
+    unit = dict(zip(a, normalised(tuple(col(c) for c in q0)))) | dict(zip(b, normalised(tuple(col(c) for c in q1))))
+    df = df.withColumns(unit | {"_f": col(fraction)})
+    dot = sum((F.col(u) * F.col(v) for u, v in zip(a[1:], b[1:])), F.col(a[0]) * F.col(b[0]))
+    df = df.withColumn("_dot", dot)
+    df = df.withColumns({"_sign": F.when(F.col("_dot") < 0, F.lit(-1.0)).otherwise(F.lit(1.0)),
+                         "_omega": F.acos(F.least(F.abs("_dot"), F.lit(1.0)))})
+    f, omega, near = F.col("_f"), F.col("_omega"), F.abs("_dot") > 0.9995
     s = F.sin(omega)
-    wa = F.when(near, 1 - f).otherwise(F.try_divide(F.sin((1 - f) * omega), s))
-    wb = F.when(near, f).otherwise(F.try_divide(F.sin(f * omega), s)) * sign
-    return normalised(tuple(wa * u + wb * v for u, v in zip(a, b)))
+    df = df.withColumns({
+        "_wa": F.when(near, 1 - f).otherwise(F.try_divide(F.sin((1 - f) * omega), s)),
+        "_wb": F.when(near, f).otherwise(F.try_divide(F.sin(f * omega), s)) * F.col("_sign")})
+    mixed = ["_m" + n for n in QUATERNION]
+    df = df.withColumns({m: F.col("_wa") * F.col(u) + F.col("_wb") * F.col(v) for m, u, v in zip(mixed, a, b)})
+    df = df.withColumns(dict(zip(QUATERNION, normalised(tuple(F.col(m) for m in mixed)))))
+    return df.drop(*a, *b, *mixed, "_f", "_dot", "_sign", "_omega", "_wa", "_wb")
 
 
 def lerp(a, b, fraction) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import Vec, col, polar_wrapped, xyz
 from ..functions.rigid import (MATRIX, POSITION, QUATERNION, Rigid, lerp, rigid_from_quaternion,
-                               rotation_gap, slerp, translation_gap)
+                               rotation_gap, translation_gap, with_slerp)
 from .scans import following, greedy_chain, numbered, prefix_scan, previous, running, top_k
 
 CHUNK = 600.0
@@ -81,13 +81,12 @@ def interpolated_poses(frames: DataFrame, poses: DataFrame, by: list[str], frame
     """
     b = asof_bracket(frames, poses, by, frame_t, pose_t, [*POSITION, *QUATERNION], chunk)
     f = (F.col(frame_t) - F.col("t0")) / (F.col("t1") - F.col("t0"))
-    q = slerp([c + "0" for c in QUATERNION], [c + "1" for c in QUATERNION], f)
-    p = [lerp(c + "0", c + "1", f) for c in POSITION]
+    p = {c: lerp(c + "0", c + "1", f) for c in POSITION}
+    b = with_slerp(b.withColumns(p), [c + "0" for c in QUATERNION], [c + "1" for c in QUATERNION], f)
     if matrix:
-        out = rigid_from_quaternion(q, Vec(*p)).columns()
-    else:
-        out = dict(zip((*POSITION, *QUATERNION), (*p, *q)))
-    return b.select(*frames.columns, *(c.alias(n) for n, c in out.items()))
+        out = rigid_from_quaternion(QUATERNION, Vec.of(*POSITION)).columns()
+        return b.select(*frames.columns, *(c.alias(n) for n, c in out.items()))
+    return b.select(*frames.columns, *POSITION, *QUATERNION)
 
 
 def nearest_time_join(left: DataFrame, right: DataFrame, by: list[str], left_t: str, right_t: str,
@@ -312,10 +311,10 @@ def deskew(points: DataFrame, poses: DataFrame, by: list[str], frame: str, strid
     joined = phi.join(seq, keys)
     phi0 = F.col("_last")["_phi1"] - F.lit(stride * 2 * math.pi)
     f = F.try_divide(F.col("_phi") - phi0, F.col("_phi1") - phi0)
-    q = slerp([F.col("_last")[c] for c in QUATERNION], list(QUATERNION), f)
-    t = Vec(*(lerp(F.col("_last")[c], c, f) for c in POSITION))
-    moved = rigid_from_quaternion(q, t).apply(xyz()).columns()
-    return joined.withColumns(moved).select(*points.columns)
+    place = {"_" + c: lerp(F.col("_last")[c], c, f) for c in POSITION}
+    posed = with_slerp(joined.withColumns(place), [F.col("_last")[c] for c in QUATERNION], list(QUATERNION), f)
+    moved = rigid_from_quaternion(QUATERNION, Vec.of(*place)).apply(xyz()).columns()
+    return posed.withColumns(moved).select(*points.columns)
 
 
 def azimuth_slices(points: DataFrame, by: list[str], n: int) -> DataFrame:
@@ -338,9 +337,9 @@ def slice_poses(slices: DataFrame, poses: DataFrame, by: list[str], phi0: str =
     """
     rows = slices.select(*by, "slice", "slice_phi").distinct().join(poses, by)
     f = F.try_divide(F.col("slice_phi") - F.col(phi0), F.col(phi1) - F.col(phi0))
-    q = slerp([c + "0" for c in QUATERNION], [c + "1" for c in QUATERNION], f)
+    rows = with_slerp(rows, [c + "0" for c in QUATERNION], [c + "1" for c in QUATERNION], f)
     t = Vec(*(lerp(c + "0", c + "1", f) for c in POSITION))
-    return rows.select(*by, "slice", *(c.alias(n) for n, c in rigid_from_quaternion(q, t).columns().items()))
+    return rows.select(*by, "slice", *(c.alias(n) for n, c in rigid_from_quaternion(QUATERNION, t).columns().items()))
 
 
 def scan_line_outliers(points: DataFrame, by: list[str], line: str, order: str, rho: str,
