@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import Vec, XYZ, cell
 from ..functions.linalg import MOMENTS, covariance, eigh3, moment_sums
+from ..runtime import checkpointed
 from .scans import top_k
 from .voxels import spread
 
@@ -162,6 +163,9 @@ def nearest_join(queries: DataFrame, supports: DataFrame, by: list[str] = (), q_
         levels += 1
     found = first
     if levels:
+        if levels > 1:
+            # Every level reads the supports again; cut what produced them.
+            s = checkpointed(s)
         left = q.join(first.select(*qk), qk, "left_anti")
         rest = _descend(left, s, by, qk, names, axes, levels, best)
         found = first.unionByName(rest)

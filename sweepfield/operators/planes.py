@@ -77,7 +77,8 @@ def mark_in_plane(points: DataFrame, planes: DataFrame, by: list[str], threshold
 
 def extract_ground(points: DataFrame, by: list[str] = (), vertical_deg: float = 10.0,
                    threshold: float = 0.15, remove_dist: float = 0.15, seed: int = 42,
-                   p_id: str = "id", draws: int = 100, planes: DataFrame | None = None) -> DataFrame:
+                   p_id: str = "id", draws: int = 100, planes: DataFrame | None = None,
+                   cell_size: float | None = None) -> DataFrame:
     """Ground points: near the best plane of vertical-normal points, away from everything else.
 
     Points of the plane whose nearest other point is within ``remove_dist`` are
@@ -85,11 +86,12 @@ def extract_ground(points: DataFrame, by: list[str] = (), vertical_deg: float =
     """
     by = list(by)
     if planes is None:
-        planes = ransac_plane(vertical_normals(points, vertical_deg), by, threshold, draws, seed, p_id)
+        # A row per group that both sides of the proximity join read.
+        planes = checkpointed(ransac_plane(vertical_normals(points, vertical_deg), by, threshold, draws, seed, p_id))
     marked = mark_in_plane(points, planes, by, threshold)
     flat = marked.where("in_plane").drop("in_plane")
     others = marked.where(~F.col("in_plane"))
-    return proximity(flat, others, remove_dist, "far", by, p_id)
+    return proximity(flat, others, remove_dist, "far", by, p_id, cell_size=cell_size)
 
 
 def ground_height(points: DataFrame, by: list[str], band: float = 0.05) -> DataFrame:

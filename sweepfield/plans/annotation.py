@@ -32,7 +32,7 @@ def annotate_map(map_points: DataFrame, points: DataFrame, poses: DataFrame, dl:
     full = map_points.select("map_id").join(evidence, "map_id", "left").fillna(0, ["count", "prob"])
     probs = movable_probabilities(full, min_rays)
     still = still_points(map_points, margin, p_id="map_id", cell_size=dl)
-    ground = extract_ground(map_points, [], 10.0, ground_thresh, ground_remove, seed, "map_id")
+    ground = extract_ground(map_points, [], 10.0, ground_thresh, ground_remove, seed, "map_id", cell_size=ground_remove)
     return classify_map(map_points, probs, still, ground, short_threshold, long_threshold)
 
 

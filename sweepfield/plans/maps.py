@@ -87,7 +87,7 @@ def refine_map(map_points: DataFrame, points: DataFrame, poses: DataFrame, dl: f
     kept = points.join(frames, FRAME, "left_semi")
     evidence = ray_evidence(kept, poses, map_points, FRAME, theta_dl, phi_dl, dl, ["session"], map_id)
     movable = strongest_over_sessions(movable_probabilities(evidence, min_rays, "zero"), map_id)
-    ground = extract_ground(map_points, p_id=map_id, remove_dist=0.01)
+    ground = extract_ground(map_points, p_id=map_id, remove_dist=0.01, cell_size=0.01)
     return clean_map(map_points, movable, ground, threshold, map_id)
 
 
