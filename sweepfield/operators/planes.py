@@ -39,13 +39,16 @@ def ransac_plane(points: DataFrame, by: list[str], threshold: float = 0.1, draws
         *key, "_pool", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
     size = F.size("_pool")
     # First point by hash, the other two at distinct hashed steps from it.
-    i0 = F.pmod(shuffle_key(seed + 1, *key, "draw"), size)
-    s1 = F.pmod(shuffle_key(seed + 2, *key, "draw"), size - 1) + 1
-    s2 = F.pmod(shuffle_key(seed + 3, *key, "draw"), F.greatest(size - 2, F.lit(1))) + 1
-    s2 = F.when(s2 >= s1, s2 + 1).otherwise(s2)
-    picks = [F.get("_pool", (i0 + s) % size if s is not None else i0) for s in (None, s1, s2)]
-    corners = [Vec(*(p[a] for a in XYZ)) for p in picks]
-    planes = drawn.select(*key, "draw", *(c.alias(n) for n, c in zip(PLANE, plane_from_points(*corners))))
+    drawn = drawn.withColumns({
+        "_i": F.pmod(shuffle_key(seed + 1, *key, "draw"), size).cast("int"),
+        "_s1": F.pmod(shuffle_key(seed + 2, *key, "draw"), size - 1).cast("int") + 1,
+        "_s2": F.pmod(shuffle_key(seed + 3, *key, "draw"), F.greatest(size - 2, F.lit(1))).cast("int") + 1})
+    third = F.col("_s2") + F.when(F.col("_s2") >= F.col("_s1"), 1).otherwise(0)
+    picked = drawn.select(*key, "draw", F.get("_pool", F.col("_i")).alias("_p0"),
+                          F.get("_pool", (F.col("_i") + F.col("_s1")) % size).alias("_p1"),
+                          F.get("_pool", (F.col("_i") + third) % size).alias("_p2"))
+    corners = [Vec(*(F.col(p)[a] for a in XYZ)) for p in ("_p0", "_p1", "_p2")]
+    planes = picked.select(*key, "draw", *(c.alias(n) for n, c in zip(PLANE, plane_from_points(*corners))))
     planes = planes.where(F.col("a").isNotNull())
     packed = planes.groupBy(*key).agg(F.collect_list(F.struct("draw", *PLANE)).alias("_planes"))
 

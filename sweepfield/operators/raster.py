@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import Plane, XYZ, cell, lift_positive, logit_cross_entropy, plane_distance, sigmoid, soft_hysteresis, xyz
+from ..runtime import checkpointed
 from ..schema import LONG_T, SHORT_T, STILL
 from .neighbors import grid_node_pairs
 from .scans import prefix_scan, running
@@ -200,6 +201,8 @@ def diffuse_risk(grid: DataFrame, by: list[str], dl: float, radius: float = 1.5,
     the result to a square image.
     """
     offsets = _disc(radius, dl, power)
+    # Four readers: the static layer, the moving layers, the layer list, the totals.
+    grid = checkpointed(grid)
     calm = grid.withColumns({c: soft_hysteresis(c) for c in ("still", "long_t", "short_t")})
     static = calm.where("t_idx = 0").select(*by, "px", "py", F.greatest("still", "long_t").alias("v")).where("v > 0")
     axes = ["px", "py"]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import (Vec, XYZ, cell, eigen_ratios, face_sensor, polar_ray, squeeze_phi,
                                   unsigned_normal_error, xyz)
 from ..functions.linalg import covariance, eigh3, mean, moment_sums, solve6
+from ..runtime import checkpointed
 from .neighbors import nearest_join, radius_pairs
 from .temporal import scan_line_outliers
 
@@ -63,6 +64,8 @@ def frame_normals(points: DataFrame, by: list[str], n_lines: int, h_scale: float
                                outlier_jump, passes, first_point)
     # In units of its own radius every frame has neighbours within 1.
     unit = lined.withColumns({a: F.try_divide(F.col(a), radius) for a in ("_u", "_v", "_w")})
+    # Query and support of the join below; two passes of windows lie behind it.
+    unit = checkpointed(unit.select(*by, p_id, *XYZ, "_u", "_v", "_w", "outlier"))
     s = unit.select(*by, F.col(p_id).alias("_s"), "_u", "_v", "_w", *(F.col(a).alias("_p" + a) for a in XYZ))
     q = unit.where(~F.col("outlier")).select(*by, p_id, "_u", "_v", "_w", *(F.col(a).alias("_o" + a) for a in XYZ))
     pairs = radius_pairs(q, s, 1.0, by, p_id, "_s", axes=("_u", "_v", "_w"),
