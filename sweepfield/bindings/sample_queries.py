@@ -80,10 +80,10 @@ def sample_top_activations(spark, sf):
     return longs(sa.top_activations(o, "feature", "label", "value", 5), "rank").select("feature", "label", "id", "value", "rank")
 
 
-@query("sample_time_order", "SELECT user_id, count(*) AS n, min(ts) AS first_ts FROM events GROUP BY user_id")
+@query("sample_time_order", "SELECT user_id, count(*) AS n, CAST(epoch_us(min(ts)) AS BIGINT) AS first_us FROM events GROUP BY user_id")
 def sample_time_order(spark, sf):
     e = sa.time_order(table(spark, sf, "events"), ["user_id"], "ts")
-    return e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"))
+    return e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.unix_micros(F.min("ts").cast("timestamp")).alias("first_us"))
 
 
 @query("sample_batches", """WITH RECURSIVE o AS (SELECT o_orderpriority AS shard, o_orderkey AS k, floor(o_totalprice/1000) AS size, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS rn FROM orders),
@@ -147,7 +147,7 @@ def mesh_rasterize(spark, sf):
         F.struct(F.lit(1).alias("v_id"), F.col("w").alias("x"), zero.alias("y"), zero.alias("z")),
         F.struct(F.lit(2).alias("v_id"), zero.alias("x"), F.lit(1.0).alias("y"), zero.alias("z")))).alias("v")).select("m", "v.*")
     f = s.select("m", F.lit(0).alias("f_id"), F.lit(0).alias("v1"), F.lit(1).alias("v2"), F.lit(2).alias("v3"))
-    pts = mesh.rasterize_mesh(v, f, 0.25, by=["m"])
+    pts = mesh.rasterize_mesh(v, f, 0.3, by=["m"])
     at = pts.join(v.withColumnsRenamed({a: "c" + a for a in "xyz"}), ["m", "v_id"])
     corner = (F.col("x") == F.col("cx")) & (F.col("y") == F.col("cy"))
     return at.groupBy("m").agg(F.count_if(corner).alias("corners"), F.max("x").alias("x_max"), F.min("x").alias("x_min"))

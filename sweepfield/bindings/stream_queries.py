@@ -90,17 +90,17 @@ def stream_ray_evidence(spark, sf):
     return both.agg(F.coalesce(F.bool_and(same), F.lit(False)).alias("judged"))
 
 
-@query("stream_window_stats", """SELECT time_bucket(INTERVAL '1 day', ts) AS window_start, event_type, count(*) AS n, round(sum(value),4) AS total, round(count(*)/86400.0::DOUBLE,9) AS rate FROM events GROUP BY ALL""")
+@query("stream_window_stats", """SELECT CAST(epoch(time_bucket(INTERVAL '1 day', ts)) AS BIGINT) AS window_start, event_type, count(*) AS n, round(sum(value),4) AS total, round(count(*)/86400.0::DOUBLE,9) AS rate FROM events GROUP BY ALL""")
 def stream_window_stats(spark, sf):
     ev = _read(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     out = _drain(spark, jobs.stream_window_stats(ev, ["event_type"], "ts", "value", "1 day"), "complete")
-    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"), F.round("rate", 9).alias("rate"))
+    return out.select(F.unix_seconds("window_start").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"), F.round("rate", 9).alias("rate"))
 
 
 @query("stream_sessions", """WITH l AS (SELECT *, CASE WHEN ts-lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL '6 hours' THEN 1 ELSE 0 END AS fl FROM events),
 s AS (SELECT *, sum(fl) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM l)
-SELECT user_id, min(ts) AS start, max(ts)+INTERVAL '6 hours' AS "end", count(*) AS n FROM s GROUP BY user_id, g""")
+SELECT user_id, CAST(epoch_us(min(ts)) AS BIGINT) AS start, CAST(epoch_us(max(ts)+INTERVAL '6 hours') AS BIGINT) AS "end", count(*) AS n FROM s GROUP BY user_id, g""")
 def stream_sessions(spark, sf):
     ev = _read(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     out = _drain(spark, jobs.stream_sessions(ev, ["user_id"], "ts", "6 hours"), "complete")
-    return out.select("user_id", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end")), "n")
+    return out.select("user_id", *(F.unix_micros(c).alias(c) for c in ("start", "end")), "n")

@@ -51,13 +51,13 @@ def rasterize_mesh(vertices: DataFrame, faces: DataFrame, dl: float, v_id: str =
     big = keep.where(~F.col("_small"))
     b = F.col("_a") % 3 + 1
     c = b % 3 + 1
-    lat = big.select("*", pick("_c", F.col("_a")).alias("_A"), pick("_c", b).alias("_B"), pick("_c", c).alias("_C"),
+    lat = big.select("*", pick("_c", F.col("_a")).alias("_pa"), pick("_c", b).alias("_pb"), pick("_c", c).alias("_pc"),
                      pick("_l", b).alias("_lb"), pick("_l", c).alias("_lc"))
     lat = lat.withColumn("_s", F.explode(steps(F.col("_lb")))).withColumn("_t", F.explode(steps(F.col("_lc"))))
     # Side b joins corners A and C, side c joins A and B.
     u, w = F.col("_s") / F.col("_lb"), F.col("_t") / F.col("_lc")
     lat = lat.where(u + w <= 1)
-    point = {a: F.col("_A")[a] + u * (F.col("_C")[a] - F.col("_A")[a]) + w * (F.col("_B")[a] - F.col("_A")[a]) for a in XYZ}
+    point = {a: F.col("_pa")[a] + u * (F.col("_pc")[a] - F.col("_pa")[a]) + w * (F.col("_pb")[a] - F.col("_pa")[a]) for a in XYZ}
     parts = [lat.select(*by, f_id, "_cs", *(v.alias(a) for a, v in point.items()))]
 
     edge = big.withColumn("_i", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))

@@ -146,13 +146,7 @@ def nearest_join(queries: DataFrame, supports: DataFrame, by: list[str] = (), q_
     s = s.withColumns({n: cell("_s" + a, size) for n, a in zip(names, axes)})
     q = queries.select(*by, q_id, *(F.col(a).cast("double").alias("_q" + a) for a in axes))
     q = q.withColumns({n: cell("_q" + a, size) for n, a in zip(names, axes)})
-
     qk = [*by, q_id]
-    best = F.min_by(F.struct("_hit", "d2"), F.struct(F.col("d2"), F.col("_hit")[s_id])).alias("_b")
-
-    first = (spread(q, names).join(s, [*by, *names]).withColumn("d2", _d2(axes))
-             .where(F.col("d2") <= cell_size * cell_size)
-             .groupBy(*qk).agg(best))
 
     if max_distance is not None:
         reach = max_distance
@@ -161,20 +155,59 @@ def nearest_join(queries: DataFrame, supports: DataFrame, by: list[str] = (), q_
     levels = 0
     while size * (4 ** levels) < reach * _SLACK:
         levels += 1
-    found = first
+    if levels > 1:
+        # Every level reads the supports again; cut what produced them.
+        s = checkpointed(s)
+
+    fullest = s.groupBy(*by, *names).count().agg(F.max("count")).first()[0] or 0
+    near = _near_packed if fullest <= PACK_LIMIT else _near_paired
+    seen = near(q, s, by, qk, names, axes, cell_size, s_id)
     if levels:
-        if levels > 1:
-            # Every level reads the supports again; cut what produced them.
-            s = checkpointed(s)
-        left = q.join(first.select(*qk), qk, "left_anti")
-        rest = _descend(left, s, by, qk, names, axes, levels, best)
-        found = first.unionByName(rest)
-    found = found.select(*qk, F.col("_b")["_hit"][s_id].alias(s_id),
-                         *(F.col("_b")["_hit"][c].alias(c) for c in carry),
-                         F.col("_b")["d2"].alias("d2"))
+        missing = seen.where("_b IS NULL").drop("_b")
+        rest = missing.join(_descend(missing, s, by, qk, names, axes, levels, _best(s_id)), qk, "left")
+        seen = seen.where("_b IS NOT NULL").unionByName(rest)
+    found = seen.select(*qk, F.col("_b")["_hit"].alias("_hit"), F.col("_b")["d2"].alias("d2"))
     if max_distance is not None:
-        found = found.where(F.col("d2") <= max_distance * max_distance)
-    return queries.select(*qk).join(found, qk, "left")
+        close = F.col("d2") <= max_distance * max_distance
+        found = found.select(*qk, F.when(close, F.col("_hit")).alias("_hit"), F.when(close, F.col("d2")).alias("d2"))
+    return found.select(*qk, F.col("_hit")[s_id].alias(s_id), *(F.col("_hit")[c].alias(c) for c in carry), "d2")
+
+
+PACK_LIMIT = 256
+
+
+def _best(s_id: str) -> Column:
+    return F.min_by(F.struct("d2", "_hit"), F.struct(F.col("d2"), F.col("_hit")[s_id])).alias("_b")
+
+
+def _near_packed(q, s, by, qk, names, axes, cell_size, s_id) -> DataFrame:
+    """Queries with the best hit of their cell block, from one packed row per cell.
+
+    The supports around each cell are put into one array (at most 27 *
+    PACK_LIMIT of them), so a query meets exactly one row and nothing has to be
+    grouped by query afterwards.
+    """
+    block = spread(s, names).groupBy(*by, *names).agg(
+        F.collect_list(F.struct(*("_s" + a for a in axes), "_hit")).alias("_block"))
+
+    def distance(p):
+        total = None
+        for a in axes:
+            d = F.col("_q" + a) - p["_s" + a]
+            total = d * d if total is None else total + d * d
+        return F.struct(total.alias("d2"), p["_hit"].alias("_hit"))
+
+    best = F.array_min(F.transform("_block", distance))
+    joined = q.join(block, [*by, *names], "left").withColumn("_n", best).drop("_block")
+    final = F.col("_n")["d2"] <= cell_size * cell_size
+    return joined.withColumn("_b", F.when(final, F.col("_n"))).drop("_n")
+
+
+def _near_paired(q, s, by, qk, names, axes, cell_size, s_id) -> DataFrame:
+    """The same for cells too full to pack: pairs, then the best of each query."""
+    found = (spread(q, names).join(s, [*by, *names]).withColumn("d2", _d2(axes))
+             .where(F.col("d2") <= cell_size * cell_size).groupBy(*qk).agg(_best(s_id)))
+    return q.join(found, qk, "left")
 
 
 def _joint_extent(queries: DataFrame, supports: DataFrame, axes) -> float:
