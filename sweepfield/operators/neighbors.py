@@ -123,7 +123,7 @@ def nearest_join(queries: DataFrame, supports: DataFrame, by: list[str] = (), q_
     Ties go to the lowest support id. Queries without any support in their
     group (or within ``max_distance``, inclusive) get NULLs.
 
-    Two steps. First the 3x3x3 block of fine cells: a match no farther than one
+    Copies are merged on both sides first. Then two steps. First the 3x3x3 block of fine cells: a match no farther than one
     cell is final. What is left descends a pyramid of cells, coarse to fine; at
     each level only cells that may still hold the nearest point are followed,
     judged by the bounding box of their points. The number of cells a query
@@ -144,9 +144,11 @@ def nearest_join(queries: DataFrame, supports: DataFrame, by: list[str] = (), q_
 
     names = ["_c" + a for a in axes]
     s = s.withColumns({n: cell("_s" + a, size) for n, a in zip(names, axes)})
-    q = queries.select(*by, q_id, *(F.col(a).cast("double").alias("_q" + a) for a in axes))
-    q = q.withColumns({n: cell("_q" + a, size) for n, a in zip(names, axes)})
-    qk = [*by, q_id]
+    # Queries at one position share the answer. Grouping by position also spreads the
+    # queries of a crowded cell over all tasks.
+    qk = [*by, *("_q" + a for a in axes)]
+    asked = queries.select(*by, q_id, *(F.col(a).cast("double").alias("_q" + a) for a in axes))
+    q = asked.select(*qk).distinct().withColumns({n: cell("_q" + a, size) for n, a in zip(names, axes)})
 
     if max_distance is not None:
         reach = max_distance
@@ -170,7 +172,8 @@ def nearest_join(queries: DataFrame, supports: DataFrame, by: list[str] = (), q_
     if max_distance is not None:
         close = F.col("d2") <= max_distance * max_distance
         found = found.select(*qk, F.when(close, F.col("_hit")).alias("_hit"), F.when(close, F.col("d2")).alias("d2"))
-    return found.select(*qk, F.col("_hit")[s_id].alias(s_id), *(F.col("_hit")[c].alias(c) for c in carry), "d2")
+    return asked.join(found, qk, "left").select(
+        *by, q_id, F.col("_hit")[s_id].alias(s_id), *(F.col("_hit")[c].alias(c) for c in carry), "d2")
 
 
 PACK_LIMIT = 256
@@ -229,7 +232,6 @@ def _descend(q: DataFrame, s: DataFrame, by, qk, names, axes, levels: int, best)
             *(F.min("lo" + a).alias("lo" + a) for a in axes),
             *(F.max("hi" + a).alias("hi" + a) for a in axes)))
 
-    spot = ["_q" + a for a in axes]
     low = high = F.lit(0.0)
     for a in axes:
         p, lo, hi = F.col("_q" + a), F.col("lo" + a), F.col("hi" + a)
@@ -241,8 +243,9 @@ def _descend(q: DataFrame, s: DataFrame, by, qk, names, axes, levels: int, best)
     def prune(candidates: DataFrame) -> DataFrame:
         return (candidates.withColumns({"_low": low, "_high": high})
                 .withColumn("_bound", F.min("_high").over(per_query))
-                .where(F.col("_low") <= F.col("_bound"))
-                .select(*qk, *spot, *names))
+                # A hair of slack: both sides are rounded.
+                .where(F.col("_low") <= F.col("_bound") * (1 + 1e-12))
+                .select(*qk, *names))
 
     block = spread(q.withColumns({n: F.shiftright(n, _FAN * levels) for n in names}), names)
     state = prune(block.join(boxes[levels], [*by, *names]))

@@ -45,39 +45,52 @@ def angular_resolution(points: DataFrame, by: list[str], n_lines: int) -> DataFr
 
 def frame_normals(points: DataFrame, by: list[str], n_lines: int, h_scale: float = 0.5,
                   r_scale: float = 4.0, p_id: str = "id", outlier_jump: float = 0.003,
-                  passes: int = 2, first_point: str = "keep") -> DataFrame:
+                  passes: int = 2, first_point: str = "keep", queries: DataFrame | None = None) -> DataFrame:
     """Normals of lidar frames in sensor coordinates.
 
     Neighbours are sought in scaled polar space (log range, polar angle,
     squeezed azimuth) within 1.5 times the angular resolution; the PCA is on
     Cartesian positions. Scan-line outliers and points with fewer than four
-    neighbours get score -1 and no normal.
+    neighbours get score -1 and no normal. ``queries`` (thinned frames, say)
+    get normals from the neighbours among ``points`` instead; outliers are then
+    not looked for, since the queries are no scan lines.
     """
     res = angular_resolution(points, by, n_lines)
-    polar = polar_ray(xyz())
     radius = F.col("angle_res") * 1.5
-    factor = F.try_divide(radius, r_scale * F.log(F.try_divide(1 + radius, 1 - radius)))
-    scaled = points.join(res, by).withColumns({
-        "_u": F.log(polar.rho) * factor, "_v": polar.theta, "_w": squeeze_phi(polar.phi, h_scale)})
-    line = F.floor(F.try_divide(F.col("_v") - F.col("min_theta"), F.col("angle_res")) + 0.5).cast("int")
-    lined = scan_line_outliers(scaled.withColumn("_line", line), by, "_line", p_id, "_u",
-                               outlier_jump, passes, first_point)
-    # In units of its own radius every frame has neighbours within 1.
-    unit = lined.withColumns({a: F.try_divide(F.col(a), radius) for a in ("_u", "_v", "_w")})
-    # Query and support of the join below; two passes of windows lie behind it.
-    unit = checkpointed(unit.select(*by, p_id, *XYZ, "_u", "_v", "_w", "outlier"))
-    s = unit.select(*by, F.col(p_id).alias("_s"), "_u", "_v", "_w", *(F.col(a).alias("_p" + a) for a in XYZ))
-    q = unit.where(~F.col("outlier")).select(*by, p_id, "_u", "_v", "_w", *(F.col(a).alias("_o" + a) for a in XYZ))
-    pairs = radius_pairs(q, s, 1.0, by, p_id, "_s", axes=("_u", "_v", "_w"),
-                         carry=["_p" + a for a in XYZ], q_carry=["_o" + a for a in XYZ])
+    axes = ("_u", "_v", "_w")
+
+    def scaled(df: DataFrame) -> DataFrame:
+        polar = polar_ray(xyz())
+        factor = F.try_divide(radius, r_scale * F.log(F.try_divide(1 + radius, 1 - radius)))
+        return df.select(*by, p_id, *XYZ).join(res, by).withColumns({
+            "_u": F.log(polar.rho) * factor, "_v": polar.theta, "_w": squeeze_phi(polar.phi, h_scale)})
+
+    def unit(df: DataFrame) -> DataFrame:
+        # In units of its own radius every frame has neighbours within 1.
+        return df.withColumns({a: F.try_divide(F.col(a), radius) for a in axes})
+
+    if queries is None:
+        line = F.floor(F.try_divide(F.col("_v") - F.col("min_theta"), F.col("angle_res")) + 0.5).cast("int")
+        lined = scan_line_outliers(scaled(points).withColumn("_line", line), by, "_line", p_id, "_u",
+                                   outlier_jump, passes, first_point)
+        # Query and support of the join below; two passes of windows lie behind it.
+        support = checkpointed(unit(lined).select(*by, p_id, *XYZ, *axes, "outlier"))
+        asked = support.where(~F.col("outlier"))
+    else:
+        support, asked = unit(scaled(points)), unit(scaled(queries))
+    s = support.select(*by, F.col(p_id).alias("_s"), *axes, *(F.col(a).alias("_p" + a) for a in XYZ))
+    q = asked.select(*by, p_id, *axes, *(F.col(a).alias("_o" + a) for a in XYZ))
+    pairs = radius_pairs(q, s, 1.0, by, p_id, "_s", axes=axes, carry=["_p" + a for a in XYZ],
+                         q_carry=["_o" + a for a in XYZ])
     rel = Vec(*(F.col("_p" + a) - F.col("_o" + a) for a in XYZ))
     m = pairs.groupBy(*by, p_id).agg(*moment_sums(rel)).where(F.col("n") >= 4)
     e = m.withColumn("_e", eigh3(*covariance())).select(*by, p_id, "_e.*")
-    joined = points.join(e, [*by, p_id], "left")
+    wanted = points if queries is None else queries
+    joined = wanted.join(e, [*by, p_id], "left")
     normal = face_sensor(Vec.of("ux", "uy", "uz"), xyz()).columns("nx", "ny", "nz")
     ratios = eigen_ratios(*EIGENVALUES)
     return joined.select(
-        *points.columns, *(F.coalesce(c, F.lit(0.0)).alias(n) for n, c in normal.items()),
+        *wanted.columns, *(F.coalesce(c, F.lit(0.0)).alias(n) for n, c in normal.items()),
         *(F.coalesce(ratios[k], F.lit(-1.0)).alias(k) for k in ("planarity", "linearity", "score")))
 
 

@@ -16,6 +16,7 @@ from ..operators.shape import frame_normals
 from ..operators.temporal import (drop_near_duplicates, exact_time_join, frames_near_place, interpolated_poses,
                                   nearest_time_join, pose_steps)
 from ..operators.voxels import sphere_barycentre
+from ..runtime import checkpointed
 
 FRAME = ["session", "frame_ts"]
 
@@ -35,7 +36,8 @@ def map_from_frames(points: DataFrame, poses: DataFrame, dl: float, n_lines: int
     """Barycentre map of all frames with known poses (matrix columns per frame)."""
     clean = drop_sensor_origin(points)
     normals = score_above(frame_normals(clean, FRAME, n_lines), min_score)
-    world = move_points(normals, poses, FRAME, normals=True)
+    # A stage of its own: the merge reads it for positions, counts and normals.
+    world = checkpointed(move_points(normals, poses, FRAME, normals=True))
     return barycentre_map(with_frame_index(world), dl, base)
 
 
@@ -60,11 +62,12 @@ def day_map(points: DataFrame, poses: DataFrame, base: DataFrame, frame_dl: floa
             n_lines: int = 32, min_score: float = 0.01) -> DataFrame:
     """First-hit map of a day on top of a base map, poses given.
 
-    Frames are thinned by sphere barycentres, get normals weighed by range and
-    incidence, and are merged; base points keep frame index -1.
+    Frames are thinned by sphere barycentres; the thinned points get normals from
+    the whole frame, weighed by range and incidence, and are merged. Base points
+    keep frame index -1.
     """
     thin = sphere_barycentre(points, frame_dl, FRAME).withColumn("id", F.xxhash64("vx", "vy", "vz")).select(*FRAME, "id", *XYZ)
-    normals = frame_normals(drop_sensor_origin(thin), FRAME, n_lines)
+    normals = frame_normals(drop_sensor_origin(points), FRAME, n_lines, queries=drop_sensor_origin(checkpointed(thin)))
     n = Vec.of("nx", "ny", "nz")
     weighed = normals.where(F.col("score") >= 0).withColumn(
         "score", normal_quality("score", polar_ray(xyz()).rho, incidence(n, xyz())))
