@@ -49,7 +49,7 @@ def ransac_plane(points: DataFrame, by: list[str], threshold: float = 0.1, draws
                           F.get("_pool", (F.col("_i") + third) % size).alias("_p2"))
     corners = [Vec(*(F.col(p)[a] for a in XYZ)) for p in ("_p0", "_p1", "_p2")]
     planes = picked.select(*key, "draw", *(c.alias(n) for n, c in zip(PLANE, plane_from_points(*corners))))
-    planes = planes.where(F.col("a").isNotNull())
+    # Collinear triples have NULL planes, which get no votes.
     packed = planes.groupBy(*key).agg(F.collect_list(F.struct("draw", *PLANE)).alias("_planes"))
 
     # Without groups the other side is a single row of at most ``draws`` planes.

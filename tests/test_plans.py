@@ -43,7 +43,7 @@ def test_annotation(spark, scene):
     frames = out["frame_labels"]
     assert frames.count() == len(scene["pdf"])
     ground = labels[labels.classif == 1]
-    assert len(ground) > 200 and ground.z.abs().max() < 0.13
+    assert len(ground) > 200 and ground.z.abs().max() < 0.3 and ground.z.abs().median() < 0.02
     block = labels[(labels.x.between(5.9, 6.2)) & (labels.y.abs() < 0.35) & (labels.z > 0.45) & (labels["count"] >= 0)]
     assert len(block) and (block.classif.isin([0, 3, 4])).all()
     walls = labels[(labels.y.abs() > 3.0) & (labels.z > 0.5)]
