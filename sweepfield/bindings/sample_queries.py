@@ -130,10 +130,29 @@ def pyramid_layers(spark, sf):
 
 @query("assemble_samples")
 def assemble_samples(spark, sf):
+    out = _samples(spark, sf)
+    return out["samples"].groupBy("session").agg(F.count(F.lit(1)).alias("n"), F.sum("frame_0").alias("newest"))
+
+
+def _samples(spark, sf):
     p = lattice(spark, sf).select("session", F.col("frame").alias("frame_ts"), F.xxhash64("id").alias("id"), "x", "y", "z", "label")
     centres = p.groupBy("session", F.col("frame_ts").alias("newest_ts")).agg(*(F.avg(a).alias("c" + a) for a in "xyz"))
-    out = samples.assemble_samples(p, centres, 3, 20.0, 2.0, 50, 7)
-    return out["samples"].groupBy("session").agg(F.count(F.lit(1)).alias("n"), F.sum("frame_0").alias("newest"))
+    return samples.assemble_samples(p, centres, 3, 20.0, 2.0, 50, 7)
+
+
+# How many points a sample has, and how many raw points are projected back onto it, do not depend on the draw.
+@query("assemble_samples_sizes", f"""WITH {LATTICE}, f AS (SELECT session, frame, row_number() OVER (PARTITION BY session ORDER BY frame) AS rn FROM (SELECT DISTINCT session, frame FROM pts)),
+c AS (SELECT session, frame, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM pts GROUP BY ALL),
+m AS (SELECT a.session, a.frame AS newest, b.frame, a.rn-b.rn AS age FROM f a JOIN f b ON a.session=b.session AND b.rn BETWEEN a.rn-2 AND a.rn),
+r AS (SELECT m.session, m.newest, age, x-cx AS x, y-cy AS y, z-cz AS z FROM m JOIN pts p ON p.session=m.session AND p.frame=m.frame JOIN c ON c.session=m.session AND c.frame=m.newest),
+b AS (SELECT * FROM r WHERE x*x+y*y+z*z < 400), v AS (SELECT session, newest, count(*) AS n FROM (SELECT DISTINCT session, newest, floor(x/2), floor(y/2), floor(z/2) FROM b) GROUP BY ALL),
+s AS (SELECT session, CAST(sum(least(n,50)) AS BIGINT) AS n FROM v GROUP BY session), w AS (SELECT session, count(*) AS raw FROM b WHERE age=0 AND x*x+y*y+z*z < 19.8*19.8 GROUP BY session)
+SELECT s.session, s.n, w.raw FROM s JOIN w USING (session)""")
+def assemble_samples_sizes(spark, sf):
+    out = _samples(spark, sf)
+    sizes = out["samples"].groupBy("session").agg(F.count(F.lit(1)).alias("n"))
+    raw = out["reprojection"].where("id IS NOT NULL").groupBy("session").agg(F.count(F.lit(1)).alias("raw"))
+    return sizes.join(raw, "session")
 
 
 # One triangle per supplier; a mesh point lies on its edges, its lattice or its corners.

@@ -93,15 +93,15 @@ def plane_ground_height(spark, sf):
     return rounded(pl.ground_height(p, ["session", "frame"]), "ground_z")
 
 
-# All points whose tax is zero lie in one plane, far larger than any other.
-@query("plane_ransac")
+# All points with a tax below five percent lie in one plane, far larger than any other.
+@query("plane_ransac", f"WITH {LATTICE} SELECT session, 1.0::DOUBLE AS c, 0.0::DOUBLE AS d, count(*) FILTER (z<5) AS votes FROM pts GROUP BY session")
 def plane_ransac(spark, sf):
     p = lattice(spark, sf).withColumn("z", F.when(F.col("z") < 5, 0.0).otherwise(F.col("z")))
     out = pl.ransac_plane(p, ["session"], 0.1, seed=3)
-    return rounded(out, "a", "b", "c", "d")
+    return out.select("session", F.abs(r6("c")).alias("c"), F.abs(r6("d")).alias("d"), "votes")
 
 
-@query("plane_ground_points")
+@query("plane_ground_points", f"WITH {LATTICE} SELECT session, count(*) FILTER (z<5) AS n, 0.0::DOUBLE AS z_max FROM pts GROUP BY session")
 def plane_ground_points(spark, sf):
     p = lattice(spark, sf).withColumns({"z": F.when(F.col("z") < 5, 0.0).otherwise(F.col("z")), "nz": F.when(F.col("z") < 5, 1.0).otherwise(0.0)})
     out = pl.extract_ground(p, ["session"], remove_dist=0.15, cell_size=0.15)

@@ -69,6 +69,13 @@ def voxel_turned(spark, sf):
     return voxels.turned_voxel_barycentre(lattice(spark, sf), DL, ["session"], 7)
 
 
+# However the grid is turned, its voxels hold all points, and their weighted mean is that of the points.
+@query("voxel_turned_mass", f"WITH {LATTICE} SELECT session, count(*) AS n, round(avg(x),6) AS x, round(avg(y),6) AS y, round(avg(z),6) AS z FROM pts GROUP BY session")
+def voxel_turned_mass(spark, sf):
+    out = voxels.turned_voxel_barycentre(lattice(spark, sf), DL, ["session"], 7)
+    return out.groupBy("session").agg(F.sum("n").alias("n"), *(r6(F.sum(F.col(a) * F.col("n")) / F.sum("n")).alias(a) for a in "xyz"))
+
+
 def scored(spark, sf):
     """Lattice points with a score and a normal within a narrow cone."""
     pts = lattice(spark, sf)

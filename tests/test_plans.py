@@ -149,3 +149,15 @@ def test_reports(spark):
     assert out["confusion"].agg(F.sum("n")).first()[0] == len(kept)
     acc = out["accuracy"].first()["acc"]
     assert math.isclose(acc, (kept.truth == kept.pred).mean(), abs_tol=1e-6)
+
+
+def test_first_map_labels_and_offsets(spark, scene):
+    m = spark.createDataFrame(pd.DataFrame({"map_id": range(40), "x": np.arange(40.0), "y": 0.0, "z": [0.0] * 30 + [1.0] * 10,
+                                            "nx": 0.0, "ny": 0.0, "nz": [1.0] * 30 + [0.0] * 10}))
+    m = m.withColumn("y", F.pmod(F.col("map_id") * 7, F.lit(5)).cast("double"))
+    e = m.select("map_id", F.lit(10).cast("long").alias("count"), F.when(F.col("map_id") >= 25, 10).otherwise(0).cast("long").alias("prob"))
+    out = maps.first_map_labels(m.select(F.col("map_id").alias("id"), "x", "y", "z"), m, e).toPandas()
+    assert set(out[out.label == 4].id) == set(range(30, 40))
+    sensor = matrices_of(scene["fine"]).limit(1).drop("session", "t").withColumns({"t0": F.lit(0.5), "t1": F.lit(0.0), "t2": F.lit(0.25)})
+    moved = maps.composed_poses(scene["poses"], sensor).toPandas().sort_values("frame_ts")
+    assert np.allclose(moved.t0, 0.5 + 0.1 * np.arange(6)) and np.allclose(moved.t2, 1.25)
