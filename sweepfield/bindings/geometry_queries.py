@@ -1,13 +1,12 @@
 """Column functions on whole tables."""
 
-import math
 
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import rigid as t
 from ..operators import filters
-from .registry import LATTICE, TIMELINE, VECTORS, lattice, longs, query, r6, rounded, timeline, vectors
+from .registry import LATTICE, TIMELINE, VECTORS, lattice, longs, query, r6, timeline, vectors
 
 SPOTS = f"WITH {LATTICE}, s AS (SELECT DISTINCT x, y - 4.5 AS y, z - 3.5 AS z FROM pts)"
 

@@ -1,11 +1,10 @@
 """Rasters over time."""
 
-import math
 
 from pyspark.sql import functions as F
 
 from ..operators import raster as ra
-from .registry import LATTICE, TIMELINE, VECTORS, lattice, longs, query, r6, rounded, table, vectors
+from .registry import LATTICE, lattice, longs, query, rounded, table
 
 RES = ra.HALF_DEGREE
 ANGLE = f"least(CAST(floor((atan2(y-4.3,x-25.4)+pi())/{RES!r}) AS INTEGER), 720)"

@@ -1,12 +1,11 @@
 """Ray evidence of a small fixed-pose scanner over a voxel map of the lattice."""
 
-import math
 
 from pyspark.sql import functions as F
 
 from ..operators import evidence as ev
 from ..operators import voxels
-from .registry import LATTICE, lattice, longs, query, r6, rounded
+from .registry import LATTICE, lattice, longs, query, rounded
 
 DL, TH, PH = 4.0, 0.1, 0.2
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import mesh
 from ..operators import sampling as sa
 from ..plans import samples
-from .registry import LATTICE, VECTORS, lattice, longs, query, r6, rounded, table, vectors
+from .registry import LATTICE, VECTORS, lattice, longs, query, r6, table, vectors
 
 
 def items(spark, sf):

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import scoring as sc
 from ..plans import reports
-from .registry import longs, query, r6, rounded, table
+from .registry import longs, query, rounded, table
 
 FLAGS = {"A": 0, "N": 1, "R": 2}
 E6 = "1e-6"

@@ -4,7 +4,6 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from ..operators import mapping
 from ..streaming import jobs
 from .registry import TIMELINE, query, rounded, table
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import Vec, XYZ, cell
-from ..functions.linalg import MOMENTS, covariance, eigh3, moment_sums
+from ..functions.linalg import covariance, eigh3, moment_sums
 from ..runtime import checkpointed
 from .scans import top_k
 from .voxels import spread

@@ -7,12 +7,13 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import Plane, XYZ, cell, lift_positive, logit_cross_entropy, plane_distance, sigmoid, soft_hysteresis, xyz
+from ..functions.geometry import (Plane, cell, lift_positive, logit_cross_entropy, plane_distance, sigmoid,
+                                  soft_hysteresis, xyz)
 from ..runtime import checkpointed
 from ..schema import LONG_T, SHORT_T, STILL
 from .neighbors import grid_node_pairs
 from .scans import prefix_scan, running
-from .shape import convolve, gaussian_offsets
+from .shape import convolve
 
 # --- visibility around a centre ----------------------------------------------
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import Vec, XYZ, col, xyz
+from ..functions.geometry import Vec, XYZ, xyz
 from ..functions.hashed import gaussian, shuffle_key, uniform, uniform_between
 from ..functions.rigid import axis_angle
 from .scans import numbered, top_k

@@ -137,11 +137,13 @@ def horizon_windows(frames: DataFrame, by: list[str], t: str, start: float, futu
     aimed = ends.withColumn("_aim", F.col("oldest_ts") - start)
     windows = (nearest_time_join(aimed, base, by, "_aim", "ts", [], chunk)
                .select(*by, "oldest_ts", "_end", F.col("near_t").alias("origin_ts")))
-    inside = (interval_join(windows, base, by, "oldest_ts", "ts", 0.0, span)
-              .withColumnRenamed("other_t", "frame_ts").drop("_end"))
-    last = windows.withColumnRenamed("_end", "frame_ts")
-    rows = inside.unionByName(last)
-    return rows.withColumn("t", F.col("frame_ts") - F.col("origin_ts"))
+    # The buckets of the span, and that of the closing frame, which may lie far beyond it.
+    start_b, end_b = _bucket("oldest_ts", span), _bucket(F.col("oldest_ts") + span, span)
+    buckets = F.array_union(F.sequence(start_b, end_b), F.array(_bucket("_end", span)))
+    left = windows.withColumn("_b", F.explode(buckets))
+    right = base.select(*by, F.col("ts").alias("frame_ts"), _bucket("ts", span).alias("_b"))
+    rows = left.join(right, [*by, "_b"]).where(F.col("frame_ts").between(F.col("oldest_ts"), F.col("_end")))
+    return rows.select(*by, "oldest_ts", "origin_ts", "frame_ts", (F.col("frame_ts") - F.col("origin_ts")).alias("t"))
 
 
 def stack_horizon(points: DataFrame, by: list[str], t: str, start: float, future: float,

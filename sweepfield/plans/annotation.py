@@ -7,12 +7,11 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import Plane, Vec, cell
 from ..functions.rigid import move_points
 from ..operators.evidence import classify_map, movable_probabilities, ray_evidence
-from ..operators.filters import off_ground, vertical_normals
+from ..operators.filters import vertical_normals
 from ..operators.neighbors import still_points, transfer_labels
-from ..operators.planes import PLANE, extract_ground, mark_in_plane, ransac_plane
+from ..operators.planes import extract_ground, mark_in_plane, ransac_plane
 from ..operators.temporal import horizon_windows
 from ..operators.voxels import voxel_barycentre
 from ..runtime import checkpointed

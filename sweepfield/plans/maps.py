@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import Plane, Vec, XYZ, incidence, normal_quality, polar_ray, xyz
+from ..functions.geometry import Vec, XYZ, incidence, normal_quality, polar_ray, xyz
 from ..functions.rigid import MATRIX, Rigid, move_points
 from ..operators.evidence import clean_map, movable_probabilities, ray_evidence, strongest_over_sessions
 from ..operators.filters import drop_sensor_origin, score_above, score_not_below
@@ -13,7 +13,7 @@ from ..operators.mapping import barycentre_map, first_hit_map
 from ..operators.neighbors import transfer_labels
 from ..operators.planes import extract_ground, ground_height, mark_in_plane
 from ..operators.shape import frame_normals
-from ..operators.temporal import (drop_near_duplicates, exact_time_join, frames_near_place, interpolated_poses,
+from ..operators.temporal import (drop_near_duplicates, frames_near_place, interpolated_poses,
                                   nearest_time_join, pose_steps)
 from ..operators.voxels import sphere_barycentre
 from ..runtime import checkpointed

@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import Vec, sq_distance, xyz
-from ..functions.rigid import MATRIX
+from ..functions.geometry import Vec, xyz
 from ..operators.filters import frame_indicators
 from ..operators.neighbors import nearest_join, radius_neighbours
 from ..operators.sampling import augment, augmentation_parameters, sample_to_cap
 from ..operators.temporal import merge_last_frames
-from ..operators.voxels import voxel_barycentre, voxel_barycentre_capped
+from ..operators.voxels import voxel_barycentre
 
 
 def pyramid(points: DataFrame, by: list[str], dl: float, conv_radius: float = 2.5, layers: int = 3,
