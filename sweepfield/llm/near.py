@@ -32,6 +32,7 @@ SKETCH_BITS = 4
 # Sketch agreement of a pair at similarity s is s + (1 - s) / 16 on average; five standard deviations below at 0.85.
 LEAST_AGREE = 0.70
 BLOCK_BYTES = 1 << 22
+MOST_BITS = 1 << 24
 
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(20)
@@ -191,20 +192,37 @@ def _neighbours(entries: DataFrame, best: int) -> DataFrame:
     return spread.mapInArrow(run, schema).distinct()
 
 
+def _bitmap(need: DataFrame) -> tuple[np.ndarray, int]:
+    """A bit for each hash value of ``need.at``, at most ``MOST_BITS`` of them: 2 MB, whatever the input.
+
+    It only saves work: rows it lets through wrongly are dropped by the join that follows.
+    """
+    width = 1 << min(MOST_BITS.bit_length() - 1, max(16, 5 + need.count().bit_length()))
+    place = F.pmod(F.xxhash64("at"), F.lit(width))
+    words = need.select(F.shiftright(place, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(at), {width}L) & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    out = np.zeros(width >> 6, np.uint64)
+    got = words.collect()
+    out[[r.w for r in got]] = np.array([r.b for r in got], np.int64).view(np.uint64)
+    return out, width
+
+
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
     """The pairs whose full sets have ``100 * intersection >= percent * union``; sets are made again from the texts."""
     need = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct().join(classes.select("node", "id", "set_key"), "node")
     need = stored(need.withColumn("at", F.coalesce("id", F.lit(-(1 << 63)))))
+    bits, width = _bitmap(need)
     schema = StructType([StructField("at", LongType()), StructField("set_key", BinaryType()), StructField("hashes", BinaryType())])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = shingle_sets(b.column(1).to_pylist(), size)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_key(s) for s in made], pa.binary()), pa.array([s.tobytes() for s in made], pa.binary())], names=schema.names)
-
-    texts = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("at"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    made = texts.join(need.select("at").distinct(), "at", "left_semi").mapInArrow(sets, schema)
-    full = stored(made.join(need, ["at", "set_key"]).dropDuplicates(["node"]).select("node", "hashes"))
+            place = b.column(1).to_numpy()
+            hit = np.flatnonzero((bits[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1))
+            made = shingle_sets(b.column(2).take(pa.array(hit)).to_pylist(), size)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(hit)), pa.array([set_key(s) for s in made], pa.binary()), pa.array([s.tobytes() for s in made], pa.binary())], names=schema.names)
+
+    at = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
+    texts = docs.select(at.alias("at"), F.pmod(F.xxhash64(at), F.lit(width)).alias("place"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    full = stored(texts.mapInArrow(sets, schema).join(need, ["at", "set_key"]).dropDuplicates(["node"]).select("node", "hashes"))
     both = pairs.join(full.select(F.col("node").alias("u"), F.col("hashes").alias("a")), "u").join(full.select(F.col("node").alias("v"), F.col("hashes").alias("b")), "v").select("u", "v", "a", "b")
     out = StructType([StructField("u", LongType()), StructField("v", LongType())])
 
