@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
@@ -192,6 +192,11 @@ def _neighbours(entries: DataFrame, best: int) -> DataFrame:
     return spread.mapInArrow(run, schema).distinct()
 
 
+def _at(key: str) -> Column:
+    """The key as a number, null as the smallest one."""
+    return F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
+
+
 def _bitmap(need: DataFrame) -> tuple[np.ndarray, int]:
     """A bit for each hash value of ``need.at``, at most ``MOST_BITS`` of them: 2 MB, whatever the input.
 
@@ -206,23 +211,36 @@ def _bitmap(need: DataFrame) -> tuple[np.ndarray, int]:
     return out, width
 
 
+def _where_marked(docs: DataFrame, key: str, bits: np.ndarray, width: int, marked: bool) -> DataFrame:
+    """The rows of ``docs`` whose key's bit is set, or those whose bit is not; no shuffle."""
+    place = F.pmod(F.xxhash64(_at(key)), F.lit(width)).alias("__place")
+    own = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.column(len(own)).to_numpy()
+            hit = ((bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+            yield pa.RecordBatch.from_arrays(b.columns[:-1], names=own).filter(pa.array(hit == marked))
+
+    return docs.select(*own, place).mapInArrow(run, docs.schema)
+
+
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
     """The pairs whose full sets have ``100 * intersection >= percent * union``; sets are made again from the texts."""
     need = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct().join(classes.select("node", "id", "set_key"), "node")
-    need = stored(need.withColumn("at", F.coalesce("id", F.lit(-(1 << 63)))))
+    need = stored(need.withColumn("at", _at("id")))
     bits, width = _bitmap(need)
     schema = StructType([StructField("at", LongType()), StructField("set_key", BinaryType()), StructField("hashes", BinaryType())])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            place = b.column(1).to_numpy()
-            hit = np.flatnonzero((bits[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1))
-            made = shingle_sets(b.column(2).take(pa.array(hit)).to_pylist(), size)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(hit)), pa.array([set_key(s) for s in made], pa.binary()), pa.array([s.tobytes() for s in made], pa.binary())], names=schema.names)
-
-    at = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
-    texts = docs.select(at.alias("at"), F.pmod(F.xxhash64(at), F.lit(width)).alias("place"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    full = stored(texts.mapInArrow(sets, schema).join(need, ["at", "set_key"]).dropDuplicates(["node"]).select("node", "hashes"))
+            made = shingle_sets(b.column(1).to_pylist(), size)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_key(s) for s in made], pa.binary()), pa.array([s.tobytes() for s in made], pa.binary())], names=schema.names)
+
+    texts = docs.select(_at(key).alias("at"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    made = _where_marked(texts, "at", *_bitmap(need), True).mapInArrow(sets, schema)
+    once = made.groupBy("at", "set_key").agg(F.any_value("hashes").alias("hashes"))
+    full = stored(once.join(need, ["at", "set_key"]).select("node", "hashes"))
     both = pairs.join(full.select(F.col("node").alias("u"), F.col("hashes").alias("a")), "u").join(full.select(F.col("node").alias("v"), F.col("hashes").alias("b")), "v").select("u", "v", "a", "b")
     out = StructType([StructField("u", LongType()), StructField("v", LongType())])
 
@@ -285,7 +303,12 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     found = stored(groups(docs, key, text, size, percent).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id"))))
     ids = stored(found.groupBy("id").agg(F.count("*").alias("n"), F.max("kept").alias("kept")))
     whole = F.col(key).cast("long")
-    plain = docs.join(ids.where("n = 1 and kept and id is not null").select(F.col("id").alias("__id")), whole == F.col("__id"), "left_semi")
+    kept = ids.where("n = 1 and kept and id is not null").select(F.col("id").alias("__id"))
+    # Most keys are simply kept: only rows that may be among the others are shuffled.
+    others = ids.where("n > 1 or id is null or not kept").select(_at("id").alias("at"))
+    bits = _bitmap(others)
+    suspects = _where_marked(docs, key, *bits, True)
+    plain = _where_marked(docs, key, *bits, False).unionByName(suspects.join(kept, whole == F.col("__id"), "left_semi"))
     again = stored(ids.where("n > 1 or id is null").select(F.col("id").alias("__id")))
     at, own = docs.columns.index(text), docs.columns
     schema = StructType([*docs.schema.fields, StructField("__set_key", BinaryType())])
@@ -295,7 +318,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
             sets = shingle_sets([t or "" for t in b.column(at).to_pylist()], size)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([set_key(s) for s in sets], pa.binary())], names=schema.names)
 
-    odd = docs.join(again, whole.eqNullSafe(F.col("__id")), "left_semi").mapInArrow(keyed, schema)
+    odd = suspects.join(again, whole.eqNullSafe(F.col("__id")), "left_semi").mapInArrow(keyed, schema)
     facts = found.where("kept").select(F.col("id").alias("__id"), F.col("set_key").alias("__key"), F.col("root").alias("__root")).distinct()
     odd = odd.join(facts, whole.eqNullSafe(F.col("__id")) & (F.col("__set_key") == F.col("__key")))
     one = odd.where("__root is not null").dropDuplicates(["__root"]).unionByName(odd.where("__root is null"))
