@@ -120,13 +120,14 @@ def fingerprints(media: DataFrame, key: str, audio: str) -> DataFrame:
     return media.select(key, audio).mapInArrow(run, schema)
 
 
-def offsets(query: np.ndarray, values: np.ndarray, owner: np.ndarray, place: np.ndarray, starts: np.ndarray, flat: np.ndarray) -> list[tuple[int, int, int, float]]:
+def offsets(query: np.ndarray, values: np.ndarray, owner: np.ndarray, place: np.ndarray, starts: np.ndarray, flat: np.ndarray, least_overlap: int = 1, least_share: float = 0.0) -> list[tuple[int, int, int, float]]:
     """(recording, offset, votes, share of differing bits) of each recording that shares an integer with ``query``.
 
     ``values`` are the sorted integers of all recordings, ``owner`` and
     ``place`` whose they are and where; ``flat`` holds the integers of recording
-    r from ``starts[r]`` to ``starts[r + 1]``. The offset with most votes wins,
-    then the smallest in size, then the smaller.
+    r from ``starts[r]`` to ``starts[r + 1]``. Of the offsets at which the two
+    overlap enough and share enough integers, the one with most votes wins, then the smallest in size,
+    then the smaller.
     """
     lo, hi = np.searchsorted(values, query), np.searchsorted(values, query, side="right")
     if not (n := (hi - lo).sum()):
@@ -136,6 +137,12 @@ def offsets(query: np.ndarray, values: np.ndarray, owner: np.ndarray, place: np.
     wide = 1 << 32
     pair, votes = np.unique(owner[hit].astype(np.int64) * wide + (shift + wide // 2), return_counts=True)
     rec, off = pair // wide, pair % wide - wide // 2
+    size = starts[rec + 1] - starts[rec]
+    overlap = np.minimum(len(query), size - off) - np.maximum(0, -off)
+    fit = (overlap >= np.minimum(least_overlap, np.minimum(len(query), size))) & (votes >= least_share * overlap)
+    rec, off, votes = rec[fit], off[fit], votes[fit]
+    if not len(rec):
+        return []
     order = np.lexsort((off, np.abs(off), -votes, rec))
     first = order[np.concatenate([[True], rec[order][1:] != rec[order][:-1]])]
     out = []
@@ -147,13 +154,16 @@ def offsets(query: np.ndarray, values: np.ndarray, owner: np.ndarray, place: np.
     return out
 
 
-def align(prints: DataFrame, is_query: Column, k: int = 20, key: str = "id", most_error: float = 0.35, least_votes: int = 2) -> DataFrame:
+def align(prints: DataFrame, is_query: Column, k: int = 20, key: str = "id", most_error: float = 0.35, least_votes: int = 2, least_overlap: int = 32, least_share: float = 0.1) -> DataFrame:
     """``query_id``, ``rank``, ``rec_id``, ``copies``, ``offset``, ``votes``, ``bit_error``: up to ``k`` recordings like each query.
 
     Recordings with equal fingerprints are one class, given by its smallest id
     and the number of its members; ``copies`` counts them. A query's own class
     is among its results. ``offset`` is where the query starts in the other,
-    in frames. Recordings too short for a fingerprint and null ids take no part.
+    in frames; an alignment counts if it spans ``least_overlap`` frames or the
+    whole of the shorter recording, and ``least_share`` of them are equal
+    integers: less agrees by chance, the more often the more recordings there
+    are. Recordings too short for a fingerprint and null ids take no part.
     """
     rows = prints.where(F.col(key).isNotNull() & (F.size("prints") > 0)).select(F.col(key).cast("long").alias("id"), "prints")
     digest = F.sha2(F.array_join("prints", " "), 256)
@@ -173,7 +183,7 @@ def align(prints: DataFrame, is_query: Column, k: int = 20, key: str = "id", mos
             order = np.argsort(flat, kind="stable")
             values, owner, place = flat[order], owner[order], (np.arange(len(flat)) - starts[owner])[order]
             for qid, query in zip(block.column("id").to_pylist(), block.column("prints").to_pylist()):
-                hits = [(e, int(ids[r]), int(copies[r]), d, v) for r, d, v, e in offsets(np.array(query, np.int32).view(np.uint32), values, owner, place, starts, flat) if e <= most_error and v >= min(least_votes, len(query))]
+                hits = [(e, int(ids[r]), int(copies[r]), d, v) for r, d, v, e in offsets(np.array(query, np.int32).view(np.uint32), values, owner, place, starts, flat, least_overlap, least_share) if e <= most_error and v >= min(least_votes, len(query))]
                 found += [(qid, i, c, d, v, e) for e, i, c, d, v in sorted(hits)[:k]]
         cols = list(zip(*found)) if found else [[]] * 6
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
