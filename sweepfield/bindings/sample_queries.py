@@ -87,14 +87,12 @@ def sample_time_order(spark, sf):
 
 
 @query("sample_batches", """WITH RECURSIVE o AS (SELECT o_orderpriority AS shard, o_orderkey AS k, floor(o_totalprice/1000) AS size, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS rn FROM orders),
-s AS (SELECT *, (rn-1)//256 AS sn, (rn-1)%256 AS i FROM o),
-r AS (SELECT shard, sn, i, k, 0 AS batch, size AS total FROM s WHERE i=0 UNION ALL
- SELECT s.shard, s.sn, s.i, s.k, CASE WHEN r.total > 2000 THEN r.batch+1 ELSE r.batch END, CASE WHEN r.total > 2000 THEN s.size ELSE r.total+s.size END FROM r JOIN s ON s.shard=r.shard AND s.sn=r.sn AND s.i=r.i+1)
-SELECT shard, CAST(sn AS BIGINT) AS shard_no, CAST(batch AS BIGINT) AS batch, count(*) AS n, min(k) AS first_key FROM r GROUP BY ALL""")
+r AS (SELECT shard, rn, k, 0 AS batch, size AS total FROM o WHERE rn=1 UNION ALL
+ SELECT o.shard, o.rn, o.k, CASE WHEN r.total > 2000 THEN r.batch+1 ELSE r.batch END, CASE WHEN r.total > 2000 THEN o.size ELSE r.total+o.size END FROM r JOIN o ON o.shard=r.shard AND o.rn=r.rn+1)
+SELECT shard, CAST(batch AS BIGINT) AS batch, count(*) AS n, min(k) AS first_key FROM r GROUP BY ALL""")
 def sample_batches(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("shard"), F.col("o_orderkey").alias("k"), F.floor(F.col("o_totalprice") / 1000).alias("size"))
-    out = sa.pack_batches(o, ["shard"], "k", "size", 2000, 256)
-    return longs(out, "batch").groupBy("shard", "shard_no", "batch").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("first_key"))
+    return sa.pack_batches(o, ["shard"], "k", "size", 2000).groupBy("shard", "batch").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("first_key"))
 
 
 # Rotation about z and mirroring keep lengths up to the scale, whatever the hash draws.

@@ -1,19 +1,17 @@
 """Streaming operators drained over the event files, against the SQL of their batch twins."""
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
+from ..runtime import shared_root
 from ..streaming import jobs
 from .registry import TIMELINE, query, rounded, table
 
 
 def _folder(spark) -> str:
     """A fresh folder next to the checkpoints: shared on a cluster, temporary in a test."""
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sweepfield-stream-")
-    return f"{root}/stream-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _read(spark, sf, name):
@@ -28,7 +26,7 @@ def _finish(handle):
 
 
 def _drain(spark, stream, mode="append"):
-    """Run a stream over all there is and return what it wrote last."""
+    """Run a stream over all there is and return what it wrote: in update mode the rows of every micro-batch, else the last."""
     root = _folder(spark)
     if mode == "append":
         _finish(stream.writeStream.format("parquet").option("path", root + "/out").option("checkpointLocation", root + "/ckpt")
@@ -37,7 +35,7 @@ def _drain(spark, stream, mode="append"):
     target = jobs.VersionedTable(spark, root + "/out")
     _finish(stream.writeStream.outputMode(mode).foreachBatch(lambda df, n: target.write(df, n))
             .option("checkpointLocation", root + "/ckpt").trigger(availableNow=True).start())
-    return target.latest()
+    return target.every() if mode == "update" else target.latest()
 
 
 def _points(df):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import (Plane, Vec, XYZ, cells, clip, in_plane, plane_from_points, xyz)
 from ..functions.hashed import shuffle_key
-from ..runtime import checkpointed
+from ..runtime import checkpointed, one_row
 from .filters import vertical_normals
 from .neighbors import proximity
 from .scans import top_k
@@ -73,7 +73,7 @@ def mark_in_plane(points: DataFrame, planes: DataFrame, by: list[str], threshold
     else:
         # One plane at most, so the other side of the join is a single row.
         joined = points.withColumn("_k", F.lit(0)).join(
-            F.broadcast(side.limit(1).withColumn("_k", F.lit(0))), "_k", "left").drop("_k")
+            F.broadcast(one_row(side, "plane without a group").withColumn("_k", F.lit(0))), "_k", "left").drop("_k")
     near = in_plane(Plane(*(F.col("_" + c) for c in PLANE)), xyz(), threshold)
     return joined.withColumn(out, F.coalesce(near, F.lit(False))).drop(*("_" + c for c in PLANE))
 

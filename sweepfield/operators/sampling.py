@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.geometry import Vec, XYZ, xyz
 from ..functions.hashed import gaussian, shuffle_key, uniform, uniform_between
 from ..functions.rigid import axis_angle
-from .scans import numbered, top_k
+from .scans import greedy_chain, numbered, prefix_scan, running, top_k
+from .temporal import asof_bracket
 
 
 def time_order(frames: DataFrame, by: list[str], t: str) -> DataFrame:
@@ -82,32 +83,25 @@ def top_activations(rows: DataFrame, feature: str, label: str, value: str, k: in
     return top_k(flat, [feature], [F.desc(value), item], k)
 
 
-def pack_batches(items: DataFrame, shard: list[str], order: str, size: str, limit: float,
-                 shard_rows: int = 1024) -> DataFrame:
-    """Batch numbers for items taken in order; a batch closes when its total exceeds ``limit``.
+def pack_batches(items: DataFrame, shard: list[str], order: str, size: str, limit: float, chunk: float | None = None) -> DataFrame:
+    """Batch numbers from 0 for items taken in order; a batch closes when its total exceeds ``limit``.
 
-    The item that overflows stays in its batch. Batches restart every
-    ``shard_rows`` items, as they do for every loader worker, so the fold works
-    on short arrays of one number per item.
+    The item that overflows stays in its batch. Sizes must not be negative or
+    null. A batch that starts at an item ends at the first item whose running
+    sum exceeds the sum before the start by more than ``limit``, which an as-of
+    lookup on the running sum finds for all items at once; the starts are then
+    the chain of jumps from the first item. ``chunk`` is the stretch of the
+    running sum that one task looks up.
     """
-    ranked = numbered(items, shard, [order], F.floor(F.col(order) / 65536).cast("long"))
-    ranked = ranked.withColumn("_s", F.floor((F.col("rn") - 1) / shard_rows).cast("long"))
-    keys = [*shard, "_s"]
-    arrays = ranked.groupBy(*keys).agg(F.sort_array(F.collect_list(
-        F.struct(F.col("rn").alias("rn"), F.col(size).cast("double").alias("size")))).alias("_a"))
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("batch"),
-                     F.array().cast("array<struct<rn:bigint,batch:int>>").alias("out"))
-
-    def step(acc, item):
-        over = acc["sum"] > limit
-        batch = F.when(over, acc["batch"] + 1).otherwise(acc["batch"])
-        total = F.when(over, item["size"]).otherwise(acc["sum"] + item["size"])
-        return F.struct(total.alias("sum"), batch.alias("batch"),
-                        F.concat(acc["out"], F.array(F.struct(item["rn"].alias("rn"), batch.alias("batch")))).alias("out"))
-
-    folded = arrays.select(*keys, F.explode(F.aggregate("_a", start, step, lambda a: a["out"])).alias("_o"))
-    marks = folded.select(*keys, F.col("_o")["rn"].alias("rn"), F.col("_o")["batch"].alias("batch"))
-    return ranked.join(marks, [*keys, "rn"]).withColumnRenamed("_s", "shard_no").drop("rn")
+    block = F.floor(F.col(order) / 65536).cast("long")
+    summed = prefix_scan(items, shard, [order], block, {"_rn": running("sum", F.lit(1).cast("long")), "_run": running("sum", F.col(size).cast("double"))})
+    probe = summed.select(*shard, "_rn", (F.col("_run") - F.col(size).cast("double") + F.lit(float(limit))).alias("_probe"))
+    found = asof_bracket(probe, summed.select(*shard, F.col("_run").alias("_sum"), F.col("_rn").alias("_end")), shard, "_probe", "_sum", ["_end"],
+                         chunk or 1024.0 * max(float(limit), 1.0), how="any")
+    starts = greedy_chain(found.select(*shard, F.col("_rn").alias("pos"), (F.col("_end1") + 1).alias("nxt")), shard)
+    marked = summed.join(starts.select(*shard, F.col("pos").alias("_rn"), F.lit(1).cast("long").alias("_first")), [*shard, "_rn"], "left")
+    return (prefix_scan(marked, shard, [order], block, {"_batch": running("sum", "_first")})
+            .select(*items.columns, (F.col("_batch") - 1).alias("batch")))
 
 
 # --- augmentation ------------------------------------------------------------

@@ -132,12 +132,17 @@ def normal_histogram(points: DataFrame, by: list[str] = (), size: float = 0.05)
     return counted.join(smooth, [*by, *axes])
 
 
+def _with_limit(hist: DataFrame, limit: DataFrame, by: list[str]) -> DataFrame:
+    """The limit beside every bin; without groups it is one row, which is broadcast."""
+    return hist.join(limit, by) if by else hist.withColumn("_k", F.lit(0)).join(F.broadcast(limit.withColumn("_k", F.lit(0))), "_k").drop("_k")
+
+
 def dominant_normal_weights(points: DataFrame, by: list[str], size: float = 0.05,
                             share: float = 0.8) -> DataFrame:
     """Weight 1 for points in bins whose smoothed count exceeds the percentile over bins, else 0."""
     hist = normal_histogram(points, by, size)
     limit = hist.groupBy(*by).agg(F.percentile("smooth", share).alias("_limit"))
-    marked = (hist.join(limit, by)
+    marked = (_with_limit(hist, limit, by)
               .select(*by, "bx", "by", "bz", (F.col("smooth") > F.col("_limit")).cast("double").alias("weight")))
     keyed = points.withColumns({"b" + a: cell("n" + a, size) for a in XYZ})
     return keyed.join(marked, [*by, "bx", "by", "bz"]).drop("bx", "by", "bz")
@@ -147,7 +152,7 @@ def normals_orientation(points: DataFrame, by: list[str], size: float = 0.05, sh
     """Principal axes of the dominant normal bins (uncentred second moments of bin centres)."""
     hist = normal_histogram(points, by, size)
     limit = hist.groupBy(*by).agg(F.percentile("smooth", share).alias("_limit"))
-    top = hist.join(limit, by).where(F.col("smooth") > F.col("_limit"))
+    top = _with_limit(hist, limit, by).where(F.col("smooth") > F.col("_limit"))
     centre = Vec(*((F.col("b" + a) + 0.5) * size for a in XYZ))
     m = top.groupBy(*by).agg(*moment_sums(centre))
     raw = [F.col(k) / F.col("n") for k in ("sxx", "sxy", "sxz", "syy", "syz", "szz")]

@@ -49,15 +49,18 @@ def pick_by_priority(poses: DataFrame, kinds: list[str], by: list[str], kind: st
 
 
 def asof_bracket(left: DataFrame, right: DataFrame, by: list[str], left_t: str, right_t: str,
-                 values: list[str], chunk: float = CHUNK, how: str = "both") -> DataFrame:
+                 values: list[str], chunk: float = CHUNK, how: str = "both", tie: list[str] = ()) -> DataFrame:
     """For every left row the right rows just before (at or before) and just after it.
 
     Adds ``t0``/``t1`` and every value column with suffix 0/1. ``how="both"``
-    keeps rows that have the two neighbours, ``"any"`` keeps all.
+    keeps rows that have the two neighbours, ``"any"`` keeps all. Of right rows
+    with the same time the one with the lowest ``tie`` columns stands for all,
+    then the one with the lowest values, so the order of rows does not show.
     """
-    row = F.struct(F.col(right_t).alias("t"), *(F.col(v) for v in values))
-    marks = right.select(*by, F.col(right_t).cast("double").alias("_t"), F.lit(0).alias("_kind"),
-                         row.alias("_right"))
+    lowest = F.struct(*(F.col(c).alias(f"_tie{i}") for i, c in enumerate(tie)), F.col(right_t).alias("t"), *(F.col(v) for v in values))
+    once = right.groupBy(*by, F.col(right_t).cast("double").alias("_t")).agg(F.min(lowest).alias("_low"))
+    row = F.struct(*(F.col("_low")[c].alias(c) for c in ("t", *values)))
+    marks = once.select(*by, "_t", F.lit(0).alias("_kind"), row.alias("_right"))
     wanted = left.select(*by, F.col(left_t).cast("double").alias("_t"), F.lit(1).alias("_kind"),
                          F.struct(*left.columns).alias("_left"))
     both = marks.unionByName(wanted, allowMissingColumns=True)
@@ -172,26 +175,27 @@ def merge_last_frames(points: DataFrame, by: list[str], t: str, n: int, chunk: f
 
 def drop_near_duplicates(frames: DataFrame, by: list[str], t: str, gap: float = 0.01,
                          chunk: float = CHUNK) -> DataFrame:
-    """Skip every time closer than ``gap`` to the last one kept.
+    """Skip every time closer than ``gap`` to the last one kept; a time exactly ``gap`` after it is kept.
 
-    A time at least ``gap`` after its predecessor is kept in any case, so only runs of
+    Times are compared as whole microseconds, so the result does not depend on
+    the epoch. A time at least ``gap`` after its predecessor is kept in any case, so only runs of
     close times depend on what was kept before; those are solved as jump chains.
     """
-    times = frames.select(*by, F.col(t).cast("double").alias("pos")).distinct()
+    apart, chunk = round(gap * 1_000_000), chunk * 1_000_000
+    times = frames.select(*by, time_key(t).alias("pos")).distinct()
     marked = prefix_scan(times, by, ["pos"], _bucket("pos", chunk), {"_prev": previous("pos")})
-    fresh = F.col("_prev").isNull() | (F.col("pos") - F.col("_prev") >= gap)
+    fresh = F.col("_prev").isNull() | (F.col("pos") - F.col("_prev") >= apart)
     runs = prefix_scan(marked.withColumn("_head", F.when(fresh, F.col("pos"))), by, ["pos"],
                        _bucket("pos", chunk), {"_run": running("last", "_head")})
-    probe = runs.select(*by, "_run", "pos", (F.col("pos") + gap).alias("_probe"))
-    # "at or after the probe": look just below it.
-    before = probe.withColumn("_probe", F.col("_probe") - F.lit(1e-9))
-    nxt = asof_bracket(before, runs.select(*by, F.col("pos").alias("_t"), "_run"), by, "_probe", "_t",
+    # "At or after the gap" is "after the microsecond before it".
+    probe = runs.select(*by, "_run", "pos", (F.col("pos") + (apart - 1)).alias("_probe"))
+    nxt = asof_bracket(probe, runs.select(*by, F.col("pos").alias("_t"), "_run"), by, "_probe", "_t",
                        ["_run"], chunk, how="any")
     links = nxt.select(*by, "_run", "pos", F.when(F.col("_run1") == F.col("_run"), F.col("t1")).alias("nxt"))
     kept = greedy_chain(links, [*by, "_run"]).drop("_run")
     return frames.join(kept.withColumnRenamed("pos", "_kept"),
                        [*(frames[k].eqNullSafe(kept[k]) for k in by)]
-                       + [frames[t].cast("double") == F.col("_kept")], "left_semi")
+                       + [time_key(frames[t]) == F.col("_kept")], "left_semi")
 
 
 def pose_steps(poses: DataFrame, by: list[str], t: str, chunk: float = CHUNK) -> DataFrame:

@@ -16,7 +16,7 @@ from ..operators.shape import frame_normals
 from ..operators.temporal import (drop_near_duplicates, frames_near_place, interpolated_poses,
                                   nearest_time_join, pose_steps)
 from ..operators.voxels import sphere_barycentre
-from ..runtime import checkpointed
+from ..runtime import checkpointed, one_row
 
 FRAME = ["session", "frame_ts"]
 
@@ -45,7 +45,7 @@ def composed_poses(poses: DataFrame, sensor: DataFrame | None) -> DataFrame:
     """Body poses times one sensor offset (a single row of matrix columns)."""
     if sensor is None:
         return poses
-    one = sensor.limit(1).select(F.lit(0).alias("_k"), *(F.col(n).alias("s_" + n) for n in MATRIX))
+    one = one_row(sensor, "sensor offset").select(F.lit(0).alias("_k"), *(F.col(n).alias("s_" + n) for n in MATRIX))
     joined = poses.withColumn("_k", F.lit(0)).join(F.broadcast(one), "_k").drop("_k")
     whole = Rigid.named("s_").then(Rigid.named())
     return joined.withColumns(whole.columns()).drop(*("s_" + n for n in MATRIX))

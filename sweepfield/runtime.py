@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -30,14 +32,29 @@ def checkpointed(df: DataFrame) -> DataFrame:
     The folder is the one the cluster names in ``spark.checkpoint.dir``; only a
     session without one (a test) gets a temporary folder of its own.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="sweepfield-ckpt-"))
+        sc.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; without one, a temporary folder, which only a local master may use."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="sweepfield-")
+
+
+def one_row(df: DataFrame, what: str) -> DataFrame:
+    """``df``, which must have at most one row; a second one fails the query."""
+    packed = df.agg(F.count(F.lit(1)).alias("_n"), F.any_value(F.struct(*df.columns)).alias("_row")).where("_n > 0")
+    checked = F.when(F.col("_n") > 1, F.raise_error(F.lit(f"more than one {what}"))).otherwise(F.col("_row"))
+    return packed.select(checked.alias("_row")).select("_row.*")
+
+
 def small_enough(df: DataFrame, max_rows: int) -> bool:
     """True when ``df`` is proven to have at most ``max_rows`` rows.
 

@@ -36,6 +36,7 @@ PLY_ORDERS = {"ascii": "", "binary_little_endian": "<", "binary_big_endian": ">"
 WRITE_TYPES = {"tinyint": "char", "smallint": "short", "int": "int", "bigint": "double",
                "float": "float", "double": "double"}
 BATCH = 1 << 16
+HEADER_BYTES = 1 << 16
 SESSION_PATTERN = r"(\d{4}-\d{2}-\d{2}-\d{2}-\d{2}-\d{2})"
 STAMP_PATTERN = r"([0-9]+(?:\.[0-9]+)?)[^/]*\.ply$"
 
@@ -46,6 +47,7 @@ class Element:
     count: int
     fields: list[tuple[str, str]]
     is_list: bool
+    length: str = "uchar"
 
 
 def parse_header(raw: bytes) -> tuple[str, list[Element], int]:
@@ -66,7 +68,7 @@ def parse_header(raw: bytes) -> tuple[str, list[Element], int]:
         elif words[0] == "element":
             elements.append(Element(words[1], int(words[2]), [], False))
         elif words[0] == "property" and words[1] == "list":
-            elements[-1].is_list = True
+            elements[-1].is_list, elements[-1].length = True, words[2]
             elements[-1].fields.append((words[4], words[3]))
         elif words[0] == "property":
             elements[-1].fields.append((words[2], words[1]))
@@ -76,11 +78,18 @@ def parse_header(raw: bytes) -> tuple[str, list[Element], int]:
 def _layout(element: Element, order: str) -> np.dtype:
     mark = order or "<"
     if element.is_list:
+        if len(element.fields) > 1 or PLY_TYPES[element.length][0] != "u1":
+            raise ValueError("a list must be the only property and have a one-byte length")
         code = PLY_TYPES[element.fields[0][1]][0]
         return np.dtype([("k", "u1"), ("v1", mark + code), ("v2", mark + code), ("v3", mark + code)])
     return np.dtype([(n, mark + PLY_TYPES[t][0]) for n, t in element.fields])
 
 
+def _only_triangles(element: Element, rows: np.ndarray) -> None:
+    if element.is_list and (rows["k"] != 3).any():
+        raise ValueError("only triangles can be read")
+
+
 def decode(raw: bytes, element: str = "vertex") -> Iterator[np.ndarray]:
     """Structured arrays of one element, a batch of rows at a time."""
     order, elements, at = parse_header(raw)
@@ -93,8 +102,10 @@ def decode(raw: bytes, element: str = "vertex") -> Iterator[np.ndarray]:
             layout = _layout(e, order)
             if e.name == element:
                 for i in range(0, e.count, BATCH):
-                    rows = lines[at + i: at + min(i + BATCH, e.count)]
-                    yield np.array([tuple(r.split()) for r in rows], dtype=layout)
+                    rows = [tuple(r.split()) for r in lines[at + i: at + min(i + BATCH, e.count)]]
+                    if e.is_list and any(len(r) != 4 for r in rows):
+                        raise ValueError("only triangles can be read")
+                    yield np.array(rows, dtype=layout)
             at += e.count
         return
     for e in elements:
@@ -102,7 +113,9 @@ def decode(raw: bytes, element: str = "vertex") -> Iterator[np.ndarray]:
         if e.name == element:
             for i in range(0, e.count, BATCH):
                 n = min(BATCH, e.count - i)
-                yield np.frombuffer(raw, layout, n, at + i * layout.itemsize)
+                part = np.frombuffer(raw, layout, n, at + i * layout.itemsize)
+                _only_triangles(e, part)
+                yield part
             return
         at += e.count * layout.itemsize
 
@@ -162,6 +175,28 @@ def decode_files(files: DataFrame, schema: str, element: str = "vertex") -> Data
     return keyed.mapInArrow(rows, out)
 
 
+def merged_schema(files: DataFrame, element: str = "vertex") -> str | None:
+    """Columns of an element over the headers of all files, as DDL; None without files.
+
+    Only the distinct headers' columns, in the order of first sight by name of the
+    file, come to the driver.
+    """
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [header_schema(raw, element) for raw in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=["path", "ddl"])
+
+    kinds = (files.select("path", F.substring("content", 1, HEADER_BYTES).alias("head")).mapInArrow(heads, "path string, ddl string")
+             .groupBy("ddl").agg(F.min("path").alias("path")).orderBy("path").collect())
+    columns: dict[str, str] = {}
+    for row in kinds:
+        for field in T.StructType.fromDDL(row["ddl"]):
+            kind = field.dataType.simpleString()
+            if columns.setdefault(field.name, kind) != kind:
+                raise ValueError(f"column {field.name} is {columns[field.name]} in some files, {kind} in {row['path']}")
+    return ", ".join(f"`{n}` {k}" for n, k in columns.items()) or None
+
+
 def list_files(spark: SparkSession, path: str, glob: str = "*.ply") -> DataFrame:
     return (spark.read.format("binaryFile").option("pathGlobFilter", glob)
             .option("recursiveFileLookup", "true").load(path))
@@ -171,17 +206,19 @@ def read_ply(spark: SparkSession, path: str, schema: str | None = None, element:
              sessions: Column | None = None, glob: str = "*.ply") -> DataFrame:
     """All PLY files below ``path`` as one table.
 
-    Without a schema the header of one file gives the columns. ``sessions`` is a
+    Without a schema the headers of all files are read first, by Spark; the
+    columns are those of any file, and files that give one column different
+    types are refused. Longer headers than ``HEADER_BYTES`` need a schema.
+    ``sessions`` is a
     filter on the column ``session``, applied to paths before files are read.
     """
     files = list_files(spark, path, glob)
-    if schema is None:
-        first = files.select("content").limit(1).collect()
-        if not first:
-            raise FileNotFoundError(path)
-        schema = header_schema(bytes(first[0][0]), element)
     if sessions is not None:
         files = files.withColumn("session", path_session()).where(sessions).drop("session")
+    if schema is None:
+        schema = merged_schema(files, element)
+        if schema is None:
+            raise FileNotFoundError(path)
     return decode_files(files, schema, element)
 
 

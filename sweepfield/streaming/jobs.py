@@ -45,6 +45,11 @@ class VersionedTable:
     def write(self, df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(self._folder(batch))
 
+    def every(self) -> DataFrame | None:
+        """All versions below one another: what a query in update mode has said so far."""
+        have = self._versions()
+        return self.spark.read.parquet(*(self._folder(v) for v in have)) if have else None
+
     def latest(self) -> DataFrame | None:
         have = self._versions()
         return self.spark.read.parquet(self._folder(have[-1])) if have else None
