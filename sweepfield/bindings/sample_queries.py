@@ -1,5 +1,6 @@
 """Ordering, sampling, packing, augmentation and meshes."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import mesh
@@ -61,9 +62,16 @@ def sample_repeat(spark, sf):
     return sa.repeat_rows(items(spark, sf), 3).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("sample_shuffle", "SELECT count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS total FROM orders")
+def _places(ordered, by):
+    """The place of each row among its key's rows in the order in which ``ordered`` holds them."""
+    numbered = ordered.withColumn("_at", F.monotonically_increasing_id())
+    return numbered.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy("_at")).cast("long"))
+
+
+@query("sample_shuffle", "SELECT o_orderpriority AS label, o_orderkey AS id, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5('3-' || o_orderkey), o_orderkey) AS place FROM orders")
 def sample_shuffle(spark, sf):
-    return sa.shuffled(items(spark, sf), 3).agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("total"))
+    drawn = sa.shuffled(items(spark, sf), 3, key=F.md5(F.concat(F.lit("3-"), F.col("id").cast("string")).cast("binary")))
+    return _places(drawn, "label").select("label", "id", "place")
 
 
 @query("sample_best_worst", """WITH r AS (SELECT o_orderpriority AS label, o_orderkey AS id, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS b,
@@ -80,10 +88,9 @@ def sample_top_activations(spark, sf):
     return longs(sa.top_activations(o, "feature", "label", "value", 5), "rank").select("feature", "label", "id", "value", "rank")
 
 
-@query("sample_time_order", "SELECT user_id, count(*) AS n, CAST(epoch_us(min(ts)) AS BIGINT) AS first_us FROM events GROUP BY user_id")
+@query("sample_time_order", "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM events")
 def sample_time_order(spark, sf):
-    e = sa.time_order(table(spark, sf, "events"), ["user_id"], "ts")
-    return e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.unix_micros(F.min("ts").cast("timestamp")).alias("first_us"))
+    return _places(sa.time_order(table(spark, sf, "events"), ["user_id"], "ts", ["event_id"]), "user_id").select("user_id", "event_id", "place")
 
 
 @query("sample_batches", """WITH RECURSIVE o AS (SELECT o_orderpriority AS shard, o_orderkey AS k, floor(o_totalprice/1000) AS size, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS rn FROM orders),

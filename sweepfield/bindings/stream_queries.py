@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import shared_root
 from ..streaming import jobs
+from .ray_queries import EVIDENCE, PH, TH, setup
 from .registry import TIMELINE, query, rounded, table
 
 
@@ -69,22 +70,16 @@ def stream_votes(spark, sf):
     return rounded(out.groupBy("pid").agg(F.max_by("p", "votes").alias("p"), F.max("votes").alias("votes")), "p")
 
 
-@query("stream_ray_evidence", """SELECT CAST(count(*) > 0 AS BOOLEAN) AS judged FROM lineitem""")
+@query("stream_ray_evidence", EVIDENCE + " SELECT map_id, count, prob FROM evd")
 def stream_ray_evidence(spark, sf):
-    """The streamed counters equal the batch counters for every map point."""
-    from ..operators.evidence import ray_evidence
-    from .ray_queries import PH, TH, setup
-
+    """The counters of several micro-batches; a file holds whole frames."""
     fp, po, m = setup(spark, sf)
     root = _folder(spark)
-    fp.repartition(4).write.parquet(root + "/frames")
-    stream = spark.readStream.schema(fp.schema).parquet(root + "/frames")
+    fp.repartition(4, "frame").write.parquet(root + "/frames")
+    stream = spark.readStream.schema(fp.schema).option("maxFilesPerTrigger", 1).parquet(root + "/frames")
     target = jobs.VersionedTable(spark, root + "/evidence")
     _finish(jobs.stream_ray_evidence(stream, po, m, ["frame"], TH, PH, 0.5, target, root + "/ckpt"))
-    batch = ray_evidence(fp, po, m, ["frame"], TH, PH, 0.5).select("map_id", F.col("count").alias("c"), F.col("prob").alias("p"))
-    both = target.latest().join(batch, "map_id", "full")
-    same = F.col("count").eqNullSafe(F.col("c")) & F.col("prob").eqNullSafe(F.col("p"))
-    return both.agg(F.coalesce(F.bool_and(same), F.lit(False)).alias("judged"))
+    return target.latest().select("map_id", "count", "prob")
 
 
 @query("stream_window_stats", """SELECT CAST(epoch(time_bucket(INTERVAL '1 day', ts)) AS BIGINT) AS window_start, event_type, count(*) AS n, round(sum(value),4) AS total, round(count(*)/86400.0::DOUBLE,9) AS rate FROM events GROUP BY ALL""")

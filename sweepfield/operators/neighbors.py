@@ -147,7 +147,9 @@ def nearest_join(queries: DataFrame, supports: DataFrame, by: list[str] = (), q_
     # Queries at one position share the answer. Grouping by position also spreads the
     # queries of a crowded cell over all tasks.
     qk = [*by, *("_q" + a for a in axes)]
-    asked = queries.select(*by, q_id, *(F.col(a).cast("double").alias("_q" + a) for a in axes))
+    # Answers are joined back by position, so positions must not be computed twice: another order of
+    # additions could change their last bits.
+    asked = checkpointed(queries.select(*by, q_id, *(F.col(a).cast("double").alias("_q" + a) for a in axes)))
     q = asked.select(*qk).distinct().withColumns({n: cell("_q" + a, size) for n, a in zip(names, axes)})
 
     if max_distance is not None:
@@ -161,9 +163,7 @@ def nearest_join(queries: DataFrame, supports: DataFrame, by: list[str] = (), q_
         # Every level reads the supports again; cut what produced them.
         s = checkpointed(s)
 
-    fullest = s.groupBy(*by, *names).count().agg(F.max("count")).first()[0] or 0
-    near = _near_packed if fullest <= PACK_LIMIT else _near_paired
-    seen = near(q, s, by, qk, names, axes, cell_size, s_id)
+    seen = _near(q, s, by, qk, names, axes, cell_size, s_id)
     if levels:
         missing = seen.where("_b IS NULL").drop("_b")
         rest = missing.join(_descend(missing, s, by, qk, names, axes, levels, _best(s_id)), qk, "left")
@@ -176,39 +176,17 @@ def nearest_join(queries: DataFrame, supports: DataFrame, by: list[str] = (), q_
         *by, q_id, F.col("_hit")[s_id].alias(s_id), *(F.col("_hit")[c].alias(c) for c in carry), "d2")
 
 
-PACK_LIMIT = 256
-
-
 def _best(s_id: str) -> Column:
     return F.min_by(F.struct("d2", "_hit"), F.struct(F.col("d2"), F.col("_hit")[s_id])).alias("_b")
 
 
-def _near_packed(q, s, by, qk, names, axes, cell_size, s_id) -> DataFrame:
-    """Queries with the best hit of their cell block, from one packed row per cell.
+def _near(q, s, by, qk, names, axes, cell_size, s_id) -> DataFrame:
+    """Queries with the best hit of their cell's block, if it is no farther than one cell.
 
-    The supports around each cell are put into one array (at most 27 *
-    PACK_LIMIT of them), so a query meets exactly one row and nothing has to be
-    grouped by query afterwards.
+    Supports are copied to the cells around them, so every query meets all its
+    candidates in its own cell and its minimum is formed before the shuffle.
     """
-    block = spread(s, names).groupBy(*by, *names).agg(
-        F.collect_list(F.struct(*("_s" + a for a in axes), "_hit")).alias("_block"))
-
-    def distance(p):
-        total = None
-        for a in axes:
-            d = F.col("_q" + a) - p["_s" + a]
-            total = d * d if total is None else total + d * d
-        return F.struct(total.alias("d2"), p["_hit"].alias("_hit"))
-
-    best = F.array_min(F.transform("_block", distance))
-    joined = q.join(block, [*by, *names], "left").withColumn("_n", best).drop("_block")
-    final = F.col("_n")["d2"] <= cell_size * cell_size
-    return joined.withColumn("_b", F.when(final, F.col("_n"))).drop("_n")
-
-
-def _near_paired(q, s, by, qk, names, axes, cell_size, s_id) -> DataFrame:
-    """The same for cells too full to pack: pairs, then the best of each query."""
-    found = (spread(q, names).join(s, [*by, *names]).withColumn("d2", _d2(axes))
+    found = (q.join(spread(s, names), [*by, *names]).withColumn("d2", _d2(axes))
              .where(F.col("d2") <= cell_size * cell_size).groupBy(*qk).agg(_best(s_id)))
     return q.join(found, qk, "left")
 

@@ -14,8 +14,8 @@ from .scans import greedy_chain, numbered, prefix_scan, running, top_k
 from .temporal import asof_bracket
 
 
-def time_order(frames: DataFrame, by: list[str], t: str) -> DataFrame:
-    return frames.orderBy(*by, t)
+def time_order(frames: DataFrame, by: list[str], t: str, tie: list[str] = ()) -> DataFrame:
+    return frames.orderBy(*by, t, *tie)
 
 
 def lowest_potential(items: DataFrame, k: int, potential: str = "potential", item: str = "id") -> DataFrame:
@@ -37,8 +37,9 @@ def balanced_lowest(items: DataFrame, n: int, classes: int, label: str = "label"
     return top_k(items, [label], [potential, item], n // classes + 1)
 
 
-def shuffled(items: DataFrame, seed: int, item: str = "id") -> DataFrame:
-    return items.orderBy(shuffle_key(seed, item), item)
+def shuffled(items: DataFrame, seed: int, item: str = "id", key: Column | None = None) -> DataFrame:
+    """Items in an order drawn by hash, or in that of a ``key`` of the caller's."""
+    return items.orderBy(shuffle_key(seed, item) if key is None else key, item)
 
 
 def balanced_epoch(items: DataFrame, n: int, classes: int, seed: int, label: str = "label",
