@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import per_text
+from .common import per_text, small
 
 CHUNK = 32_768
 OVERLAP = 1_024
@@ -112,7 +112,7 @@ def long_pieces(docs: DataFrame, path: str, pattern: str, key: str, text: str, c
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = regex.compile(pattern)
-        for b in batches:
+        for b in small(batches):
             q = [stitch(compiled, w, chunk, overlap, last) for w, last in zip(b.column(3).to_pylist(), b.column(4).to_pylist())]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(q, pa.int64())], names=schema.names)
 
@@ -190,7 +190,7 @@ def digest(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
         def done() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([k, pa.array([n], pa.int64()), pa.array([ids.hexdigest()]), pa.array([plain.hexdigest()])], names=out.names)
 
-        for b in batches:
+        for b in small(batches):
             for i, (r, count, said, raw) in enumerate(zip(*(b.column(c).to_pylist() for c in ("row", "n", "said", "plain")))):
                 if r != row:
                     if row is not None:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from .common import in_blocks, stored
+from .common import in_blocks, small, stored
 
 RATE = 2_000
 FRAME = 256
@@ -113,7 +113,7 @@ def fingerprints(media: DataFrame, key: str, audio: str) -> DataFrame:
     schema = StructType([media.schema[key], StructField("prints", ArrayType(IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             prints = [packed(chroma(*samples_of(f))).view(np.int32) for f in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints, pa.list_(pa.int32()))], names=schema.names)
 
@@ -204,7 +204,7 @@ def melodies(vectors: DataFrame, key: str, vector: str, note_samples: int = 256)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = np.arange(note_samples) / RATE
         notes = np.stack([8000 * np.sin(2 * np.pi * 2 * LOWEST * 2 ** (c / CLASSES) * t) for c in range(CLASSES)] + [np.zeros(note_samples)])
-        for b in batches:
+        for b in small(batches):
             files = []
             for v in b.column(1).to_pylist():
                 x = np.array([np.nan if c is None else c for c in v or []], float)

@@ -22,6 +22,13 @@ def free_name(taken: list[str]) -> str:
     return name
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches``, few at a time, so that what is made of them in Python stays small beside Spark's own batches."""
+    for b in batches:
+        for a in range(0, b.num_rows, rows):
+            yield b.slice(a, rows)
+
+
 def per_text(df: DataFrame, keep: list[str], text: str, make: Callable[[], Callable[[str], tuple]], fields: list[StructField]) -> DataFrame:
     """``keep`` columns and what ``make()`` computes from each whole text (null: empty).
 
@@ -35,7 +42,7 @@ def per_text(df: DataFrame, keep: list[str], text: str, make: Callable[[], Calla
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
-        for b in batches:
+        for b in small(batches):
             made = [each(t) for t in b.column(len(keep)).to_pylist()]
             cols = zip(*made) if made else [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(keep))] + [pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
@@ -49,7 +56,7 @@ def with_text(df: DataFrame, text: str, make: Callable[[], Callable[[str], str]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
-        for b in batches:
+        for b in small(batches):
             done = pa.array([None if t is None else each(t) for t in b.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([done if i == at else b.column(i) for i in range(b.num_columns)], names=b.schema.names)
 

@@ -20,12 +20,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import free_name, hash_share, held_out
+from .common import free_name, hash_share, held_out, small
 
 SEGMENT = 64
 HIDDEN = 4
 LANES = 4096
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 19
 UND = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -231,7 +231,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str], text: str = "
         return said, scores
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches, 1024):
             said, scores = labelled(b.column(n).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(n)] + [pa.array(said, to_arrow_type(StringType())), pa.array(scores, pa.float64())], names=schema.names)
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from .common import components, stored
+from .common import components, small, stored
 
 HASHES = 128
 TREES = 24
@@ -31,7 +31,7 @@ WINDOW = 48
 SKETCH_BITS = 4
 # Sketch agreement of a pair at similarity s is s + (1 - s) / 16 on average; five standard deviations below at 0.85.
 LEAST_AGREE = 0.70
-BLOCK_BYTES = 1 << 22
+BLOCK_BYTES = 1 << 19
 MOST_BITS = 1 << 24
 
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -120,7 +120,7 @@ def _profiles(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
     schema = StructType([StructField("id", LongType()), StructField("n_shingles", LongType()), StructField("set_key", BinaryType()), StructField("sig", BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             sets = shingle_sets(b.column(1).to_pylist(), size)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.binary()),
                                               pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary())], names=schema.names)
@@ -217,7 +217,7 @@ def _where_marked(docs: DataFrame, key: str, bits: np.ndarray, width: int, marke
     own = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches, 1024):
             at = b.column(len(own)).to_numpy()
             hit = ((bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
             yield pa.RecordBatch.from_arrays(b.columns[:-1], names=own).filter(pa.array(hit == marked))
@@ -233,7 +233,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str,
     schema = StructType([StructField("at", LongType()), StructField("set_key", BinaryType()), StructField("hashes", BinaryType())])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             made = shingle_sets(b.column(1).to_pylist(), size)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_key(s) for s in made], pa.binary()), pa.array([s.tobytes() for s in made], pa.binary())], names=schema.names)
 
@@ -245,7 +245,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str,
     out = StructType([StructField("u", LongType()), StructField("v", LongType())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             keep = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
                 p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -314,7 +314,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     schema = StructType([*docs.schema.fields, StructField("__set_key", BinaryType())])
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             sets = shingle_sets([t or "" for t in b.column(at).to_pylist()], size)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([set_key(s) for s in sets], pa.binary())], names=schema.names)
 
