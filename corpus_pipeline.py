@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sweepfield.llm import bpe, language, mixing, near, pii
-from sweepfield.llm.common import shared_folder
+from sweepfield.llm.common import few_rows_a_batch, shared_folder
 
 # A document goes if it has no letter or if no language holds this share of it.
 LEAST_LANGUAGE = 0.4
@@ -16,23 +16,27 @@ MOST_REPEATS = 1.25
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents whose language the network recognises."""
+    few_rows_a_batch(spark)
     said = language.predict(docs, language.train(docs), docs.columns, names=("__lang", "__score"))
     return said.where((F.col("__lang") != language.UND) & (F.col("__score") >= LEAST_LANGUAGE)).select(*docs.columns)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near duplicates."""
+    few_rows_a_batch(spark)
     return near.keep_one(docs)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data by its kind."""
+    few_rows_a_batch(spark)
     done = pii.redact(docs, pii.train(docs))
     return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat documents of the smaller sources, none more than ``MOST_REPEATS`` times as often as any other; none is dropped."""
+    few_rows_a_batch(spark)
     safe = {c: f"__{c}" for c in docs.columns if c.startswith("mix_")}
     mixed = mixing.mix(docs.withColumnsRenamed(safe), repeats=MOST_REPEATS)
     return mixed.select(*[F.col(safe.get(c, c)).alias(c) for c in docs.columns])
@@ -40,6 +44,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every reading."""
+    few_rows_a_batch(spark)
     keep = [c for c in ("doc_id", "lang", "source") if c in docs.columns]
     return bpe.digest(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=keep)
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -27,7 +28,7 @@ from .common import per_text, small
 
 CHUNK = 32_768
 OVERLAP = 1_024
-CACHED = 200_000
+CACHED = 50_000
 # Characters after a boundary that a pattern may look at, as the longest contraction does.
 AHEAD = 8
 
@@ -56,7 +57,7 @@ class Codec:
             ids = known.get(p)
             if ids is None:
                 ids = self._merge(p.encode("utf-8", "replace"))
-                if len(p) <= 64:
+                if len(p) <= 32:
                     if len(known) >= CACHED:
                         known.clear()
                     known[p] = ids
@@ -67,6 +68,12 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+@lru_cache(maxsize=1)
+def codec_of(path: str, pattern: str) -> Codec:
+    """One codec in each worker, whatever the number of its tasks."""
+    return Codec(path, pattern)
+
+
 def boundaries(pattern: regex.Pattern, text: str, start: int, upto: int) -> list[int]:
     """Pre-token boundaries of ``text`` from ``start``, itself one, that lie before ``upto``.
 
@@ -136,7 +143,7 @@ def long_pieces(docs: DataFrame, path: str, pattern: str, key: str, text: str, c
 def encode_ids(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """``key``, ``part`` and ``ids``: the ids of every text, stretch by stretch; join them in order of ``part``."""
     def make():
-        codec = Codec(path, pattern)
+        codec = codec_of(path, pattern)
         return lambda t: (codec.encode(codec.pieces(t)),)
 
     ids = [StructField("ids", ArrayType(IntegerType()))]
@@ -159,7 +166,7 @@ def digest(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     fields = [StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())]
 
     def one():
-        codec = Codec(path, pattern)
+        codec = codec_of(path, pattern)
 
         def row(t: str) -> tuple:
             ids = codec.encode(codec.pieces(t))
@@ -173,7 +180,7 @@ def digest(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     made = [StructField("n", LongType()), StructField("said", StringType()), StructField("plain", StringType())]
 
     def part():
-        codec = Codec(path, pattern)
+        codec = codec_of(path, pattern)
 
         def row(t: str) -> tuple:
             ids = codec.encode(codec.pieces(t))

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructField, StructType
@@ -22,6 +22,11 @@ def free_name(taken: list[str]) -> str:
     return name
 
 
+def few_rows_a_batch(spark: SparkSession) -> None:
+    """Whole documents are large rows: Spark hands Python 1,024 of them at a time instead of 10,000."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+
+
 def small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches``, few at a time, so that what is made of them in Python stays small beside Spark's own batches."""
     for b in batches:

@@ -211,6 +211,10 @@ def _bitmap(need: DataFrame) -> tuple[np.ndarray, int]:
     return out, width
 
 
+def _marked(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return ((bits[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+
+
 def _where_marked(docs: DataFrame, key: str, bits: np.ndarray, width: int, marked: bool) -> DataFrame:
     """The rows of ``docs`` whose key's bit is set, or those whose bit is not; no shuffle."""
     place = F.pmod(F.xxhash64(_at(key)), F.lit(width)).alias("__place")
@@ -218,8 +222,7 @@ def _where_marked(docs: DataFrame, key: str, bits: np.ndarray, width: int, marke
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches, 1024):
-            at = b.column(len(own)).to_numpy()
-            hit = ((bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+            hit = _marked(bits, b.column(len(own)).to_numpy())
             yield pa.RecordBatch.from_arrays(b.columns[:-1], names=own).filter(pa.array(hit == marked))
 
     return docs.select(*own, place).mapInArrow(run, docs.schema)
@@ -230,15 +233,17 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str,
     need = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct().join(classes.select("node", "id", "set_key"), "node")
     need = stored(need.withColumn("at", _at("id")))
     bits, width = _bitmap(need)
+    bits, width = _bitmap(need)
     schema = StructType([StructField("at", LongType()), StructField("set_key", BinaryType()), StructField("hashes", BinaryType())])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
+            b = b.filter(pa.array(_marked(bits, b.column(2).to_numpy())))
             made = shingle_sets(b.column(1).to_pylist(), size)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_key(s) for s in made], pa.binary()), pa.array([s.tobytes() for s in made], pa.binary())], names=schema.names)
 
-    texts = docs.select(_at(key).alias("at"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    made = _where_marked(texts, "at", *_bitmap(need), True).mapInArrow(sets, schema)
+    texts = docs.select(_at(key).alias("at"), F.coalesce(F.col(text), F.lit("")).alias("t"), F.pmod(F.xxhash64(_at(key)), F.lit(width)).alias("place"))
+    made = texts.mapInArrow(sets, schema)
     once = made.groupBy("at", "set_key").agg(F.any_value("hashes").alias("hashes"))
     full = stored(once.join(need, ["at", "set_key"]).select("node", "hashes"))
     both = pairs.join(full.select(F.col("node").alias("u"), F.col("hashes").alias("a")), "u").join(full.select(F.col("node").alias("v"), F.col("hashes").alias("b")), "v").select("u", "v", "a", "b")

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chroma, forest, language, licenses, mixing, near, pii, quality, secrets
-from .common import held_out, stored
+from .common import few_rows_a_batch, held_out, stored
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    few_rows_a_batch(spark)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
