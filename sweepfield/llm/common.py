@@ -89,6 +89,12 @@ def shared_folder(df: DataFrame) -> str:
     return f"{df.sparkSession.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
 
 
+def both_ways(rows: DataFrame, first: tuple[str, str], second: tuple[str, str], names: tuple[str, str]) -> DataFrame:
+    """Two rows for each one, the columns of ``first`` and those of ``second``, in the partitions of ``rows``."""
+    pair = [F.struct(*(F.col(c).alias(n) for c, n in zip(cols, names))) for cols in (first, second)]
+    return rows.select(F.explode(F.array(*pair)).alias("_r")).select("_r.*")
+
+
 def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     """``(node, root)`` for every node of ``links(u, v)``: the smallest node reachable.
 
@@ -97,26 +103,23 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     very many links is combined map-side and its join side is split by AQE.
     """
     e = stored(links.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).where("a <> b").distinct())
-    nodes = e.select(F.col("a").alias("node")).union(e.select(F.col("b").alias("node"))).distinct()
 
-    def print_of(t):
-        return t.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).first()
+    def settled(t: DataFrame) -> bool:
+        """No node has two parents, and none is parent and child."""
+        ends = both_ways(t.withColumns({"c": F.lit(1), "p": F.lit(0)}), ("a", "c"), ("b", "p"), ("node", "child"))
+        return ends.groupBy("node").agg(F.sum("child").alias("n"), F.min("child").alias("least")).where("n > 1 or (n = 1 and least = 0)").isEmpty()
 
-    last = print_of(e)
     for _ in range(rounds):
-        both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        if settled(e):
+            break
+        both = both_ways(e, ("a", "b"), ("b", "a"), ("a", "b"))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("x"), "m").where("x <> m").union(least.select("a", "m"))
-        e = stored(small.select(F.col("x").alias("a"), F.col("m").alias("b")).distinct())
-        now = print_of(e)
-        if now == last:
-            break
-        last = now
+        e = stored(both_ways(large.join(least, "a"), ("b", "m"), ("a", "m"), ("a", "b")).where("a <> b").distinct())
     else:
         raise RuntimeError("components did not settle")
-    return nodes.join(e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    return both_ways(e, ("a", "b"), ("b", "b"), ("node", "root")).distinct()
 
 
 def in_blocks(rows: DataFrame, queries: DataFrame, key: list[str], n_rows: int, n_queries: int, shard_rows: int, block_rows: int, search, schema: StructType) -> DataFrame:

@@ -230,10 +230,9 @@ def _where_marked(docs: DataFrame, key: str, bits: np.ndarray, width: int, marke
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
     """The pairs whose full sets have ``100 * intersection >= percent * union``; sets are made again from the texts."""
-    need = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct().join(classes.select("node", "id", "set_key"), "node")
+    need = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(classes.select("node", "id", "set_key"), "node")
     need = stored(need.withColumn("at", _at("id")))
     bits, width = _bitmap(need)
-    bits, width = _bitmap(need)
     schema = StructType([StructField("at", LongType()), StructField("set_key", BinaryType()), StructField("hashes", BinaryType())])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,9 +271,10 @@ def groups(docs: DataFrame, key: str, text: str, size: int, percent: int) -> Dat
                      .withColumn("node", F.monotonically_increasing_id()))
     alone = classes.withColumn("root", F.col("node"))
     links = stored(_confirmed(stored(_neighbours(_entries(alone, range(FIRST_TREES)), 1)), classes, docs, key, text, size, percent))
-    grouped = classes.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    stars = stored(components(links))
+    grouped = classes.join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
     more = stored(_confirmed(stored(_neighbours(_entries(grouped, range(TREES)), 3)), classes, docs, key, text, size, percent))
-    member = classes.join(components(links.union(more)), "node", "left").select("set_key", "id", F.coalesce("root", "node").alias("root"))
+    member = classes.join(components(stars.toDF("u", "v").union(more)), "node", "left").select("set_key", "id", F.coalesce("root", "node").alias("root"))
     least = member.groupBy("root").agg(F.min("id").alias("component_id"))
     named = member.join(least, "root").select("set_key", "root", "component_id")
     linked = profiles.where("n_shingles > 0").join(named, "set_key").select("id", "n_shingles", "set_key", "root", "component_id")
