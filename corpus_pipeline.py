@@ -12,6 +12,8 @@ from sweepfield.llm.common import few_rows_a_batch, shared_folder
 # A document goes if it has no letter or if no language holds this share of it.
 LEAST_LANGUAGE = 0.4
 MOST_REPEATS = 1.25
+# Documents are near duplicates from this similarity of their five-word shingles on.
+NEAR_PERCENT = 80
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +26,7 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near duplicates."""
     few_rows_a_batch(spark)
-    return near.keep_one(docs)
+    return near.keep_one(docs, percent=NEAR_PERCENT)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

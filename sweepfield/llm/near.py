@@ -29,8 +29,6 @@ FIRST_TREES = 4
 KEY_VALUES = 8
 WINDOW = 48
 SKETCH_BITS = 4
-# Sketch agreement of a pair at similarity s is s + (1 - s) / 16 on average; five standard deviations below at 0.85.
-LEAST_AGREE = 0.70
 BLOCK_BYTES = 1 << 19
 MOST_BITS = 1 << 24
 
@@ -134,6 +132,12 @@ def sketch(sig: np.ndarray) -> np.ndarray:
     return nibble[:, 0::2] | (nibble[:, 1::2] << 4)
 
 
+def least_agree(percent: int) -> float:
+    """Sketch agreement of a pair at similarity s is s + (1 - s) / 16 on average; five standard deviations below at ``percent``."""
+    mean = percent / 100 + (1 - percent / 100) / (1 << SKETCH_BITS)
+    return mean - 5 * (mean * (1 - mean) / HASHES) ** 0.5
+
+
 def _entries(classes: DataFrame, trees: range) -> DataFrame:
     """A row for each class and tree: the tree, its key (the values in the tree's order), the class, its group and sketch."""
     schema = StructType([StructField("tree", IntegerType()), StructField("place", BinaryType()), StructField("node", LongType()), StructField("root", LongType()), StructField("bits", BinaryType())])
@@ -151,10 +155,11 @@ def _entries(classes: DataFrame, trees: range) -> DataFrame:
     return classes.select("node", "root", "sig").mapInArrow(run, schema)
 
 
-def _neighbours(entries: DataFrame, best: int) -> DataFrame:
+def _neighbours(entries: DataFrame, best: int, percent: int) -> DataFrame:
     """Candidate pairs ``u < v`` from the sorted orders: of the ``WINDOW`` entries before each one that share at
     least four values, the ``best`` of other groups by sketch, where the sketch allows the similarity asked for."""
     schema = StructType([StructField("u", LongType()), StructField("v", LongType())])
+    least = least_agree(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail: tuple[np.ndarray, ...] | None = None
@@ -176,7 +181,7 @@ def _neighbours(entries: DataFrame, best: int) -> DataFrame:
                     continue
                 x = bits[rows] ^ bits[rows - back]
                 agree = (((x & 15) == 0).sum(axis=1) + ((x >> 4) == 0).sum(axis=1)) / HASHES
-                agree = np.where(agree >= LEAST_AGREE, agree, 0).astype(np.float32)
+                agree = np.where(agree >= least, agree, 0).astype(np.float32)
                 other = rows - back
                 for k in range(best):
                     better = agree > score[k, rows]
@@ -270,10 +275,10 @@ def groups(docs: DataFrame, key: str, text: str, size: int, percent: int) -> Dat
     classes = stored(profiles.where("n_shingles > 0").groupBy("set_key").agg(F.min("id").alias("id"), F.any_value("sig").alias("sig"))
                      .withColumn("node", F.monotonically_increasing_id()))
     alone = classes.withColumn("root", F.col("node"))
-    links = stored(_confirmed(stored(_neighbours(_entries(alone, range(FIRST_TREES)), 1)), classes, docs, key, text, size, percent))
+    links = stored(_confirmed(stored(_neighbours(_entries(alone, range(FIRST_TREES)), 1, percent)), classes, docs, key, text, size, percent))
     stars = stored(components(links))
     grouped = classes.join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    more = stored(_confirmed(stored(_neighbours(_entries(grouped, range(TREES)), 3)), classes, docs, key, text, size, percent))
+    more = stored(_confirmed(stored(_neighbours(_entries(grouped, range(TREES)), 3, percent)), classes, docs, key, text, size, percent))
     member = classes.join(components(stars.toDF("u", "v").union(more)), "node", "left").select("set_key", "id", F.coalesce("root", "node").alias("root"))
     least = member.groupBy("root").agg(F.min("id").alias("component_id"))
     named = member.join(least, "root").select("set_key", "root", "component_id")
