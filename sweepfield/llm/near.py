@@ -3,10 +3,11 @@
 A document is the set of its shingles. Equal sets are merged to classes first.
 Each tree sorts the classes by a different sequence of their MinHash values;
 neighbours with a long common prefix are candidates. A class looks at a window
-of neighbours in the order, so where many classes share a prefix the window
-reaches only those that share a longer one. Candidates that a short sketch rules
-out are left; the others are confirmed on the full sets. A second round looks
-again, only between classes that the first left apart.
+of neighbours in the order. Candidates that a short sketch rules out are left;
+the others are confirmed on the full sets. The first round takes the best of a
+window; the second looks again between classes that the first left apart, at
+every pair of a region, the classes that share the first values of a tree. Regions
+wider than the window are left to an exact join on the full sets' rarest shingles.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from .common import components, small, stored
@@ -197,6 +199,90 @@ def _neighbours(entries: DataFrame, best: int, percent: int) -> DataFrame:
     return spread.mapInArrow(run, schema).distinct()
 
 
+def _regions(entries: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Every candidate pair ``u < v`` of the narrow regions, and the ``node, root`` of the others.
+
+    A region is the classes that share a tree's first four values. In one of at most ``WINDOW`` + 1 entries each
+    pair of different groups that the sketch allows is a candidate. Of wider regions, and of those that the
+    border of a partition may cut, the members are given instead, if they are of more than one group.
+    """
+    schema = StructType([StructField("u", LongType()), StructField("v", LongType()), StructField("tree", IntegerType()), StructField("place", LongType()), StructField("root", LongType())])
+    least, widest = least_agree(percent), WINDOW + 1
+
+    def members(tree: np.ndarray, key: np.ndarray, node: np.ndarray, root: np.ndarray, *_: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.nulls(len(node), pa.int64()), pa.array(tree), pa.array(key.view(np.int64)), pa.array(root)], names=schema.names)
+
+    def pairs(key: np.ndarray, node: np.ndarray, root: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
+        u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for back in range(1, min(widest, len(key))):
+            rows = np.arange(back, len(key))
+            rows = rows[key[rows] == key[rows - back]]
+            if not len(rows):
+                break
+            rows = rows[root[rows] != root[rows - back]]
+            x = bits[rows] ^ bits[rows - back]
+            rows = rows[(((x & 15) == 0).sum(axis=1) + ((x >> 4) == 0).sum(axis=1)) / HASHES >= least]
+            u.append(np.minimum(node[rows], node[rows - back]))
+            v.append(np.maximum(node[rows], node[rows - back]))
+        n = sum(map(len, u))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[np.ndarray, ...] | None = None  # the last region, which may go on
+        given = True  # its members are given, as the first one of a partition or a wide one
+        for b in batches:
+            own = np.frombuffer(b"".join(p[:8] for p in b.column("place").to_pylist()), ">u8").astype(np.uint64)
+            now = (b.column("tree").to_numpy(), own, b.column("node").to_numpy(), b.column("root").to_numpy(), np.frombuffer(b"".join(b.column("bits").to_pylist()), np.uint8).reshape(-1, HASHES * SKETCH_BITS // 8))
+            now = now if held is None else tuple(np.concatenate([x, y]) for x, y in zip(held, now))
+            starts = np.concatenate([[0], np.flatnonzero((now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1])) + 1, [len(now[0])]])
+            size = np.diff(starts)
+            size[0] = widest + 1 if given else size[0]
+            wide, over = np.repeat(size > widest, np.diff(starts)), np.arange(len(now[0])) < starts[-2]
+            yield members(*(x[wide & over] for x in now))
+            region = np.repeat(np.arange(len(size)), np.diff(starts))[~wide & over]
+            yield pairs(region, *(x[~wide & over] for x in now[2:]))
+            held, given = tuple(x[~over] for x in now), bool(size[-1] > widest)
+            if given:  # all but one entry, which tells the region
+                yield members(*(x[:-1] for x in held))
+                held = tuple(x[-1:] for x in held)
+        if held is not None:
+            yield members(*held)
+
+    spread = entries.repartitionByRange("tree", "place", "node").sortWithinPartitions("tree", "place", "node")
+    found = stored(spread.mapInArrow(run, schema))
+    wide = found.where("v is null")
+    mixed = wide.groupBy("tree", "place").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("tree", "place")
+    return found.where("v is not null").select("u", "v").distinct(), wide.join(mixed, ["tree", "place"]).select(F.col("u").alias("node"), "root").distinct()
+
+
+def _shared(members: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
+    """The pairs ``u < v`` of different groups among ``members`` that can be as alike as ``percent``, by their rarest shingles.
+
+    No such pair is missed: in any one order of all shingles, two sets that share the least they must have one in
+    common before the longer one's last ``percent`` and the shorter one's last ``2 percent / (100 + percent)``,
+    and the first such one leaves enough of both after it. The rarest come first, so few sets meet at one.
+    """
+    full = _full(members.select("node"), classes, docs, key, text, size)
+    schema = StructType([StructField("node", LongType()), StructField("n", LongType()), StructField("h", LongType())])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches, 64):
+            sets = [np.frombuffer(x, np.int64) for x in b.column(1).to_pylist()]
+            n = np.array([len(x) for x in sets], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), n)), pa.array(np.repeat(n, n)), pa.array(np.concatenate(sets))], names=schema.names)
+
+    grams = stored(full.mapInArrow(each, schema))
+    common = grams.groupBy("h").agg(F.count("*").alias("many")).where("many > 1")
+    own = W.partitionBy("node")
+    # Shingles that no other set has come first and join with none; the others' places are counted from the end.
+    placed = grams.join(common, "h").withColumn("at", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("many", "h")) - 1)
+    kept = stored(placed.where(F.expr(f"at <= n - ({percent} * n + 99) div 100")).join(members, "node").select("node", "root", "n", "h", "at"))
+    short = kept.where(F.expr(f"at <= n - ({2 * percent} * n + {99 + percent}) div {100 + percent}"))
+    x, y = (d.select("h", *(F.col(c).alias(c + e) for c in ("node", "root", "n", "at"))) for d, e in ((kept, "1"), (short, "2")))
+    met = x.join(y, "h").where(f"root1 <> root2 and (n2 < n1 or n2 = n1 and node2 < node1) and 100 * n2 >= {percent} * n1 and {100 + percent} * least(n1 - at1, n2 - at2) >= {percent} * (n1 + n2)")
+    return met.select(F.least("node1", "node2").alias("u"), F.greatest("node1", "node2").alias("v")).distinct()
+
+
 def _at(key: str) -> Column:
     """The key as a number, null as the smallest one."""
     return F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
@@ -233,9 +319,9 @@ def _where_marked(docs: DataFrame, key: str, bits: np.ndarray, width: int, marke
     return docs.select(*own, place).mapInArrow(run, docs.schema)
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
-    """The pairs whose full sets have ``100 * intersection >= percent * union``; sets are made again from the texts."""
-    need = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(classes.select("node", "id", "set_key"), "node")
+def _full(nodes: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """``node, hashes``: the full sets of the classes ``nodes``, made again from the texts."""
+    need = nodes.distinct().join(classes.select("node", "id", "set_key"), "node")
     need = stored(need.withColumn("at", _at("id")))
     bits, width = _bitmap(need)
     schema = StructType([StructField("at", LongType()), StructField("set_key", BinaryType()), StructField("hashes", BinaryType())])
@@ -249,7 +335,12 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str,
     texts = docs.select(_at(key).alias("at"), F.coalesce(F.col(text), F.lit("")).alias("t"), F.pmod(F.xxhash64(_at(key)), F.lit(width)).alias("place"))
     made = texts.mapInArrow(sets, schema)
     once = made.groupBy("at", "set_key").agg(F.any_value("hashes").alias("hashes"))
-    full = stored(once.join(need, ["at", "set_key"]).select("node", "hashes"))
+    return stored(once.join(need, ["at", "set_key"]).select("node", "hashes"))
+
+
+def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
+    """The pairs whose full sets have ``100 * intersection >= percent * union``."""
+    full = _full(pairs.select(F.explode(F.array("u", "v")).alias("node")), classes, docs, key, text, size)
     both = pairs.join(full.select(F.col("node").alias("u"), F.col("hashes").alias("a")), "u").join(full.select(F.col("node").alias("v"), F.col("hashes").alias("b")), "v").select("u", "v", "a", "b")
     out = StructType([StructField("u", LongType()), StructField("v", LongType())])
 
@@ -278,7 +369,11 @@ def groups(docs: DataFrame, key: str, text: str, size: int, percent: int) -> Dat
     links = stored(_confirmed(stored(_neighbours(_entries(alone, range(FIRST_TREES)), 1, percent)), classes, docs, key, text, size, percent))
     stars = stored(components(links))
     grouped = classes.join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    more = stored(_confirmed(stored(_neighbours(_entries(grouped, range(TREES)), 3, percent)), classes, docs, key, text, size, percent))
+    near, members = _regions(_entries(grouped, range(TREES)), percent)
+    members = stored(members)
+    if not members.isEmpty():
+        near = near.union(_shared(members, classes, docs, key, text, size, percent)).distinct()
+    more = stored(_confirmed(stored(near), classes, docs, key, text, size, percent))
     member = classes.join(components(stars.toDF("u", "v").union(more)), "node", "left").select("set_key", "id", F.coalesce("root", "node").alias("root"))
     least = member.groupBy("root").agg(F.min("id").alias("component_id"))
     named = member.join(least, "root").select("set_key", "root", "component_id")

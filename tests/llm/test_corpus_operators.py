@@ -56,6 +56,30 @@ def test_near_duplicates_equal_brute_force(spark):
         assert (r.n_shingles, r.component_id) == want[r.doc_id] and r.kept == (r.doc_id == r.component_id)
 
 
+def template_texts(planted=30):
+    """Different texts from one template, all just below 0.85 of each other, and ``planted`` near copies just above it."""
+    rng = random.Random(11)
+    base, docs = [f"t{j}" for j in range(430)], []
+    for i in range(19 * 19):  # four words replaced, of which two texts share one place at most
+        words = list(base)
+        for k in range(4):
+            words[5 * (19 * k + (i // 19 + i * k) % 19) + 5] = f"d{i}x{k}"
+        docs.append(words)
+    for i in range(planted):
+        words = list(docs[i])
+        for k, j in enumerate(rng.sample([j for j in range(5, 425, 5) if words[j][0] == "t"], 6)):
+            words[j] = f"e{i}x{k}"
+        docs.append(words)
+    return [(i, " ".join(words)) for i, words in enumerate(docs)]
+
+
+def test_near_duplicates_in_a_region_wider_than_the_window(spark):
+    docs = template_texts()
+    want = brute_components(docs)
+    got = near.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(7)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want and sum(i != least for i, (_, least) in want.items()) == 30
+
+
 def test_shingle_sets_have_the_right_sizes():
     texts = [t or "" for t in TEXTS] + ["a b c d e a b c d e a b c d e", "A b\x0bC\x0cd e", "x\x1cy z"]
     for t, s in zip(texts, near.shingle_sets(texts)):
