@@ -1,9 +1,11 @@
 """Personal data: wide candidate generators, boosted trees over format and context, calibrated thresholds.
 
 The base kinds are exact rules and always stay. Generators propose many more,
-overlapping spans. Boosted trees, trained on a bounded sample of the corpus with
-the base rules as teacher, score each span by its form and surroundings; a
-threshold calibrated on part of the sample selects what is added.
+overlapping spans. Boosted trees score those that overlap no base span by their
+form and surroundings. They are trained on a bounded sample of the corpus: its
+base spans rewritten into forms that the base rules miss, each in its own
+context, against the sample's own candidates outside base spans. A threshold
+calibrated on other documents of the sample selects what is added.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ _NOT_DIGIT = re.compile(r"[^0-9]")
 # High recall: anything that looks a little like one of the kinds.
 _WIDE = (
     ("email", re.compile(r"[A-Za-z0-9._%+-]{1,64}(?:@|\x20?[(\[]\x20?(?:at|AT)\x20?[)\]]\x20?|\x20at\x20)[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?[(\[]\x20?(?:dot|DOT)\x20?[)\]]\x20?|\x20dot\x20)[A-Za-z0-9-]{1,63}){1,5}")),
-    ("ip", re.compile(r"[0-9]{1,4}(?:\.[0-9]{1,4}){2,5}")),
+    ("ip", re.compile(r"[0-9]{1,4}(?:(?:\.|\x20?[(\[]\x20?(?:\.|dot|DOT)\x20?[)\]]\x20?)[0-9]{1,4}){2,5}")),
     ("card", re.compile(r"[0-9](?:[\x20._/-]{0,2}[0-9]){9,24}")),
     ("phone", re.compile(r"(?:\+|\(|00)?[0-9](?:[\x20().0-9/-]{5,24})[0-9]")),
 )
@@ -81,7 +83,8 @@ def base_spans(text: str) -> list[Span]:
 def candidates(text: str) -> list[Span]:
     """Wide spans of every kind; they may overlap."""
     digits = b"x" in text.encode("latin-1", "replace").translate(_DIGITS)
-    mail = "@" in text or " dot " in text or "(dot)" in text or "[dot]" in text or "(at)" in text or "[at]" in text
+    low = text.lower()
+    mail = any(cue in low for cue in ("@", " dot ", "at)", "at]", "at )", "at ]", "dot)", "dot]", "dot )", "dot ]"))
     return sorted({(kind, m.start(), m.end()) for kind, pattern in _WIDE if (mail if kind == "email" else digits) for m in pattern.finditer(text)}, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
@@ -128,11 +131,16 @@ class Scorer:
 NOTHING = Scorer([], 0.0, 1.0, 0.0, (2.0,) * len(KINDS))
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = 30, depth: int = 3, precision: float = 0.99) -> Scorer:
-    """Trees on three of four rows; scale and thresholds on the fourth."""
+def fit(x: np.ndarray, y: np.ndarray, trees: int = 30, depth: int = 3, precision: float = 0.99, hold: np.ndarray | None = None) -> Scorer:
+    """Trees on the rows that are not held out; scale and thresholds on the others, by default every fourth.
+
+    For the precision, a kind's positives weigh at most as much as its negatives together.
+    """
     if len(y) < 40 or y.min() == y.max():
         return NOTHING
-    hold = np.arange(len(y)) % 4 == 3
+    hold = np.arange(len(y)) % 4 == 3 if hold is None else hold
+    if hold.all() or not hold.any() or y[~hold].min() == y[~hold].max():
+        return NOTHING
     tx, ty, hx, hy = x[~hold], y[~hold], x[hold], y[hold]
     rate = min(max(ty.mean(), 1e-3), 1 - 1e-3)
     bias = float(np.log(rate / (1 - rate)))
@@ -159,9 +167,13 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 30, depth: int = 3, precision
         own = hx[:, 0] == k
         q, t = p[own], hy[own]
         order = np.argsort(-q, kind="stable")
-        right = np.cumsum(t[order]) / np.arange(1, len(order) + 1)
-        ok = np.flatnonzero(right >= precision)
-        least.append(max(0.5, float(q[order][ok[-1]])) if len(ok) and t.sum() >= 5 else 2.0)
+        weight = min(1.0, max((t == 0).sum(), 1) / max(t.sum(), 1))
+        true, false = np.cumsum(weight * t[order]), np.cumsum(1 - t[order])
+        right = true / np.maximum(true + false, 1e-9)
+        below = np.append(q[order][1:], 0.0)
+        ok = np.flatnonzero((right >= precision) & (below < q[order]))
+        # Halfway to the next score below, so that the least of the held-out positives is not the bound itself.
+        least.append(max(0.5, float(q[order][ok[-1]] + below[ok[-1]]) / 2) if len(ok) and t.sum() >= 5 else 2.0)
     return Scorer(grown, bias, slope, offset, tuple(least))
 
 
@@ -175,14 +187,53 @@ def _taught(text: str) -> tuple[list[list[float]]]:
     return (rows,)
 
 
+def rewritten(kind: str, span: str) -> list[str]:
+    """Forms of a base span that the base rules miss: obfuscated, local, with other separators."""
+    if kind == "email":
+        local, _, domain = span.partition("@")
+        return [local + at + domain.replace(".", dot) for at, dot in ((" (at) ", " (dot) "), (" [at] ", "."), ("(at)", "."), (" at ", " dot "), ("[AT]", "[DOT]"))]
+    if kind == "ip":
+        return [span.replace(".", dot) for dot in ("[.]", " (dot) ", "[dot]", "(.)")]
+    digits = _NOT_DIGIT.sub("", span)
+    if kind == "card":
+        fours = [digits[i:i + 4] for i in range(0, len(digits), 4)]
+        return [c.join(fours) for c in (".", "/", "_", " - ")]
+    first, *rest = [g for g in _NOT_DIGIT.split(span) if g]
+    if len(rest) < 2:  # no country prefix set apart: the last ten digits, as groups
+        rest = [digits[-10:-7], digits[-7:-4], digits[-4:]]
+        first = digits[:-10] or "1"
+    return [f"({rest[0]}) " + "-".join(rest[1:]), "-".join(rest), ".".join(rest), " ".join(rest), f"00{first} " + " ".join(rest), "/".join([rest[0], "".join(rest[1:])])]
+
+
+def _outside(text: str) -> tuple[list[list[float]]]:
+    """Features and labels of candidates that overlap no base span: 1 for those that cover a rewritten base span of
+    their kind, 0 for others at a rewritten one and for the text's own."""
+    base, rows = base_spans(text), []
+    for s in candidates(text):
+        if not any(a < s[2] and s[1] < b for _, a, b in base):
+            rows.append([*features(text, s), 0.0])
+    for kind, a, b in base:
+        for form in rewritten(kind, text[a:b]):
+            new, end = text[:a] + form + text[b:], a + len(form)
+            low, high = max(0, a - 400), min(len(new), end + 400)  # candidates are shorter than that
+            near, taken = new[low:high], base_spans(new[low:high])
+            for s in candidates(near):
+                p, q = s[1] + low, s[2] + low
+                if p < end and a < q and not any(x < s[2] and s[1] < y for _, x, y in taken):
+                    hit = s[0] == kind and min(q, end) - max(p, a) >= 0.8 * max(q - p, end - a)
+                    rows.append([*features(new, (s[0], p, q)), float(hit)])
+    return (rows,)
+
+
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", rows: int = 20_000, documents: int = 8_000) -> Scorer:
-    """A scorer from candidates of about ``documents`` documents (by a hash of the key), at most ``rows`` candidates."""
+    """A scorer from candidates of about ``documents`` documents (by a hash of the key), at most ``rows`` candidates; a quarter of the documents is held out."""
     n = docs.count()
     drawn = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(hash_share("k", seed=31) < float(documents) / max(n, 1))
-    made = per_text(drawn, ["k"], "t", lambda: _taught, [StructField("rows", ArrayType(ArrayType(DoubleType())))])
-    got = made.select("k", F.posexplode("rows").alias("i", "row")).orderBy(F.xxhash64("k", "i"), "row").limit(rows).collect()
+    made = per_text(drawn, ["k"], "t", lambda: _outside, [StructField("rows", ArrayType(ArrayType(DoubleType())))])
+    held = (hash_share("k", seed=37) < 0.25).alias("held")
+    got = made.select("k", held, F.posexplode("rows").alias("i", "row")).orderBy(F.xxhash64("k", "i"), "row").limit(rows).collect()
     table = np.array([r.row for r in got], float).reshape(len(got), len(FEATURES) + 1)
-    return fit(table[:, :-1], table[:, -1])
+    return fit(table[:, :-1], table[:, -1], hold=np.array([r.held for r in got], bool))
 
 
 def _joined(spans: list[Span]) -> str:

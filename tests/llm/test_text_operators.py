@@ -191,6 +191,30 @@ def test_pii_trees_add_what_looks_alike_and_keep_the_rest():
     assert pii.fit(np.zeros((0, len(pii.FEATURES))), np.zeros(0)) is pii.NOTHING
 
 
+def test_pii_trees_add_forms_that_the_base_rules_miss(spark):
+    rng = random.Random(8)
+
+    def digits(n):
+        return "".join(str(rng.randint(0, 9)) for _ in range(n))
+
+    def card():
+        while True:
+            if pii.luhn(d := digits(16)):
+                return d
+
+    docs = []
+    for i in range(900):
+        docs.append((i, f"some words {digits(rng.randint(6, 18))} then +1 ({rng.randint(200, 999)}) 555-{digits(4)} or a{i}@b{i}.example.com, paid {card()} from 10.{i % 256}.3.{rng.randint(0, 255)} in {rng.randint(1900, 2030)} ok"))
+    scorer = pii.train(spark.createDataFrame(docs, "doc_id long, text string"))
+    finds = {"email": "jo.hill (at) example (dot) com", "phone": "(555) 123-4567", "card": ".".join([(c := card())[:4], c[4:8], c[8:12], c[12:]]), "ip": "10[.]77[.]3[.]12"}
+    for kind, s in finds.items():
+        text = f"some words then {s} or more words ok"
+        base, spans, _ = pii.all_spans(text, scorer)
+        assert base == [] and (kind, 16, 16 + len(s)) in spans, kind
+        assert s not in pii.redacted(text, scorer)
+    assert pii.all_spans("some words in 1999 and 12345678 or 2024 ok", scorer)[1] == []
+
+
 def test_quality_rules(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
