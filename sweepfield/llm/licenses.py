@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import sys
+from functools import cache
 
 import ahocorasick
 from pyspark.sql import DataFrame
@@ -22,6 +24,8 @@ FAMILIES = (("agpl", "agpl"), ("lgpl", "lgpl"), ("gpl", "gpl"), ("apache", "apac
             ("bsd", "bsd"), ("mpl", "mpl"), ("epl", "epl"), ("isc", "isc"), ("unlicense", "unlicense"))
 TAG = "spdx-license-identifier:"
 EXCEPTION = "exception"
+# ``n_ways`` is a 64-bit number: more ways than that are given as the largest one.
+MOST_WAYS = (1 << 63) - 1
 
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -89,18 +93,82 @@ def choices(expression: list[str]) -> list[frozenset[str]] | None:
     return sorted(stack[0], key=sorted)
 
 
+def labels_and_ways(expression: list[str]) -> tuple[set[str], int]:
+    """The labels of a well-formed expression, and how many ``choices`` it has, without listing them.
+
+    The ways are held as a zero-suppressed decision diagram, so ``(a or b) and (c or d) and ...`` takes
+    space in proportion to its length though its ways double with each pair.
+    """
+    order = postfix(expression)
+    names = [family(t) for t in order if t not in _RANK]
+    rank = {name: -i for i, name in enumerate(dict.fromkeys(names))}  # later labels on top: chains are extended in one step
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 1000 + 10 * len(rank)))
+    table: dict[tuple[int, int, int], int] = {}
+    nodes: list[tuple[int, int, int]] = [(1, 0, 0), (1, 0, 0)]  # no way at all, and the one of no labels
+
+    def node(var: int, low: int, high: int) -> int:
+        if not high:
+            return low
+        if (var, low, high) not in table:
+            table[var, low, high] = len(nodes)
+            nodes.append((var, low, high))
+        return table[var, low, high]
+
+    def split(a: int, var: int) -> tuple[int, int]:
+        return nodes[a][1:] if a > 1 and nodes[a][0] == var else (a, 0)
+
+    def top(a: int, b: int) -> int:
+        return min(nodes[x][0] for x in (a, b) if x > 1)
+
+    @cache
+    def union(a: int, b: int) -> int:
+        if a == b or not b:
+            return a
+        if not a:
+            return b
+        var = top(a, b)
+        (a0, a1), (b0, b1) = split(a, var), split(b, var)
+        return node(var, union(a0, b0), union(a1, b1))
+
+    @cache
+    def join(a: int, b: int) -> int:
+        if not a or not b:
+            return 0
+        if a == 1 or b == 1:
+            return max(a, b)
+        var = top(a, b)
+        (a0, a1), (b0, b1) = split(a, var), split(b, var)
+        return node(var, join(a0, b0), union(join(a1, union(b0, b1)), join(a0, b1)))
+
+    stack: list[tuple[int, set[str]]] = []
+    for t in order:
+        if t not in _RANK:
+            stack.append((node(rank[family(t)], 0, 1), {family(t)}))
+            continue
+        (b, more), (a, labels) = stack.pop(), stack.pop()
+        if t != "with":
+            a = union(a, b) if t == "or" else join(a, b)
+            labels |= more
+        stack.append((a, labels))
+    count = [0, 1]
+    for _, low, high in nodes[2:]:  # a node comes after those below it
+        count.append(count[low] + count[high])
+    return stack[0][1], count[stack[0][0]]
+
+
 def tagged(line: bytes) -> list[str]:
     """The longest well-formed expression at the start of what follows a tag."""
-    tokens, last = [], []
+    tokens, last, depth, want = [], 0, 0, True
     for m in _TOKEN.finditer(line):
-        if len(tokens) >= 64:
-            break
-        tokens.append(m.group().decode())
-    for n in range(len(tokens), 0, -1):
-        if postfix(tokens[:n]) is not None:
-            last = tokens[:n]
+        t = m.group().decode()
+        if t == ")" and (want or not depth) or t in _RANK and want or t != ")" and t not in _RANK and not want:
             break
-    return last
+        tokens.append(t)
+        depth += (t == "(") - (t == ")")
+        want = t == "(" or t in _RANK
+        if not want and not depth:
+            last = len(tokens)
+    return tokens[:last]
 
 
 def _automata():
@@ -136,10 +204,10 @@ def _scanner():
         if TAG.encode() in low:
             for end, _ in tags.iter(low.decode("latin-1")):
                 stop = low.find(b"\n", end)
-                found = choices(tagged(low[end + 1:stop if stop >= 0 else len(low)]))
-                if found:
-                    ways += len(found)
-                    more.update(x for way in found for x in way)
+                if found := tagged(low[end + 1:stop if stop >= 0 else len(low)]):
+                    names, n = labels_and_ways(found)
+                    ways = min(ways + n, MOST_WAYS)
+                    more |= names
         labels = sorted(base | more)
         score = 1.0 if ways else 0.9 if base else 0.6 if more else 0.0
         return len(tokens), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(labels), score, ways

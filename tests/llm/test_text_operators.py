@@ -148,6 +148,33 @@ def test_license_tags(spark):
     assert got[1] == ("apache,bsd,mit", 1.0) and got[2] == ("", 0.0) and got[3] == ("mit", 1.0)
 
 
+def test_license_tags_of_any_length():
+    scan = licenses._scanner()
+    names = [f"l{i}" for i in range(300)]
+    for line in (" and ".join(names), "(" + " and ".join(names) + ")", "(" * 80 + "mit" + ")" * 80 + " and l7"):
+        *_, labels, score, ways = scan(f"# SPDX-License-Identifier: {line} */ more")
+        assert score == 1.0 and ways == 1 and labels.split(",") == (sorted(names) if "l299" in line else ["l7", "mit"])
+
+
+def test_license_ways_are_counted_and_not_listed():
+    pairs = " and ".join(f"(l{2 * i} or l{2 * i + 1})" for i in range(40))
+    *_, labels, score, ways = licenses._scanner()(f"SPDX-License-Identifier: {pairs}")
+    assert score == 1.0 and ways == 2 ** 40 and len(labels.split(",")) == 80
+    assert licenses._scanner()("SPDX-License-Identifier: " + pairs.replace("l", "a") + " and " + pairs.replace("l", "b"))[-1] == licenses.MOST_WAYS
+    assert licenses._scanner()("SPDX-License-Identifier: " + " and ".join(f"l{i}" for i in range(4000)))[-1] == 1
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["(", ")", "and", "or", "with", "mit", "isc"]), max_size=12))
+def test_license_tags_are_the_longest_wellformed_start(tokens):
+    found = licenses.tagged(" ".join(tokens).encode())
+    if found:
+        ways = licenses.choices(found)
+        assert licenses.labels_and_ways(found) == ({x for way in ways for x in way}, len(ways))
+    want = next((tokens[:n] for n in range(len(tokens), 0, -1) if licenses.postfix(tokens[:n]) is not None), [])
+    assert licenses.tagged(" ".join(tokens).encode()) == want
+
+
 def brute_pii(text):
     found = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     found += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m.group().split("."))]
