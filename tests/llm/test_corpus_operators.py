@@ -194,6 +194,25 @@ def test_chroma_aligns_shifted_and_noisy_recordings(spark):
     assert [(r.rec_id, r.bit_error) for r in quiet] == [(7, 0.0)]
 
 
+@pytest.mark.parametrize("error", [0.0, 0.1, 0.2, 0.25])
+def test_chroma_finds_noisy_bits_and_every_class(spark, error):
+    rng = np.random.default_rng(17)
+    whole = chroma.packed(chroma.chroma(tones(21, 120), chroma.RATE))
+    rows = [(0, whole), (500, whole)] + [(i, chroma.packed(chroma.chroma(tones(100 + i, 90), chroma.RATE))) for i in range(1, 40)]
+    for i in range(40, 70):  # thirty noisy cuts, each at its own offset
+        cut = whole[i:i + 150].copy()
+        flips = (rng.random((len(cut), 32)) < error) @ (1 << np.arange(32, dtype=np.uint64))
+        rows.append((i, cut ^ flips.astype(np.uint32)))
+    passage = chroma.packed(chroma.chroma(tones(200, 90), chroma.RATE)).copy()
+    passage[100:130] = whole[60:90]  # shorter than 32 frames
+    rows.append((80, passage))
+    prints = spark.createDataFrame([(i, [int(x) for x in p.view(np.int32)]) for i, p in rows], "id long, prints array<int>")
+    got = {r.rec_id: r for r in chroma.align(prints, F.col("id") == 0).collect()}
+    assert set(range(40, 70)) <= set(got) and got[0].copies == 2 and not set(range(1, 40)) & set(got)
+    assert all(got[i].offset == -i and abs(got[i].bit_error - error) < 0.03 for i in range(40, 70)) and got[80].offset == 40
+    assert {r.id: r.rec_id for r in chroma.members(prints).collect()} == {i: 0 if i == 500 else i for i, _ in rows}
+
+
 def test_chroma_filters_equal_direct_sums():
     image = np.random.default_rng(5).random((30, 12))
     got = chroma.packed(image)
