@@ -34,6 +34,9 @@ _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})
 _ESCAPED = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]{2}))")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 _LEAST_BASE64 = 16
+_BREAK = re.compile(r"\r?\n[\x20\t]*")
+# No secret and no base64 layer is shorter.
+_PRINTABLE = re.compile(rb"[\t\n\r\x20-\x7e]{14,}")
 
 
 def _mask(members: bytes) -> bytes:
@@ -127,12 +130,36 @@ def _unescape(run: str) -> str | None:
 
 
 def _readable(data: bytes) -> str | None:
+    """The text in ``data``; of bytes that are no clean text, the printable stretches, a line each."""
     try:
         plain = data.decode("utf-8")
+        if not any(c < " " and c not in "\t\n\r" or c == "\x7f" for c in plain):
+            return plain or None
     except UnicodeDecodeError:
-        return None
-    odd = sum(1 for c in plain if c < " " and c not in "\t\n\r" or c == "\x7f")
-    return plain if plain and odd == 0 else None
+        pass
+    return "\n".join(m.group().decode("ascii") for m in _PRINTABLE.finditer(data)) or None
+
+
+def _wrapped(layer: str, runs: list[tuple[int, int]]):
+    """The base64 blocks over several lines, as (start, end, characters): lines of one length, a last one no longer,
+    and also with the line before them, which may begin after something else."""
+    i = 0
+    while i < len(runs):
+        j, wide = i, runs[i][1] - runs[i][0]
+        while j + 1 < len(runs) and runs[j + 1][1] - runs[j + 1][0] == wide and (m := _BREAK.match(layer, runs[j][1])) and m.end() == runs[j + 1][0]:
+            j += 1
+        lines, end = [layer[a:b] for a, b in runs[i:j + 1]], runs[j][1]
+        if layer[end:end + 1] == "=":
+            last = _BASE64.match(layer, runs[j][0])
+            lines[-1], end = last.group(), last.end()
+        elif (m := _BREAK.match(layer, end)) and (last := _BASE64.match(layer, m.end())) and len(last.group()) <= wide:
+            lines.append(last.group())
+            end = last.end()
+        if len(lines) > 1:
+            yield runs[i][0], end, "".join(lines)
+        if i and (m := _BREAK.match(layer, runs[i - 1][1])) and m.end() == runs[i][0] and runs[i - 1][1] - runs[i - 1][0] < wide:
+            yield runs[i - 1][0], end, layer[slice(*runs[i - 1])] + "".join(lines)
+        i = j + 1
 
 
 def _inflated(data: bytes) -> tuple[bytes | None, bool]:
@@ -183,12 +210,13 @@ def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, in
             under.append(made)
         if "\\" in layer and (made := _rewritten(layer, places, _ESCAPE, _unescape)):
             under.append(made)
-        for a, b in _runs(raw, _BASE64_MASK, _LEAST_BASE64):
-            blob = _BASE64.match(layer, a)
-            plain, cut = _unwrapped(blob.group())
+        runs = list(_runs(raw, _BASE64_MASK, _LEAST_BASE64))
+        blobs = [(a, (blob := _BASE64.match(layer, a)).end(), blob.group()) for a, _ in runs]
+        for a, b, blob in [*blobs, *_wrapped(layer, runs)]:
+            plain, cut = _unwrapped(blob)
             over += cut
             if plain is not None:
-                left, right = places.span(a, blob.end())
+                left, right = places.span(a, b)
                 under.append((plain, _Places([(0, left, right, False)], len(plain))))
         for plain, where in under:
             key = (where.span(0, len(plain)) if plain else (0, 0), hashlib.sha256(plain.encode("utf-8", "surrogatepass")).digest())

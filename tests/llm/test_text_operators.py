@@ -112,6 +112,18 @@ def test_secrets_partly_escaped_and_cycles():
     assert secrets.scan(blob + " " + blob)[0] == []
 
 
+@pytest.mark.parametrize("width,end", [(76, "\n"), (64, "\r\n"), (60, "\n    ")])
+@pytest.mark.parametrize("pack", [bytes, gzip.compress, lambda b: b"\x00\x01\xff" + b + b"\x00\xfe"])
+def test_secrets_in_wrapped_and_binary_layers(width, end, pack):
+    rng = random.Random(6)
+    body = " ".join(f"é{rng.random()}" for _ in range(30)) + " password=hunter2hunter2 " + " ".join(str(rng.random()) for _ in range(9))
+    for shift in range(0, 60, 7):  # the secret crosses a line somewhere
+        blob = base64.b64encode(pack((" " * shift + body).encode())).decode()
+        lines = end.join(blob[i:i + width] for i in range(0, len(blob), width))
+        base, spans, _, _ = secrets.scan(f"see\n{lines}\nend")
+        assert base == [] and ("assign", 4, 4 + len(lines)) in spans
+
+
 def brute_licenses(text):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
