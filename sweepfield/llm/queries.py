@@ -1,4 +1,4 @@
-"""The operators' queries on the driver tables. SQL expresses none of them; ``tests/llm`` holds brute-force versions."""
+"""The operators' queries on the driver tables, with their SQL where there is any; ``tests/llm`` holds brute-force versions."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chroma, forest, language, licenses, mixing, near, pii, quality, secrets
+from . import audit, bpe, chroma, forest, language, licenses, mixing, near, pii, prints, quality, secrets, variants
 from .common import few_rows_a_batch, held_out, stored
 
 
@@ -64,6 +64,43 @@ def op10_language(spark: SparkSession, sf: str) -> DataFrame:
     return language.predict(docs, language.train(docs), ["doc_id"]).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op11_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return prints.exact_duplicates(_table(spark, sf, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return audit.filter_audit(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return variants.spelling_variants(_table(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_byte_bpe, op2_secret_scan, op3_nearest, op4_near_duplicates, op5_mixing, op6_licenses, op7_personal_data, op8_chroma, op9_quality, op10_language)}
-SQL: dict[str, str] = {}
+    f.__name__: f for f in (op1_byte_bpe, op2_secret_scan, op3_nearest, op4_near_duplicates, op5_mixing, op6_licenses, op7_personal_data, op8_chroma, op9_quality, op10_language,
+                                op11_exact_dedup, op12_filter_audit, op13_spelling_variants)}
+
+_OP11 = r"""
+WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
+SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, sha256(norm) AS text_sha256
+FROM t WINDOW g AS (PARTITION BY norm)"""
+
+_OP12 = r"""
+WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+f AS (SELECT w.doc_id, part, (len(ws) < 50)::INT + 2 * (100 * len(list_distinct(ws)) < 65 * len(ws))::INT
+             + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT
+             + 16 * (w.doc_id > min(w.doc_id) OVER (PARTITION BY t))::INT AS m, coalesce(quality = 1, false)::INT AS good, coalesce(toxic = 1, false)::INT AS toxic
+      FROM w LEFT JOIN labels ON labels.doc_id = w.doc_id),
+c AS (SELECT part, m, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+b AS (SELECT i, substr('ABCDE', i + 1, 1) AS name, 1 << i AS bit FROM (SELECT unnest(range(5)) AS i)),
+o AS (SELECT b1.name || b2.name || b3.name || b4.name || b5.name AS filter_order, [b1.bit, b2.bit, b3.bit, b4.bit, b5.bit] AS bits
+      FROM b AS b1, b AS b2, b AS b3, b AS b4, b AS b5 WHERE b1.bit | b2.bit | b3.bit | b4.bit | b5.bit = 31),
+s AS (SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::BIGINT AS before FROM o, (SELECT unnest(range(1, 6)) AS step)),
+r AS (SELECT part, filter_order, step::INT AS step, bit, sum(CASE WHEN m & (before | bit) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN m & bit <> 0 AND m & before = 0 THEN n ELSE 0 END) AS removed,
+             sum(CASE WHEN m & bit <> 0 AND m & before <> 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN m = bit THEN n ELSE 0 END) AS unique_fails,
+             sum(CASE WHEN m & bit <> 0 AND m & before = 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN m & bit <> 0 AND m & before = 0 THEN toxic ELSE 0 END) AS toxic_lost
+      FROM c, s GROUP BY ALL)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+       toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM r"""
+
+SQL: dict[str, str] = {"op11_exact_dedup": _OP11, "op12_filter_audit": _OP12}
