@@ -10,7 +10,7 @@ from sweepfield.bindings import collect
 from sweepfield.runtime import local_session
 
 # The reference names neighbour search, nearest neighbours and voxel aggregation as its bottlenecks.
-HEADLINE = ("voxel_barycentre", "voxel_spheres", "map_first_hit", "radius_join_grouped", "pool_max", "nearest_label_transfer",
+HEADLINE = ("voxel_barycentre", "voxel_spheres", "map_first_hit", "radius_join_grouped", "pool_max", "nearest_label_transfer", "nearest_continuous",
             "pyramid_layers", "asof_pose_interpolation", "horizon_windows", "evidence_counts", "raster_future_occupancy",
             "raster_grid_visibility", "metric_confusion", "metric_threshold_sweep", "metric_average_precision", "sample_to_cap",
             "pca_local", "registration_residuals")

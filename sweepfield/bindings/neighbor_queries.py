@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import neighbors as nb
 from ..operators import voxels
-from .registry import LATTICE, VECTORS, lattice, query, r6, rounded, vectors
+from .registry import LATTICE, VECTORS, lattice, query, r6, rounded, table, vectors
 
 R = 0.1
 PAIRS = f"""WITH {VECTORS}, pr AS (SELECT q.label, q.id AS q_id, s.id AS s_id, s.label AS s_label, s.f, q.x qx, q.y qy, q.z qz, s.x sx, s.y sy, s.z sz,
@@ -48,7 +48,7 @@ def nearest_join(spark, sf):
     v = vectors(spark, sf).withColumn("side", F.col("id") % 2)
     q = v.select("side", F.col("id").alias("q_id"), "x", "y", "z")
     s = v.select((1 - F.col("side")).alias("side"), F.col("id").alias("s_id"), F.col("label").alias("s_label"), "x", "y", "z")
-    return rounded(nb.nearest_join(q, s, ["side"], carry=["s_label"], cell_size=0.05, extent=2.0).drop("side"), "d2")
+    return rounded(nb.nearest_join(q, s, ["side"], carry=["s_label"]).drop("side"), "d2")
 
 
 TRANSFER = f"""WITH {LATTICE}, k AS (SELECT CAST(floor(x/4) AS BIGINT) AS vx, CAST(floor(y/4) AS BIGINT) AS vy, CAST(floor(z/4) AS BIGINT) AS vz, x,y,z,label FROM pts),
@@ -67,23 +67,49 @@ def nearest_label_transfer(spark, sf):
     m = voxels.voxel_barycentre(pts, 4.0, labels=["label"]).select(
         (F.col("vx") * 10000 + F.col("vy") * 100 + F.col("vz")).alias("s_id"), "x", "y", "z", F.col("label").alias("near"))
     moved = pts.select("session", "id", (F.col("x") + 0.31).alias("x"), (F.col("y") + 0.17).alias("y"), (F.col("z") + 0.11).alias("z"))
-    out = nb.nearest_join(moved, m, [], "id", "s_id", carry=["near"], cell_size=4.0, max_distance=16.0)
+    out = nb.nearest_join(moved, m, [], "id", "s_id", carry=["near"], max_distance=16.0)
     return (out.select(F.col("id.l_suppkey").alias("k"), F.col("near").alias("label"))
             .groupBy((F.col("k") % 8).alias("session"), "label").agg(F.count(F.lit(1)).alias("n")))
 
 
+# Unit prices and quantities: continuous points whose number grows with the tables, a third of them within a millionth of the extent.
+SCENE = """WITH l AS (SELECT l_orderkey AS a, l_linenumber AS b, l_partkey AS c, l_suppkey AS d, l_extendedprice AS e, l_extendedprice / l_quantity AS x, l_quantity * 20 + l_discount * 100 AS y, l_tax * 1000 AS z FROM lineitem),
+s AS (SELECT a, b, c, d, e, CASE WHEN d % 3 = 0 THEN 1500 + x / 1000000 ELSE x END AS x, CASE WHEN d % 3 = 0 THEN 500 + y / 1000000 ELSE y END AS y, CASE WHEN d % 3 = 0 THEN 40 + z / 1000000 ELSE z END AS z FROM l),
+q AS (SELECT p_partkey AS q_id, p_retailprice AS x, p_size * 20.0 AS y, p_partkey % 80 + 0.5 AS z FROM part UNION ALL SELECT -1 - c_custkey, 1500 + c_acctbal / 1000, 500 + c_nationkey / 10.0, 40.0 + c_custkey % 7 / 10.0 FROM customer)"""
+
+
+def priced(spark, sf):
+    """Queries (parts and customers) and supports (line items)."""
+    t = table(spark, sf, "lineitem")
+    own = {"x": F.col("l_extendedprice") / F.col("l_quantity"), "y": F.col("l_quantity") * 20 + F.col("l_discount") * 100, "z": F.col("l_tax") * 1000}
+    crowd = F.col("l_suppkey") % 3 == 0
+    s = t.select(F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("s_id"),
+                 *(F.when(crowd, at + own[a] / 1000000).otherwise(own[a]).alias(a) for a, at in (("x", 1500), ("y", 500), ("z", 40))))
+    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("q_id"), F.col("p_retailprice").alias("x"), (F.col("p_size") * 20.0).alias("y"), (F.col("p_partkey") % 80 + 0.5).alias("z"))
+    customers = table(spark, sf, "customer").select((-1 - F.col("c_custkey")).alias("q_id"), (1500 + F.col("c_acctbal") / 1000).alias("x"), (500 + F.col("c_nationkey") / 10.0).alias("y"), (40.0 + F.col("c_custkey") % 7 / 10.0).alias("z"))
+    return parts.unionByName(customers), s
+
+
+@query("nearest_continuous", SCENE + """, d AS (SELECT q_id, min({'d2': (q.x-s.x)*(q.x-s.x)+(q.y-s.y)*(q.y-s.y)+(q.z-s.z)*(q.z-s.z), 'a': a, 'b': b, 'c': c, 'd': d, 'e': e}) AS m FROM q, s GROUP BY q_id)
+SELECT q_id, m.a AS l_orderkey, m.b AS l_linenumber, m.c AS l_partkey, m.d AS l_suppkey, round(m.d2, 6) AS d2 FROM d""")
+def nearest_continuous(spark, sf):
+    """The line item nearest to every part and customer."""
+    hit = nb.nearest_join(*priced(spark, sf))
+    return rounded(hit.select("q_id", "s_id.*", "d2").drop("l_extendedprice"), "d2")
+
+
 @query("proximity_far", PAIRS + """
 SELECT q_id AS id FROM pr WHERE q_id%2=0 AND s_id%2=1 GROUP BY q_id HAVING min(d2) > 0.06*0.06""")
 def proximity_far(spark, sf):
     v = vectors(spark, sf)
-    return nb.proximity(v.where("id % 2 = 0"), v.where("id % 2 = 1"), 0.06, "far", cell_size=0.05).select("id")
+    return nb.proximity(v.where("id % 2 = 0"), v.where("id % 2 = 1"), 0.06, "far").select("id")
 
 
 @query("proximity_near", PAIRS + """
 SELECT q_id AS id FROM pr WHERE q_id%2=0 AND s_id%2=1 GROUP BY q_id HAVING min(d2) < 0.06*0.06""")
 def proximity_near(spark, sf):
     v = vectors(spark, sf)
-    return nb.proximity(v.where("id % 2 = 0"), v.where("id % 2 = 1"), 0.06, "near", cell_size=0.05).select("id")
+    return nb.proximity(v.where("id % 2 = 0"), v.where("id % 2 = 1"), 0.06, "near").select("id")
 
 
 @query("proximity_still", f"""WITH {VECTORS}, p AS (SELECT *, CASE WHEN label<5 THEN -1 ELSE 3 END AS c FROM vec),
@@ -92,7 +118,7 @@ SELECT a.id FROM p a WHERE a.id IN (SELECT id FROM w) AND NOT EXISTS (SELECT 1 F
  AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z) <= 0.0016)""")
 def proximity_still(spark, sf):
     v = vectors(spark, sf).withColumn("count", F.when(F.col("label") < 5, -1).otherwise(3))
-    return nb.still_points(v, 0.04, cell_size=0.04).select("id")
+    return nb.still_points(v, 0.04).select("id")
 
 
 @query("pool_max", PAIRS + f"""

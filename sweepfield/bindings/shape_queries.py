@@ -103,7 +103,7 @@ def plane_ransac(spark, sf):
 @query("plane_ground_points", f"WITH {LATTICE} SELECT session, count(*) FILTER (z<5) AS n, 0.0::DOUBLE AS z_max FROM pts GROUP BY session")
 def plane_ground_points(spark, sf):
     p = lattice(spark, sf).withColumns({"z": F.when(F.col("z") < 5, 0.0).otherwise(F.col("z")), "nz": F.when(F.col("z") < 5, 1.0).otherwise(0.0)})
-    out = pl.extract_ground(p, ["session"], remove_dist=0.15, cell_size=0.15)
+    out = pl.extract_ground(p, ["session"], remove_dist=0.15)
     return out.groupBy("session").agg(F.count(F.lit(1)).alias("n"), F.max("z").alias("z_max"))
 
 
@@ -124,7 +124,7 @@ k AS (SELECT * FROM h WHERE planar < 0.02)"""
 def matches(spark, sf):
     m = _normals(spark, sf).withColumnRenamed("id", "map_id").drop("label", "f")
     p = vectors(spark, sf).select(F.col("label").alias("fr"), "id", (F.col("x") + 0.011).alias("x"), (F.col("y") - 0.007).alias("y"), (F.col("z") + 0.005).alias("z"))
-    return sh.matched_points(p, m, 0.05, 0.02, cell_size=0.05)
+    return sh.matched_points(p, m, 0.05, 0.02)
 
 
 @query("registration_residuals", MATCH + " SELECT fr, round(sqrt(avg(d2)),6) AS rms, round(sqrt(avg(planar*planar)),6) AS planar_rms, count(*) AS n FROM k GROUP BY fr")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import Vec, XYZ, cell
 from ..functions.linalg import covariance, eigh3, moment_sums
-from ..runtime import checkpointed
+from .octree import nearest_runs
 from .scans import top_k
 from .voxels import spread
 
@@ -84,155 +84,17 @@ def index_ordered_neighbours(queries: DataFrame, supports: DataFrame, radius: fl
 
 # --- nearest neighbour -------------------------------------------------------
 
-_FAN = 2  # each coarser level merges 4 cells per axis
-
-
-def choose_cell(supports: DataFrame, by: list[str] = (), axes: tuple[str, ...] = XYZ,
-                target: int = 64) -> float:
-    """A cell size at which even the fullest cell has about ``target`` distinct points.
-
-    One pass that counts cells at 13 halving sizes; pass ``cell_size`` to the
-    join where it is known (a voxel map, for one) to save it.
-    """
-    by = list(by)
-    box = supports.agg(F.count(F.lit(1)).alias("n"),
-                       *(F.min(a).cast("double").alias("lo" + a) for a in axes),
-                       *(F.max(a).cast("double").alias("hi" + a) for a in axes)).first()
-    if not box["n"]:
-        return 1.0
-    extent = max(box["hi" + a] - box["lo" + a] for a in axes) or 1.0
-    coarse = 2 * extent / max(1.0, (box["n"] / 4) ** (1 / len(axes)))
-    depth = 12
-    finest = coarse / 2 ** depth
-    keyed, names = _keyed(supports.select(*by, *axes).distinct(), finest, axes)
-    fine = keyed.groupBy(*by, *names).agg(F.count(F.lit(1)).alias("_n"))
-    level = fine.withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(depth))))
-    level = level.withColumns({n: F.expr(f"shiftright({n}, _l)") for n in names})
-    full = level.groupBy("_l", *by, *names).agg(F.sum("_n").alias("_n"))
-    fullest = {r["_l"]: r["_n"] for r in full.groupBy("_l").agg(F.max("_n").alias("_n")).collect()}
-    fits = [l for l in range(depth + 1) if fullest[l] <= target]
-    return finest * 2 ** (max(fits) if fits else 0)
-
-
 def nearest_join(queries: DataFrame, supports: DataFrame, by: list[str] = (), q_id: str = "q_id",
                  s_id: str = "s_id", carry: list[str] = (), axes: tuple[str, ...] = XYZ,
-                 cell_size: float | None = None, max_distance: float | None = None,
-                 extent: float | None = None) -> DataFrame:
+                 max_distance: float | None = None) -> DataFrame:
     """Exact nearest support of every query: ``s_id``, ``carry`` columns and ``d2``.
 
     Ties go to the lowest support id. Queries without any support in their
-    group (or within ``max_distance``, inclusive) get NULLs.
-
-    Copies are merged on both sides first. Then two steps. First the 3x3x3 block of fine cells: a match no farther than one
-    cell is final. What is left descends a pyramid of cells, coarse to fine; at
-    each level only cells that may still hold the nearest point are followed,
-    judged by the bounding box of their points. The number of cells a query
-    follows is bounded by geometry, not by how many points a cell holds, so a
-    hot cell costs no more than a sparse one.
+    group (or within ``max_distance``, inclusive), and those with a coordinate
+    that is null or not a number, get NULLs; such supports, and supports with a
+    null in ``by``, are left out. Query ids may repeat.
     """
-    by, carry = list(by), list(carry)
-    s = (supports.select(*by, s_id, *carry, *(F.col(a).cast("double").alias("_s" + a) for a in axes)))
-    spot = [*by, *("_s" + a for a in axes)]
-    # Copies of a point can only tie, so the lowest id stands for all of them.
-    s = s.groupBy(*spot).agg(F.min_by(F.struct(s_id, *carry), F.col(s_id)).alias("_hit"))
-    if cell_size is None:
-        plain = s.select(*by, *(F.col("_s" + a).alias(a) for a in axes))
-        cell_size = choose_cell(plain, by, axes)
-    if max_distance is not None:
-        cell_size = min(cell_size, max_distance)
-    size = cell_size * _SLACK
-
-    names = ["_c" + a for a in axes]
-    s = s.withColumns({n: cell("_s" + a, size) for n, a in zip(names, axes)})
-    # Queries at one position share the answer. Grouping by position also spreads the
-    # queries of a crowded cell over all tasks.
-    qk = [*by, *("_q" + a for a in axes)]
-    # Answers are joined back by position, so positions must not be computed twice: another order of
-    # additions could change their last bits.
-    asked = checkpointed(queries.select(*by, q_id, *(F.col(a).cast("double").alias("_q" + a) for a in axes)))
-    q = asked.select(*qk).distinct().withColumns({n: cell("_q" + a, size) for n, a in zip(names, axes)})
-
-    if max_distance is not None:
-        reach = max_distance
-    else:
-        reach = extent or _joint_extent(queries, supports, axes)
-    levels = 0
-    while size * (4 ** levels) < reach * _SLACK:
-        levels += 1
-    if levels > 1:
-        # Every level reads the supports again; cut what produced them.
-        s = checkpointed(s)
-
-    seen = _near(q, s, by, qk, names, axes, cell_size, s_id)
-    if levels:
-        missing = seen.where("_b IS NULL").drop("_b")
-        rest = missing.join(_descend(missing, s, by, qk, names, axes, levels, _best(s_id)), qk, "left")
-        seen = seen.where("_b IS NOT NULL").unionByName(rest)
-    found = seen.select(*qk, F.col("_b")["_hit"].alias("_hit"), F.col("_b")["d2"].alias("d2"))
-    if max_distance is not None:
-        close = F.col("d2") <= max_distance * max_distance
-        found = found.select(*qk, F.when(close, F.col("_hit")).alias("_hit"), F.when(close, F.col("d2")).alias("d2"))
-    return asked.join(found, qk, "left").select(
-        *by, q_id, F.col("_hit")[s_id].alias(s_id), *(F.col("_hit")[c].alias(c) for c in carry), "d2")
-
-
-def _best(s_id: str) -> Column:
-    return F.min_by(F.struct("d2", "_hit"), F.struct(F.col("d2"), F.col("_hit")[s_id])).alias("_b")
-
-
-def _near(q, s, by, qk, names, axes, cell_size, s_id) -> DataFrame:
-    """Queries with the best hit of their cell's block, if it is no farther than one cell.
-
-    Supports are copied to the cells around them, so every query meets all its
-    candidates in its own cell and its minimum is formed before the shuffle.
-    """
-    found = (q.join(spread(s, names), [*by, *names]).withColumn("d2", _d2(axes))
-             .where(F.col("d2") <= cell_size * cell_size).groupBy(*qk).agg(_best(s_id)))
-    return q.join(found, qk, "left")
-
-
-def _joint_extent(queries: DataFrame, supports: DataFrame, axes) -> float:
-    row = (queries.select(*axes).unionByName(supports.select(*axes))
-           .agg(*(F.min(a).cast("double").alias("lo" + a) for a in axes),
-                *(F.max(a).cast("double").alias("hi" + a) for a in axes)).first())
-    if row["lo" + axes[0]] is None:
-        return 0.0
-    return math.sqrt(sum((row["hi" + a] - row["lo" + a]) ** 2 for a in axes))
-
-
-def _descend(q: DataFrame, s: DataFrame, by, qk, names, axes, levels: int, best) -> DataFrame:
-    """Follow the cell pyramid from level ``levels`` to the points."""
-    boxes = [s.groupBy(*by, *names).agg(*(F.min("_s" + a).alias("lo" + a) for a in axes),
-                                        *(F.max("_s" + a).alias("hi" + a) for a in axes))]
-    for _ in range(levels):
-        finer = boxes[-1].withColumns({n: F.shiftright(n, _FAN) for n in names})
-        boxes.append(finer.groupBy(*by, *names).agg(
-            *(F.min("lo" + a).alias("lo" + a) for a in axes),
-            *(F.max("hi" + a).alias("hi" + a) for a in axes)))
-
-    low = high = F.lit(0.0)
-    for a in axes:
-        p, lo, hi = F.col("_q" + a), F.col("lo" + a), F.col("hi" + a)
-        gap = F.greatest(lo - p, p - hi, F.lit(0.0))
-        far = F.greatest(F.abs(p - lo), F.abs(p - hi))
-        low, high = low + gap * gap, high + far * far
-    per_query = Window.partitionBy(*qk)
-
-    def prune(candidates: DataFrame) -> DataFrame:
-        return (candidates.withColumns({"_low": low, "_high": high})
-                .withColumn("_bound", F.min("_high").over(per_query))
-                # A hair of slack: both sides are rounded.
-                .where(F.col("_low") <= F.col("_bound") * (1 + 1e-12))
-                .select(*qk, *names))
-
-    block = spread(q.withColumns({n: F.shiftright(n, _FAN * levels) for n in names}), names)
-    state = prune(block.join(boxes[levels], [*by, *names]))
-    for level in range(levels - 1, -1, -1):
-        parent = ["_p" + a for a in axes]
-        children = boxes[level].withColumns({p: F.shiftright(n, _FAN) for p, n in zip(parent, names)})
-        renamed = state.withColumnsRenamed(dict(zip(names, parent)))
-        state = prune(renamed.join(children, [*by, *parent]))
-    return (state.join(s, [*by, *names]).withColumn("d2", _d2(axes)).groupBy(*qk).agg(best))
+    return nearest_runs(queries, supports, list(by), q_id, s_id, list(carry), tuple(axes), max_distance)
 
 
 def transfer_labels(points: DataFrame, labelled: DataFrame, labels: list[str], by: list[str] = (),
@@ -244,15 +106,14 @@ def transfer_labels(points: DataFrame, labelled: DataFrame, labels: list[str], b
 
 
 def proximity(candidates: DataFrame, others: DataFrame, distance: float, keep: str = "far",
-              by: list[str] = (), c_id: str = "id", axes: tuple[str, ...] = XYZ,
-              cell_size: float | None = None) -> DataFrame:
+              by: list[str] = (), c_id: str = "id", axes: tuple[str, ...] = XYZ) -> DataFrame:
     """Candidates whose nearest other point is farther (``far``) or nearer (``near``) than ``distance``.
 
     A nearest point at exactly ``distance`` satisfies neither.
     """
-    spots = others.select(*by, *axes).distinct().withColumn("_o", F.lit(0))
+    spots = others.select(*by, *axes).withColumn("_o", F.lit(0))
     hit = nearest_join(candidates, spots, by, c_id, "_o", axes=axes,
-                       cell_size=cell_size, max_distance=distance).select(*by, c_id, "d2")
+                       max_distance=distance).select(*by, c_id, "d2")
     joined = candidates.join(hit, [*by, c_id])
     if keep == "near":
         return joined.where(F.col("d2") < distance * distance).drop("d2")
@@ -260,8 +121,7 @@ def proximity(candidates: DataFrame, others: DataFrame, distance: float, keep: s
 
 
 def still_points(points: DataFrame, margin: float = 0.1, non_still: DataFrame | None = None,
-                 count: str = "count", by: list[str] = (), p_id: str = "id",
-                 cell_size: float | None = None) -> DataFrame:
+                 count: str = "count", by: list[str] = (), p_id: str = "id") -> DataFrame:
     """Points that re-project onto the still part of a map.
 
     Old-map points (count below -0.5) and new points within ``margin`` of one;
@@ -269,10 +129,10 @@ def still_points(points: DataFrame, margin: float = 0.1, non_still: DataFrame |
     """
     old = points.where(F.col(count) < -0.5)
     new = points.where(F.col(count) >= -0.5)
-    near_old = proximity(new, old, margin, "near", by, p_id, cell_size=cell_size)
+    near_old = proximity(new, old, margin, "near", by, p_id)
     still = old.unionByName(near_old.select(*old.columns))
     rest = points.join(still.select(*by, p_id), [*by, p_id], "left_anti") if non_still is None else non_still
-    return proximity(still, rest, margin, "far", by, p_id, cell_size=cell_size)
+    return proximity(still, rest, margin, "far", by, p_id)
 
 
 # --- pooling -----------------------------------------------------------------

@@ -189,12 +189,12 @@ def normal_errors(pairs: DataFrame, by: list[str]) -> DataFrame:
 
 
 def matched_points(points: DataFrame, map_points: DataFrame, max_pair: float, max_planar: float,
-                   p_id: str = "id", map_id: str = "map_id", cell_size: float | None = None) -> DataFrame:
+                   p_id: str = "id", map_id: str = "map_id") -> DataFrame:
     """Frame points with their nearest map point, its normal and the planar distance."""
     carried = map_points.select(map_id, *XYZ, "nx", "ny", "nz",
                                 *(F.col(a).alias("m" + a) for a in XYZ))
     hit = nearest_join(points, carried, [], p_id, map_id, carry=["mx", "my", "mz", "nx", "ny", "nz"],
-                       max_distance=max_pair, cell_size=cell_size)
+                       max_distance=max_pair)
     both = points.join(hit, p_id).where(F.col("d2") < max_pair * max_pair)
     gap = Vec.of("mx", "my", "mz").minus(xyz())
     planar = F.abs(gap.dot(Vec.of("nx", "ny", "nz")))

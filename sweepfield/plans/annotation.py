@@ -30,8 +30,8 @@ def annotate_map(map_points: DataFrame, points: DataFrame, poses: DataFrame, dl:
     evidence = ray_evidence(points, poses, map_points, FRAME, theta_dl, phi_dl, dl)
     full = map_points.select("map_id").join(evidence, "map_id", "left").fillna(0, ["count", "prob"])
     probs = movable_probabilities(full, min_rays)
-    still = still_points(map_points, margin, p_id="map_id", cell_size=dl)
-    ground = extract_ground(map_points, [], 10.0, ground_thresh, ground_remove, seed, "map_id", cell_size=ground_remove)
+    still = still_points(map_points, margin, p_id="map_id")
+    ground = extract_ground(map_points, [], 10.0, ground_thresh, ground_remove, seed, "map_id")
     return classify_map(map_points, probs, still, ground, short_threshold, long_threshold)
 
 
@@ -47,7 +47,7 @@ def annotate_session(points: DataFrame, poses: DataFrame, base: DataFrame, frame
     world = move_points(points, poses, FRAME)
     labelled = transfer_labels(world.select(*FRAME, F.col("id").alias("pid"), "x", "y", "z")
                                .withColumn("_u", F.struct(*FRAME, "pid")), classes.select("map_id", "x", "y", "z", "classif"),
-                               ["classif"], point_id="_u", labelled_id="map_id", cell_size=map_dl)
+                               ["classif"], point_id="_u", labelled_id="map_id")
     frame_labels = points.join(labelled.select(*FRAME, F.col("pid").alias("id"), "classif"), [*FRAME, "id"])
     return {"map": day, "map_labels": classes, "frame_labels": frame_labels}
 

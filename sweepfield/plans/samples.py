@@ -58,7 +58,7 @@ def assemble_samples(points: DataFrame, centres: DataFrame, n_frames: int, radiu
     capped = sample_to_cap(thin, key, cap, seed)
     raw = centred.where((F.col("age") == 0) & (xyz().sq_norm() < (0.99 * radius) ** 2))
     raw = raw.select(*key, F.col("id").alias("raw_id"), "x", "y", "z", F.col("label").alias("raw_label"))
-    projected = nearest_join(raw, capped, key, "raw_id", "id", cell_size=2 * dl, extent=2 * radius)
+    projected = nearest_join(raw, capped, key, "raw_id", "id")
     parameters = augmentation_parameters(capped, key, seed)
     return {"samples": frame_indicators(augment(capped, parameters, key, seed, noise), n_frames),
             "parameters": parameters, "reprojection": projected}

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sweepfield.operators import filters, mapping, neighbors, planes, scans, scoring, shape, temporal, voxels
+from sweepfield.operators import filters, mapping, neighbors, octree, planes, scans, scoring, shape, temporal, voxels
 from sweepfield.functions import geometry as g
 
 XYZ = list("xyz")
@@ -16,17 +16,59 @@ def frame(spark, array, **more):
     return spark.createDataFrame(pdf)
 
 
-@pytest.mark.parametrize("cell", [0.05, 3.0])
-def test_nearest_with_hot_cell_and_copies(spark, cell):
+@pytest.mark.parametrize("rows", [octree.RUN_ROWS, 40])
+def test_nearest_with_hot_cell_and_copies(spark, rows, monkeypatch):
     """A third of the supports in one tiny cell, a third copies of one point, the rest spread; far queries too."""
+    monkeypatch.setattr(octree, "RUN_ROWS", rows)
     rng = np.random.default_rng(0)
     s = np.vstack([rng.normal(2, 0.001, (300, 3)), np.tile([[1.0, 1.0, 1.0]], (300, 1)), rng.uniform(-5, 5, (300, 3))])
     q = np.vstack([rng.uniform(-5, 5, (200, 3)), rng.normal(2, 0.002, (50, 3)), [[60.0, 0, 0]], np.tile([[1.0, 1.0, 1.1]], (40, 1))])
-    out = neighbors.nearest_join(frame(spark, q, q_id=range(len(q))), frame(spark, s, s_id=range(len(s))), cell_size=cell).toPandas()
+    out = neighbors.nearest_join(frame(spark, q, q_id=range(len(q))), frame(spark, s, s_id=range(len(s)))).toPandas()
     want = ((q[:, None] - s[None]) ** 2).sum(-1).argmin(1)
     assert out.sort_values("q_id").s_id.tolist() == want.tolist()
 
 
+def brute_nearest(queries, supports, most=None):
+    """By group, ties to the lowest id; None without any."""
+    out = {}
+    for i, (g, *p) in queries.items():
+        found = [] if g is None or None in p else [(sum((a - b) ** 2 for a, b in zip(p, r)), j) for j, (h, *r) in supports.items() if h == g and None not in r]
+        best = min(found, default=(None, None))
+        out[i] = best if best[0] is not None and (most is None or best[0] <= most * most) else (None, None)
+    return out
+
+
+@pytest.mark.parametrize("rows", [octree.RUN_ROWS, 16])
+def test_nearest_by_group_with_ties_nulls_and_clashing_names(spark, rows, monkeypatch):
+    monkeypatch.setattr(octree, "RUN_ROWS", rows)
+    monkeypatch.setattr(octree, "MOST_RUNS", 1 << 30)
+    rng = np.random.default_rng(4)
+
+    def points(n, odd):
+        made = {i: (("a", "b", None)[int(rng.integers(0, 3))] if i % 9 else "hot", *map(float, rng.integers(-3, 4, 3))) for i in range(n)}
+        return made | {n: odd}
+
+    s, q = points(300, ("a", None, 0.0, 0.0)), points(200, ("a", 0.0, None, 0.0))
+    q[201] = ("nowhere", 0.0, 0.0, 0.0)
+    q[202] = ("a", 1e9, 0.0, -1e9)
+    make = lambda rows, name: spark.createDataFrame([(v[0], i, f"c{i}", "row", *v[1:]) for i, v in rows.items()], f"_g string, {name} long, _hit string, _row string, x double, y double, z double").repartition(5)
+    for most in (None, 1.0):
+        got = neighbors.nearest_join(make(q, "_ask"), make(s, "_run"), ["_g"], "_ask", "_run", ["_hit"], max_distance=most).collect()
+        assert len(got) == len(q) and {r._ask: (r.d2, r._run) for r in got} == brute_nearest(q, s, most)
+        assert all(r._hit == (None if r._run is None else f"c{r._run}") for r in got)
+    assert {(r._run, r.d2) for r in neighbors.nearest_join(make(q, "_ask"), make({}, "_run"), ["_g"], "_ask", "_run").collect()} == {(None, None)}
+    assert neighbors.nearest_join(make({}, "_ask"), make(s, "_run"), ["_g"], "_ask", "_run").collect() == []
+
+
+def test_leaves_split_only_full_cells():
+    rng = np.random.default_rng(3)
+    code = np.sort(np.concatenate([rng.integers(0, 1 << 60, 300), rng.integers(5 << 40, (5 << 40) + (1 << 20), 3000)]))
+    starts = octree.leaves(code, np.zeros(len(code), int))
+    sizes = np.diff(starts, append=len(code))
+    assert starts[0] == 0 and sizes.max() <= octree.LEAF and (np.diff(starts) > 0).all()
+    assert len(starts) < 3300 / 3  # cells are not split further than they need
+
+
 def test_radius_is_strict_and_signs_do_not_matter(spark):
     q = frame(spark, [[-0.5, 0, 0]], q_id=[0])
     s = frame(spark, [[0.5, 0, 0], [0.4999, 0, 0], [-1.4999, 0, 0]], s_id=[0, 1, 2])
@@ -92,7 +134,7 @@ def test_ground_of_a_box_on_a_plane(spark):
     df = frame(spark, np.vstack([floor, box]), id=range(1800), nx=0.0, ny=0.0, nz=[1.0] * 1500 + [0.0] * 300)
     plane = planes.ransac_plane(df.where("nz > 0.5"), [], 0.1).first()
     assert abs(plane.c) > 0.99 and abs(plane.d) < 0.1
-    ids = {r.id for r in planes.extract_ground(df, remove_dist=0.1, cell_size=0.1).select("id").collect()}
+    ids = {r.id for r in planes.extract_ground(df, remove_dist=0.1).select("id").collect()}
     assert ids <= set(range(1500)) and len(ids) > 1300
 
 
