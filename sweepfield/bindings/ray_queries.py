@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evidence as ev
 from ..operators import voxels
-from .registry import LATTICE, lattice, longs, query, rounded
+from .registry import LATTICE, lattice, longs, query, rounded, table
 
 DL, TH, PH = 4.0, 0.1, 0.2
 
@@ -127,3 +127,54 @@ def evidence_polar_image(spark, sf):
     fp = fp.withColumn("o", F.col("x") * 10000 + F.col("y") * 100 + F.col("z"))
     out = ev.polar_image_evidence(fp, po, m, ["frame"], theta_res=0.1, order="o")
     return out.select("map_id", F.round("movable", 5).alias("movable"), F.round("still", 5).alias("still"), "count")
+
+
+# A scene that grows with the tables: sixteen scanners in a yard of orders, every other one turned.
+YARD = """WITH fp AS (SELECT l_suppkey % 16 AS frame, (l_partkey % 401 - 200) / 10.0 + l_discount AS x, (l_orderkey % 397 - 198) / 10.0 + l_tax AS y, (l_quantity - 25) / 10.0 AS z FROM lineitem),
+po AS (SELECT f AS frame, CASE WHEN f % 2 = 0 THEN 1.0::DOUBLE ELSE 0.6 END AS c, CASE WHEN f % 2 = 0 THEN 0.0::DOUBLE ELSE 0.8 END AS s, f * 0.5::DOUBLE AS t0, f % 4 * 1.0::DOUBLE AS t1, 0.25::DOUBLE AS t2 FROM (SELECT DISTINCT frame AS f FROM fp)),
+mp AS (SELECT o_orderkey AS map_id, (o_orderkey % 211 - 105) / 4.0 + o_totalprice / 1000000 AS x, (o_custkey % 199 - 99) / 4.0 + o_totalprice / 2000000 AS y, (o_orderkey % 50 - 25) / 12.0 + o_totalprice / 3000000 AS z,
+ CASE o_orderkey % 3 WHEN 0 THEN 0.6 ELSE 0.0 END AS nx, CASE o_orderkey % 3 WHEN 1 THEN 1.0 ELSE 0.0 END AS ny, CASE o_orderkey % 3 WHEN 0 THEN 0.8 WHEN 2 THEN 1.0 ELSE 0.0 END AS nz FROM orders),
+w AS (SELECT frame, c*x - s*y + t0 AS x, s*x + c*y + t1 AS y, z + t2 AS z FROM fp JOIN po USING (frame)),
+pl AS (SELECT frame, sqrt(x*x+y*y+z*z) AS rho, atan2(sqrt(x*x+y*y),z) AS theta, atan2(y,x)+pi()/2 AS phi FROM fp),
+g AS (SELECT frame, min(theta)-0.025 AS th0, min(phi)-0.05 AS ph0, max(theta)+0.05 AS th1, max(phi)+0.1 AS ph1, max(rho) AS far FROM pl GROUP BY frame),
+fr AS (SELECT frame, floor((theta-th0)/0.05) AS i, floor((phi-ph0)/0.1) AS j, min(rho) - greatest(0.5, min(rho)*0.025) AS free FROM pl JOIN g USING (frame) GROUP BY ALL),
+bd AS (SELECT frame, min(x)-0.5 AS lx, max(x)+0.5 AS hx, min(y)-0.5 AS ly, max(y)+0.5 AS hy, min(z)-0.5 AS lz, max(z)+0.5 AS hz FROM w GROUP BY frame),
+lc AS (SELECT frame, map_id, c*(x-t0)+s*(y-t1) AS x, c*(y-t1)-s*(x-t0) AS y, z-t2 AS z, c*nx+s*ny AS nx, c*ny-s*nx AS ny, nz,
+ pow(greatest(floor(x/8)*8-t0, t0-floor(x/8)*8-8, 0), 2) + pow(greatest(floor(y/8)*8-t1, t1-floor(y/8)*8-8, 0), 2) AS gap FROM mp CROSS JOIN po JOIN bd USING (frame) WHERE x BETWEEN lx AND hx AND y BETWEEN ly AND hy AND z BETWEEN lz AND hz),
+lp AS (SELECT *, sqrt(x*x+y*y+z*z) AS rho, atan2(sqrt(x*x+y*y),z) AS theta, atan2(y,x)+pi()/2 AS phi FROM lc),
+mf AS (SELECT frame, max(free) AS farthest FROM fr GROUP BY frame),
+cd AS (SELECT frame, map_id, rho, gap <= farthest*farthest AS near, floor((theta-th0)/0.05) AS i, floor((phi-ph0)/0.1) AS j FROM lp JOIN g USING (frame) JOIN mf USING (frame) WHERE rho > 1.0 AND rho < far AND theta BETWEEN th0 AND th1 AND phi BETWEEN ph0 AND ph1
+ AND (abs(nz)>0.5 OR acos(least(abs((x*nx+y*ny+z*nz)/rho),1.0)) < 5*pi()/12)),
+sc AS (SELECT frame, floor(i / 8) AS si, floor(j / 8) AS sj, max(free) AS most FROM fr GROUP BY ALL),
+tj AS (SELECT cd.*, coalesce(rho < most, false) AS ahead, coalesce(rho < free, false) AS through FROM cd LEFT JOIN fr USING (frame, i, j) LEFT JOIN sc ON sc.frame = cd.frame AND si = floor(cd.i / 8) AND sj = floor(cd.j / 8))"""
+
+
+def yard(spark, sf):
+    line, orders = table(spark, sf, "lineitem"), table(spark, sf, "orders")
+    fp = line.select((F.col("l_suppkey") % 16).alias("frame"), ((F.col("l_partkey") % 401 - 200) / 10.0 + F.col("l_discount")).alias("x"),
+                     ((F.col("l_orderkey") % 397 - 198) / 10.0 + F.col("l_tax")).alias("y"), ((F.col("l_quantity") - 25) / 10.0).alias("z"))
+    f, turned = F.col("frame"), F.col("frame") % 2 != 0
+    c, s = F.when(turned, 0.6).otherwise(1.0), F.when(turned, 0.8).otherwise(0.0)
+    zero, one = F.lit(0.0), F.lit(1.0)
+    turn = {"r00": c, "r01": -s, "r02": zero, "r10": s, "r11": c, "r12": zero, "r20": zero, "r21": zero, "r22": one}
+    po = fp.select("frame").distinct().withColumns(turn | {"t0": f * 0.5, "t1": (f % 4).cast("double"), "t2": F.lit(0.25)})
+    k, price = F.col("o_orderkey"), F.col("o_totalprice")
+    m = orders.select(k.alias("map_id"), ((k % 211 - 105) / 4.0 + price / 1000000).alias("x"), ((F.col("o_custkey") % 199 - 99) / 4.0 + price / 2000000).alias("y"),
+                      ((k % 50 - 25) / 12.0 + price / 3000000).alias("z"), F.when(k % 3 == 0, 0.6).otherwise(0.0).alias("nx"),
+                      F.when(k % 3 == 1, 1.0).otherwise(0.0).alias("ny"), F.when(k % 3 == 0, 0.8).when(k % 3 == 2, 1.0).otherwise(0.0).alias("nz"))
+    return fp, po, m
+
+
+@query("evidence_yard", YARD + """, hf AS (SELECT DISTINCT frame, floor(x/0.5) AS vx, floor(y/0.5) AS vy, floor(z/0.5) AS vz FROM w), hm AS (SELECT floor(x/0.5) AS vx, floor(y/0.5) AS vy, floor(z/0.5) AS vz, min(map_id) AS map_id FROM mp GROUP BY ALL),
+nb AS (SELECT a.i AS dx, b.i AS dy, c.i AS dz FROM (SELECT unnest([-1,0,1]) AS i) a, (SELECT unnest([-1,0,1]) AS i) b, (SELECT unnest([-1,0,1]) AS i) c),
+hb AS (SELECT DISTINCT frame, vx+dx AS vx, vy+dy AS vy, vz+dz AS vz FROM hf, nb),
+al AS (SELECT frame, map_id, max(o) AS o FROM (SELECT frame, map_id, 1 AS o FROM hb JOIN hm USING (vx, vy, vz) UNION ALL SELECT frame, map_id, 0 AS o FROM tj WHERE through) GROUP BY ALL)
+SELECT map_id, count(*) AS count, CAST(sum(1-o) AS BIGINT) AS prob FROM al GROUP BY map_id""")
+def evidence_yard(spark, sf):
+    return ev.ray_evidence(*yard(spark, sf), ["frame"], 0.05, 0.1, 0.5)
+
+
+@query("evidence_pruning", YARD + """ SELECT frame, count(*) FILTER (near) AS n_frustum, count(*) FILTER (ahead) AS n_sector, count(*) FILTER (through) AS n_through FROM tj GROUP BY frame""")
+def evidence_pruning(spark, sf):
+    """How many map points of the tiles in reach each level of the range image leaves."""
+    return ev.pruning(*yard(spark, sf), ["frame"], 0.05, 0.1, 0.5)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import (Vec, XYZ, cell, cells, movable_ramp, polar_ray, polar_wrapped,
@@ -15,6 +15,8 @@ from .filters import inside_bounds
 from .voxels import VOXEL, spread
 
 TILE = 8.0
+# Polar cells along a side of a sector.
+SECTOR = 8
 
 
 def occupied_hits(points: DataFrame, map_points: DataFrame, frame: list[str], dl: float,
@@ -51,24 +53,56 @@ def _polar_cell(theta_dl: float, phi_dl: float):
             "i_phi": F.floor((F.col("phi") - F.col("phi0")) / phi_dl).cast("long")}
 
 
-def seen_through(points: DataFrame, poses: DataFrame, map_points: DataFrame, frame: list[str],
-                 theta_dl: float, phi_dl: float, dl: float, map_id: str = "map_id",
-                 tile: float = TILE) -> DataFrame:
-    """(frame, map point) pairs where the frame's rays pass the map point freely.
+def free_pyramid(free: DataFrame, frame: list[str], width: int = SECTOR, value: str = "free",
+                 cells_: tuple[str, str] = ("i_theta", "i_phi")) -> DataFrame:
+    """The largest range of a frame (``farthest``) and of its sectors of ``width`` x ``width`` polar cells.
 
-    Map points meet only the frames whose bounding box touches their tile (an
-    equi-join), are cut by box, range and angles before anything is shuffled by
-    polar cell, and then need range in (2 dl, free). Near-horizontal normals
-    seen at a grazing angle do not count.
+    ``sectors`` lists them row by row, ``wide`` to a row, 0 where no ray went: a
+    table of one short row per frame that answers most questions about its
+    cells, which are many, without meeting them.
+    """
+    i, j = (F.floor(F.col(c) / width).cast("int").alias(n) for c, n in zip(cells_, "ij"))
+    most = free.select(*frame, i, j, value).groupBy(*frame, "i", "j").agg(F.max(value).alias("far"))
+    shape = most.groupBy(*frame).agg(F.max("far").alias("farthest"), (F.max("i") + 1).alias("high"), (F.max("j") + 1).alias("wide"))
+    placed = most.join(shape, frame).select(*frame, (F.col("i") * F.col("wide") + F.col("j")).alias("k"), "far")
+    holes = shape.select(*frame, F.explode(F.sequence(F.lit(0), F.col("high") * F.col("wide") - 1)).alias("k"), F.lit(0.0).alias("far"))
+    dense = placed.unionByName(holes).groupBy(*frame, "k").agg(F.max("far").alias("far"))
+    rows = dense.groupBy(*frame).agg(F.sort_array(F.collect_list(F.struct("k", "far"))).alias("_s"))
+    return shape.drop("high").join(rows.select(*frame, F.transform("_s", lambda s: s["far"]).alias("sectors")), frame)
+
+
+def sector_range(i: Column, j: Column, width: int = SECTOR) -> Column:
+    """The largest range of the sector that holds cell (i, j); 0 outside the frame's sectors."""
+    row, column = F.floor(i / width).cast("int"), F.floor(j / width).cast("int")
+    inside = (row >= 0) & (column >= 0) & (column < F.col("wide"))
+    return F.when(inside, F.coalesce(F.get("sectors", row * F.col("wide") + column), F.lit(0.0))).otherwise(0.0)
+
+
+def tiles_in_reach(table: DataFrame, tile: float, keys: tuple[str, str], low: tuple[Column, Column], high: tuple[Column, Column], reach: Column) -> DataFrame:
+    """A row of ``table`` for each ground tile between ``low`` and ``high`` that is within ``reach`` of the sensor (t0, t1)."""
+    gap = F.lit(0.0)
+    for k, t, lo, hi in zip(keys, ("t0", "t1"), low, high):
+        table = table.withColumn(k, F.explode(F.sequence(cell(lo, tile), cell(hi, tile))))
+        off = F.greatest(F.col(k) * tile - F.col(t), F.col(t) - (F.col(k) + 1) * tile, F.lit(0.0))
+        gap = gap + off * off
+    return table.where(gap <= reach * reach * (1 + 1e-9))
+
+
+def frustum_candidates(points: DataFrame, poses: DataFrame, map_points: DataFrame, frame: list[str],
+                       theta_dl: float, phi_dl: float, dl: float, map_id: str = "map_id",
+                       tile: float = TILE) -> tuple[DataFrame, DataFrame]:
+    """(frame, map point) pairs within a frame's box, ranges and angles, and the free ranges of the frames' polar cells.
+
+    A candidate has its range ``rho``, its polar cell and ``sector_free``, the
+    largest free range of the sector around it. Tiles beyond a frame's farthest
+    free range are not looked at.
     """
     free, grid = frame_frustum(points, frame, theta_dl, phi_dl, dl)
     placed = move_points(points, poses, frame)
     bounds = placed.groupBy(*frame).agg(
         *((F.min(a) - dl).alias("lo_" + a) for a in XYZ), *((F.max(a) + dl).alias("hi_" + a) for a in XYZ))
-    table = bounds.join(grid, frame).join(poses.select(*frame, *MATRIX), frame)
-    tiles = table
-    for a in "xy":
-        tiles = tiles.withColumn("t" + a, F.explode(F.sequence(cell("lo_" + a, tile), cell("hi_" + a, tile))))
+    table = bounds.join(grid, frame).join(poses.select(*frame, *MATRIX), frame).join(free_pyramid(free, frame), frame)
+    tiles = tiles_in_reach(table, tile, ("tx", "ty"), (F.col("lo_x"), F.col("lo_y")), (F.col("hi_x"), F.col("hi_y")), F.col("farthest"))
     m = map_points.select(map_id, *XYZ, "nx", "ny", "nz", *(cell(a, tile).alias("t" + a) for a in "xy"))
     cand = m.join(tiles, ["tx", "ty"]).where(inside_bounds())
     r = Rigid.named()
@@ -84,11 +118,37 @@ def seen_through(points: DataFrame, poses: DataFrame, map_points: DataFrame, fra
         & F.col("theta").between(F.col("theta0"), F.col("theta_max") + theta_dl)
         & F.col("phi").between(F.col("phi0"), F.col("phi_max") + phi_dl)
         & (level | (angle < 5 * math.pi / 12)))
-    slim = cand.select(*frame, map_id, "rho", *(c.alias(k) for k, c in _polar_cell(theta_dl, phi_dl).items()))
-    hit = slim.join(free, [*frame, "i_theta", "i_phi"])
+    at = _polar_cell(theta_dl, phi_dl)
+    return cand.select(*frame, map_id, "rho", *(c.alias(k) for k, c in at.items()), sector_range(*at.values()).alias("sector_free")), free
+
+
+def seen_through(points: DataFrame, poses: DataFrame, map_points: DataFrame, frame: list[str],
+                 theta_dl: float, phi_dl: float, dl: float, map_id: str = "map_id",
+                 tile: float = TILE) -> DataFrame:
+    """(frame, map point) pairs where the frame's rays pass the map point freely.
+
+    Map points meet only the frames whose bounding box touches their tile (an
+    equi-join), and need range in (2 dl, free). A coarse-to-fine image of each
+    frame's free ranges (frame, sector, cell) drops what lies behind walls:
+    only points nearer than the farthest free ray of their sector are shuffled
+    by polar cell. Near-horizontal normals seen at a grazing angle do not count.
+    """
+    cand, free = frustum_candidates(points, poses, map_points, frame, theta_dl, phi_dl, dl, map_id, tile)
+    open_ = cand.where(F.col("rho") < F.col("sector_free")).drop("sector_free")
+    hit = open_.join(free, [*frame, "i_theta", "i_phi"])
     return hit.where(F.col("rho") < F.col("free")).select(*frame, map_id)
 
 
+def pruning(points: DataFrame, poses: DataFrame, map_points: DataFrame, frame: list[str],
+            theta_dl: float, phi_dl: float, dl: float, map_id: str = "map_id", tile: float = TILE) -> DataFrame:
+    """Per frame: map points within its box and angles, those in front of their sector's farthest free ray, and those seen through."""
+    cand, free = frustum_candidates(points, poses, map_points, frame, theta_dl, phi_dl, dl, map_id, tile)
+    ahead = F.col("rho") < F.col("sector_free")
+    both = cand.join(free, [*frame, "i_theta", "i_phi"], "left")
+    return both.groupBy(*frame).agg(F.count(F.lit(1)).alias("n_frustum"), F.count_if(ahead).alias("n_sector"),
+                                    F.count_if(F.coalesce(F.col("rho") < F.col("free"), F.lit(False))).alias("n_through"))
+
+
 def ray_evidence(points: DataFrame, poses: DataFrame, map_points: DataFrame, frame: list[str],
                  theta_dl: float, phi_dl: float, dl: float, by: list[str] = (),
                  map_id: str = "map_id", tile: float = TILE) -> DataFrame:
@@ -157,8 +217,7 @@ def classify_map(map_points: DataFrame, probabilities: DataFrame, still: DataFra
 
 def polar_image_evidence(points: DataFrame, poses: DataFrame, map_points: DataFrame, frame: list[str],
                          map_id: str = "map_id", theta_res: float = math.radians(1.29),
-                         phi_ratio: float = 0.2, order: str = "id", tile: float = TILE,
-                         reach: float | None = None) -> DataFrame:
+                         phi_ratio: float = 0.2, order: str = "id", tile: float = TILE) -> DataFrame:
     """Evidence from a polar image with one range per cell (the last point written stays).
 
     Map points inside the frame's angular range count if their cell's range
@@ -172,17 +231,18 @@ def polar_image_evidence(points: DataFrame, poses: DataFrame, map_points: DataFr
                                   for n, f in (("lo", F.min), ("hi", F.max))), F.max("rho").alias("rho_max"))
     row, colm = F.floor(F.col("theta") / theta_res), F.floor(F.col("phi") / phi_ratio / theta_res)
     image = p.groupBy(*frame, row.alias("i"), colm.alias("j")).agg(F.max_by("rho", order).alias("range"))
-    table = box.join(poses.select(*frame, *MATRIX), frame)
-    far = F.col("rho_max") + 0.15
-    tiles = table
-    for a, t in (("x", "t0"), ("y", "t1")):
-        tiles = tiles.withColumn("_" + a, F.explode(F.sequence(cell(F.col(t) - far, tile), cell(F.col(t) + far, tile))))
+    table = box.join(poses.select(*frame, *MATRIX), frame).join(free_pyramid(image, frame, value="range", cells_=("i", "j")), frame)
+    far = F.col("farthest") + 0.15
+    t0, t1 = F.col("t0"), F.col("t1")
+    tiles = tiles_in_reach(table, tile, ("_x", "_y"), (t0 - far, t1 - far), (t0 + far, t1 + far), far)
     m = map_points.select(map_id, *XYZ, *(cell(a, tile).alias("_" + a) for a in "xy"))
     cand = m.join(tiles, ["_x", "_y"])
     local = polar_wrapped(Rigid.named().unapply(xyz()))
     cand = cand.withColumns({"rho": local.rho, "theta": local.theta, "phi": local.phi}).where(
         (F.col("theta") > F.col("theta_lo")) & (F.col("theta") < F.col("theta_hi"))
         & (F.col("phi") > F.col("phi_lo")) & (F.col("phi") < F.col("phi_hi")))
+    # The farthest range of a sector decides most points before they are shuffled by cell.
+    cand = cand.where(F.col("rho") < sector_range(row, colm) + 0.15)
     hit = cand.select(*frame, map_id, "rho", row.alias("i"), colm.alias("j")).join(image, [*frame, "i", "j"])
     gap = F.col("range") - F.col("rho")
     hit = hit.withColumn("gap", gap).where((F.col("range") > 1.0) & (F.col("gap") > -0.15))
