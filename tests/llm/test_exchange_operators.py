@@ -81,7 +81,7 @@ def brute_audit(rows, labels):
     for i, t, _ in rows:
         if i is not None:
             least[t or ""] = min(least.get(t or "", i), i)
-    good, toxic = ({i for i, *v in labels if v[k] == 1} for k in (0, 1))
+    good, toxic = ({i for i, *v in labels if i is not None and v[k] == 1} for k in (0, 1))
     parts = defaultdict(list)
     for i, t, p in rows:
         t = t or ""
