@@ -255,12 +255,17 @@ def _regions(entries: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     return found.where("v is not null").select("u", "v").distinct(), wide.join(mixed, ["tree", "place"]).select(F.col("u").alias("node"), "root").distinct()
 
 
-def _shared(members: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
-    """The pairs ``u < v`` of different groups among ``members`` that can be as alike as ``percent``, by their rarest shingles.
+def _shared(members: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> tuple[DataFrame | None, DataFrame]:
+    """Links among ``members``, and the pairs ``u < v`` of groups these leave apart that can be as alike as ``percent``, by their rarest shingles.
 
-    No such pair is missed: in any one order of all shingles, two sets that share the least they must have one in
-    common before the longer one's last ``percent`` and the shorter one's last ``2 percent / (100 + percent)``,
-    and the first such one leaves enough of both after it. The rarest come first, so few sets meet at one.
+    Links come first, in rounds: of the members that share a rare shingle one is the leader, and those of other
+    groups are compared with it alone. A large group of near copies so becomes one after a round or two, and no
+    two of its members need to meet any more. Rounds end when one joins nothing.
+
+    No pair between the groups that remain is missed: in any one order of all shingles, two sets that share the
+    least they must have one in common before the longer one's last ``percent`` and the shorter one's last
+    ``2 percent / (100 + percent)``, and the first such one leaves enough of both after it. The rarest come first,
+    so few sets meet at one.
     """
     full = _full(members.select("node"), classes, docs, key, text, size)
     schema = StructType([StructField("node", LongType()), StructField("n", LongType()), StructField("h", LongType())])
@@ -276,11 +281,23 @@ def _shared(members: DataFrame, classes: DataFrame, docs: DataFrame, key: str, t
     own = W.partitionBy("node")
     # Shingles that no other set has come first and join with none; the others' places are counted from the end.
     placed = grams.join(common, "h").withColumn("at", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("many", "h")) - 1)
-    kept = stored(placed.where(F.expr(f"at <= n - ({percent} * n + 99) div 100")).join(members, "node").select("node", "root", "n", "h", "at"))
+    rare = stored(placed.where(F.expr(f"at <= n - ({percent} * n + 99) div 100")).select("node", "n", "h", "at"))
+    links, now = None, members
+    while True:
+        kept = rare.join(now, "node")
+        leaders = kept.groupBy("h").agg(F.min_by(F.struct("node", "root", "n"), F.xxhash64("h", "node")).alias("led"))
+        asked = kept.join(leaders, "h").where(f"root <> led.root and 100 * least(n, led.n) >= {percent} * greatest(n, led.n)")
+        new = stored(_agree(asked.select(F.least("node", "led.node").alias("u"), F.greatest("node", "led.node").alias("v")).distinct(), full, percent))
+        if new.isEmpty():
+            break
+        links = new if links is None else links.union(new)
+        ends = new.join(now.toDF("u", "a"), "u").join(now.toDF("v", "b"), "v")
+        joined = components(ends.select(F.col("a").alias("u"), F.col("b").alias("v"))).toDF("root", "to")
+        now = stored(now.join(joined, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
     short = kept.where(F.expr(f"at <= n - ({2 * percent} * n + {99 + percent}) div {100 + percent}"))
     x, y = (d.select("h", *(F.col(c).alias(c + e) for c in ("node", "root", "n", "at"))) for d, e in ((kept, "1"), (short, "2")))
     met = x.join(y, "h").where(f"root1 <> root2 and (n2 < n1 or n2 = n1 and node2 < node1) and 100 * n2 >= {percent} * n1 and {100 + percent} * least(n1 - at1, n2 - at2) >= {percent} * (n1 + n2)")
-    return met.select(F.least("node1", "node2").alias("u"), F.greatest("node1", "node2").alias("v")).distinct()
+    return links, met.select(F.least("node1", "node2").alias("u"), F.greatest("node1", "node2").alias("v")).distinct()
 
 
 def _at(key: str) -> Column:
@@ -340,7 +357,11 @@ def _full(nodes: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text:
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
     """The pairs whose full sets have ``100 * intersection >= percent * union``."""
-    full = _full(pairs.select(F.explode(F.array("u", "v")).alias("node")), classes, docs, key, text, size)
+    return _agree(pairs, _full(pairs.select(F.explode(F.array("u", "v")).alias("node")), classes, docs, key, text, size), percent)
+
+
+def _agree(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sets in ``full(node, hashes)`` have ``100 * intersection >= percent * union``."""
     both = pairs.join(full.select(F.col("node").alias("u"), F.col("hashes").alias("a")), "u").join(full.select(F.col("node").alias("v"), F.col("hashes").alias("b")), "v").select("u", "v", "a", "b")
     out = StructType([StructField("u", LongType()), StructField("v", LongType())])
 
@@ -372,7 +393,9 @@ def groups(docs: DataFrame, key: str, text: str, size: int, percent: int) -> Dat
     near, members = _regions(_entries(grouped, range(TREES)), percent)
     members = stored(members)
     if not members.isEmpty():
-        near = near.union(_shared(members, classes, docs, key, text, size, percent)).distinct()
+        joined, apart = _shared(members, classes, docs, key, text, size, percent)
+        near = near.union(apart).distinct()
+        stars = stars if joined is None else stars.union(joined.toDF("node", "root"))
     more = stored(_confirmed(stored(near), classes, docs, key, text, size, percent))
     member = classes.join(components(stars.toDF("u", "v").union(more)), "node", "left").select("set_key", "id", F.coalesce("root", "node").alias("root"))
     least = member.groupBy("root").agg(F.min("id").alias("component_id"))
