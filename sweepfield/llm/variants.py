@@ -21,7 +21,7 @@ LETTERS = "[A-Za-zÀ-ÿ]+"
 LEAST_LENGTH, LEAST_COUNT, STRONGER = 6, 5, 5
 SLIP = 199
 # A block has about so many entries; a key of more words is split while it leaves more than one place open.
-BLOCK_WORDS, KEY_WORDS = 8192, 2048
+BLOCK_WORDS, KEY_WORDS, TASK_BLOCKS = 8192, 2048, 8
 INDEX_CELLS, CHUNK_WORDS = 1 << 25, 1 << 18
 
 
@@ -144,7 +144,9 @@ def near_words(vocabulary: DataFrame) -> DataFrame:
         a, b = near_pairs(words)
         return pa.table([pa.array([words[i] for i in a], pa.string()), pa.array([words[i] for i in b], pa.string()), pa.array([count[words[i]] for i in b], pa.int64())], names=schema.names)
 
-    return entries.select("word", "n", F.pmod("key", F.lit(blocks)).cast("int").alias("block")).groupBy("block").applyInArrow(block, schema)
+    dealt = entries.select("word", "n", F.pmod("key", F.lit(blocks)).cast("int").alias("block"))
+    # So many tasks that none has more than some blocks, however few bytes they are.
+    return dealt.repartition(-(-blocks // TASK_BLOCKS), "block").groupBy("block").applyInArrow(block, schema)
 
 
 def _roots(forms: DataFrame) -> DataFrame:
