@@ -1,21 +1,27 @@
 """Structured Streaming forms of the mergeable operators.
 
-State is either Spark's own (windows, interval joins, keyed state) or a table
-that each micro-batch is merged into. A restarted batch finds the table of the
-batch before it under its own number, so a retry gives the same result.
+State is either Spark's own (windows, keyed state, timers) or a table that each
+micro-batch is merged into. A restarted batch finds the table of the batch
+before it under its own number, so a retry gives the same result.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import math
+from bisect import bisect_right
 from collections.abc import Iterator
 
+import pandas as pd
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..operators.evidence import ray_evidence
 from ..operators.mapping import first_hit_state, merge_first_hit
+from .tables import BucketedTable
 
 
 class VersionedTable:
@@ -55,50 +61,108 @@ class VersionedTable:
         return self.spark.read.parquet(self._folder(have[-1])) if have else None
 
 
-def stream_first_hit_map(points: DataFrame, dl: float, table: VersionedTable, checkpoint: str,
+def stream_first_hit_map(points: DataFrame, dl: float, table: BucketedTable, checkpoint: str,
                          frame: str = "frame_idx", p_id: str = "id", **trigger):
-    """Incremental first-hit map: each micro-batch is reduced, then merged into the map table."""
+    """Incremental first-hit map: each micro-batch is reduced, then merged into the buckets of the voxels it hits."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        states = first_hit_state(batch, dl, frame, p_id)
-        old = table.before(number)
-        table.write(merge_first_hit(states if old is None else old.unionByName(merge_first_hit(states))), number)
+        table.merge(first_hit_state(batch, dl, frame, p_id), number, merge_first_hit)
 
     return (points.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
 
 
+def whole_frames(points: DataFrame, frame: list[str], ts: str, lateness: str) -> DataFrame:
+    """The points of each frame together, once the watermark has passed the frame's time ``ts``.
+
+    Spark's state holds the points that have come so far, a list for each frame; points that come later
+    than ``lateness`` allows are dropped. ``ts`` is an event-time timestamp, one for all points of a frame.
+    """
+    rest = [c for c in points.columns if c not in (*frame, ts)]
+    held = points.withWatermark(ts, lateness).groupBy(*frame, ts).agg(F.collect_list(F.struct(*rest)).alias("_points"))
+    return held.select(*frame, ts, F.explode("_points").alias("_p")).select(*frame, ts, "_p.*")
+
+
 def stream_ray_evidence(points: DataFrame, poses: DataFrame, map_points: DataFrame, frame: list[str],
-                        theta_dl: float, phi_dl: float, dl: float, table: VersionedTable, checkpoint: str,
-                        map_id: str = "map_id", **trigger):
-    """Ray-evidence counters against a fixed map; a frame must arrive whole within one micro-batch."""
+                        theta_dl: float, phi_dl: float, dl: float, table: BucketedTable, checkpoint: str,
+                        map_id: str = "map_id", ts: str | None = None, lateness: str = "10 seconds", **trigger):
+    """Ray-evidence counters against a fixed map.
+
+    With ``ts`` a frame may arrive in parts, in several micro-batches, and is
+    judged once the watermark has passed it (see :func:`whole_frames`). Without,
+    it must arrive whole within one micro-batch.
+    """
+    frames = points if ts is None else whole_frames(points, frame, ts, lateness).drop(ts)
+
+    def total(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(map_id).agg(F.sum("count").alias("count"), F.sum("prob").alias("prob"))
 
     def add(batch: DataFrame, number: int) -> None:
-        new = ray_evidence(batch, poses, map_points, frame, theta_dl, phi_dl, dl, map_id=map_id)
-        old = table.before(number)
-        both = new if old is None else old.unionByName(new)
-        table.write(both.groupBy(map_id).agg(F.sum("count").alias("count"), F.sum("prob").alias("prob")), number)
+        # The evidence reads its points several times; the state behind them is read once.
+        batch.persist()
+        if not batch.isEmpty():
+            table.merge(ray_evidence(batch, poses, map_points, frame, theta_dl, phi_dl, dl, map_id=map_id), number, total)
+        batch.unpersist()
 
-    return (points.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+    return (frames.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
 
 
-def stream_horizon(frames: DataFrame, by: list[str], ts: str, span_seconds: float,
+class HorizonWindows(StatefulProcessor):
+    """Pending frames of one key; a frame's own event-time timer says that no earlier one is still to come."""
+
+    def __init__(self, schema: StructType, start: float, future: float):
+        self.schema, self.start, self.span = schema, start, future - start
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pending = handle.getListState("pending", StructType([StructField("ts", DoubleType())]))
+
+    def _times(self) -> list[float]:
+        return [r[0] for r in self.pending.get()] if self.pending.exists() else []
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        old = self._times()
+        new = set().union(*(set(r["ts"].tolist()) for r in rows)) - set(old)
+        if new:
+            self.pending.put([(t,) for t in sorted(new.union(old))])
+            for t in new:
+                self.handle.registerTimer(math.ceil(t * 1000))
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """Emit every window that a frame not later than the timer closes, and forget its oldest frame."""
+        times, upto = self._times(), expiredTimerInfo.getExpiryTimeInMs()
+        known = bisect_right(times, upto, key=lambda t: math.ceil(t * 1000))
+        rows, oldest = [], 0
+        while oldest < known and (end := bisect_right(times, times[oldest] + self.span, 0, known)) < known:
+            window = times[oldest:end + 1]
+            aim = window[0] - self.start
+            origin = min(window, key=lambda t: (abs(t - aim), t))
+            rows += [(*key, window[0], origin, t, t - origin) for t in window]
+            oldest += 1
+        if oldest:
+            self.pending.put([(t,) for t in times[oldest:]])
+            yield pd.DataFrame(rows, columns=self.schema.names)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_horizon(frames: DataFrame, by: list[str], ts: str, start: float, future: float,
                    lateness: str = "10 seconds") -> DataFrame:
-    """Pairs (oldest frame, frame up to ``span_seconds`` later): an interval join of the stream with itself.
+    """Frames of each future-horizon window, as ``temporal.horizon_windows`` gives them, once the watermark has passed its closing frame.
 
-    ``ts`` is an event-time timestamp; state is kept for the span plus the lateness.
+    ``ts`` is an event-time timestamp; ``start`` must not be positive, so that a
+    window's origin lies in it. The state of a key is its frames of the last
+    span and lateness. Frames that repeat count once; later ones than the
+    watermark allows are dropped. Needs the RocksDB state store.
     """
-    old = frames.select(*(F.col(k).alias("o_" + k) for k in by), F.col(ts).alias("oldest_ts")).withWatermark("oldest_ts", lateness)
-    new = frames.select(*by, F.col(ts).alias("frame_ts")).withWatermark("frame_ts", lateness)
-    on = [F.col("o_" + k) == F.col(k) for k in by]
-    within = (F.col("frame_ts") >= F.col("oldest_ts")) & (
-        F.col("frame_ts") <= F.col("oldest_ts") + F.expr(f"make_interval(0, 0, 0, 0, 0, 0, {span_seconds})"))
-    cond = within
-    for c in on:
-        cond = cond & c
-    seconds = F.col("frame_ts").cast("double") - F.col("oldest_ts").cast("double")
-    return old.join(new, cond).select(*by, "oldest_ts", "frame_ts", seconds.alias("t"))
+    if start > 0 or future <= start:
+        raise ValueError("start must not be positive, and less than future")
+    schema = StructType([frames.schema[k] for k in by] + [StructField(c, DoubleType()) for c in ("oldest_ts", "origin_ts", "frame_ts", "t")])
+    timed = frames.select(*by, F.col(ts).alias("_event"), F.col(ts).cast("double").alias("ts")).withWatermark("_event", lateness)
+    return timed.groupBy(*by).transformWithStateInPandas(HorizonWindows(schema, start, future), schema, "append", "EventTime")
 
 
 def stream_votes(votes: DataFrame, by: list[str], order: str, values: list[str], smooth: float = 0.95) -> DataFrame:

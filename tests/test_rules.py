@@ -10,6 +10,7 @@ from sweepfield.operators.temporal import asof_bracket, drop_near_duplicates
 from sweepfield.runtime import one_row, shared_root
 from sweepfield.sources.ply import encode, read_ply
 from sweepfield.streaming import jobs
+from sweepfield.streaming.tables import BucketedTable
 
 
 def packed(sizes, limit):
@@ -62,6 +63,54 @@ def test_votes_over_several_micro_batches(spark, tmp_path):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
 
 
+def test_horizon_stream_equals_the_batch_windows(spark, tmp_path):
+    """Frames out of order within the lateness, repeated ones, a gap, and two keys; one file a micro-batch."""
+    from sweepfield.bindings.stream_queries import _drain, _rocksdb
+    from sweepfield.operators.temporal import horizon_windows
+
+    rows = [(k, t + 0.125 * k) for k in (1, 2) for t in [*range(0, 40, 2), *range(90, 120), 100, 100]]
+    for b in range(4):
+        part = [r for r in rows if (r[1] + 3 * (r[0] % 2)) // 32 == b] + [(3, 500.0)] * (b == 3)
+        spark.createDataFrame(part[::-1], "session long, t double").selectExpr("session", "timestamp_micros(cast(t * 1000000 as long)) AS ts").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("session long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    with _rocksdb(spark):
+        out = _drain(spark, jobs.stream_horizon(stream, ["session"], "ts", -4.0, 8.0, "5 seconds"))
+    want = horizon_windows(spark.createDataFrame(rows, "session long, t double"), ["session"], "t", -4.0, 8.0)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect())) and want.count() > 100
+    with pytest.raises(ValueError):
+        jobs.stream_horizon(stream, ["session"], "ts", 1.0, 8.0)
+
+
+def test_bucketed_table_rewrites_what_a_batch_touches(spark, tmp_path):
+    target = BucketedTable(spark, str(tmp_path / "t"), ["k"], buckets=16)
+
+    def total(rows):
+        return rows.groupBy("k").agg(F.sum("n").alias("n"))
+
+    def batch(*keys):
+        return spark.createDataFrame([(k, 1) for k in keys], "k long, n long")
+
+    assert target.latest() is None
+    first = target.merge(batch(*range(200)), 0, total)
+    assert first["touched"] == 16
+    second = target.merge(batch(5, 5), 3, total)
+    assert second["touched"] == 1 and second["bytes"] < first["bytes"] / 4
+    once = sorted(map(tuple, target.latest().collect()))
+    assert once == [(k, 3 if k == 5 else 1) for k in range(200)]
+    # A batch that failed after writing its files, or that is run again, changes nothing.
+    (tmp_path / "t/data/000000000004/bucket=0").mkdir(parents=True)
+    target.merge(batch(5, 5), 3, total)
+    assert sorted(map(tuple, target.latest().collect())) == once
+    target.merge(batch(7, 500), 4, total)
+    target.merge(batch(7), 5, total)
+    assert [h["number"] for h in target.history()] == [4, 5]
+    got = {r.k: r.n for r in target.latest().collect()}
+    assert len(got) == 201 and (got[5], got[7], got[500]) == (3, 3, 1)
+    folders = {int(n): set(target.files.names(f"data/{n}")) for n in target.files.names("data")}
+    named = {(b, n) for h in target.history() for b, n in h["buckets"].items()}
+    assert {(x.split("=")[1], n) for n, names in folders.items() for x in names if "=" in x} == named
+
+
 def test_a_second_row_is_refused(spark):
     two = spark.createDataFrame([(1,), (2,)], "a int")
     assert [r.a for r in one_row(two.where("a = 1"), "offset").collect()] == [1] and one_row(two.where("false"), "offset").count() == 0
