@@ -186,6 +186,17 @@ def votes_quantised(spark, sf):
     return rounded(sc.folded_votes(votes(spark, sf), ["pid"], "event_id", ["p1", "p2"], 0.5, quantised=True), "p1", "p2")
 
 
+@query("votes_aligned", """WITH RECURSIVE v AS (SELECT user_id AS pid, value/500-0.3*(event_id%2) AS p1, 0.1+value/1000-0.2*(event_id%2) AS p2, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+r AS (SELECT pid, i, p1::DOUBLE AS s1, p2::DOUBLE AS s2 FROM v WHERE i=1 UNION ALL
+ SELECT v.pid, v.i, 0.8::DOUBLE*s1+0.2::DOUBLE*p1*g, 0.8::DOUBLE*s2+0.2::DOUBLE*p2*g FROM r JOIN (SELECT *, 1 AS one FROM v) v ON v.pid=r.pid AND v.i=r.i+1 CROSS JOIN LATERAL (SELECT CASE WHEN s1*p1+s2*p2 < 0 THEN -1.0::DOUBLE ELSE 1.0 END AS g))
+SELECT pid, round(arg_max(s1,i),6) AS p1, round(arg_max(s2,i),6) AS p2, max(i) AS votes FROM r GROUP BY pid""")
+def votes_aligned(spark, sf):
+    """Vectors of which every other one points away, some beyond 45 degrees."""
+    turned = F.col("event_id") % 2
+    v = table(spark, sf, "events").select(F.col("user_id").alias("pid"), "event_id", (F.col("value") / 500 - 0.3 * turned).alias("p1"), (0.1 + F.col("value") / 1000 - 0.2 * turned).alias("p2"))
+    return rounded(sc.folded_votes(v, ["pid"], "event_id", ["p1", "p2"], 0.8, align_sign=True), "p1", "p2")
+
+
 @query("votes_class", VOTES + """, s AS (SELECT pid, sum(p1*0.5*pow(0.5,rn-1)) AS p1, sum(p2*0.5*pow(0.5,rn-1)) AS p2 FROM v GROUP BY pid)
 SELECT pid, CAST(CASE WHEN p1<=0 AND p2<=0 THEN 0 WHEN p1>=p2 THEN 1 ELSE 2 END AS BIGINT) AS pred FROM s""")
 def votes_class(spark, sf):

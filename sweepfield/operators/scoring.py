@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import balance_factor, col
+from ..runtime import checkpointed
 from .scans import numbered
 
 EPS = 1e-6
@@ -244,13 +245,116 @@ def mean_votes(votes: DataFrame, by: list[str], values: list[str]) -> DataFrame:
 
 
 def folded_votes(votes: DataFrame, by: list[str], order: str, values: list[str], smooth: float = 0.95,
-                 quantised: bool = False, align_sign: bool = False) -> DataFrame:
-    """Vote smoothing that truly depends on order, streamed over sorted rows.
+                 quantised: bool = False, align_sign: bool = False, chunk: Column | None = None) -> DataFrame:
+    """Vote smoothing in which each step depends on the state so far.
 
-    ``quantised`` stores the state as bytes between votes (truncated);
-    ``align_sign`` flips a new vector that points away from the state, and a
-    first vote is then taken as it is. Memory is one vote per key.
+    ``quantised`` stores the state as bytes between votes (truncated; votes lie
+    between 0 and 1); ``align_sign`` flips a new vector that points away from the
+    state, and a first vote is then taken as it is. ``chunk`` (by default 1024
+    units of ``order``) must rise with ``order``; chunks of a key are separate tasks.
+
+    With both, and for keys whose aligned votes leave 45 degrees around their
+    first one, every sign truly hangs on all votes before it: those are folded in
+    order, a key in one task with one vote in memory.
+    """
+    step = chunk if chunk is not None else F.floor(F.col(order) / 1024).cast("long")
+    if quantised and not align_sign:
+        return _byte_votes(votes, by, order, values, smooth, step)
+    if align_sign and not quantised:
+        return _aligned_votes(votes, by, order, values, smooth, step)
+    if not align_sign:
+        return smoothed_votes(votes, by, order, values, smooth, step)
+    return _votes_in_order(votes, by, order, values, smooth, quantised, align_sign)
+
+
+def compose_runs(maps: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The maps of each run of equal ``run`` numbers applied one after the other, and where the runs start.
+
+    ``maps[i, v]`` takes a state 0-255 to the next one. Neighbours are joined in
+    pairs, so a run of n maps takes log n steps.
     """
+    starts = np.flatnonzero(np.diff(run, prepend=run[:1] - 1))
+    place = np.arange(len(run)) - np.repeat(starts, np.diff(starts, append=len(run)))
+    while place.any():
+        left = place % 2 == 0
+        paired = left & np.append(run[1:] == run[:-1], False)
+        joined = maps[left]
+        joined[paired[left]] = np.take_along_axis(maps[1:][paired[:-1]], maps[paired].astype(np.intp), axis=2)
+        maps, run, place = joined, run[left], place[left] // 2
+    return maps, starts
+
+
+def _runs(batch: pd.DataFrame) -> np.ndarray:
+    """Numbers of the stretches of rows that are equal in all columns (null equals null)."""
+    before = batch.shift()
+    return ((batch != before) & ~(batch.isna() & before.isna())).any(axis=1).to_numpy().cumsum()
+
+
+def _byte_votes(votes: DataFrame, by: list[str], order: str, values: list[str], smooth: float, step: Column) -> DataFrame:
+    """Each chunk of a key becomes a map from the 256 states it may be entered in to those it leaves; the maps of a key are joined."""
+    width, rows = len(values), 512
+    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in votes.select(*by).schema)
+
+    def to_maps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, states = 0, np.arange(256) / 255
+        for whole in batches:
+            for a in range(0, len(whole), rows):
+                b = whole.iloc[a:a + rows]
+                new = b[list(values)].to_numpy(float)
+                if not ((new >= 0) & (new <= 1)).all():
+                    raise ValueError("quantised votes lie between 0 and 1")
+                maps = np.floor((smooth * states + (1 - smooth) * new[:, :, None]) * 255).astype(np.uint8)
+                maps, starts = compose_runs(maps, _runs(b[[*by, "_chunk"]]))
+                out = b[[*by, "_chunk"]].iloc[starts].copy()
+                out["_part"], out["_map"], out["_n"] = np.arange(part, part + len(starts)), [m.tobytes() for m in maps], np.diff(starts, append=len(b))
+                part += len(starts)
+                yield out
+
+    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for whole in batches:
+            for a in range(0, len(whole), rows):
+                b = whole.iloc[a:a + rows]
+                b = b if held is None else pd.concat([held, b], ignore_index=True)
+                run = _runs(b[by])
+                maps, starts = compose_runs(np.frombuffer(b"".join(b["_map"]), np.uint8).reshape(len(b), width, 256), run)
+                done = b[by].iloc[starts].copy()
+                done["_map"], done["_n"] = [m.tobytes() for m in maps], np.add.reduceat(b["_n"].to_numpy(), starts)
+                held = done.iloc[-1:]
+                yield left(done.iloc[:-1])
+        if held is not None:
+            yield left(held)
+
+    def left(done: pd.DataFrame) -> pd.DataFrame:
+        """Keys, the state that 0 leads to, and the number of votes."""
+        states = np.frombuffer(b"".join(done["_map"]), np.uint8).reshape(len(done), width, 256)[:, :, 0] / 255
+        return pd.concat([done[by].reset_index(drop=True), pd.DataFrame(states, columns=list(values)), done[["_n"]].reset_index(drop=True)], axis=1).set_axis([*by, *values, "votes"], axis=1)
+
+    ordered = votes.select(*by, order, *values, step.alias("_chunk")).repartition(*by, "_chunk").sortWithinPartitions(*by, "_chunk", order)
+    maps = ordered.mapInPandas(to_maps, f"{keys}, _chunk long, _part long, _map binary, _n long")
+    cells = "".join(f", {v} double" for v in values)
+    return maps.repartition(*by).sortWithinPartitions(*by, "_chunk", "_part").mapInPandas(joined, f"{keys}{cells}, votes long")
+
+
+def _aligned_votes(votes: DataFrame, by: list[str], order: str, values: list[str], smooth: float, step: Column) -> DataFrame:
+    """Votes within 45 degrees of the line of a key's first vote: that vote gives all signs, and the state is one weighted sum."""
+    first = votes.groupBy(*by).agg(F.min(order).alias("_o"), F.min_by(F.struct(*values), order).alias("_f"))
+    ranked = numbered(votes.withColumn("_neg", -F.col(order)), by, ["_neg"], -step).join(first, by)
+
+    def dot(x: list[Column], y: list[Column]) -> Column:
+        return sum((a * b for a, b in zip(x[1:], y[1:])), x[0] * y[0])
+
+    v, f = [F.col(c) for c in values], [F.col("_f")[c] for c in values]
+    along = dot(v, f)
+    inside = (dot(f, f) > 0) & (F.abs(along) >= 0.70711 * F.sqrt(dot(v, v) * dot(f, f)))
+    share = F.pow(F.lit(float(smooth)), F.col("rn") - 1) * F.when(F.col(order) == F.col("_o"), 1.0).otherwise(1 - smooth)
+    signed = share * F.when(along < 0, -1.0).otherwise(1.0)
+    out = checkpointed(ranked.groupBy(*by).agg(*(F.sum(F.col(c) * signed).alias(c) for c in values), F.count(F.lit(1)).alias("votes"), F.min(inside).alias("_plain")))
+    odd = votes.join(out.where("not _plain").select(*by), by, "left_semi")
+    return out.where("_plain").drop("_plain").unionByName(_votes_in_order(odd, by, order, values, smooth, False, True))
+
+
+def _votes_in_order(votes: DataFrame, by: list[str], order: str, values: list[str], smooth: float, quantised: bool, align_sign: bool) -> DataFrame:
     spec = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in votes.select(*by).schema)
     spec += "".join(f", {v} double" for v in values) + ", votes long"
     columns = [*by, *values, "votes"]

@@ -11,6 +11,7 @@ import math
 from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 
 from pyspark.sql import DataFrame, SparkSession
@@ -172,11 +173,10 @@ def stream_votes(votes: DataFrame, by: list[str], order: str, values: list[str],
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         old = list(state.get) if state.exists else [0.0] * len(values) + [0]
-        rows = pd.concat(list(batches)).sort_values(order)
-        p, n = old[:-1], old[-1]
-        for new in rows[list(values)].to_numpy(float):
-            p = [smooth * a + (1 - smooth) * b for a, b in zip(p, new)]
-            n += 1
+        new = pd.concat(list(batches)).sort_values(order)[list(values)].to_numpy(float)
+        # The recursion over a micro-batch is one weighted sum.
+        weight = (1 - smooth) * smooth ** np.arange(len(new) - 1, -1, -1.0)
+        p, n = smooth ** len(new) * np.array(old[:-1]) + weight @ new, old[-1] + len(new)
         state.update((*map(float, p), int(n)))
         yield pd.DataFrame([(*key, *p, n)], columns=[*by, *values, "votes"])
 

@@ -230,3 +230,50 @@ def test_attentive_and_slices(spark):
     pose = spark.createDataFrame([(0, *[0.0] * 6, 1.0, 4.0, *[0.0] * 5, 1.0, 0.0, 8.0)], "f int, px0 double, py0 double, pz0 double, qx0 double, qy0 double, qz0 double, qw0 double, px1 double, py1 double, pz1 double, qx1 double, qy1 double, qz1 double, qw1 double, phi0 double, phi1 double")
     at = temporal.slice_poses(cut, pose, ["f"]).orderBy("slice").toPandas()
     assert len(at) == 4 and at.t0.is_monotonic_increasing
+
+
+def fold_in_order(rows, smooth, quantised=False, align=False):
+    state = {}
+    for pid, _, *new in sorted(rows, key=lambda r: r[1]):
+        new, p = np.array(new), state.get(pid)
+        p = (new if align else np.zeros(len(new))) if p is None else p
+        new = -new if align and p @ new < 0 else new
+        p = smooth * p + (1 - smooth) * new
+        state[pid] = np.floor(p * 255) / 255 if quantised else p
+    return state
+
+
+def test_byte_votes_of_a_hot_key_over_many_chunks(spark):
+    rng = np.random.default_rng(6)
+    rows = [("hot" if i % 3 else f"k{i % 50}", i, *map(float, rng.uniform(0, 1, 2))) for i in range(4000)] + [(None, 5000, 0.5, 1.0)]
+    df = spark.createDataFrame(rows, "pid string, o long, p double, q double").repartition(5)
+    got = scoring.folded_votes(df, ["pid"], "o", ["p", "q"], 0.9, quantised=True, chunk=F.floor(F.col("o") / 100).cast("long")).collect()
+    want = fold_in_order(rows, 0.9, quantised=True)
+    assert {r.pid: (r.p, r.q) for r in got} == {k: tuple(v) for k, v in want.items()}
+    assert {r.pid: r.votes for r in got}["hot"] == sum(r[0] == "hot" for r in rows)
+    with pytest.raises(Exception, match="between 0 and 1"):
+        scoring.folded_votes(df.withColumn("p", F.col("p") + 1), ["pid"], "o", ["p"], 0.9, quantised=True).collect()
+
+
+def test_aligned_votes_inside_and_outside_the_cone(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(3000):
+        near = np.array([1.0, 0.2, 0.1]) + rng.normal(0, 0.1, 3)
+        rows += [("hot", i, *map(float, near * rng.choice([-1, 1]))), (f"odd{i % 20}", i, *map(float, rng.normal(0, 1, 3))), (f"few{i}", i, *map(float, rng.normal(0, 1, 3)))]
+    rows += [("zero", 0, 0.0, 0.0, 0.0), ("zero", 1, -1.0, 0.0, 0.0), ("zero", 2, 1.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "pid string, o long, a double, b double, c double").repartition(5)
+    got = scoring.folded_votes(df, ["pid"], "o", ["a", "b", "c"], 0.7, align_sign=True, chunk=F.floor(F.col("o") / 100).cast("long")).collect()
+    want = fold_in_order(rows, 0.7, align=True)
+    assert len(got) == len(want) and all(np.allclose([r.a, r.b, r.c], want[r.pid], atol=1e-9) for r in got)
+
+
+def test_composed_runs_equal_one_after_another():
+    rng = np.random.default_rng(8)
+    maps, run = rng.integers(0, 256, (57, 3, 256)).astype(np.uint8), np.sort(rng.integers(0, 9, 57))
+    got, starts = scoring.compose_runs(maps, run)
+    for m, a, b in zip(got, starts, [*starts[1:], len(run)]):
+        want = np.tile(np.arange(256), (3, 1))
+        for i in range(a, b):
+            want = np.take_along_axis(maps[i], want, axis=1)
+        assert (m == want).all()
