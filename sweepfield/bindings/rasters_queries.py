@@ -38,8 +38,8 @@ def raster_grid_visibility(spark, sf):
 CLOUD = """cl AS (SELECT l_suppkey%8 AS grp, (l_quantity-25.5)/10 AS x, (l_discount-0.05)*40+0.013 AS y, (l_tax*100-2)*0.11 AS t, 2+l_linenumber%3 AS classif FROM lineitem)"""
 
 
-def cloud(spark, sf):
-    return table(spark, sf, "lineitem").select((F.col("l_suppkey") % 8).alias("grp"), ((F.col("l_quantity") - 25.5) / 10).alias("x"),
+def cloud(spark, sf, where=F.lit(True)):
+    return table(spark, sf, "lineitem").where(where).select((F.col("l_suppkey") % 8).alias("grp"), ((F.col("l_quantity") - 25.5) / 10).alias("x"),
                                                ((F.col("l_discount") - 0.05) * 40 + 0.013).alias("y"), ((F.col("l_tax") * 100 - 2) * 0.11).alias("t"),
                                                (2 + F.col("l_linenumber") % 3).alias("classif"))
 
@@ -95,6 +95,48 @@ def raster_cell_errors_bce(spark, sf):
     return rounded(ra.cell_errors(c, ["t"], ["a"], error="bce").select("t", "a_all"), "a_all")
 
 
+# Prediction and truth: the clouds of even and of odd orders. The SQL makes every node of the grid.
+HALVES = ", ".join(f"{name} AS ({OCCUPANCY.replace('FROM lineitem)', f'FROM lineitem WHERE l_orderkey % 2 = {odd})')} SELECT * FROM oc)" for name, odd in (("pr", 0), ("tr", 1)))
+DENSE = f"""WITH {HALVES}, al AS (SELECT g.grp, t.t_idx, i AS px, j AS py FROM (SELECT DISTINCT grp FROM pr UNION SELECT grp FROM tr) g, (SELECT unnest(range(9)) AS t_idx) t, (SELECT unnest(range(16)) AS i), (SELECT unnest(range(16)) AS j)),
+dn AS (SELECT al.grp, al.t_idx, coalesce(pr.still,0) AS ps, coalesce(pr.short_t,0) AS pm, coalesce(tr.still,0) AS gs, coalesce(tr.short_t,0) AS gm FROM al
+ LEFT JOIN pr ON pr.grp=al.grp AND pr.t_idx=al.t_idx AND pr.px=al.px AND pr.py=al.py LEFT JOIN tr ON tr.grp=al.grp AND tr.t_idx=al.t_idx AND tr.px=al.px AND tr.py=al.py)"""
+HALF_ERRORS = """ SELECT grp, t_idx, round(100*avg(abs({s}-gs))+1e-9,6) AS still_all, round(100*sum(abs({s}-gs)*({s}+{m}>0.1)::INT)/(sum(({s}+{m}>0.1)::INT)+1e-9)+1e-9,6) AS still_fp, round(100*sum(abs({s}-gs)*(gs+gm>0.01)::INT)/(sum((gs+gm>0.01)::INT)+1e-9)+1e-9,6) AS still_fn,
+ round(100*avg(abs({m}-gm))+1e-9,6) AS short_t_all, round(100*sum(abs({m}-gm)*({s}+{m}>0.1)::INT)/(sum(({s}+{m}>0.1)::INT)+1e-9)+1e-9,6) AS short_t_fp, round(100*sum(abs({m}-gm)*(gs+gm>0.01)::INT)/(sum((gs+gm>0.01)::INT)+1e-9)+1e-9,6) AS short_t_fn FROM dn GROUP BY ALL"""
+
+
+def _off_ties(df, *names):
+    """Rounded after a tiny step: means of eighths fall on ties, where the order of additions would show."""
+    return rounded(df.withColumns({n: F.col(n) + 1e-9 for n in names}), *names)
+
+
+def halves(spark, sf):
+    return [ra.future_occupancy(cloud(spark, sf, F.col("l_orderkey") % 2 == odd), ["grp"], 3, 0.6, 6, 2.0, 0.25) for odd in (0, 1)]
+
+
+def _half_errors(spark, sf, logits):
+    cells = ra.aligned_grids(*halves(spark, sf), ["grp", "t_idx", "px", "py"], ["still", "short_t"])
+    out = ra.cell_errors(cells, ["grp", "t_idx"], ["still", "short_t"], logits=logits, nodes=ra.grid_nodes(2.0, 0.25))
+    return longs(_off_ties(out, *(f"{a}_{k}" for a in ("still", "short_t") for k in ("all", "fp", "fn"))), "t_idx")
+
+
+@query("raster_sparse_errors", DENSE + HALF_ERRORS.format(s="ps", m="pm"))
+def raster_sparse_errors(spark, sf):
+    """Means over every node of the grid, from the touched ones and their number."""
+    return _half_errors(spark, sf, False)
+
+
+@query("raster_sparse_errors_logits", DENSE + HALF_ERRORS.format(s="(1/(1+exp(-ps)))", m="(1/(1+exp(-pm)))"))
+def raster_sparse_errors_logits(spark, sf):
+    """An untouched node is a prediction of one half here, so it counts in every mean."""
+    return _half_errors(spark, sf, True)
+
+
+@query("raster_sparse_means", DENSE + " SELECT grp, t_idx, round(avg(ps)+1e-9,6) AS still, round(avg(pm)+1e-9,6) AS short_t FROM dn GROUP BY ALL")
+def raster_sparse_means(spark, sf):
+    out = ra.grid_means(halves(spark, sf)[0], ["grp", "t_idx"], ["still", "short_t"], ra.grid_nodes(2.0, 0.25)).drop("touched")
+    return longs(_off_ties(out, "still", "short_t"), "t_idx")
+
+
 DISC = "ds AS (SELECT a.i AS i, b.i AS j, pow(1-sqrt(a.i*a.i+b.i*b.i)*0.25/0.75,3) AS w FROM (SELECT generate_series AS i FROM generate_series(-3,3)) a, (SELECT generate_series AS i FROM generate_series(-3,3)) b WHERE 1-sqrt(a.i*a.i+b.i*b.i)*0.25/0.75 > 0)"
 HYST = "CASE WHEN {c}<=0.05 THEN 0 WHEN {c}<0.08 THEN {c}*pow(1-pow(({c}-0.08)/0.03,2),2) ELSE {c} END"
 

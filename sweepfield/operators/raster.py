@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import (Plane, cell, lift_positive, logit_cross_entropy, plane_distance, sigmoid,
                                   soft_hysteresis, xyz)
 from ..runtime import checkpointed
 from ..schema import LONG_T, SHORT_T, STILL
-from .neighbors import grid_node_pairs
+from .neighbors import grid_node_pairs, grid_side
 from .scans import prefix_scan, running
 from .shape import convolve
 
@@ -152,28 +152,60 @@ def merged_target(grid: DataFrame, by: list[str], reference: int = 0) -> DataFra
 # --- prediction errors -------------------------------------------------------
 
 
+def grid_nodes(half_width: float, dl: float) -> int:
+    """How many nodes a square grid has, touched or not."""
+    return grid_side(half_width, dl) ** 2
+
+
+def grid_means(grid: DataFrame, by: list[str], channels: list[str], nodes: int) -> DataFrame:
+    """Mean of each channel over all ``nodes`` of a group's grid, of which ``grid`` holds those that are not zero."""
+    return grid.groupBy(*by).agg(*((F.sum(c) / nodes).alias(c) for c in channels), F.count(F.lit(1)).alias("touched"))
+
+
+def aligned_grids(pred: DataFrame, truth: DataFrame, keys: list[str], channels: list[str]) -> DataFrame:
+    """Cells that either of two sparse grids has, as ``cell_errors`` wants them; a value that is absent is 0."""
+    p = pred.select(*keys, *(F.col(c).alias("p_" + c) for c in channels))
+    g = truth.select(*keys, *(F.col(c).alias("g_" + c) for c in channels))
+    return p.join(g, keys, "full").fillna(0.0, [w + c for w in ("p_", "g_") for c in channels])
+
+
 def cell_errors(cells: DataFrame, by: list[str], channels: list[str], logits: bool = True,
-                error: str = "linear") -> DataFrame:
+                error: str = "linear", nodes: int | None = None) -> DataFrame:
     """Mean error per time layer and channel: over all cells, over predicted and over true ones.
 
     ``cells`` has one row per cell with ``p_<channel>`` and ``g_<channel>``.
     ``fp`` averages where the predictions sum to more than 0.1, ``fn`` where
     the truth sums to more than 0.01. All are in percent.
+
+    ``nodes`` says how many cells the grid of each group has: those without a
+    row count with ``p`` and ``g`` of 0, as if they were there. A probability of
+    0 has no logit, so cross entropy then wants logits.
     """
-    p = {c: sigmoid("p_" + c) if logits else F.col("p_" + c) for c in channels}
-    p_sum = sum((p[c] for c in channels[1:]), p[channels[0]])
-    g_sum = sum((F.col("g_" + c) for c in channels[1:]), F.col("g_" + channels[0]))
-    masked = cells.withColumns({"_fp": (p_sum > 0.1).cast("double"), "_fn": (g_sum > 0.01).cast("double")})
-    aggs = []
-    for c in channels:
+    if nodes is not None and error == "bce" and not logits:
+        raise ValueError("cross entropy over untouched cells needs logits")
+
+    def read(column) -> tuple[dict[str, Column], dict[str, Column], Column, Column]:
+        """Predictions, errors and the two masks of a cell whose values ``column(name)`` gives."""
+        raw = {c: column("p_" + c) for c in channels}
+        g = {c: column("g_" + c) for c in channels}
+        p = {c: sigmoid(v) if logits else v for c, v in raw.items()}
         if error == "bce":
-            logit = F.col("p_" + c) if logits else F.log(F.col("p_" + c) / (1 - F.col("p_" + c)))
-            e = logit_cross_entropy(logit, "g_" + c)
+            e = {c: logit_cross_entropy(raw[c] if logits else F.log(raw[c] / (1 - raw[c])), g[c]) for c in channels}
         else:
-            e = F.abs(p[c] - F.col("g_" + c))
-        aggs += [(100 * F.avg(e)).alias(c + "_all"),
-                 (100 * F.sum(e * F.col("_fp")) / (F.sum("_fp") + 1e-9)).alias(c + "_fp"),
-                 (100 * F.sum(e * F.col("_fn")) / (F.sum("_fn") + 1e-9)).alias(c + "_fn")]
+            e = {c: F.abs(p[c] - g[c]) for c in channels}
+        p_sum, g_sum = (sum((v[c] for c in channels[1:]), v[channels[0]]) for v in (p, g))
+        return p, e, (p_sum > 0.1).cast("double"), (g_sum > 0.01).cast("double")
+
+    _, e, fp, fn = read(F.col)
+    _, e0, fp0, fn0 = read(lambda name: F.lit(0.0))
+    holes = F.lit(0) if nodes is None else F.lit(nodes) - F.count(F.lit(1))
+    masked = cells.withColumns({"_fp": fp, "_fn": fn})
+    aggs = []
+    for c in channels:
+        aggs.append((100 * (F.sum(e[c]) + holes * e0[c]) / (F.count(F.lit(1)) + holes)).alias(c + "_all"))
+        for name, mask, mask0 in (("fp", "_fp", fp0), ("fn", "_fn", fn0)):
+            total = F.sum(e[c] * F.col(mask)) + holes * mask0 * e0[c]
+            aggs.append((100 * total / (F.sum(mask) + holes * mask0 + 1e-9)).alias(f"{c}_{name}"))
     return masked.groupBy(*by).agg(*aggs)
 
 

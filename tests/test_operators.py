@@ -277,3 +277,19 @@ def test_composed_runs_equal_one_after_another():
         for i in range(a, b):
             want = np.take_along_axis(maps[i], want, axis=1)
         assert (m == want).all()
+
+
+@pytest.mark.parametrize("logits,error", [(False, "linear"), (True, "linear"), (True, "bce")])
+def test_errors_of_a_sparse_grid_equal_those_of_the_dense_one(spark, logits, error):
+    from sweepfield.operators import raster
+
+    rng = np.random.default_rng(9)
+    sparse = {(k, int(i)): [float(v) for v in rng.uniform(0, 1, 4)] for k in range(3) for i in rng.choice(40, 7 * k + 1, replace=False)}
+    rows = [(k, i, *sparse.get((k, i), [0.0] * 4)) for k in range(3) for i in range(40)]
+    schema = "k long, i long, p_a double, p_b double, g_a double, g_b double"
+    dense = raster.cell_errors(spark.createDataFrame(rows, schema), ["k"], ["a", "b"], logits, error)
+    some = raster.cell_errors(spark.createDataFrame([(*key, *v) for key, v in sparse.items()], schema), ["k"], ["a", "b"], logits, error, nodes=40)
+    for x, y in zip(*(sorted(map(tuple, d.collect())) for d in (dense, some))):
+        assert np.allclose(x, y, atol=1e-6)
+    with pytest.raises(ValueError):
+        raster.cell_errors(dense, ["k"], ["a"], False, "bce", nodes=3)
