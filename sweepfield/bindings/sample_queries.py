@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..operators import mesh
 from ..operators import sampling as sa
+from ..operators.selection import lowest, ranked
 from ..plans import samples
 from .registry import LATTICE, VECTORS, lattice, longs, query, r6, table, vectors
 
@@ -34,9 +35,19 @@ def sample_class_balanced(spark, sf):
     return longs(sa.balanced_lowest(items(spark, sf), 1000, 5), "rank").select("id", "label", "rank")
 
 
-@query("sample_balanced_epoch")
+@query("sample_balanced_epoch", """SELECT id, label, potential, rank FROM (SELECT id, label, potential, row_number() OVER (ORDER BY id*7919 % 10007, id) AS rank FROM
+ (SELECT o_orderkey AS id, o_orderpriority AS label, o_totalprice AS potential, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey) AS r FROM orders) WHERE r <= 201) WHERE rank <= 1000""")
 def sample_balanced_epoch(spark, sf):
-    return sa.balanced_epoch(items(spark, sf), 1000, 5, 11)
+    """Drawn by a key that SQL can form; its place in the epoch is the rank."""
+    drawn = sa.balanced_epoch(items(spark, sf), 1000, 5, 11, key=F.col("id") * 7919 % 10007)
+    return ranked(drawn, [F.col("id") * 7919 % 10007, "id"]).select("id", "label", "potential", "rank")
+
+
+@query("sample_largest_orders", "SELECT o_orderkey AS id, o_totalprice AS price FROM (SELECT *, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS r, count(*) OVER () AS n FROM orders) WHERE r <= n // 3")
+def sample_largest_orders(spark, sf):
+    """The dearer third: a k that grows with the table."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"))
+    return lowest(o, o.count() // 3, -F.col("price"), ["id"])
 
 
 @query("sample_to_cap", f"WITH {LATTICE} SELECT session, frame, least(count(*), 2) AS n FROM pts GROUP BY ALL")

@@ -13,6 +13,7 @@ from ..runtime import checkpointed, one_row
 from .filters import vertical_normals
 from .neighbors import proximity
 from .scans import top_k
+from .selection import group_quantile
 from .shape import fit_planes
 from .voxels import VOXEL
 
@@ -100,7 +101,7 @@ def ground_height(points: DataFrame, by: list[str], band: float = 0.05) -> DataF
     """Median z of the points within ``band`` of the lowest one."""
     low = points.groupBy(*by).agg(F.min("z").alias("_z0"))
     near = points.join(low, by).where(F.col("z") < F.col("_z0") + band)
-    return near.groupBy(*by).agg(F.percentile("z", 0.5).alias("ground_z"))
+    return group_quantile(near, by, "z", 0.5, "ground_z")
 
 
 # --- segmentation ------------------------------------------------------------

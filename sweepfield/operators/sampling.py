@@ -11,6 +11,7 @@ from ..functions.geometry import Vec, XYZ, xyz
 from ..functions.hashed import gaussian, shuffle_key, uniform, uniform_between
 from ..functions.rigid import axis_angle
 from .scans import greedy_chain, numbered, prefix_scan, running, top_k
+from .selection import lowest, lowest_of_groups
 from .temporal import asof_bracket
 
 
@@ -19,7 +20,8 @@ def time_order(frames: DataFrame, by: list[str], t: str, tie: list[str] = ()) ->
 
 
 def lowest_potential(items: DataFrame, k: int, potential: str = "potential", item: str = "id") -> DataFrame:
-    return items.orderBy(potential, item).limit(k)
+    """The ``k`` items of lowest potential, equal ones by lowest id; in no order."""
+    return lowest(items, k, F.col(potential), [item])
 
 
 def raise_potential(items: DataFrame, chosen: DataFrame, seed: int, potential: str = "potential",
@@ -43,9 +45,14 @@ def shuffled(items: DataFrame, seed: int, item: str = "id", key: Column | None =
 
 
 def balanced_epoch(items: DataFrame, n: int, classes: int, seed: int, label: str = "label",
-                   potential: str = "potential", item: str = "id") -> DataFrame:
-    """Class-balanced choice, shuffled and cut to ``n``."""
-    return shuffled(balanced_lowest(items, n, classes, label, potential, item), seed, item).limit(n)
+                   potential: str = "potential", item: str = "id", key: Column | None = None) -> DataFrame:
+    """Class-balanced choice, cut to the first ``n`` of an order drawn by hash (or that of a numeric ``key``), in that order.
+
+    Both cuts are made by value, so no task holds the items of a class or the epoch.
+    """
+    draw = shuffle_key(seed, item) if key is None else key
+    chosen = lowest_of_groups(items, label, n // classes + 1, potential, item)
+    return lowest(chosen, n, draw, [draw, item]).orderBy(draw, item)
 
 
 def sample_to_cap(points: DataFrame, by: list[str], cap: int, seed: int, item: str = "id") -> DataFrame:

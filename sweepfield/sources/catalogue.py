@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.scoring import class_iou, confusion
+from ..storage import Files
 from .ply import decode_files, list_files, path_session, path_stamp
 
 
@@ -45,16 +48,36 @@ def not_done(work: DataFrame, manifest: DataFrame, keys: list[str]) -> DataFrame
     return work.join(manifest.select(*keys), keys, "left_anti")
 
 
-def latest_map(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
-    """Newest version of a map table (partitioned by ``version``)."""
-    versions = spark.read.parquet(path)
-    newest = versions.agg(F.max("version")).first()[0]
-    return versions.where(F.col("version") == newest).drop("version"), int(newest)
+def map_versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the published versions, oldest first."""
+    return sorted(int(n.split("=")[1]) for n in Files(spark, path).names() if n.startswith("version="))
 
 
-def write_map_version(points: DataFrame, path: str, version: int) -> None:
-    """Add a version; older ones stay."""
-    points.withColumn("version", F.lit(version)).write.mode("append").partitionBy("version").parquet(path)
+def latest_map(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """Newest version of a map table (partitioned by ``version``)."""
+    newest = map_versions(spark, path)[-1]
+    return spark.read.parquet(f"{path}/version={newest}"), newest
+
+
+def write_map_version(points: DataFrame, path: str, version: int) -> bool:
+    """Add a version; older ones stay.
+
+    The files are written to a staging folder, which readers of ``path`` do not
+    see, and published by one rename. A version that is there already stays as it
+    is, so a job that is run again changes nothing; the answer says whether this
+    call published it.
+    """
+    files, name = Files(points.sparkSession, path), f"version={version}"
+    if files.exists(name):
+        return False
+    staged = f"_staging/{uuid.uuid4().hex}"
+    points.write.parquet(f"{path}/{staged}")
+    # Another writer may have been faster; a rename onto a folder would put this one inside it.
+    if files.exists(name):
+        files.delete(staged)
+        return False
+    files.rename(staged, name)
+    return True
 
 
 def unexpected_files(spark: SparkSession, path: str, allowed: list[str]) -> DataFrame:

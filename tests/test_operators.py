@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sweepfield.operators import filters, mapping, neighbors, octree, planes, scans, scoring, shape, temporal, voxels
+from sweepfield.operators import filters, mapping, neighbors, octree, planes, scans, scoring, selection, shape, temporal, voxels
 from sweepfield.functions import geometry as g
 
 XYZ = list("xyz")
@@ -293,3 +293,27 @@ def test_errors_of_a_sparse_grid_equal_those_of_the_dense_one(spark, logits, err
         assert np.allclose(x, y, atol=1e-6)
     with pytest.raises(ValueError):
         raster.cell_errors(dense, ["k"], ["a"], False, "bce", nodes=3)
+
+
+@pytest.mark.parametrize("left", [selection.LEFT, 5])
+def test_order_statistics_of_hot_and_odd_groups(spark, left, monkeypatch):
+    monkeypatch.setattr(selection, "LEFT", left)
+    rng = np.random.default_rng(10)
+    groups = {"hot": rng.normal(0, 1, 3000), "copies": np.repeat([1.5, -2.0, 7.0], [500, 900, 3]), "one": np.array([4.0]), "wild": np.concatenate([10.0 ** rng.uniform(-300, 300, 200), [-1.7e308, 1.7e308, 5e-324, 0.0]])}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("hot", None), ("hot", float("nan")), ("none", None), (None, 1.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(6)
+    got = selection.order_statistics(df, ["g"], "v", F.array(F.lit(0), F.floor(F.col("n") / 3), F.col("n") - 1, F.col("n"))).collect()
+    want = {(g, k): np.sort(vs)[k] for g, vs in groups.items() for k in {0, len(vs) // 3, len(vs) - 1}}
+    assert {(r.g, r["rank"]): r.value for r in got} == want
+    mid = {r.g: r.m for r in selection.group_quantile(df, ["g"], "v", 0.5, "m").collect()}
+    assert all(mid[g] == pytest.approx(np.median(vs), rel=1e-12) for g, vs in groups.items())
+    assert [r.value for r in selection.order_statistics(df, [], "v", F.array(F.lit(1))).collect()] == [float(np.sort(np.concatenate([*groups.values(), [1.0]]))[1])]
+
+
+@pytest.mark.parametrize("k", [0, 1, 700, 1999, 2000, 5000])
+def test_lowest_rows_with_ties_and_nulls(spark, k):
+    rows = [(i, None if i % 97 == 0 else float("nan") if i % 89 == 0 else float(i * 31 % 7)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id long, p double").repartition(5)
+    order = sorted(rows, key=lambda r: (r[1] is not None, r[1] != r[1], r[1] if r[1] is not None and r[1] == r[1] else 0, r[0]))
+    assert sorted(r.id for r in selection.lowest(df, k, F.col("p"), ["id"]).collect()) == sorted(i for i, _ in order[:k])
+    assert [r["rank"] for r in selection.ranked(df, ["id"]).orderBy("id").collect()] == list(range(1, 2001))

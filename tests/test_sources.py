@@ -142,6 +142,12 @@ def test_versions_snapshots_and_audit(spark, tmp_path):
         catalogue.write_map_version(m.limit(v), f"{tmp_path}/map", v)
     newest, version = catalogue.latest_map(spark, f"{tmp_path}/map")
     assert version == 2 and newest.count() == 2
+    # A job that is run again, or that died before its version was published, changes nothing.
+    assert not catalogue.write_map_version(m, f"{tmp_path}/map", 2)
+    m.write.parquet(f"{tmp_path}/map/_staging/dead")
+    newest, version = catalogue.latest_map(spark, f"{tmp_path}/map")
+    assert version == 2 and newest.count() == 2 and spark.read.parquet(f"{tmp_path}/map").count() == 3
+    assert catalogue.map_versions(spark, f"{tmp_path}/map") == [1, 2]
     folder = tmp_path / DAY / "val_preds_3"
     folder.mkdir(parents=True)
     data = ply.encode([np.zeros(2), np.array([1, 2]), np.array([1, 1])], ["x", "gt", "pred"], ["float", "int", "int"])
