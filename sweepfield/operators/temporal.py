@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import Vec, col, polar_wrapped, xyz
 from ..functions.rigid import (MATRIX, POSITION, QUATERNION, Rigid, lerp, rigid_from_quaternion,
                                rotation_gap, translation_gap, with_slerp)
+from ..runtime import checkpointed
 from .scans import following, greedy_chain, numbered, prefix_scan, previous, running, top_k
 
 CHUNK = 600.0
@@ -132,14 +133,20 @@ def horizon_windows(frames: DataFrame, by: list[str], t: str, start: float, futu
     ``t = frame_ts - origin_ts``. A frame whose window is not complete yet has none.
     """
     span = future - start
-    base = frames.select(*by, F.col(t).cast("double").alias("ts")).distinct()
-    ends = base.withColumn("_probe", F.col("ts") + span)
-    ends = asof_bracket(ends, base, by, "_probe", "ts", [], chunk, how="any")
-    ends = ends.where(F.col("t1").isNotNull()).select(*by, F.col("ts").alias("oldest_ts"),
-                                                      F.col("t1").alias("_end"))
-    aimed = ends.withColumn("_aim", F.col("oldest_ts") - start)
-    windows = (nearest_time_join(aimed, base, by, "_aim", "ts", [], chunk)
-               .select(*by, "oldest_ts", "_end", F.col("near_t").alias("origin_ts")))
+    # The frames are laid out once; both lookups of a frame, for its window's end and for its origin, are rows of one scan.
+    base = checkpointed(frames.select(*by, F.col(t).cast("double").alias("ts")).distinct())
+    none = F.lit(None).cast("double")
+    marks = base.select(*by, F.col("ts").alias("_t"), F.lit(0).alias("_kind"), F.col("ts").alias("_mark"), none.alias("oldest_ts"))
+    probes = base.select(*by, F.explode(F.array(F.struct((F.col("ts") + span).alias("_t"), F.lit(1).alias("_kind")),
+                                                F.struct((F.col("ts") - start).alias("_t"), F.lit(2).alias("_kind")))).alias("_probe"), F.col("ts").alias("oldest_ts"))
+    both = marks.unionByName(probes.select(*by, "_probe.*", none.alias("_mark"), "oldest_ts"))
+    scanned = prefix_scan(both, by, ["_t", "_kind"], _bucket("_t", chunk), {"_before": running("last", "_mark"), "_after": following("_mark")})
+    ends, aims = F.col("_kind") == 1, F.col("_kind") == 2
+    found = scanned.where("_kind > 0").groupBy(*by, "oldest_ts").agg(
+        F.max(F.when(ends, F.col("_after"))).alias("_end"), F.max(F.when(aims, F.col("_before"))).alias("_b"), F.max(F.when(aims, F.col("_after"))).alias("_a"))
+    aim = F.col("oldest_ts") - start
+    earlier = F.col("_a").isNull() | (F.col("_b").isNotNull() & (aim - F.col("_b") <= F.col("_a") - aim))
+    windows = found.where("_end is not null").select(*by, "oldest_ts", "_end", F.when(earlier, F.col("_b")).otherwise(F.col("_a")).alias("origin_ts"))
     # The buckets of the span, and that of the closing frame, which may lie far beyond it.
     start_b, end_b = _bucket("oldest_ts", span), _bucket(F.col("oldest_ts") + span, span)
     buckets = F.array_union(F.sequence(start_b, end_b), F.array(_bucket("_end", span)))
