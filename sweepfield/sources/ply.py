@@ -2,14 +2,12 @@
 
 Reading goes through Spark's binary file source, so every file system Spark
 knows works, paths are pruned before content is read, and the same decoder
-serves batch and stream. Writing is a data source of its own ("ply").
+serves batch and stream. Writing goes through Spark's own writers and renames.
 """
 
 from __future__ import annotations
 
-import os
 import re
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +17,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+
+from ..runtime import checkpointed
+from ..storage import write_files
 
 # PLY type names with their numpy code and Spark type (unsigned widen one step).
 PLY_TYPES = {
@@ -234,7 +234,11 @@ def stream_ply(spark: SparkSession, path: str, schema: str, glob: str = "*.ply")
 
 def encode(columns: list[np.ndarray], names: list[str], types: list[str],
            faces: np.ndarray | None = None) -> bytes:
-    """A binary little-endian PLY file; lengths and names must agree."""
+    """A binary little-endian PLY file without its last byte, a line feed; lengths and names must agree.
+
+    That byte is the one row of a last element ``end``, so that writers that close a file with a line feed write
+    a valid file; readers of points and faces pass over it.
+    """
     if len(columns) != len(names) or len({len(c) for c in columns}) > 1:
         raise ValueError("fields need one name each and equal lengths")
     n = len(columns[0]) if columns else 0
@@ -242,6 +246,7 @@ def encode(columns: list[np.ndarray], names: list[str], types: list[str],
     head += [f"property {t} {c}" for t, c in zip(types, names)]
     if faces is not None:
         head += [f"element face {len(faces)}", "property list uchar int vertex_indices"]
+    head += ["element end 1", "property uchar feed"]
     table = np.empty(n, np.dtype([(c, "<" + PLY_TYPES[t][0]) for t, c in zip(types, names)]))
     for c, name in zip(columns, names):
         table[name] = c
@@ -253,99 +258,53 @@ def encode(columns: list[np.ndarray], names: list[str], types: list[str],
     return ("\n".join([*head, "end_header"]) + "\n").encode("ascii") + body
 
 
-@dataclass
-class _Written(WriterCommitMessage):
-    files: list[tuple[str, str]]
-
-
-class PlyWriter(DataSourceWriter):
-    """One file per run of equal keys; files appear under their names on commit."""
-
-    def __init__(self, root: str, schema: T.StructType, keys: list[str], overwrite: bool):
-        self.root, self.keys, self.overwrite = root, keys, overwrite
-        self.fields = [(f.name, WRITE_TYPES[f.dataType.simpleString()]) for f in schema if f.name not in keys]
-        if not self.fields:
-            raise ValueError("no columns to write")
-
-    def write(self, rows: Iterator) -> _Written:
-        done, key, part = [], None, []
-        for row in rows:
-            k = tuple(row[c] for c in self.keys)
-            if k != key and part:
-                done.append(self._file(key, part))
-                part = []
-            key = k
-            part.append(row)
-        if part:
-            done.append(self._file(key, part))
-        return _Written(done)
-
-    def _file(self, key: tuple, rows: list) -> tuple[str, str]:
-        names = [n for n, _ in self.fields]
-        columns = [np.array([r[n] for r in rows]) for n in names]
-        folder = os.path.join(self.root, *(str(k) for k in key[:-1]))
-        os.makedirs(folder, exist_ok=True)
-        last = key[-1]
-        final = os.path.join(folder, (f"{last:.6f}" if isinstance(last, float) else str(last)) + ".ply")
-        if os.path.exists(final) and not self.overwrite:
-            raise FileExistsError(final)
-        temporary = os.path.join(folder, f".{uuid.uuid4().hex}.tmp")
-        with open(temporary, "wb") as f:
-            f.write(encode(columns, names, [t for _, t in self.fields]))
-        return temporary, final
-
-    def commit(self, messages) -> None:
-        for m in messages:
-            for temporary, final in (m.files if m else ()):
-                os.replace(temporary, final)
-
-    def abort(self, messages) -> None:
-        for m in messages:
-            for temporary, _ in (m.files if m else ()):
-                os.remove(temporary)
-
-
-class PlySource(DataSource):
-    """Sink "ply" for a shared folder; options: path, keys (comma separated, default session,frame_ts)."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "ply"
-
-    def schema(self) -> str:
-        return "session string, frame_ts double, x float, y float, z float"
-
-    def writer(self, schema: T.StructType, overwrite: bool) -> PlyWriter:
-        keys = self.options.get("keys", "session,frame_ts").split(",")
-        return PlyWriter(self.options["path"], schema, keys, overwrite)
+def _name(values: list) -> str:
+    """Folders and file name of a key: ``session/1.500000.ply``."""
+    parts = [f"{v:.6f}" if isinstance(v, float) else re.sub(r"[^\w.-]", "_", str(v)) for v in values]
+    return "/".join(parts) + ".ply"
+
+
+def ply_files(df: DataFrame, keys: list[str] = ("session", "frame_ts"), order: list[str] = ()) -> DataFrame:
+    """``name, content``: one PLY file per key, rows in ``order``. A file is one frame, and put together by one task."""
+    keys, fields = list(keys), [(f.name, WRITE_TYPES[f.dataType.simpleString()]) for f in df.schema if f.name not in keys]
+    if not fields:
+        raise ValueError("no columns to write")
+    names, kinds = [n for n, _ in fields], [t for _, t in fields]
+
+    def save(rows: pa.Table) -> pa.Table:
+        if order:
+            rows = rows.sort_by([(c, "ascending") for c in order])
+        name = _name([rows.column(k)[0].as_py() for k in keys])
+        raw = encode([rows.column(n).to_numpy() for n in names], names, kinds)
+        return pa.table({"name": pa.array([name]), "content": pa.array([raw], pa.binary())})
+
+    return df.groupBy(*keys).applyInArrow(save, "name string, content binary")
 
 
 def write_ply(df: DataFrame, path: str, keys: list[str] = ("session", "frame_ts"), mode: str = "append",
-              order: list[str] = ()) -> None:
-    """One PLY file per key, rows in ``order``; ``path`` must be a folder every executor can reach."""
-    df.sparkSession.dataSource.register(PlySource)
-    (df.repartition(*keys).sortWithinPartitions(*keys, *order).write.format("ply")
-     .option("keys", ",".join(keys)).mode(mode).save(path))
+              order: list[str] = ()) -> list[str]:
+    """One PLY file per key below ``path``, any folder the session can write; returns their names.
+
+    Files appear under their names once all are written. With ``mode`` "append"
+    a file that exists is an error, with "overwrite" it is replaced.
+    """
+    return write_files(ply_files(df, keys, order), path, mode == "overwrite")
 
 
 def write_mesh(vertices: DataFrame, faces: DataFrame, path: str, mesh: str = "mesh") -> DataFrame:
-    """One PLY mesh per ``mesh`` key (v_id, x, y, z and f_id, v1, v2, v3); returns the files written.
+    """One PLY mesh per ``mesh`` key (v_id, x, y, z and f_id, v1, v2, v3); returns the files written, with their sizes.
 
     A mesh is one file with consecutive vertex numbers, so it is put together by
-    one task per mesh.
+    one task per mesh. A mesh that exists is replaced.
     """
 
     def save(key, v: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
         v, f = v.sort_values("v_id"), f.sort_values("f_id")
         raw = encode([v[a].to_numpy("f4") for a in "xyz"], list("xyz"), ["float"] * 3,
                      f[["v1", "v2", "v3"]].to_numpy("i4"))
-        os.makedirs(path, exist_ok=True)
-        final = os.path.join(path, re.sub(r"[^\w.-]", "_", str(key[0])) + ".ply")
-        temporary = final + f".{uuid.uuid4().hex}.tmp"
-        with open(temporary, "wb") as out:
-            out.write(raw)
-        os.replace(temporary, final)
-        return pd.DataFrame({"file": [final], "vertices": [len(v)], "faces": [len(f)]})
-
-    return (vertices.groupBy(mesh).cogroup(faces.groupBy(mesh))
-            .applyInPandas(save, "file string, vertices long, faces long"))
+        return pd.DataFrame({"name": [_name(list(key))], "content": [raw], "vertices": [len(v)], "faces": [len(f)]})
+
+    made = checkpointed(vertices.groupBy(mesh).cogroup(faces.groupBy(mesh))
+                        .applyInPandas(save, "name string, content binary, vertices long, faces long"))
+    write_files(made.select("name", "content"), path, overwrite=True)
+    return made.select(F.concat(F.lit(path.rstrip("/") + "/"), "name").alias("file"), "vertices", "faces")

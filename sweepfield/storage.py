@@ -1,8 +1,12 @@
-"""Files below a folder of any file system the session reads."""
+"""Files below a folder of any file system the session reads and writes."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+from urllib.parse import unquote
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 class Files:
@@ -49,3 +53,27 @@ class Files:
             out.close()
         self.fs.delete(self.at(name), False)
         self.rename(staged, name)
+
+
+def write_files(blobs: DataFrame, path: str, overwrite: bool = False) -> list[str]:
+    """One file below ``path`` for each row of ``blobs(name, content)``; ``name`` may have folders. Returns the names.
+
+    Executors write the bytes through Spark's own file writers to a staging
+    folder; the driver then only renames. Every file ends with a line feed that
+    the writer adds. A name that exists is an error, before anything is published,
+    unless ``overwrite`` replaces it; names must not repeat.
+    """
+    files, staged = Files(blobs.sparkSession, path), f"_staging/{uuid.uuid4().hex}"
+    blobs.select("name", F.col("content").cast("string").alias("value")).write.partitionBy("name").text(f"{path}/{staged}")
+    folders = {unquote(n.split("=", 1)[1]): n for n in files.names(staged) if n.startswith("name=")}
+    parts = {name: [n for n in files.names(f"{staged}/{folder}") if n.startswith("part-")] for name, folder in folders.items()}
+    wrong = [n for n, p in parts.items() if len(p) != 1] or ([] if overwrite else [n for n in parts if files.exists(n)])
+    if wrong:
+        files.delete(staged)
+        raise FileExistsError(f"{len(wrong)} files exist or repeat below {path}, among them {min(wrong)}")
+    for name, (part,) in parts.items():
+        if overwrite:
+            files.delete(name)
+        files.rename(f"{staged}/{folders[name]}/{part}", name)
+    files.delete(staged)
+    return sorted(parts)

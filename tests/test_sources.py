@@ -54,7 +54,17 @@ def test_ply_round_trip_and_stream(spark, tmp_path):
     pdf = pd.DataFrame({"session": DAY, "frame_ts": np.repeat([1.5, 2.5], 50), "id": list(range(50)) * 2,
                         "x": rng.normal(size=100), "label": np.arange(100, dtype="int32")})
     ply.write_ply(spark.createDataFrame(pdf), f"{tmp_path}/out", order=["id"])
-    assert sorted(os.listdir(f"{tmp_path}/out/{DAY}")) == ["1.500000.ply", "2.500000.ply"]
+    assert sorted(n for n in os.listdir(f"{tmp_path}/out/{DAY}") if n[0] != ".") == ["1.500000.ply", "2.500000.ply"]
+    # A file that exists stops the whole write; nothing of it appears.
+    more = spark.createDataFrame(pdf.assign(frame_ts=pdf.frame_ts + 1))
+    with pytest.raises(FileExistsError):
+        ply.write_ply(more, f"{tmp_path}/out", order=["id"])
+    assert not os.path.exists(f"{tmp_path}/out/{DAY}/3.500000.ply") and os.listdir(f"{tmp_path}/out/_staging") == []
+    assert ply.write_ply(more.where("frame_ts > 3"), f"{tmp_path}/out", order=["id"]) == [f"{DAY}/3.500000.ply"]
+    ply.write_ply(spark.createDataFrame(pdf.assign(x=pdf.x + (pdf.frame_ts > 2))), f"{tmp_path}/out", mode="overwrite", order=["id"])
+    assert ply.read_ply(spark, f"{tmp_path}/out", "x double").where("frame_ts = 2.5").agg(F.sum("x")).first()[0] == pytest.approx(pdf.x[pdf.frame_ts > 2].sum() + 50)
+    os.remove(f"{tmp_path}/out/{DAY}/3.500000.ply")
+    pdf["x"] = pdf.x + (pdf.frame_ts > 2)
     back = ply.read_ply(spark, f"{tmp_path}/out", "x double, label int").toPandas().sort_values(["frame_ts", "x"])
     assert np.array_equal(back[["frame_ts", "x"]], pdf.sort_values(["frame_ts", "x"])[["frame_ts", "x"]])
     stream = ply.stream_ply(spark, f"{tmp_path}/out/{DAY}", "x double, label int")
