@@ -38,8 +38,9 @@ def raster_grid_visibility(spark, sf):
 CLOUD = """cl AS (SELECT l_suppkey%8 AS grp, (l_quantity-25.5)/10 AS x, (l_discount-0.05)*40+0.013 AS y, (l_tax*100-2)*0.11 AS t, 2+l_linenumber%3 AS classif FROM lineitem)"""
 
 
-def cloud(spark, sf, where=F.lit(True)):
-    return table(spark, sf, "lineitem").where(where).select((F.col("l_suppkey") % 8).alias("grp"), ((F.col("l_quantity") - 25.5) / 10).alias("x"),
+def cloud(spark, sf, where=None):
+    t = table(spark, sf, "lineitem")
+    return (t if where is None else t.where(where)).select((F.col("l_suppkey") % 8).alias("grp"), ((F.col("l_quantity") - 25.5) / 10).alias("x"),
                                                ((F.col("l_discount") - 0.05) * 40 + 0.013).alias("y"), ((F.col("l_tax") * 100 - 2) * 0.11).alias("t"),
                                                (2 + F.col("l_linenumber") % 3).alias("classif"))
 
