@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("voxel", "geometry", "neighbor", "temporal", "score", "shape", "ray", "rasters", "sample", "stream", "source")
+FAMILIES = ("voxel", "geometry", "neighbor", "temporal", "score", "shape", "ray", "rasters", "sample", "stream", "source", "plan")
 
 
 def collect():

@@ -144,16 +144,27 @@ def pyramid_layers(spark, sf):
     return out
 
 
-@query("assemble_samples")
+SAMPLE_BALL = f"""WITH {LATTICE}, f AS (SELECT session, frame, row_number() OVER (PARTITION BY session ORDER BY frame) AS rn FROM (SELECT DISTINCT session, frame FROM pts)),
+c AS (SELECT session, frame, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM pts GROUP BY ALL),
+m AS (SELECT a.session, a.frame AS newest, b.frame, a.rn-b.rn AS age FROM f a JOIN f b ON a.session=b.session AND b.rn BETWEEN a.rn-2 AND a.rn),
+r AS (SELECT m.session, m.newest, age, label, x-cx AS x, y-cy AS y, z-cz AS z FROM m JOIN pts p ON p.session=m.session AND p.frame=m.frame JOIN c ON c.session=m.session AND c.frame=m.newest),
+b AS (SELECT *, floor(x/2) AS vx, floor(y/2) AS vy, floor(z/2) AS vz FROM r WHERE x*x+y*y+z*z < 400)"""
+
+
+# Without a cap no draw decides: every voxel is there with its most frequent frame and label.
+@query("assemble_samples", SAMPLE_BALL + """, a AS (SELECT session, newest, vx, vy, vz, age, count(*) AS n FROM b GROUP BY ALL), l AS (SELECT session, newest, vx, vy, vz, label, count(*) AS n FROM b GROUP BY ALL),
+v AS (SELECT session, newest, vx, vy, vz, arg_max(age, n * 100 - age) AS age FROM a GROUP BY ALL), w AS (SELECT session, newest, vx, vy, vz, arg_max(label, n * 100 - label) AS label FROM l GROUP BY ALL)
+SELECT session, count(*) AS n, CAST(sum((age = 0)::INT) AS BIGINT) AS newest, CAST(sum((age <= 1)::INT) AS BIGINT) AS recent, CAST(sum(label) AS BIGINT) AS labels FROM v JOIN w USING (session, newest, vx, vy, vz) GROUP BY session""")
 def assemble_samples(spark, sf):
-    out = _samples(spark, sf)
-    return out["samples"].groupBy("session").agg(F.count(F.lit(1)).alias("n"), F.sum("frame_0").alias("newest"))
+    out = _samples(spark, sf, 1_000_000)["samples"]
+    return out.groupBy("session").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("age") == 0).cast("long")).alias("newest"),
+                                      F.sum((F.col("age") <= 1).cast("long")).alias("recent"), F.sum("label").alias("labels"))
 
 
-def _samples(spark, sf):
+def _samples(spark, sf, cap=50):
     p = lattice(spark, sf).select("session", F.col("frame").alias("frame_ts"), F.xxhash64("id").alias("id"), "x", "y", "z", "label")
     centres = p.groupBy("session", F.col("frame_ts").alias("newest_ts")).agg(*(F.avg(a).alias("c" + a) for a in "xyz"))
-    return samples.assemble_samples(p, centres, 3, 20.0, 2.0, 50, 7)
+    return samples.assemble_samples(p, centres, 3, 20.0, 2.0, cap, 7)
 
 
 # How many points a sample has, and how many raw points are projected back onto it, do not depend on the draw.

@@ -139,9 +139,15 @@ def registration_sums(spark, sf):
     return rounded(out, "a00", "a03", "a33", "a55", "b3", "b2").select("fr", "a00", "a03", "a33", "a55", "b3", "b2")
 
 
-@query("registration_step")
+# The solution put back into the normal equations gives their right sides, which SQL can sum.
+@query("registration_step", MATCH + """, e AS (SELECT *, nx*(mx-x)+ny*(my-y)+nz*(mz-z) AS g FROM k)
+SELECT fr, round(sum((y*nz-z*ny)*g),4) AS b0, round(sum((z*nx-x*nz)*g),4) AS b1, round(sum((x*ny-y*nx)*g),4) AS b2, round(sum(nx*g),4) AS b3, round(sum(ny*g),4) AS b4, round(sum(nz*g),4) AS b5 FROM e GROUP BY fr""")
 def registration_step(spark, sf):
-    return rounded(sh.point_to_plane_step(matches(spark, sf), ["fr"]), "rx", "ry", "rz", "tx", "ty", "tz")
+    m = matches(spark, sf)
+    both = sh.point_to_plane_step(m, ["fr"]).join(sh.point_to_plane_sums(m, ["fr"]).drop(*(f"b{i}" for i in range(6))), "fr")
+    x = ("rx", "ry", "rz", "tx", "ty", "tz")
+    back = {f"b{i}": F.round(sum((F.col(f"a{min(i, j)}{max(i, j)}") * F.col(x[j]) for j in range(1, 6)), F.col(f"a0{i}") * F.col(x[0])), 4) for i in range(6)}
+    return both.select("fr", *(c.alias(n) for n, c in back.items()))
 
 
 # Lattice voxels at z = 0 and at z = 8 are two separate flat pieces.

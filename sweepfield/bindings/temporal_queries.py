@@ -210,13 +210,19 @@ def scan_columns(spark, sf):
     return tp.scan_columns(ev, ["session"], "event_type", "event_id", 4096).select("session", "event_id", "column")
 
 
-@query("deskew_points")
+@query("deskew_points", f"""WITH {TIMELINE}, d AS (SELECT session, CAST(floor(t/86400) AS BIGINT) AS frame, event_id, px, py, yaw, px-200 AS x, py-100 AS y FROM ev),
+h AS (SELECT *, (1.5*pi()-atan2(y,x)) - 2*pi()*floor((1.5*pi()-atan2(y,x))/(2*pi())) AS phi FROM d),
+q AS (SELECT session, frame, arg_min(px, event_id) AS px, arg_min(py, event_id) AS py, arg_min(yaw, event_id) AS yaw, max(phi) AS phi1 FROM h GROUP BY ALL),
+l AS (SELECT *, lag(px) OVER w AS px0, lag(py) OVER w AS py0, lag(yaw) OVER w AS yaw0, lag(phi1) OVER w - 2*pi() AS phi0 FROM q WINDOW w AS (PARTITION BY session ORDER BY frame)),
+i AS (SELECT h.session, h.frame, x, y, (phi-phi0)/(phi1-phi0) AS f, l.px, l.py, px0, py0, yaw0, CASE WHEN l.yaw-yaw0>pi() THEN l.yaw-yaw0-2*pi() WHEN l.yaw-yaw0<-pi() THEN l.yaw-yaw0+2*pi() ELSE l.yaw-yaw0 END AS turn FROM h JOIN l USING (session, frame) WHERE px0 IS NOT NULL)
+SELECT session, frame, round(cos(yaw0+f*turn)*x - sin(yaw0+f*turn)*y + px0+f*(px-px0), 2) AS x, round(sin(yaw0+f*turn)*x + cos(yaw0+f*turn)*y + py0+f*(py-py0), 2) AS y, 0.0::DOUBLE AS z FROM i""")
 def deskew_points(spark, sf):
     ev = timeline(spark, sf)
     day = F.floor(F.col("t") / 86400).cast("long")
     pts = ev.select("session", day.alias("frame"), (F.col("px") - 200).alias("x"), (F.col("py") - 100).alias("y"), F.col("pz").alias("z"))
     poses = ev.groupBy("session", day.alias("frame")).agg(*(F.min_by(c, "event_id").alias(c) for c in ("px", "py", "pz", "qx", "qy", "qz", "qw")))
-    return rounded(tp.deskew(pts, poses, ["session"], "frame"), "x", "y", "z")
+    out = tp.deskew(pts, poses, ["session"], "frame")
+    return out.select("session", "frame", *(F.round(a, 2).alias(a) for a in "xyz"))
 
 
 @query("azimuth_slices", f"""WITH {LATTICE}, s AS (SELECT session, x-25.3 AS x, y-5.2 AS y FROM pts),

@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.geometry import Vec
+from ..functions.rigid import axis_angle
 from ..operators import mapping, voxels
 from .registry import LATTICE, LATTICE_ID, lattice, longs, query, r6, rounded
 
@@ -64,9 +66,15 @@ def voxel_spheres(spark, sf):
     return rounded(voxels.sphere_barycentre(lattice(spark, sf), DL, ["session"]), "x", "y", "z")
 
 
-@query("voxel_turned")
+# Turned about the vertical by 0.3 per session and set back; the SQL does the same in the turned grid.
+@query("voxel_turned", f"""WITH {LATTICE}, r AS (SELECT session, cos(0.3*session+0.05)*(x+0.011) - sin(0.3*session+0.05)*(y+0.007) AS u, sin(0.3*session+0.05)*(x+0.011) + cos(0.3*session+0.05)*(y+0.007) AS v, z+0.003 AS z FROM pts),
+g AS (SELECT session, CAST(floor(u/4) AS BIGINT) AS vx, CAST(floor(v/4) AS BIGINT) AS vy, CAST(floor(z/4) AS BIGINT) AS vz, avg(u) AS u, avg(v) AS v, avg(z) AS z, count(*) AS n FROM r GROUP BY ALL)
+SELECT session, vx, vy, vz, n, round(cos(0.3*session+0.05)*u + sin(0.3*session+0.05)*v, 6) AS x, round(cos(0.3*session+0.05)*v - sin(0.3*session+0.05)*u, 6) AS y, round(z, 6) AS z FROM g""")
 def voxel_turned(spark, sf):
-    return voxels.turned_voxel_barycentre(lattice(spark, sf), DL, ["session"], 7)
+    p = lattice(spark, sf).withColumns({"x": F.col("x") + 0.011, "y": F.col("y") + 0.007, "z": F.col("z") + 0.003})
+    turn = axis_angle(Vec.of(0.0, 0.0, 1.0), F.col("session") * 0.3 + 0.05)
+    out = voxels.turned_voxel_barycentre(p, DL, ["session"], 7, turn=turn)
+    return rounded(out.select("session", "vx", "vy", "vz", "n", "x", "y", "z"), "x", "y", "z")
 
 
 # However the grid is turned, its voxels hold all points, and their weighted mean is that of the points.
@@ -127,7 +135,23 @@ def map_merge_on_base(spark, sf):
     return out.select("vx", "vy", "vz", "x", "y", "z", F.col("frame_idx").alias("first_frame"))
 
 
-@query("map_merge_barycentre_base")
+# A base map of four sessions, then the other four merged into it. Base normals count as often as their points and come first.
+@query("map_merge_barycentre_base", f"""WITH {SCORED}, dd AS (SELECT unnest([-1,0,1]) AS d), k AS (SELECT *, {KEY} FROM sc),
+m AS (SELECT * FROM (SELECT session < 4 AS old, frame, x,y,z, vx+a.d AS vx, vy+b.d AS vy, vz+c.d AS vz FROM k, dd a, dd b, dd c) WHERE (x-(vx+0.5)*4)*(x-(vx+0.5)*4)+(y-(vy+0.5)*4)*(y-(vy+0.5)*4)+(z-(vz+0.5)*4)*(z-(vz+0.5)*4) < 36),
+bc AS (SELECT vx,vy,vz, avg(x) AS x, avg(y) AS y, avg(z) AS z, count(*) AS n FROM m WHERE old GROUP BY vx,vy,vz HAVING floor(avg(x)/4)=vx AND floor(avg(y)/4)=vy AND floor(avg(z)/4)=vz),
+p1 AS (SELECT *, row_number() OVER (PARTITION BY vx,vy,vz ORDER BY frame, {LATTICE_ID}) AS rn FROM k WHERE session < 4),
+p2 AS (SELECT *, coalesce(max(score) OVER (PARTITION BY vx,vy,vz ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS cur FROM p1),
+p3 AS (SELECT *, max(CASE WHEN score > cur+0.1 THEN rn END) OVER (PARTITION BY vx,vy,vz) AS start FROM p2),
+pn AS (SELECT vx,vy,vz, sum(nx) AS sx, sum(ny) AS sy, sum(nz) AS sz FROM p3 WHERE rn >= start AND score > cur-0.1 GROUP BY ALL), ps AS (SELECT vx,vy,vz,max(score) AS score FROM p1 GROUP BY ALL),
+base AS (SELECT vx,vy,vz,x,y,z,n,score, sx/(sqrt(sx*sx+sy*sy+sz*sz)+1e-6) AS nx, sy/(sqrt(sx*sx+sy*sy+sz*sz)+1e-6) AS ny, sz/(sqrt(sx*sx+sy*sy+sz*sz)+1e-6) AS nz FROM bc JOIN pn USING (vx,vy,vz) JOIN ps USING (vx,vy,vz)),
+w AS (SELECT vx,vy,vz,x,y,z,1.0 AS w FROM m WHERE NOT old UNION ALL SELECT vx,vy,vz,x,y,z,n FROM base),
+c AS (SELECT vx,vy,vz, sum(x*w)/sum(w) AS x, sum(y*w)/sum(w) AS y, sum(z*w)/sum(w) AS z, CAST(sum(w) AS BIGINT) AS n FROM w GROUP BY vx,vy,vz HAVING floor(sum(x*w)/sum(w)/4)=vx AND floor(sum(y*w)/sum(w)/4)=vy AND floor(sum(z*w)/sum(w)/4)=vz),
+o1 AS (SELECT vx,vy,vz,score,nx,ny,nz, row_number() OVER (PARTITION BY vx,vy,vz ORDER BY frame, {LATTICE_ID}) AS rn FROM k WHERE session >= 4 UNION ALL SELECT vx,vy,vz,score,nx*n,ny*n,nz*n, 0 FROM base),
+o2 AS (SELECT *, coalesce(max(score) OVER (PARTITION BY vx,vy,vz ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS cur FROM o1),
+o3 AS (SELECT *, max(CASE WHEN score > cur+0.1 THEN rn END) OVER (PARTITION BY vx,vy,vz) AS start FROM o2),
+nn AS (SELECT vx,vy,vz, sum(nx) AS sx, sum(ny) AS sy, sum(nz) AS sz FROM o3 WHERE rn >= start AND score > cur-0.1 GROUP BY ALL), sm AS (SELECT vx,vy,vz,max(score) AS score FROM o1 GROUP BY ALL)
+SELECT vx,vy,vz, round(x,6) AS x, round(y,6) AS y, round(z,6) AS z, n AS count, CAST(score AS DOUBLE) AS score,
+ round(sx/(sqrt(sx*sx+sy*sy+sz*sz)+1e-6),6) AS nx, round(sy/(sqrt(sx*sx+sy*sy+sz*sz)+1e-6),6) AS ny, round(sz/(sqrt(sx*sx+sy*sy+sz*sz)+1e-6),6) AS nz FROM c JOIN nn USING (vx,vy,vz) JOIN sm USING (vx,vy,vz)""")
 def map_merge_barycentre_base(spark, sf):
     pts = scored(spark, sf)
     base = mapping.barycentre_map(pts.where("session < 4"), DL, frame="frame")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import Vec, XYZ, cell, cells, sq_distance, xyz
 from ..functions.hashed import uniform
-from ..functions.rigid import axis_angle
+from ..functions.rigid import Rigid, axis_angle
 
 VOXEL = ["vx", "vy", "vz"]
 
@@ -107,9 +107,9 @@ def sphere_barycentre(points: DataFrame, dl: float, by: list[str] = ()) -> DataF
 
 
 def turned_voxel_barycentre(points: DataFrame, dl: float, by: list[str], seed: int,
-                            features: list[str] = (), labels: list[str] = ()) -> DataFrame:
-    """Barycentres on a grid turned by a random vertical-free rotation per group."""
-    turn = _group_rotation(seed, by)
+                            features: list[str] = (), labels: list[str] = (), turn: Rigid | None = None) -> DataFrame:
+    """Barycentres on a grid turned by a random vertical-free rotation per group, or by a ``turn`` of the caller's."""
+    turn = _group_rotation(seed, by) if turn is None else turn
     turned = points.withColumns(turn.rotate(xyz()).columns())
     out = voxel_barycentre(turned, dl, by, features, labels)
     return out.withColumns(turn.unrotate(xyz()).columns())

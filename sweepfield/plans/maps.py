@@ -118,10 +118,10 @@ def align_trajectory(estimated: DataFrame, truth: DataFrame, by: list[str], t: s
     return joined.withColumns(moved).drop(*("f_" + n for n in MATRIX))
 
 
-def flatten_ground(points: DataFrame, by: list[str], planes: DataFrame, threshold: float = 0.1) -> DataFrame:
-    """Ground points set to one height with an upright normal and a fixed high score."""
+def flatten_ground(points: DataFrame, by: list[str], planes: DataFrame, threshold: float = 0.1, band: float = 0.05) -> DataFrame:
+    """Ground points set to one height (the median within ``band`` of the lowest) with an upright normal and a fixed high score."""
     marked = mark_in_plane(points, planes, by, threshold)
-    level = ground_height(marked.where("in_plane"), by)
+    level = ground_height(marked.where("in_plane"), by, band)
     joined = marked.join(level, by, "left")
     new = {"z": F.col("ground_z"), "nx": F.lit(0.0), "ny": F.lit(0.0), "nz": F.lit(1.0), "score": F.lit(0.99)}
     return joined.withColumns({c: F.when(F.col("in_plane"), v).otherwise(F.col(c)) for c, v in new.items()}).drop(
