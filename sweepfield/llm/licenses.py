@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import re
-import sys
-from functools import cache
+from collections.abc import Generator
 
 import ahocorasick
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField
 
@@ -22,6 +22,10 @@ NOTICES = {"gnu lesser general public license": "lgpl", "gnu affero general publ
 # Families of SPDX identifiers by the start of their lower-case form.
 FAMILIES = (("agpl", "agpl"), ("lgpl", "lgpl"), ("gpl", "gpl"), ("apache", "apache"), ("cc-by", "cc-by"), ("cc0", "cc0"), ("mit", "mit"),
             ("bsd", "bsd"), ("mpl", "mpl"), ("epl", "epl"), ("isc", "isc"), ("unlicense", "unlicense"))
+# SPDX identifiers without a digit that no family starts.
+PLAIN = frozenset("artistic-dist beerware blessing bsl curl fair fsfap fsful glide imagemagick info-zip intel libpng libtiff ms-pl ms-rl naumen ncsa noassertion none nlpl "
+                  "openssl php plexus postgresql psutils python ruby sendmail sleepycat tcl vim w3c wtfpl xerox xinetd xnet zed zend zlib".split())
+REFERENCES = ("licenseref-", "documentref-")
 TAG = "spdx-license-identifier:"
 EXCEPTION = "exception"
 # ``n_ways`` is a 64-bit number: more ways than that are given as the largest one.
@@ -33,6 +37,11 @@ _TOKEN = re.compile(rb"\(|\)|[a-z0-9.+:-]+")
 _RANK = {"or": 1, "and": 2, "with": 3}
 
 
+def is_identifier(token: str) -> bool:
+    """Whether a word after a tag names a license (or exception) rather than going on in prose: a known name, or a form with a version or a reference."""
+    return token.startswith(REFERENCES) or any(token.startswith(s) for s, _ in FAMILIES) or token.rstrip("+.") in PLAIN or any(c.isdigit() for c in token) or EXCEPTION in token
+
+
 def family(identifier: str) -> str:
     """The label of an SPDX identifier; unknown ones stand for themselves."""
     return next((label for start, label in FAMILIES if identifier.startswith(start)), identifier.rstrip("+"))
@@ -101,8 +110,19 @@ def labels_and_ways(expression: list[str]) -> tuple[set[str], int]:
     """
     order = postfix(expression)
     names = [family(t) for t in order if t not in _RANK]
-    rank = {name: -i for i, name in enumerate(dict.fromkeys(names))}  # later labels on top: chains are extended in one step
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 1000 + 10 * len(rank)))
+    # Labels that are joined later lie on top, so a chain is extended in one step however it is nested.
+    rank, pending = {}, []
+    for at, t in enumerate(order):
+        if t not in _RANK:
+            pending.append([family(t)])
+        else:
+            b, a = pending.pop(), pending.pop()
+            for name in (*a, *b):
+                rank.setdefault(name, -at)
+            pending.append([])
+    for name in names:
+        rank.setdefault(name, 0)
+    rank = {name: i for i, name in enumerate(sorted(rank, key=lambda n: (rank[n], n)))}
     table: dict[tuple[int, int, int], int] = {}
     nodes: list[tuple[int, int, int]] = [(1, 0, 0), (1, 0, 0)]  # no way at all, and the one of no labels
 
@@ -120,25 +140,37 @@ def labels_and_ways(expression: list[str]) -> tuple[set[str], int]:
     def top(a: int, b: int) -> int:
         return min(nodes[x][0] for x in (a, b) if x > 1)
 
-    @cache
-    def union(a: int, b: int) -> int:
+    known: dict[tuple[str, int, int], int] = {}
+
+    # Both are generators that ``_run`` drives with a stack of its own, so no nesting is too deep.
+    def union(a: int, b: int) -> Generator:
         if a == b or not b:
             return a
         if not a:
             return b
-        var = top(a, b)
-        (a0, a1), (b0, b1) = split(a, var), split(b, var)
-        return node(var, union(a0, b0), union(a1, b1))
-
-    @cache
-    def join(a: int, b: int) -> int:
+        if ("or", a, b) not in known:
+            var = top(a, b)
+            (a0, a1), (b0, b1) = split(a, var), split(b, var)
+            low = yield union(a0, b0)
+            high = yield union(a1, b1)
+            known["or", a, b] = node(var, low, high)
+        return known["or", a, b]
+
+    def join(a: int, b: int) -> Generator:
         if not a or not b:
             return 0
         if a == 1 or b == 1:
             return max(a, b)
-        var = top(a, b)
-        (a0, a1), (b0, b1) = split(a, var), split(b, var)
-        return node(var, join(a0, b0), union(join(a1, union(b0, b1)), join(a0, b1)))
+        if ("and", a, b) not in known:
+            var = top(a, b)
+            (a0, a1), (b0, b1) = split(a, var), split(b, var)
+            low = yield join(a0, b0)
+            any_b = yield union(b0, b1)
+            both = yield join(a1, any_b)
+            rest = yield join(a0, b1)
+            high = yield union(both, rest)
+            known["and", a, b] = node(var, low, high)
+        return known["and", a, b]
 
     stack: list[tuple[int, set[str]]] = []
     for t in order:
@@ -147,7 +179,9 @@ def labels_and_ways(expression: list[str]) -> tuple[set[str], int]:
             continue
         (b, more), (a, labels) = stack.pop(), stack.pop()
         if t != "with":
-            a = union(a, b) if t == "or" else join(a, b)
+            a = _run(union(a, b) if t == "or" else join(a, b))
+            # The smaller set goes into the larger one.
+            labels, more = (labels, more) if len(labels) >= len(more) else (more, labels)
             labels |= more
         stack.append((a, labels))
     count = [0, 1]
@@ -156,11 +190,30 @@ def labels_and_ways(expression: list[str]) -> tuple[set[str], int]:
     return stack[0][1], count[stack[0][0]]
 
 
-def tagged(line: bytes) -> list[str]:
-    """The longest well-formed expression at the start of what follows a tag."""
-    tokens, last, depth, want = [], 0, 0, True
-    for m in _TOKEN.finditer(line):
+def _run(work: Generator) -> int:
+    """The result of a generator that yields the generators whose results it needs."""
+    stack, value = [work], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as done:
+            stack.pop()
+            value = done.value
+    return value
+
+
+def tagged(line: bytes, start: int = 0, stop: int | None = None) -> list[str]:
+    """The longest well-formed expression at the start of what follows a tag.
+
+    It ends before the first byte that is neither blank nor part of a token, and before a word that is no identifier.
+    """
+    tokens, last, depth, want, at = [], 0, 0, True, start
+    for m in _TOKEN.finditer(line, start, len(line) if stop is None else stop):
         t = m.group().decode()
+        if line[at:m.start()].strip(b" \t\r") or t not in _RANK and t not in "()" and not is_identifier(t):
+            break
+        at = m.end()
         if t == ")" and (want or not depth) or t in _RANK and want or t != ")" and t not in _RANK and not want:
             break
         tokens.append(t)
@@ -192,19 +245,23 @@ def _scanner():
         places, base, more = [], set(), set()
         if any(h in line for h in hint):
             flat = " " + line.decode("latin-1") + " "
+            blanks = np.flatnonzero(np.frombuffer(flat.encode("latin-1"), np.uint8) == 32)
             for end, (phrase, label) in words.iter(flat):
                 if phrase in PHRASES:
                     start = end - len(phrase) - 1
-                    places.append(flat.count(" ", 0, start + 1) - 1)
+                    places.append(int(np.searchsorted(blanks, start)))
                     base.add(label)
                 else:
                     more.add(label)
         ways = 0
         low = raw.translate(_LOWER)
         if TAG.encode() in low:
+            stop = -1
             for end, _ in tags.iter(low.decode("latin-1")):
-                stop = low.find(b"\n", end)
-                if found := tagged(low[end + 1:stop if stop >= 0 else len(low)]):
+                if stop <= end:
+                    stop = low.find(b"\n", end)
+                    stop = len(low) if stop < 0 else stop
+                if found := tagged(low, end + 1, stop):
                     names, n = labels_and_ways(found)
                     ways = min(ways + n, MOST_WAYS)
                     more |= names
@@ -220,8 +277,8 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
     ``score``: 1.0 with a well-formed tag expression, 0.9 with a base phrase,
     0.6 with another notice only, else 0. Null and empty texts have no words
-    and no labels; a malformed expression is cut to its longest well-formed
-    start; repeated rows give repeated rows; an empty table gives none.
+    and no labels; a malformed expression, or one that
+    prose goes on from, is cut to its longest well-formed start; repeated rows give repeated rows; an empty table gives none.
     """
     fields = [StructField("n_words", LongType()), StructField("n_base", LongType()), StructField("first_word", LongType()), StructField("last_word", LongType()),
               StructField("base_labels", StringType()), StructField("labels", StringType()), StructField("score", DoubleType()), StructField("n_ways", LongType())]

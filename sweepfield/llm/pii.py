@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -32,6 +34,7 @@ _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = bytes(120 if 48 <= b <= 57 else 32 for b in range(256))
 _NOT_DIGIT = re.compile(r"[^0-9]")
+_BREAK = re.compile("\n")
 
 # High recall: anything that looks a little like one of the kinds.
 _WIDE = (
@@ -88,16 +91,37 @@ def candidates(text: str) -> list[Span]:
     return sorted({(kind, m.start(), m.end()) for kind, pattern in _WIDE if (mail if kind == "email" else digits) for m in pattern.finditer(text)}, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-def features(text: str, span: Span) -> tuple[float, ...]:
-    """The numbers in ``FEATURES`` for one span: its form, and what stands around it."""
+def line_breaks(text: str) -> list[int]:
+    return [m.start() for m in _BREAK.finditer(text)]
+
+
+def line_width(breaks: list[int], length: int, a: int, b: int) -> int:
+    """Length of the line (or lines) of a span, from the sorted places of all line breaks."""
+    i, j = bisect_left(breaks, a), bisect_left(breaks, b)
+    return (breaks[j] if j < len(breaks) else length) - (breaks[i - 1] if i else -1)
+
+
+class Overlaps:
+    """Whether a span overlaps any of those given, in one lookup."""
+
+    def __init__(self, spans: list[Span]):
+        order = sorted((a, b) for _, a, b in spans)
+        self.starts, self.ends = [a for a, _ in order], list(accumulate((b for _, b in order), max))
+
+    def __call__(self, span: Span) -> bool:
+        i = bisect_left(self.starts, span[2])
+        return i > 0 and self.ends[i - 1] > span[1]
+
+
+def features(text: str, span: Span, width: int | None = None) -> tuple[float, ...]:
+    """The numbers in ``FEATURES`` for one span: its form, and what stands around it; ``width`` is that of its line."""
     kind, a, b = span
     s = text[a:b]
     digits = _NOT_DIGIT.sub("", s)
     groups = [g for g in _NOT_DIGIT.split(s) if g]
     left, right = text[a - 1:a], text[b:b + 1]
     before = text[max(0, a - 24):a].lower()
-    line = (text.rfind("\n", 0, a), text.find("\n", b))
-    width = (line[1] if line[1] >= 0 else len(text)) - line[0]
+    width = line_width(line_breaks(text), len(text), a, b) if width is None else width
     return (float(KINDS.index(kind)), float(b - a), float(len(digits)), len(digits) / (b - a), float(sum(not c.isalnum() for c in s)), float(sum(c.isalpha() for c in s)),
             float(sum(c.isupper() for c in s)), float("@" in s), float(s[:1] == "+"), float(len(digits) > 1 and luhn(digits)), float(s.count(".")), float(len(groups)),
             float(max(map(len, groups), default=0)), float(min(max((int(g[-6:]) if len(g) <= 6 else 999_999 for g in groups), default=0), 999_999)), float(left.isspace() or not left),
@@ -124,7 +148,8 @@ class Scorer:
         spans = candidates(text) if self.trees else []
         if not spans:
             return []
-        p = self.score(np.array([features(text, s) for s in spans]))
+        breaks = line_breaks(text)
+        p = self.score(np.array([features(text, s, line_width(breaks, len(text), s[1], s[2])) for s in spans]))
         return [(s, float(v)) for s, v in zip(spans, p) if v >= self.least[KINDS.index(s[0])]]
 
 
@@ -208,20 +233,25 @@ def rewritten(kind: str, span: str) -> list[str]:
 def _outside(text: str) -> tuple[list[list[float]]]:
     """Features and labels of candidates that overlap no base span: 1 for those that cover a rewritten base span of
     their kind, 0 for others at a rewritten one and for the text's own."""
-    base, rows = base_spans(text), []
+    base, rows, breaks = base_spans(text), [], line_breaks(text)
+    taken = Overlaps(base)
     for s in candidates(text):
-        if not any(a < s[2] and s[1] < b for _, a, b in base):
-            rows.append([*features(text, s), 0.0])
+        if not taken(s):
+            rows.append([*features(text, s, line_width(breaks, len(text), s[1], s[2])), 0.0])
     for kind, a, b in base:
+        low, high = max(0, a - 400), min(len(text), b + 400)  # candidates are shorter than that
+        # Where the line goes on beyond this stretch.
+        i, j = bisect_left(breaks, low), bisect_left(breaks, high)
+        before, after = low - (breaks[i - 1] if i else -1) - 1, (breaks[j] if j < len(breaks) else len(text)) - high
         for form in rewritten(kind, text[a:b]):
-            new, end = text[:a] + form + text[b:], a + len(form)
-            low, high = max(0, a - 400), min(len(new), end + 400)  # candidates are shorter than that
-            near, taken = new[low:high], base_spans(new[low:high])
+            near, start = text[low:a] + form + text[b:high], a - low
+            end, own, there = start + len(form), Overlaps(base_spans(near)), line_breaks(near)
             for s in candidates(near):
-                p, q = s[1] + low, s[2] + low
-                if p < end and a < q and not any(x < s[2] and s[1] < y for _, x, y in taken):
-                    hit = s[0] == kind and min(q, end) - max(p, a) >= 0.8 * max(q - p, end - a)
-                    rows.append([*features(new, (s[0], p, q)), float(hit)])
+                _, p, q = s
+                if p < end and start < q and not own(s):
+                    hit = s[0] == kind and min(q, end) - max(p, start) >= 0.8 * max(q - p, end - start)
+                    width = line_width(there, len(near), p, q) + (before if bisect_left(there, p) == 0 else 0) + (after if bisect_left(there, q) == len(there) else 0)
+                    rows.append([*features(near, s, width), float(hit)])
     return (rows,)
 
 
@@ -243,7 +273,8 @@ def _joined(spans: list[Span]) -> str:
 def all_spans(text: str, scorer: Scorer) -> tuple[list[Span], list[Span], float]:
     """Base spans, base and added spans, and the highest score of an added span."""
     base = base_spans(text)
-    more = [(s, v) for s, v in scorer.added(text) if not any(a < s[2] and s[1] < b for _, a, b in base)]
+    taken = Overlaps(base)
+    more = [(s, v) for s, v in scorer.added(text) if not taken(s)]
     if not more:
         return base, base, 0.0
     return base, sorted({*base, *(s for s, _ in more)}, key=lambda s: (s[1], KINDS.index(s[0]), s[2])), max(v for _, v in more)

@@ -326,3 +326,53 @@ def test_url_layer_keeps_places():
     text = "x " + urllib.parse.quote("secret = 'abcdefgh12'", safe="") + " y"
     _, spans, _, _ = secrets.scan(text)
     assert [text[a:b] for _, a, b in spans] == [text[2:text.index("%27 y")]]
+
+
+@pytest.mark.parametrize("line,labels", [("MIT, or see LICENSE file", "mit"), ("Apache-2.0 and other text continues here", "apache"), ("MIT OR Apache-2.0) and more", "apache,mit"),
+                                         ("GPL-2.0-only WITH Classpath-exception-2.0 // see", "gpl"), ("LicenseRef-Own AND zlib", "licenseref-own,zlib"), ("see the file", ""), ("(MIT or the file", "")])
+def test_prose_after_a_tag_is_not_read(line, labels):
+    row = licenses._scanner()(f"x SPDX-License-Identifier: {line}\n")
+    assert row[5] == labels and row[6] == (1.0 if labels else 0.0)
+
+
+@pytest.mark.parametrize("form", ["right", "left", "pairs"])
+def test_a_hundred_thousand_nested_licences(form):
+    n = 100_000
+    if form == "right":
+        text = "".join(f"(l{i} or " for i in range(n)) + "z1" + ")" * n
+    elif form == "left":
+        text = "(" * n + "z1" + "".join(f" or l{i})" for i in range(n))
+    else:
+        text = " and ".join(f"(a{i} or b{i})" for i in range(n // 50))
+    row = licenses._scanner()(f"SPDX-License-Identifier: {text}")
+    assert row[6] == 1.0 and len(row[5].split(",")) == (n + 1 if form != "pairs" else n // 25)
+    assert row[7] == (n + 1 if form != "pairs" else licenses.MOST_WAYS)
+
+
+def test_long_lines_take_linear_time():
+    """Twenty megabytes in one line: notices, tags and numbers."""
+    import time
+
+    text = "Apache License x SPDX-License-Identifier: MIT ; 555-123-4567 1.2.3.4 a@b.cd " * 270_000
+    start = time.time()
+    row = licenses._scanner()(text)
+    assert row[1] == 270_000 and row[2:4] == (0, row[0] - 17)
+    text = text[:2_000_000]
+    base = pii.base_spans(text)
+    inside = pii.Overlaps(base)
+    breaks = pii.line_breaks(text)
+    for s in pii.candidates(text):
+        inside(s), pii.features(text, s, pii.line_width(breaks, len(text), s[1], s[2]))
+    assert time.time() - start < 60
+
+
+def test_overlaps_and_line_widths_equal_plain_loops():
+    rng = np.random.default_rng(12)
+    text = "".join(rng.choice(list("ab1.\n"), 3000))
+    spans = [("ip", a, a + int(rng.integers(1, 9))) for a in map(int, rng.integers(0, 2990, 80))]
+    taken, breaks = pii.Overlaps(spans), pii.line_breaks(text)
+    for a in range(0, 2980, 7):
+        s = ("ip", a, a + 5)
+        assert taken(s) == any(x < s[2] and s[1] < y for _, x, y in spans)
+        end = text.find("\n", s[2])
+        assert pii.line_width(breaks, len(text), s[1], s[2]) == (end if end >= 0 else len(text)) - text.rfind("\n", 0, s[1])
