@@ -33,6 +33,8 @@ WINDOW = 48
 SKETCH_BITS = 4
 BLOCK_BYTES = 1 << 19
 MOST_BITS = 1 << 24
+# Rounds in which members of wide regions are compared with one leader for each of their rare shingles.
+LEADER_ROUNDS = 2
 
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(20)
@@ -258,9 +260,9 @@ def _regions(entries: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
 def _shared(members: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> tuple[DataFrame | None, DataFrame]:
     """Links among ``members``, and the pairs ``u < v`` of groups these leave apart that can be as alike as ``percent``, by their rarest shingles.
 
-    Links come first, in rounds: of the members that share a rare shingle one is the leader, and those of other
-    groups are compared with it alone. A large group of near copies so becomes one after a round or two, and no
-    two of its members need to meet any more. Rounds end when one joins nothing.
+    Links come first, in ``LEADER_ROUNDS`` rounds: of the members that share a rare shingle one of the largest group
+    is the leader, and those of other groups are compared with it alone. A large group of near copies so becomes one,
+    and no two of its members need to meet any more. The rounds only save work.
 
     No pair between the groups that remain is missed: in any one order of all shingles, two sets that share the
     least they must have one in common before the longer one's last ``percent`` and the shorter one's last
@@ -282,18 +284,20 @@ def _shared(members: DataFrame, classes: DataFrame, docs: DataFrame, key: str, t
     # Shingles that no other set has come first and join with none; the others' places are counted from the end.
     placed = grams.join(common, "h").withColumn("at", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("many", "h")) - 1)
     rare = stored(placed.where(F.expr(f"at <= n - ({percent} * n + 99) div 100")).select("node", "n", "h", "at"))
-    links, now = None, members
-    while True:
+    links = None
+    now = members.join(members.groupBy("root").agg(F.count("*").alias("size")), "root").select("node", "root", "size")
+    for _ in range(LEADER_ROUNDS):
         kept = rare.join(now, "node")
-        leaders = kept.groupBy("h").agg(F.min_by(F.struct("node", "root", "n"), F.xxhash64("h", "node")).alias("led"))
-        asked = kept.join(leaders, "h").where(f"root <> led.root and 100 * least(n, led.n) >= {percent} * greatest(n, led.n)")
-        new = stored(_agree(asked.select(F.least("node", "led.node").alias("u"), F.greatest("node", "led.node").alias("v")).distinct(), full, percent))
+        first = F.max_by(F.struct("node", "root", "size", "n"), F.struct("size", "root", F.xxhash64("h", "node"))).alias("led")
+        asked = kept.join(kept.groupBy("h").agg(first), "h").where(f"root <> led.root and 100 * least(n, led.n) >= {percent} * greatest(n, led.n)")
+        new = stored(_agree(asked.select(F.col("node").alias("u"), F.col("led.node").alias("v"), "root", F.struct("led.size", "led.root").alias("to")).distinct(), full, percent))
         if new.isEmpty():
             break
-        links = new if links is None else links.union(new)
-        ends = new.join(now.toDF("u", "a"), "u").join(now.toDF("v", "b"), "v")
-        joined = components(ends.select(F.col("a").alias("u"), F.col("b").alias("v"))).toDF("root", "to")
-        now = stored(now.join(joined, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+        links = new.select("u", "v") if links is None else links.union(new.select("u", "v"))
+        # A group goes to the largest one it is linked with; sizes are those at the start, so no two go to each other.
+        now = stored(now.join(new.groupBy("root").agg(F.max("to").alias("to")), "root", "left")
+                     .select("node", F.coalesce("to.root", "root").alias("root"), F.coalesce("to.size", "size").alias("size")))
+    kept = rare.join(now, "node")
     short = kept.where(F.expr(f"at <= n - ({2 * percent} * n + {99 + percent}) div {100 + percent}"))
     x, y = (d.select("h", *(F.col(c).alias(c + e) for c in ("node", "root", "n", "at"))) for d, e in ((kept, "1"), (short, "2")))
     met = x.join(y, "h").where(f"root1 <> root2 and (n2 < n1 or n2 = n1 and node2 < node1) and 100 * n2 >= {percent} * n1 and {100 + percent} * least(n1 - at1, n2 - at2) >= {percent} * (n1 + n2)")
@@ -361,14 +365,14 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str,
 
 
 def _agree(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets in ``full(node, hashes)`` have ``100 * intersection >= percent * union``."""
-    both = pairs.join(full.select(F.col("node").alias("u"), F.col("hashes").alias("a")), "u").join(full.select(F.col("node").alias("v"), F.col("hashes").alias("b")), "v").select("u", "v", "a", "b")
-    out = StructType([StructField("u", LongType()), StructField("v", LongType())])
+    """The rows of ``pairs(u, v, ...)`` whose sets in ``full(node, hashes)`` have ``100 * intersection >= percent * union``."""
+    both = pairs.join(full.select(F.col("node").alias("u"), F.col("hashes").alias("a")), "u").join(full.select(F.col("node").alias("v"), F.col("hashes").alias("b")), "v").select(*pairs.columns, "a", "b")
+    out, own = pairs.schema, len(pairs.columns)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
             keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+            for x, y in zip(b.column(own).to_pylist(), b.column(own + 1).to_pylist()):
                 p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 if len(p) > len(q):
                     p, q = q, p
@@ -376,7 +380,7 @@ def _agree(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
                 same = int((q[np.minimum(at, len(q) - 1)] == p).sum())
                 keep.append(100 * same >= percent * (len(p) + len(q) - same))
             mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=out.names)
+            yield pa.RecordBatch.from_arrays(b.columns[:own], names=out.names).filter(mask)
 
     return both.mapInArrow(compare, out)
 
