@@ -22,6 +22,18 @@ def free_name(taken: list[str]) -> str:
     return name
 
 
+def free_names(taken: list[str], *names: str) -> list[str]:
+    """``names``, each with as many underscores more as it takes to be none of ``taken``, whatever the case of its letters."""
+    low = {t.lower() for t in taken}
+    out = []
+    for name in names:
+        while name.lower() in low:
+            name += "_"
+        low.add(name.lower())
+        out.append(name)
+    return out
+
+
 def few_rows_a_batch(spark: SparkSession) -> None:
     """Whole documents are large rows: Spark hands Python 1,024 of them at a time instead of 10,000."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from .common import components, small, stored
+from .common import components, free_names, small, stored
 
 HASHES = 128
 TREES = 24
@@ -329,8 +329,8 @@ def _marked(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 def _where_marked(docs: DataFrame, key: str, bits: np.ndarray, width: int, marked: bool) -> DataFrame:
     """The rows of ``docs`` whose key's bit is set, or those whose bit is not; no shuffle."""
-    place = F.pmod(F.xxhash64(_at(key)), F.lit(width)).alias("__place")
     own = docs.columns
+    place = F.pmod(F.xxhash64(_at(key)), F.lit(width)).alias(*free_names(own, "__place"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches, 1024):
@@ -435,23 +435,24 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     found = stored(groups(docs, key, text, size, percent).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id"))))
     ids = stored(found.groupBy("id").agg(F.count("*").alias("n"), F.max("kept").alias("kept")))
     whole = F.col(key).cast("long")
-    kept = ids.where("n = 1 and kept and id is not null").select(F.col("id").alias("__id"))
+    id_, key_, root_, set_ = free_names(docs.columns, "__id", "__key", "__root", "__set_key")
+    kept = ids.where("n = 1 and kept and id is not null").select(F.col("id").alias(id_))
     # Most keys are simply kept: only rows that may be among the others are shuffled.
     others = ids.where("n > 1 or id is null or not kept").select(_at("id").alias("at"))
     bits = _bitmap(others)
     suspects = _where_marked(docs, key, *bits, True)
-    plain = _where_marked(docs, key, *bits, False).unionByName(suspects.join(kept, whole == F.col("__id"), "left_semi"))
-    again = stored(ids.where("n > 1 or id is null").select(F.col("id").alias("__id")))
+    plain = _where_marked(docs, key, *bits, False).unionByName(suspects.join(kept, whole == F.col(id_), "left_semi"))
+    again = stored(ids.where("n > 1 or id is null").select(F.col("id").alias(id_)))
     at, own = docs.columns.index(text), docs.columns
-    schema = StructType([*docs.schema.fields, StructField("__set_key", BinaryType())])
+    schema = StructType([*docs.schema.fields, StructField(set_, BinaryType())])
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
             sets = shingle_sets([t or "" for t in b.column(at).to_pylist()], size)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([set_key(s) for s in sets], pa.binary())], names=schema.names)
 
-    odd = suspects.join(again, whole.eqNullSafe(F.col("__id")), "left_semi").mapInArrow(keyed, schema)
-    facts = found.where("kept").select(F.col("id").alias("__id"), F.col("set_key").alias("__key"), F.col("root").alias("__root")).distinct()
-    odd = odd.join(facts, whole.eqNullSafe(F.col("__id")) & (F.col("__set_key") == F.col("__key")))
-    one = odd.where("__root is not null").dropDuplicates(["__root"]).unionByName(odd.where("__root is null"))
+    odd = suspects.join(again, whole.eqNullSafe(F.col(id_)), "left_semi").mapInArrow(keyed, schema)
+    facts = found.where("kept").select(F.col("id").alias(id_), F.col("set_key").alias(key_), F.col("root").alias(root_)).distinct()
+    odd = odd.join(facts, whole.eqNullSafe(F.col(id_)) & (F.col(set_) == F.col(key_)))
+    one = odd.where(F.col(root_).isNotNull()).dropDuplicates([root_]).unionByName(odd.where(F.col(root_).isNull()))
     return plain.unionByName(one.select(*own))

@@ -16,6 +16,9 @@ import re
 import zlib
 from bisect import bisect_right
 from collections import deque
+from collections.abc import Iterable, Iterator
+from itertools import chain
+from urllib.parse import unquote_to_bytes
 
 from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StringType, StructField
@@ -23,7 +26,9 @@ from pyspark.sql.types import LongType, StringType, StructField
 from .common import per_text
 
 KINDS = ("assign", "access", "hex")
-MAX_LAYER_BYTES = 1 << 25
+# A decompressed layer is scanned in windows of about so many bytes; the next one repeats the end of the one before, so
+# that of any match a piece longer than the least of its kind lies in one of them.
+LAYER_BYTES, OVERLAP = 1 << 22, 1 << 16
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -34,6 +39,11 @@ _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})
 _ESCAPED = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]{2}))")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 _LEAST_BASE64 = 16
+# Compressed bytes under escapes: the first bytes of gzip or zlib, then escapes and what needs none.
+_URL_STREAM = re.compile(r"(?:%1[fF]%8[bB]|(?:x|%78)%(?:01|5[eE]|9[cC]|[dD][aA]))(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9._~!*'()+-])*")
+_BACKSLASH_STREAM = re.compile(r"""(?:\\x1[fF]\\x8[bB]|(?:x|\\x78)(?:\\x(?:01|9[cC]|[dD][aA]|5[eE])|\^))(?:\\x[0-9A-Fa-f]{2}|\\[abfnrtv0\\'"]|[\x20-\x5b\x5d-\x7e])*""")
+_BACKSLASH = re.compile(r"""\\(?:x([0-9A-Fa-f]{2})|([abfnrtv0\\'"]))""")
+_CONTROLS = {"a": "\a", "b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t", "v": "\v", "0": "\0"}
 _BREAK = re.compile(r"\r?\n[\x20\t]*")
 # No secret and no base64 layer is shorter.
 _PRINTABLE = re.compile(rb"[\t\n\r\x20-\x7e]{14,}")
@@ -162,46 +172,97 @@ def _wrapped(layer: str, runs: list[tuple[int, int]]):
         i = j + 1
 
 
-def _inflated(data: bytes) -> tuple[bytes | None, bool]:
-    """The stream that ``data`` holds, if any, and whether it went past the limit."""
-    if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
-        opened = zlib.decompressobj(47)
-        try:
-            plain = opened.decompress(data, MAX_LAYER_BYTES)
-        except zlib.error:
-            return None, False
-        return plain, bool(opened.unconsumed_tail)
-    return None, False
+def _is_stream(data: bytes) -> bool:
+    return data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0
+
+
+def _inflated(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """What gzip or zlib streams hold, member after member, a bounded piece at a time; up to the first byte that is wrong."""
+    opened, rest = zlib.decompressobj(47), b""
+    for chunk in chunks:
+        chunk, rest = rest + chunk, b""
+        while True:
+            if opened.eof:
+                if len(chunk) < 3:
+                    rest = chunk
+                    break
+                if not _is_stream(chunk):
+                    return
+                opened = zlib.decompressobj(47)
+            try:
+                plain = opened.decompress(chunk, LAYER_BYTES)
+            except zlib.error:
+                return
+            if plain:
+                yield plain
+            chunk = opened.unused_data if opened.eof else opened.unconsumed_tail
+            if not chunk and len(plain) < LAYER_BYTES:
+                break
+
+
+def _windows(data: bytes) -> Iterator[bytes]:
+    """``data``, or what is in the streams in it, however deep, in windows that overlap. A stream that holds itself ends the descent."""
+    first, rest, seen = data, iter(()), set()
+    while _is_stream(first) and (mark := hashlib.sha256(first).digest()) not in seen:
+        seen.add(mark)
+        inner = _inflated(chain((first,), rest))
+        got = next(inner, None)
+        if got is None:
+            break
+        first, rest = got, inner
+    tail = b""
+    for chunk in chain((first,), rest):
+        # A character cut by the window's edge is whole in the other window.
+        window = tail + chunk
+        start = next((i for i in range(min(4, len(window))) if window[i] & 0xC0 != 0x80), 0) if tail else 0
+        lead = next((i for i in range(1, min(4, len(window)) + 1) if window[-i] & 0xC0 != 0x80), 0)
+        cut = lead if len(chunk) >= LAYER_BYTES and lead and window[-lead] >= 0xC0 and lead < 2 + (window[-lead] >= 0xE0) + (window[-lead] >= 0xF0) else 0
+        yield window[start:len(window) - cut]
+        tail = window[-OVERLAP:]
+
+
+def _layers(data: bytes) -> Iterator[str]:
+    for window in _windows(data):
+        if plain := _readable(window):
+            yield plain
 
 
-def _unwrapped(blob: str) -> tuple[str | None, bool]:
+def _unwrapped(blob: str) -> Iterator[str]:
     body = blob.rstrip("=").replace("-", "+").replace("_", "/")
     if len(body) % 4 == 1:
-        return None, False
+        return
     try:
         data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
     except (binascii.Error, ValueError):
-        return None, False
-    over = False
-    for _ in range(64):  # a stream in a stream
-        plain, cut = _inflated(data)
-        over |= cut
-        if plain is None or plain == data:
-            break
-        data = plain
-    return _readable(data), over
+        return
+    yield from _layers(data)
+
 
+def _backslashed(run: str) -> bytes:
+    return _BACKSLASH.sub(lambda m: chr(int(m.group(1), 16)) if m.group(1) else _CONTROLS.get(m.group(2), m.group(2)), run).encode("latin-1", "replace")
 
-def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], int, int]:
-    """Base spans, all spans, the number of layers, and of layers longer than ``MAX_LAYER_BYTES``.
+
+def _streams(layer: str) -> Iterator[tuple[int, int, str]]:
+    """Layers of compressed bytes that stand under URL or backslash escapes, and where they stand."""
+    for mark, pattern, read in (("%", _URL_STREAM, unquote_to_bytes), ("\\x", _BACKSLASH_STREAM, _backslashed)):
+        if mark in layer:
+            for m in pattern.finditer(layer):
+                data = read(m.group())
+                if _is_stream(data):
+                    for plain in _layers(data):
+                        yield m.start(), m.end(), plain
+
+
+def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], int]:
+    """Base spans, all spans, and the number of layers (windows of long ones).
 
     Spans are (kind, start, end) in code points of ``text``, end exclusive.
     """
     one_byte = text.encode("latin-1", "replace")
     base = base_spans(text, one_byte)
     if not ("%" in text or "\\" in text or next(_runs(one_byte, _BASE64_MASK, _LEAST_BASE64), None)):
-        return base, base, 0, 0
-    spans, seen, layers, over = set(base), set(), 0, 0
+        return base, base, 0
+    spans, seen, layers = set(base), set(), 0
     work = deque([(text, one_byte, _Places([(0, 0, len(text), True)], len(text)))])
     while work:
         layer, raw, places = work.popleft()
@@ -213,11 +274,9 @@ def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, in
         runs = list(_runs(raw, _BASE64_MASK, _LEAST_BASE64))
         blobs = [(a, (blob := _BASE64.match(layer, a)).end(), blob.group()) for a, _ in runs]
         for a, b, blob in [*blobs, *_wrapped(layer, runs)]:
-            plain, cut = _unwrapped(blob)
-            over += cut
-            if plain is not None:
-                left, right = places.span(a, b)
-                under.append((plain, _Places([(0, left, right, False)], len(plain))))
+            under.extend(_from(places, a, b, _unwrapped(blob)))
+        for a, b, plain in _streams(layer):
+            under.extend(_from(places, a, b, (plain,)))
         for plain, where in under:
             key = (where.span(0, len(plain)) if plain else (0, 0), hashlib.sha256(plain.encode("utf-8", "surrogatepass")).digest())
             if not plain or key in seen:
@@ -227,7 +286,13 @@ def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, in
             bytes_of = plain.encode("latin-1", "replace")
             spans.update((k, *where.span(a, b)) for k, a, b in base_spans(plain, bytes_of))
             work.append((plain, bytes_of, where))
-    return base, sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2])), layers, over
+    return base, sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2])), layers
+
+
+def _from(places: _Places, a: int, b: int, plains: Iterable[str]) -> Iterator[tuple[str, _Places]]:
+    """Layers all of whose characters come from the stretch [a, b) of the layer above."""
+    left, right = places.span(a, b)
+    return ((plain, _Places([(0, left, right, False)], len(plain))) for plain in plains)
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:
@@ -235,20 +300,19 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def _row(text: str) -> tuple:
-    base, spans, layers, over = scan(text)
+    base, spans, layers = scan(text)
     said = joined(base)
     n = [sum(s[0] == k for s in base) for k in KINDS]
-    return (*n, hashlib.sha256(said.encode()).hexdigest(), said if spans is base else joined(spans), layers, over)
+    return (*n, hashlib.sha256(said.encode()).hexdigest(), said if spans is base else joined(spans), layers)
 
 
 def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: counts of the base kinds, their digest, all spans, layers unwrapped.
 
     Null and empty texts have no spans; repeated rows give repeated rows; an
-    empty table gives none; a null key is kept. Texts are read whole. A
-    decompressed layer is read up to ``MAX_LAYER_BYTES`` (a guard against
-    bombs); ``n_over`` counts the layers that went past it.
+    empty table gives none; a null key is kept. Texts and layers
+    are read whole, long layers in windows, all members of a gzip stream.
     """
     long = [StructField(f"n_{k}", LongType()) for k in KINDS]
-    rest = [StructField("base_sha256", StringType()), StructField("spans", StringType()), StructField("n_layers", LongType()), StructField("n_over", LongType())]
+    rest = [StructField("base_sha256", StringType()), StructField("spans", StringType()), StructField("n_layers", LongType())]
     return per_text(docs, [key], text, lambda: _row, long + rest)

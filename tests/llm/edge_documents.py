@@ -5,7 +5,8 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 LONG = "Word after word, number 12345 and more; " * 3000
 TEXTS = [None, "", " \t\n", "one", "one two three", "The same text twice over, word for word and no less.", "The same text twice over, word for word and no less.",
          "¡Ñandú! Ångström straße über naïve façade — 你好 世界 🙂🙂", "'re' 've'll 'r  \n\n  x's   ", "a" * 5000, LONG, "0" * 400, "+" * 300, "@" * 300 + "a@b.c", "%%%20%zz\\u00", "1.2.3.4.5.6.7.8"]
-NAMES = ("k", "t", "text", "score", "row", "node", "root", "id", "_mix", "mix_pass", "__text", "labels", "spans", "part")
+NAMES = ("k", "t", "text", "score", "row", "node", "root", "id", "_mix", "mix_pass", "__text", "labels", "spans", "part",
+         "__id", "__place", "__root", "__key", "__set_key", "__lang", "__score", "mix_x", "__mix_x")
 SCHEMA = StructType([StructField("doc_id", LongType()), *[StructField(n, StringType()) for n in NAMES], StructField("lang", StringType()), StructField("source", StringType()), StructField("n_chars", LongType())])
 
 
