@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sweepfield.llm import bpe, language, mixing, near, pii
-from sweepfield.llm.common import few_rows_a_batch, shared_folder
+from sweepfield.llm.common import few_rows_a_batch, free_names, shared_folder
 
 # A document goes if it has no letter or if no language holds this share of it.
 LEAST_LANGUAGE = 0.4
@@ -19,8 +19,9 @@ NEAR_PERCENT = 80
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents whose language the network recognises."""
     few_rows_a_batch(spark)
-    said = language.predict(docs, language.train(docs), docs.columns, names=("__lang", "__score"))
-    return said.where((F.col("__lang") != language.UND) & (F.col("__score") >= LEAST_LANGUAGE)).select(*docs.columns)
+    lang, score = free_names(docs.columns, "__lang", "__score")
+    said = language.predict(docs, language.train(docs), docs.columns, names=(lang, score))
+    return said.where((F.col(lang) != language.UND) & (F.col(score) >= LEAST_LANGUAGE)).select(*docs.columns)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +40,8 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat documents of the smaller sources, none more than ``MOST_REPEATS`` times as often as any other; none is dropped."""
     few_rows_a_batch(spark)
-    safe = {c: f"__{c}" for c in docs.columns if c.startswith("mix_")}
+    clash = [c for c in docs.columns if c.lower().startswith("mix_")]
+    safe = dict(zip(clash, free_names(docs.columns, *(f"__{c}" for c in clash))))
     mixed = mixing.mix(docs.withColumnsRenamed(safe), repeats=MOST_REPEATS)
     return mixed.select(*[F.col(safe.get(c, c)).alias(c) for c in docs.columns])
 
