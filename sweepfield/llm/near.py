@@ -33,8 +33,8 @@ WINDOW = 48
 SKETCH_BITS = 4
 BLOCK_BYTES = 1 << 19
 MOST_BITS = 1 << 24
-# Rounds in which members of wide regions are compared with one leader for each of their rare shingles.
-LEADER_ROUNDS = 2
+# Rounds in which members of wide regions are compared with so many leaders of their rare shingles' lists.
+LEADER_ROUNDS, LEADERS = 2, 4
 
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(20)
@@ -261,7 +261,7 @@ def _shared(members: DataFrame, classes: DataFrame, docs: DataFrame, key: str, t
     """Links among ``members``, and the pairs ``u < v`` of groups these leave apart that can be as alike as ``percent``, by their rarest shingles.
 
     Links come first, in ``LEADER_ROUNDS`` rounds: of the members that share a rare shingle one of the largest group
-    is the leader, and those of other groups are compared with it alone. A large group of near copies so becomes one,
+    is the leader, and those of other groups are compared with their ``LEADERS`` nearest leaders alone. A large group of near copies so becomes one,
     and no two of its members need to meet any more. The rounds only save work.
 
     No pair between the groups that remain is missed: in any one order of all shingles, two sets that share the
@@ -290,7 +290,10 @@ def _shared(members: DataFrame, classes: DataFrame, docs: DataFrame, key: str, t
         kept = rare.join(now, "node")
         first = F.max_by(F.struct("node", "root", "size", "n"), F.struct("size", "root", F.xxhash64("h", "node"))).alias("led")
         asked = kept.join(kept.groupBy("h").agg(first), "h").where(f"root <> led.root and 100 * least(n, led.n) >= {percent} * greatest(n, led.n)")
-        new = stored(_agree(asked.select(F.col("node").alias("u"), F.col("led.node").alias("v"), "root", F.struct("led.size", "led.root").alias("to")).distinct(), full, percent))
+        # A long set meets many leaders; it is compared with those of which it shares most.
+        met = asked.groupBy(F.col("node").alias("u"), F.col("led.node").alias("v")).agg(F.count("*").alias("many"), F.any_value("root").alias("root"), F.any_value(F.struct("led.size", "led.root")).alias("to"))
+        best = met.withColumn("place", F.row_number().over(W.partitionBy("u").orderBy(F.desc("many"), "v"))).where(F.col("place") <= LEADERS)
+        new = stored(_agree(best.select("u", "v", "root", "to"), full, percent))
         if new.isEmpty():
             break
         links = new.select("u", "v") if links is None else links.union(new.select("u", "v"))
