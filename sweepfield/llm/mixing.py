@@ -24,8 +24,8 @@ _LAST = (1 << 63) - 1
 
 
 def token_count(text: str) -> Column:
-    """Words between white space; null and empty texts have none, all others at least one."""
-    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, F.lit(0)).otherwise(F.greatest(F.size(F.split(F.trim(F.col(text)), r"\s+")), F.lit(1))).cast("long")
+    """Bytes of the text: the tokens a byte-level vocabulary starts from, which counts every script and every blob alike. Null and empty texts have none."""
+    return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
 def _at(shares: DataFrame, exponents: list[float]) -> dict[float, tuple[float, float]]:
