@@ -16,6 +16,16 @@ from ..functions.rigid import Rigid, axis_angle
 VOXEL = ["vx", "vy", "vz"]
 
 
+def voxel_id() -> Column:
+    """One number for a voxel, different for different ones: 21 bits of each index. Indices beyond a million either way are an error."""
+    half = 1 << 20
+    known, packed = F.lit(True), F.lit(0).cast("long")
+    for v in VOXEL:
+        known = known & F.col(v).between(-half, half - 1)
+        packed = F.shiftleft(packed, 21).bitwiseOR(F.col(v) + half)
+    return F.when(known, packed).otherwise(F.raise_error(F.lit("a voxel index is too large for an id")).cast("long"))
+
+
 def spread(df: DataFrame, keys: list[str], reach: int = 1) -> DataFrame:
     """One row per cell within ``reach`` of the row's own cell along every key."""
     for k in keys:

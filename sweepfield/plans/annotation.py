@@ -13,7 +13,7 @@ from ..operators.filters import vertical_normals
 from ..operators.neighbors import still_points, transfer_labels
 from ..operators.planes import extract_ground, mark_in_plane, ransac_plane
 from ..operators.temporal import horizon_windows
-from ..operators.voxels import voxel_barycentre
+from ..operators.voxels import voxel_barycentre, voxel_id
 from ..runtime import checkpointed
 from ..schema import GROUND, LONG_T, SHORT_T, STILL, UNCERTAIN
 from .maps import FRAME, day_map
@@ -42,7 +42,7 @@ def annotate_session(points: DataFrame, poses: DataFrame, base: DataFrame, frame
     The day map is the input of four later stages, so it goes through storage once.
     """
     day = day_map(points, poses, base, frame_dl, map_dl, n_lines)
-    day = checkpointed(day.withColumn("map_id", F.xxhash64("vx", "vy", "vz")))
+    day = checkpointed(day.withColumn("map_id", voxel_id()))
     classes = checkpointed(annotate_map(day, points, poses, map_dl, **options))
     world = move_points(points, poses, FRAME)
     labelled = transfer_labels(world.select(*FRAME, F.col("id").alias("pid"), "x", "y", "z")

@@ -15,7 +15,7 @@ from ..operators.planes import extract_ground, ground_height, mark_in_plane
 from ..operators.shape import frame_normals
 from ..operators.temporal import (drop_near_duplicates, frames_near_place, interpolated_poses,
                                   nearest_time_join, pose_steps)
-from ..operators.voxels import sphere_barycentre
+from ..operators.voxels import sphere_barycentre, voxel_id
 from ..runtime import checkpointed, one_row
 
 FRAME = ["session", "frame_ts"]
@@ -66,7 +66,7 @@ def day_map(points: DataFrame, poses: DataFrame, base: DataFrame, frame_dl: floa
     the whole frame, weighed by range and incidence, and are merged. Base points
     keep frame index -1.
     """
-    thin = sphere_barycentre(points, frame_dl, FRAME).withColumn("id", F.xxhash64("vx", "vy", "vz")).select(*FRAME, "id", *XYZ)
+    thin = sphere_barycentre(points, frame_dl, FRAME).withColumn("id", voxel_id()).select(*FRAME, "id", *XYZ)
     normals = frame_normals(drop_sensor_origin(points), FRAME, n_lines, queries=drop_sensor_origin(checkpointed(thin)))
     n = Vec.of("nx", "ny", "nz")
     weighed = normals.where(F.col("score") >= 0).withColumn(

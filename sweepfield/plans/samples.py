@@ -10,7 +10,7 @@ from ..operators.filters import frame_indicators
 from ..operators.neighbors import nearest_join, radius_neighbours
 from ..operators.sampling import augment, augmentation_parameters, sample_to_cap
 from ..operators.temporal import merge_last_frames
-from ..operators.voxels import voxel_barycentre
+from ..operators.voxels import voxel_barycentre, voxel_id
 
 
 def pyramid(points: DataFrame, by: list[str], dl: float, conv_radius: float = 2.5, layers: int = 3,
@@ -27,7 +27,7 @@ def pyramid(points: DataFrame, by: list[str], dl: float, conv_radius: float = 2.
         step = {"points": current, "neighbours": radius_neighbours(q, s, r, by, limit=limit)}
         if layer < layers - 1:
             coarse = voxel_barycentre(current, 2 * r / conv_radius, by)
-            coarse = coarse.select(*by, F.xxhash64("vx", "vy", "vz").alias("id"), "x", "y", "z")
+            coarse = coarse.select(*by, voxel_id().alias("id"), "x", "y", "z")
             cq, cs = coarse.withColumnRenamed("id", "q_id"), coarse.withColumnRenamed("id", "s_id")
             step["pools"] = radius_neighbours(cq, s, r, by, limit=limit)
             if upsample:
@@ -54,7 +54,7 @@ def assemble_samples(points: DataFrame, centres: DataFrame, n_frames: int, radiu
     centred = centred.withColumns(rel.columns()).drop("cx", "cy", "cz")
     ball = centred.where(xyz().sq_norm() < radius * radius)
     thin = voxel_barycentre(ball.withColumn("age", F.col("age").cast("int")), dl, key, labels=["label", "age"])
-    thin = thin.withColumn("id", F.xxhash64("vx", "vy", "vz")).select(*key, "id", "x", "y", "z", "label", "age")
+    thin = thin.withColumn("id", voxel_id()).select(*key, "id", "x", "y", "z", "label", "age")
     capped = sample_to_cap(thin, key, cap, seed)
     raw = centred.where((F.col("age") == 0) & (xyz().sq_norm() < (0.99 * radius) ** 2))
     raw = raw.select(*key, F.col("id").alias("raw_id"), "x", "y", "z", F.col("label").alias("raw_label"))
