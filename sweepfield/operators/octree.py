@@ -126,11 +126,14 @@ def _points(t: pa.Table) -> np.ndarray:
 def _in_order(both: DataFrame, by: list[str], rows: int) -> DataFrame:
     """The rows in Morton order with ``_run``, and for queries the squared distance ``_bound`` to a support nearby in the order.
 
+    Supports and queries are numbered apart, about ``rows`` of either to a run, so that many queries among few
+    supports, or few among many, make no more runs than they must.
+
     Copies of a support in one run are left out but for the lowest id, which comes first.
     """
     schema = StructType(both.schema.fields).add("_run", "long").add("_bound", "double")
 
-    def place(t: pa.Table, run: int) -> pa.Table:
+    def place(t: pa.Table, run: int, chunk: int) -> pa.Table:
         p, asks, (group,) = _points(t), t.column("_asks").to_numpy(), _groups([t], by)
         s = np.flatnonzero(~asks)
         copy = np.zeros(len(asks), bool)
@@ -142,18 +145,29 @@ def _in_order(both: DataFrame, by: list[str], rows: int) -> DataFrame:
             for k in range(-_SIDE, _SIDE):
                 other = s[np.clip(at + k, 0, len(s) - 1)]
                 bound[q] = np.fmin(bound[q], np.where(group[other] == group[q], _squares(p[other] - p[q]), np.inf))
-        out = t.append_column("_run", pa.array(np.full(len(asks), run))).append_column("_bound", pa.array(bound))
+        out = t.append_column("_run", pa.array(np.where(asks, chunk, run))).append_column("_bound", pa.array(bound))
         return out.filter(pa.array(~copy))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n, number = [], 0, TaskContext.get().partitionId() << 32
+        first = TaskContext.get().partitionId() << 32
+        held, number, count = [], [first, first], [0, 0]
+
+        def flush() -> pa.Table:
+            out = place(pa.Table.from_batches(held), *number)
+            queries = int(out.column("_asks").to_numpy().sum())
+            for k, n in enumerate((out.num_rows - queries, queries)):
+                count[k] += n
+                if count[k] >= rows:
+                    number[k], count[k] = number[k] + 1, 0
+            held.clear()
+            return out
+
         for b in batches:
-            held, n = [*held, b], n + b.num_rows
-            if n >= rows:
-                yield from place(pa.Table.from_batches(held), number).to_batches(10_000)
-                held, n, number = [], 0, number + 1
-        if n:
-            yield from place(pa.Table.from_batches(held), number).to_batches(10_000)
+            held.append(b)
+            if sum(h.num_rows for h in held) >= rows:
+                yield from flush().to_batches(10_000)
+        if held:
+            yield from flush().to_batches(10_000)
 
     keys = ["_g", "_code", *("_p" + a for a in XYZ), "_first"]
     return both.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
