@@ -183,7 +183,7 @@ r AS (SELECT pid, i, floor((0.5::DOUBLE*p1)*255)/255 AS s1, floor((0.5::DOUBLE*p
  SELECT v.pid, v.i, floor((0.5::DOUBLE*s1+0.5::DOUBLE*p1)*255)/255, floor((0.5::DOUBLE*s2+0.5::DOUBLE*p2)*255)/255 FROM r JOIN v ON v.pid=r.pid AND v.i=r.i+1)
 SELECT pid, round(arg_max(s1,i),6) AS p1, round(arg_max(s2,i),6) AS p2, max(i) AS votes FROM r GROUP BY pid""")
 def votes_quantised(spark, sf):
-    return rounded(sc.folded_votes(votes(spark, sf), ["pid"], "event_id", ["p1", "p2"], 0.5, quantised=True), "p1", "p2")
+    return rounded(sc.folded_votes(votes(spark, sf), ["pid"], "event_id", ["p1", "p2"], 0.5, quantised=True, unbounded=True), "p1", "p2")
 
 
 @query("votes_aligned", """WITH RECURSIVE v AS (SELECT user_id AS pid, value/500-0.3*(event_id%2) AS p1, 0.1+value/1000-0.2*(event_id%2) AS p2, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),

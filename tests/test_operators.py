@@ -255,6 +255,17 @@ def test_byte_votes_of_a_hot_key_over_many_chunks(spark):
         scoring.folded_votes(df.withColumn("p", F.col("p") + 1), ["pid"], "o", ["p"], 0.9, quantised=True).collect()
 
 
+def test_quantised_votes_of_any_size(spark):
+    rows = [("plain", i, i % 7 / 6, 0.5) for i in range(300)] + [("wide", i, i % 5 - 1.5, 3.0 * (i % 2)) for i in range(300)] + [(None, i, 0.25, 1.5) for i in range(40)]
+    df = spark.createDataFrame(rows, "pid string, o long, p double, q double").repartition(5)
+    got = scoring.folded_votes(df, ["pid"], "o", ["p", "q"], 0.9, quantised=True, unbounded=True, chunk=F.floor(F.col("o") / 100).cast("long")).collect()
+    assert {r.pid: (r.p, r.q) for r in got} == {k: tuple(v) for k, v in fold_in_order(rows, 0.9, quantised=True).items()}
+    assert {r.pid: r.votes for r in got} == {"plain": 300, "wide": 300, None: 40}
+    for wrong in (float("nan"), float("inf"), None):
+        with pytest.raises(Exception, match="finite|between 0 and 1"):
+            scoring.folded_votes(df.withColumn("p", F.lit(wrong).cast("double")), ["pid"], "o", ["p"], 0.9, quantised=True, unbounded=True).collect()
+
+
 def test_aligned_votes_inside_and_outside_the_cone(spark):
     rng = np.random.default_rng(7)
     rows = []
