@@ -30,6 +30,8 @@ _STEPS = ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F
 RUN_ROWS, MOST_RUNS = 1 << 15, 1 << 16
 # A cell with more points is split; a box of the tree above the leaves has so many children.
 LEAF, FAN = 32, 8
+# Rows of a partition in the Morton order, and pairs of a query and a box, or of a query and a point, held at once.
+PART_ROWS, WIDE = 1 << 18, 1 << 18
 # Queries searched at once, and neighbours in the order that give a first bound, to each side.
 _BATCH, _SIDE = 2048, 4
 
@@ -55,10 +57,21 @@ class BoxTree:
             lo, hi, g0, g1 = np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.minimum.reduceat(g0, at), np.maximum.reduceat(g1, at)
             self.levels.append((lo, hi, g0, g1))
 
-    def within(self, p: np.ndarray, g: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def slices(self, p: np.ndarray, g: np.ndarray, bound: np.ndarray, first: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """``within`` for consecutive stretches of the queries, halved until about ``WIDE`` pairs are held; each with its first query."""
+        found = self.within(p, g, bound, WIDE if len(p) > 1 else None)
+        if found is not None:
+            yield first, *found
+            return
+        half = len(p) // 2
+        yield from self.slices(p[:half], g[:half], bound[:half], first)
+        yield from self.slices(p[half:], g[half:], bound[half:], first + half)
+
+    def within(self, p: np.ndarray, g: np.ndarray, bound: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
         """``(query, box)`` pairs in the order of queries that may hold a point of the query's group within ``bound``, and the bound.
 
         ``bound`` is a squared distance; a box of the one group lowers it to its farthest corner.
+        None if more than ``most`` pairs would have to be held.
         """
         bound = bound.copy()
         top = len(self.levels[-1][0])
@@ -66,6 +79,8 @@ class BoxTree:
         for depth in range(len(self.levels) - 1, -1, -1):
             lo, hi, g0, g1 = self.levels[depth]
             if depth < len(self.levels) - 1:
+                if most is not None and len(q) * FAN > most:
+                    return None
                 q, node = np.repeat(q, FAN), (node[:, None] * FAN + np.arange(FAN)).ravel()
                 there = node < len(lo)
                 q, node = q[there], node[there]
@@ -123,15 +138,16 @@ def _points(t: pa.Table) -> np.ndarray:
     return np.column_stack([t.column("_p" + a).to_numpy() for a in XYZ])
 
 
-def _in_order(both: DataFrame, by: list[str], rows: int) -> DataFrame:
+def _in_order(both: DataFrame, by: list[str], rows: int, parts: int | None = None) -> DataFrame:
     """The rows in Morton order with ``_run``, and for queries the squared distance ``_bound`` to a support nearby in the order.
 
     Supports and queries are numbered apart, about ``rows`` of either to a run, so that many queries among few
     supports, or few among many, make no more runs than they must.
 
-    Copies of a support in one run are left out but for the lowest id, which comes first.
+    Copies of a support in one run are left out but for the lowest id, which comes first. ``_asker`` is the ``_row`` of
+    the query that asks for all queries at its place of one run.
     """
-    schema = StructType(both.schema.fields).add("_run", "long").add("_bound", "double")
+    schema = StructType(both.schema.fields).add("_run", "long").add("_bound", "double").add("_asker", "long")
 
     def place(t: pa.Table, run: int, chunk: int) -> pa.Table:
         p, asks, (group,) = _points(t), t.column("_asks").to_numpy(), _groups([t], by)
@@ -145,7 +161,11 @@ def _in_order(both: DataFrame, by: list[str], rows: int) -> DataFrame:
             for k in range(-_SIDE, _SIDE):
                 other = s[np.clip(at + k, 0, len(s) - 1)]
                 bound[q] = np.fmin(bound[q], np.where(group[other] == group[q], _squares(p[other] - p[q]), np.inf))
-        out = t.append_column("_run", pa.array(np.where(asks, chunk, run))).append_column("_bound", pa.array(bound))
+        new = np.ones(len(q), bool)
+        new[1:] = (p[q[1:]] != p[q[:-1]]).any(axis=1) | (group[q[1:]] != group[q[:-1]])
+        asker = np.zeros(len(asks), np.int64)
+        asker[q] = t.column("_row").to_numpy(zero_copy_only=False)[q[new]].astype(np.int64)[np.cumsum(new) - 1] if len(q) else 0
+        out = t.append_column("_run", pa.array(np.where(asks, chunk, run))).append_column("_bound", pa.array(bound)).append_column("_asker", pa.array(asker))
         return out.filter(pa.array(~copy))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,8 +189,9 @@ def _in_order(both: DataFrame, by: list[str], rows: int) -> DataFrame:
         if held:
             yield from flush().to_batches(10_000)
 
-    keys = ["_g", "_code", *("_p" + a for a in XYZ), "_first"]
-    return both.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    keys = ["_g", "_code", "_fine", *("_p" + a for a in XYZ), "_first"]
+    spread = both.repartitionByRange(*keys) if parts is None else both.repartitionByRange(parts, *keys)
+    return spread.sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
 def nearest_runs(queries: DataFrame, supports: DataFrame, by: list[str], q_id: str, s_id: str, carry: list[str],
@@ -193,10 +214,17 @@ def nearest_runs(queries: DataFrame, supports: DataFrame, by: list[str], q_id: s
     finite = F.when(~F.isnan("_px") & ~F.isnan("_py") & ~F.isnan("_pz"), F.lit(True))
     ends = both.agg(F.count(F.lit(1)).alias("n"), *(f(F.when(finite, F.col("_p" + a))).alias(w + a) for a in XYZ for w, f in (("lo", F.min), ("hi", F.max)))).first()
     size = max((ends["hi" + a] - ends["lo" + a] for a in XYZ if ends["lo" + a] is not None), default=0.0) / (1 << _BITS) or 1.0
-    cells = [F.least(F.floor((F.col("_p" + a) - (ends["lo" + a] or 0.0)) / size).cast("long"), F.lit((1 << _BITS) - 1)) for a in XYZ]
-    both = both.withColumns({"_code": F.coalesce(morton(cells), F.lit(0).cast("long")), "_first": F.col("_hit.id")})
+    places = [(F.col("_p" + a) - (ends["lo" + a] or 0.0)) / size for a in XYZ]
+    last = F.lit((1 << _BITS) - 1)
+    cells = [F.least(F.floor(c).cast("long"), last) for c in places]
+    # The place within a cell, so that the order of a crowd in few cells is that of a tree too.
+    within = [F.least(F.floor((c - F.floor(c)) * (1 << _BITS)).cast("long"), last) for c in places]
+    both = both.withColumns({"_code": F.coalesce(morton(cells), F.lit(0).cast("long")), "_fine": F.coalesce(morton(within), F.lit(0).cast("long")), "_first": F.col("_hit.id")})
     names = list(groups)
-    placed = checkpointed(_in_order(both, names, max(RUN_ROWS, ends["n"] // MOST_RUNS)))
+    # The memory of a task that sorts does not grow with the tables: there are more tasks.
+    parts = -(-ends["n"] // PART_ROWS)
+    parts = parts if parts > int(both.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+    placed = checkpointed(_in_order(both, names, max(RUN_ROWS, ends["n"] // MOST_RUNS), parts))
 
     asked, held = placed.where("_asks"), placed.where("not _asks")
     corners = [f("_p" + a).alias(w + a) for w, f in (("lo", F.min), ("hi", F.max)) for a in XYZ]
@@ -215,15 +243,16 @@ def nearest_runs(queries: DataFrame, supports: DataFrame, by: list[str], q_id: s
         for whole in batches:
             for a in range(0, whole.num_rows, _BATCH):
                 t = pa.Table.from_batches([whole.slice(a, _BATCH)])
-                at, box, bound = boxes.within(_points(t), t.column("_g").to_numpy(), np.minimum(t.column("_bound").to_numpy(), most))
-                own = t.set_column(t.schema.get_field_index("_bound"), "_bound", pa.array(bound)).take(pa.array(at))
-                yield from own.append_column("_run", pa.array(number[box])).select(wire).to_batches()
+                for first, at, box, bound in boxes.slices(_points(t), t.column("_g").to_numpy(), np.minimum(t.column("_bound").to_numpy(), most)):
+                    own = t.slice(first, len(bound))
+                    own = own.set_column(own.schema.get_field_index("_bound"), "_bound", pa.array(bound)).take(pa.array(at))
+                    yield from own.append_column("_run", pa.array(number[box])).select(wire).to_batches()
 
-    asking = asked.where("not (isnan(_px) or isnan(_py) or isnan(_pz))").withColumnRenamed("_run", "_chunk").select(*wire[:-1])
+    asking = asked.where("_row = _asker and not (isnan(_px) or isnan(_py) or isnan(_pz))").withColumnRenamed("_run", "_chunk").select(*wire[:-1])
     routed = checkpointed(asking.mapInArrow(route, sent))
     # A run is copied to every chunk of queries that asks it, so neither side of a group exceeds a run.
     pairs = routed.select("_run", F.col("_chunk").alias("_for")).distinct()
-    copies = held.select(*names, "_px", "_py", "_pz", "_code", "_hit", "_run").join(pairs, "_run")
+    copies = held.select(*names, "_px", "_py", "_pz", "_code", "_fine", "_hit", "_run").join(pairs, "_run")
     found = StructType([f for f in routed.schema if f.name == "_row"]).add("_d2", "double").add(held.schema["_hit"])
     result = to_arrow_schema(found)
 
@@ -231,25 +260,32 @@ def nearest_runs(queries: DataFrame, supports: DataFrame, by: list[str], q_id: s
         if not own.num_rows or not asks.num_rows:
             return result.empty_table()
         group, wanted = _groups([own, asks], names)
-        order = np.lexsort((own.column("_code").to_numpy(), group))
+        order = np.lexsort((own.column("_fine").to_numpy(), own.column("_code").to_numpy(), group))
         p, group = _points(own)[order], group[order]
+        # The smallest cells may still be crowded; within them the order goes on.
         starts = leaves(own.column("_code").to_numpy()[order], group)
+        place = np.arange(len(p)) - np.repeat(starts, np.diff(starts, append=len(p)))
+        starts = np.flatnonzero(place % LEAF == 0)
         sizes = np.diff(starts, append=len(p))
         boxes = BoxTree(np.minimum.reduceat(p, starts), np.maximum.reduceat(p, starts), group[starts], group[starts])
         asked_at, limit = _points(asks), asks.column("_bound").to_numpy()
         rows, best, hits = [], [], []
         for a in range(0, len(asked_at), _BATCH):
             one = asked_at[a:a + _BATCH]
-            at, leaf, bound = boxes.within(one, wanted[a:a + _BATCH], limit[a:a + _BATCH])
-            many = sizes[leaf]
-            at = np.repeat(at, many)
-            member = np.repeat(starts[leaf] - np.cumsum(many) + many, many) + np.arange(many.sum())
-            d2 = _squares(one[at] - p[member])
-            np.minimum.at(bound, at, d2)
-            least = d2 == bound[at]
-            rows.append(at[least] + a)
-            best.append(d2[least])
-            hits.append(order[member[least]])
+            for first, at_leaf, leaf, bound in boxes.slices(one, wanted[a:a + _BATCH], limit[a:a + _BATCH]):
+                for low in range(0, len(leaf), WIDE // LEAF):
+                    box = leaf[low:low + WIDE // LEAF]
+                    many = sizes[box]
+                    at = np.repeat(at_leaf[low:low + WIDE // LEAF], many)
+                    member = np.repeat(starts[box] - np.cumsum(many) + many, many) + np.arange(many.sum())
+                    d2 = _squares(one[at + first] - p[member])
+                    np.minimum.at(bound, at, d2)
+                    least = d2 == bound[at]
+                    rows.append(at[least] + first + a)
+                    best.append(d2[least])
+                    hits.append(order[member[least]])
+        if not rows:
+            return result.empty_table()
         rows, hits = np.concatenate(rows), np.concatenate(hits)
         return pa.table([asks.column("_row").take(pa.array(rows)), pa.array(np.concatenate(best)), own.column("_hit").take(pa.array(hits))], names=result.names)
 
@@ -259,12 +295,12 @@ def nearest_runs(queries: DataFrame, supports: DataFrame, by: list[str], q_id: s
 
 def _answers(asked: DataFrame, hits: DataFrame | None, by: list[str], q_id: str, s_id: str, carry: list[str], supports: DataFrame) -> DataFrame:
     """One row for each query: the nearest of its hits, equal distances by lowest id; nulls without any."""
-    base = asked.select("_row", F.struct(*(f"_by{i}" for i in range(len(by))), "_ask").alias("_base"))
+    base = asked.select("_asker", F.struct(*(f"_by{i}" for i in range(len(by))), "_ask").alias("_base"))
     if hits is None:
         none = [F.lit(None).cast(supports.schema[c].dataType).alias(c) for c in (s_id, *carry)]
         return base.select(*(F.col(f"_base._by{i}").alias(k) for i, k in enumerate(by)), F.col("_base._ask").alias(q_id), *none, F.lit(None).cast("double").alias("d2"))
-    whole = base.unionByName(hits, allowMissingColumns=True)
-    order = F.when(F.col("_d2").isNotNull(), F.struct(F.col("_d2"), F.col("_hit.id")))
-    best = whole.groupBy("_row").agg(F.first("_base", True).alias("_base"), F.min_by(F.struct("_d2", "_hit"), order).alias("_best"))
+    order = F.struct(F.col("_d2"), F.col("_hit.id"))
+    found = hits.groupBy("_row").agg(F.min_by(F.struct("_d2", "_hit"), order).alias("_best")).withColumnRenamed("_row", "_asker")
+    best = base.join(found, "_asker", "left")
     return best.select(*(F.col(f"_base._by{i}").alias(k) for i, k in enumerate(by)), F.col("_base._ask").alias(q_id), F.col("_best._hit.id").alias(s_id),
                        *(F.col(f"_best._hit.c{i}").alias(c) for i, c in enumerate(carry)), F.col("_best._d2").alias("d2"))
