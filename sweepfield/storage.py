@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+# Files that are renamed at once.
+_MOVES = 16
+
 
 class Files:
     """Hadoop's file system below one path, so that any URI the session reads can be written."""
@@ -63,17 +67,32 @@ def write_files(blobs: DataFrame, path: str, overwrite: bool = False) -> list[st
     the writer adds. A name that exists is an error, before anything is published,
     unless ``overwrite`` replaces it; names must not repeat.
     """
-    files, staged = Files(blobs.sparkSession, path), f"_staging/{uuid.uuid4().hex}"
-    blobs.select("name", F.col("content").cast("string").alias("value")).write.partitionBy("name").text(f"{path}/{staged}")
-    folders = {unquote(n.split("=", 1)[1]): n for n in files.names(staged) if n.startswith("name=")}
-    parts = {name: [n for n in files.names(f"{staged}/{folder}") if n.startswith("part-")] for name, folder in folders.items()}
-    wrong = [n for n, p in parts.items() if len(p) != 1] or ([] if overwrite else [n for n in parts if files.exists(n)])
-    if wrong:
+    spark = blobs.sparkSession
+    files, staged = Files(spark, path), f"_staging/{uuid.uuid4().hex}"
+    tasks, rows = 4 * spark.sparkContext.defaultParallelism, Observation()
+    # Many small files are written by many tasks, each of which moves its own files to the staging folder.
+    (blobs.select("name", F.col("content").cast("string").alias("value")).repartition(tasks, "name").observe(rows, F.count(F.lit(1)).alias("n"))
+     .write.option("mapreduce.fileoutputcommitter.algorithm.version", 2).partitionBy("name").text(f"{path}/{staged}"))
+    # Spark's own listing asks for many folders at once.
+    found = [unquote(f).rsplit("/", 2)[1:] for f in spark.read.schema("value string").option("recursiveFileLookup", True).text(f"{path}/{staged}").inputFiles()]
+    parts = {unquote(folder.split("=", 1)[1]): f"{staged}/{folder}/{part}" for folder, part in found}
+    there = set()
+    if not overwrite:
+        folders = {n.rpartition("/")[0] for n in parts}
+        there = parts.keys() & {f"{f}/{n}" if f else n for f in folders for n in files.names(f)}
+    if there or not rows.get["n"] == len(found) == len(parts):
         files.delete(staged)
-        raise FileExistsError(f"{len(wrong)} files exist or repeat below {path}, among them {min(wrong)}")
-    for name, (part,) in parts.items():
+        raise FileExistsError(f"{len(there)} files exist below {path}, among them {min(there)}" if there else f"names of files repeat below {path}")
+    for folder in {n.rpartition("/")[0] for n in parts}:
+        files.fs.mkdirs(files.at(folder))
+
+    def publish(name: str) -> None:
         if overwrite:
             files.delete(name)
-        files.rename(f"{staged}/{folders[name]}/{part}", name)
+        if not files.fs.rename(files.at(parts[name]), files.at(name)):
+            raise OSError(f"could not rename {parts[name]} to {name} below {path}")
+
+    with ThreadPoolExecutor(_MOVES) as pool:
+        list(pool.map(publish, parts))
     files.delete(staged)
     return sorted(parts)

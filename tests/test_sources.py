@@ -168,3 +168,27 @@ def test_versions_snapshots_and_audit(spark, tmp_path):
     assert catalogue.snapshot_iou(pts, [0, 1, 2], "gt", "pred", [0]).count() == 2
     odd = catalogue.unexpected_files(spark, str(tmp_path / DAY), [r"^val_preds_\d+/[\d.]+\.ply$"]).toPandas()
     assert odd.file.tolist() == ["val_preds_3/1.5_sub.ply"]
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_many_small_files_and_names_that_repeat(spark, tmp_path, parts):
+    from sweepfield.storage import Files, write_files
+
+    asked = []
+    seen = Files.names
+    rows = spark.range(400).selectExpr("concat('a%b=', id % 7, '/n ', id, '.txt') AS name", "cast(cast(id AS string) AS binary) AS content").repartition(parts)
+    Files.names = lambda self, name="": asked.append(name) or seen(self, name)
+    try:
+        done = write_files(rows, f"{tmp_path}/out")
+    finally:
+        Files.names = seen
+    # Folders are listed once each, not once a file.
+    assert len(done) == 400 and len(asked) <= 7
+    for i in (0, 8, 399):
+        with open(f"{tmp_path}/out/a%b={i % 7}/n {i}.txt") as f:
+            assert f.read() == f"{i}\n"
+    twice = spark.createDataFrame([("x", b"1"), ("x", b"2"), ("y", b"3")], "name string, content binary").repartition(parts)
+    with pytest.raises(FileExistsError):
+        write_files(twice, f"{tmp_path}/twice")
+    assert not os.path.exists(f"{tmp_path}/twice/x") and not os.path.exists(f"{tmp_path}/twice/y")
+    assert write_files(twice.where("name = 'z'"), f"{tmp_path}/none") == []
