@@ -4,6 +4,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from ..operators.voxels import voxel_barycentre
@@ -197,20 +198,38 @@ def _packed(spark, sf, headers):
     """A log per session of hit records; with headers a packet for every label."""
     p = lattice(spark, sf).select("session", "label", *(F.round((F.col(a) + 100) / packets.SCALE).cast("int").alias(a) for a in "xyz"))
 
-    def save(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([(c, "ascending") for c in ("label", "x", "y", "z")])
-        hits = np.zeros(rows.num_rows, packets.HIT)
-        for a in "xyz":
-            hits[a] = rows.column(a).to_numpy()
-        label = rows.column("label").to_numpy()
-        hits["laser"] = label
-        raw = hits.tobytes()
-        if headers:
-            raw = b"".join(packets.MAGIC + int((label == k).sum()).to_bytes(4, "little") + int(1000 + k).to_bytes(8, "little") + bytes(4) + hits[label == k].tobytes() for k in np.unique(label))
-        return pa.table({"name": pa.array([f"{rows.column('session')[0].as_py()}.bin"]), "content": pa.array([raw], pa.binary())})
-
+    order = ["session", "label", "x", "y", "z"]
+    schema = "session long, label long, part long, raw binary"
+
+    def encode(batches):
+        """The records of each stretch of one session and label; range partitions and batches come in order."""
+        part = TaskContext.get().partitionId() << 32
+        for b in batches:
+            hits = np.zeros(b.num_rows, packets.HIT)
+            for a in "xyz":
+                hits[a] = b.column(a).to_numpy()
+            session, label = b.column("session").to_numpy(), b.column("label").to_numpy()
+            hits["laser"] = label
+            starts = np.flatnonzero((np.diff(session, prepend=session[:1] - 1) != 0) | (np.diff(label, prepend=label[:1] - 1) != 0))
+            ends = np.append(starts[1:], len(hits))
+            yield pa.RecordBatch.from_arrays([pa.array(session[starts], pa.int64()), pa.array(label[starts], pa.int64()), pa.array(part + np.arange(len(starts))),
+                                              pa.array([hits[i:j].tobytes() for i, j in zip(starts, ends)], pa.binary())], ["session", "label", "part", "raw"])
+            part += len(starts)
+
+    def head(batches):
+        for b in batches:
+            raw = [packets.MAGIC + n.to_bytes(4, "little") + (1000 + k).to_bytes(8, "little") + bytes(4) for k, n in zip(b.column("label").to_pylist(), b.column("n").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("session"), b.column("label"), pa.array([-1] * len(raw), pa.int64()), pa.array(raw, pa.binary())], ["session", "label", "part", "raw"])
+
+    p = p.select(F.col("session").cast("long"), "label", "x", "y", "z")
+    pieces = p.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(encode, schema)
+    if headers:
+        pieces = pieces.unionByName(p.groupBy("session", "label").agg(F.count(F.lit(1)).alias("n")).mapInArrow(head, schema))
+    # A file is one value, joined outside of Python.
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("label", "part", F.col("raw").cast("string").alias("raw")))), lambda s: s["raw"]), "")
+    files = pieces.groupBy("session").agg(joined.cast("binary").alias("content"))
     root = _folder(spark)
-    write_files(p.groupBy("session").applyInArrow(save, "name string, content binary"), root)
+    write_files(files.select(F.concat(F.col("session").cast("string"), F.lit(".bin")).alias("name"), "content"), root)
     return root
 
 

@@ -192,3 +192,19 @@ def test_many_small_files_and_names_that_repeat(spark, tmp_path, parts):
         write_files(twice, f"{tmp_path}/twice")
     assert not os.path.exists(f"{tmp_path}/twice/x") and not os.path.exists(f"{tmp_path}/twice/y")
     assert write_files(twice.where("name = 'z'"), f"{tmp_path}/none") == []
+
+
+def test_long_packets_are_decoded_in_steps(spark, tmp_path, monkeypatch):
+    from sweepfield.sources import packets
+
+    hits = np.zeros(25, packets.HIT)
+    hits["x"], hits["laser"] = np.arange(25), np.arange(25) % 3
+    head = lambda n, t: packets.MAGIC + n.to_bytes(4, "little") + t.to_bytes(8, "little") + bytes(4)
+    raw = head(20, 7) + hits[:20].tobytes() + head(0, 8) + head(5, 9) + hits[20:].tobytes() + head(9, 10)
+    monkeypatch.setattr(packets, "STEP", 8)
+    assert [(t, len(h["x"])) for t, h in packets.decode_packets(raw)] == [(7, 8), (7, 8), (7, 4), (9, 5)]
+    for name in ("a.bin", "b.bin"):
+        (tmp_path / name).write_bytes(raw)
+    got = packets.read_packets(spark, str(tmp_path), "*.bin").orderBy("path", "seq").toPandas()
+    assert got.seq.tolist() == list(range(25)) * 2 and got.utime.tolist() == ([7] * 20 + [9] * 5) * 2
+    assert np.allclose(got.x, np.tile(np.arange(25) * packets.SCALE + packets.OFFSET, 2)) and got.laser.tolist() == (np.arange(25) % 3).tolist() * 2
