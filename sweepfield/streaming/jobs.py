@@ -110,7 +110,7 @@ def stream_ray_evidence(points: DataFrame, poses: DataFrame, map_points: DataFra
 
 
 class HorizonWindows(StatefulProcessor):
-    """Pending frames of one key; a frame's own event-time timer says that no earlier one is still to come."""
+    """Pending frames of one key; its one event-time timer is that of the frame that closes the oldest one's window."""
 
     def __init__(self, schema: StructType, start: float, future: float):
         self.schema, self.start, self.span = schema, start, future - start
@@ -122,18 +122,30 @@ class HorizonWindows(StatefulProcessor):
     def _times(self) -> list[float]:
         return [r[0] for r in self.pending.get()] if self.pending.exists() else []
 
+    def _closing(self, times: list[float]) -> int | None:
+        """When the watermark has passed the frame that closes the first window."""
+        end = bisect_right(times, times[0] + self.span) if times else 0
+        return math.ceil(times[end] * 1000) if end < len(times) else None
+
+    def _keep(self, times: list[float], before: int | None) -> None:
+        self.pending.put([(t,) for t in times])
+        after = self._closing(times)
+        if after != before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            if after is not None:
+                self.handle.registerTimer(after)
+
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         old = self._times()
         new = set().union(*(set(r["ts"].tolist()) for r in rows)) - set(old)
         if new:
-            self.pending.put([(t,) for t in sorted(new.union(old))])
-            for t in new:
-                self.handle.registerTimer(math.ceil(t * 1000))
+            self._keep(sorted(new.union(old)), self._closing(old))
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """Emit every window that a frame not later than the timer closes, and forget its oldest frame."""
-        times, upto = self._times(), expiredTimerInfo.getExpiryTimeInMs()
+        """Emit every window that a frame not later than the watermark closes, and forget its oldest frame."""
+        times, upto = self._times(), max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
         known = bisect_right(times, upto, key=lambda t: math.ceil(t * 1000))
         rows, oldest = [], 0
         while oldest < known and (end := bisect_right(times, times[oldest] + self.span, 0, known)) < known:
@@ -143,7 +155,8 @@ class HorizonWindows(StatefulProcessor):
             rows += [(*key, window[0], origin, t, t - origin) for t in window]
             oldest += 1
         if oldest:
-            self.pending.put([(t,) for t in times[oldest:]])
+            # The timer that fired is gone by itself.
+            self._keep(times[oldest:], None)
             yield pd.DataFrame(rows, columns=self.schema.names)
 
     def close(self) -> None:

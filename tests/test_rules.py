@@ -150,3 +150,28 @@ def test_ply_refuses_quads(spark, tmp_path):
     (tmp_path / "q.ply").write_text(head + "4 0 1 2 3\n")
     with pytest.raises(Exception, match="only triangles"):
         read_ply(spark, str(tmp_path), element="face").collect()
+
+
+def test_a_key_of_a_horizon_stream_has_one_timer():
+    from types import SimpleNamespace as S
+
+    from pyspark.sql.types import DoubleType, StructField, StructType
+    import pandas as pd
+
+    held, timers, asked = [], set(), []
+    state = S(exists=lambda: bool(held), get=lambda: list(held), put=lambda rows: held.__setitem__(slice(None), rows))
+    handle = S(getListState=lambda *_: state, registerTimer=lambda t: (asked.append(t), timers.add(t)), deleteTimer=timers.discard)
+    windows = jobs.HorizonWindows(StructType([StructField(c, DoubleType()) for c in ("k", "oldest_ts", "origin_ts", "frame_ts", "t")]), -2.0, 8.0)
+    windows.init(handle)
+    closed = []
+    for batch, mark in (([float(i) for i in range(40)], 25_000), ([27.5, 41.0, 26.0], 33_000), ([60.0], 60_000)):
+        list(windows.handleInputRows((1,), iter([pd.DataFrame({"ts": batch})]), None))
+        while due := [t for t in timers if t <= mark]:
+            timers.discard(due[0])
+            at = S(getCurrentWatermarkInMs=lambda: mark)
+            for out in windows.handleExpiredTimer((1,), at, S(getExpiryTimeInMs=lambda: due[0])):
+                closed += out["oldest_ts"].unique().tolist()
+        assert len(timers) <= 1
+    assert len(asked) <= 6
+    times = sorted({*map(float, range(40)), 27.5, 41.0, 60.0})
+    assert closed == [t for t in times if t + 10 < 60.0]
