@@ -189,7 +189,7 @@ def _in_order(both: DataFrame, by: list[str], rows: int, parts: int | None = Non
         if held:
             yield from flush().to_batches(10_000)
 
-    keys = ["_g", "_code", "_fine", *("_p" + a for a in XYZ), "_first"]
+    keys = ["_g", "_code", "_fine", *("_p" + a for a in XYZ), "_first", "_row"]
     spread = both.repartitionByRange(*keys) if parts is None else both.repartitionByRange(parts, *keys)
     return spread.sortWithinPartitions(*keys).mapInArrow(run, schema)
 

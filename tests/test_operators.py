@@ -28,6 +28,20 @@ def test_nearest_with_hot_cell_and_copies(spark, rows, monkeypatch):
     assert out.sort_values("q_id").s_id.tolist() == want.tolist()
 
 
+def test_nearest_queries_at_one_place_ask_once_in_parts_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(octree, "PART_ROWS", 50)
+    seen = []
+    ordered = octree._in_order
+    monkeypatch.setattr(octree, "_in_order", lambda *a: seen.append(ordered(*a)) or seen[-1])
+    rng = np.random.default_rng(2)
+    s, places = rng.uniform(0, 1, (100, 3)), rng.uniform(0, 1, (12, 3))
+    q = places[rng.integers(0, 12, 1400)]
+    out = neighbors.nearest_join(frame(spark, q, q_id=range(len(q))), frame(spark, s, s_id=range(len(s)))).toPandas()
+    assert out.sort_values("q_id").s_id.tolist() == ((q[:, None] - s[None]) ** 2).sum(-1).argmin(1).tolist()
+    assert seen[0].rdd.getNumPartitions() > 20
+    assert seen[0].where("_asks and _row = _asker").count() <= 12 * 30 / 2
+
+
 def brute_nearest(queries, supports, most=None):
     """By group, ties to the lowest id; None without any."""
     out = {}
