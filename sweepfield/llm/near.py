@@ -33,6 +33,8 @@ WINDOW = 48
 SKETCH_BITS = 4
 BLOCK_BYTES = 1 << 19
 MOST_BITS = 1 << 24
+# The shingles that most sets share, at most so many, are looked up in every task.
+MOST_HEAVY = 1 << 16
 # Rounds in which members of wide regions are compared with so many leaders of their rare shingles' lists.
 LEADER_ROUNDS, LEADERS = 2, 4
 
@@ -257,6 +259,33 @@ def _regions(entries: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     return found.where("v is not null").select("u", "v").distinct(), wide.join(mixed, ["tree", "place"]).select(F.col("u").alias("node"), "root").distinct()
 
 
+def _counted(grams: DataFrame) -> DataFrame:
+    """The rows of ``grams(node, n, h)`` whose ``h`` is not the only one, with ``many``, the number of rows that have it.
+
+    The ``MOST_HEAVY`` most frequent values are looked up in every task, as a join would bring all rows of one to
+    one place; any other one has fewer rows than each of these and is joined.
+    """
+    common = grams.groupBy("h").agg(F.count("*").alias("many")).where("many > 1")
+    heavy = common.orderBy(F.desc("many"), "h").limit(MOST_HEAVY).collect()
+    if not heavy:
+        return grams.withColumn("many", F.lit(0).cast("long")).where(F.lit(False))
+    known, many = np.array([[r.h, r.many] for r in sorted(heavy)], np.int64).T
+    schema = StructType([*grams.schema.fields, StructField("many", LongType())])
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = b.column("h").to_numpy()
+            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(many[at], mask=known[at] != h)], names=schema.names)
+
+    looked = grams.mapInArrow(look, schema)
+    found = looked.where("many is not null")
+    if len(heavy) < MOST_HEAVY:
+        return found
+    rest = common.where(f"many < {heavy[-1].many} or many = {heavy[-1].many} and h > {heavy[-1].h}")
+    return found.unionByName(looked.where("many is null").drop("many").join(rest, "h"))
+
+
 def _shared(members: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> tuple[DataFrame | None, DataFrame]:
     """Links among ``members``, and the pairs ``u < v`` of groups these leave apart that can be as alike as ``percent``, by their rarest shingles.
 
@@ -279,10 +308,9 @@ def _shared(members: DataFrame, classes: DataFrame, docs: DataFrame, key: str, t
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), n)), pa.array(np.repeat(n, n)), pa.array(np.concatenate(sets))], names=schema.names)
 
     grams = stored(full.mapInArrow(each, schema))
-    common = grams.groupBy("h").agg(F.count("*").alias("many")).where("many > 1")
     own = W.partitionBy("node")
     # Shingles that no other set has come first and join with none; the others' places are counted from the end.
-    placed = grams.join(common, "h").withColumn("at", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("many", "h")) - 1)
+    placed = _counted(grams).withColumn("at", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("many", "h")) - 1)
     rare = stored(placed.where(F.expr(f"at <= n - ({percent} * n + 99) div 100")).select("node", "n", "h", "at"))
     links = None
     now = members.join(members.groupBy("root").agg(F.count("*").alias("size")), "root").select("node", "root", "size")
