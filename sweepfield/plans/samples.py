@@ -11,6 +11,7 @@ from ..operators.neighbors import nearest_join, radius_neighbours
 from ..operators.sampling import augment, augmentation_parameters, sample_to_cap
 from ..operators.temporal import merge_last_frames
 from ..operators.voxels import voxel_barycentre, voxel_id
+from ..runtime import checkpointed
 
 
 def pyramid(points: DataFrame, by: list[str], dl: float, conv_radius: float = 2.5, layers: int = 3,
@@ -48,14 +49,14 @@ def assemble_samples(points: DataFrame, centres: DataFrame, n_frames: int, radiu
     radius) its nearest sample point for re-projection.
     """
     key = ["session", "newest_ts"]
-    merged = merge_last_frames(points, ["session"], "frame_ts", n_frames)
-    centred = merged.join(centres, key)
+    merged = merge_last_frames(points, ["session"], "frame_ts", n_frames, facts=centres)
     rel = xyz().minus(Vec.of("cx", "cy", "cz"))
-    centred = centred.withColumns(rel.columns()).drop("cx", "cy", "cz")
+    centred = merged.withColumns(rel.columns()).drop("cx", "cy", "cz")
     ball = centred.where(xyz().sq_norm() < radius * radius)
     thin = voxel_barycentre(ball.withColumn("age", F.col("age").cast("int")), dl, key, labels=["label", "age"])
     thin = thin.withColumn("id", voxel_id()).select(*key, "id", "x", "y", "z", "label", "age")
-    capped = sample_to_cap(thin, key, cap, seed)
+    # The samples, their parameters and the projection all read it.
+    capped = checkpointed(sample_to_cap(thin, key, cap, seed))
     raw = centred.where((F.col("age") == 0) & (xyz().sq_norm() < (0.99 * radius) ** 2))
     raw = raw.select(*key, F.col("id").alias("raw_id"), "x", "y", "z", F.col("label").alias("raw_label"))
     projected = nearest_join(raw, capped, key, "raw_id", "id")
