@@ -194,10 +194,11 @@ def scan_line_outliers(spark, sf):
 
 
 def _outliers(p):
-    from ..operators.scans import numbered
+    from ..operators.scans import numbered, parts_for
 
-    ranked = numbered(p.withColumn("_all", F.lit(0)), ["line"], ["key"], F.floor(F.col("o") / 65536).cast("long"), "i")
-    return tp.scan_line_outliers(ranked, [], "line", "i", "r", 35.0, 2)
+    parts = parts_for(p)
+    ranked = numbered(p.withColumn("_all", F.lit(0)), ["line"], ["key"], F.floor(F.col("o") / 65536).cast("long"), "i", parts)
+    return tp.scan_line_outliers(ranked, [], "line", "i", "r", 35.0, 2, partitions=parts)
 
 
 @query("scan_columns", f"""WITH RECURSIVE {TIMELINE}, q AS (SELECT session, event_id, event_type, row_number() OVER (PARTITION BY session ORDER BY event_id) AS i FROM ev),

@@ -57,15 +57,28 @@ def _combine(kind: str, carried: Column, local: Column) -> Column:
     return F.coalesce(local, carried)
 
 
+# Rows of a partition of a large scan.
+PART_ROWS = 1 << 18
+
+
+def parts_for(df: DataFrame) -> int | None:
+    """Partitions of about ``PART_ROWS`` rows each; None where the session's number of them is enough."""
+    parts = -(-df.count() // PART_ROWS)
+    return parts if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
 def prefix_scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column,
-                scans: dict[str, Scan]) -> DataFrame:
+                scans: dict[str, Scan], partitions: int | None = None) -> DataFrame:
     """Add running values over ``order`` within ``keys``.
 
     ``chunk`` must rise with ``order`` and be the same for equal leading order
-    values. Keys and chunk must not be null.
+    values. Keys and chunk must not be null. ``partitions`` (see ``parts_for``)
+    deals a large table to more tasks than the session's number of shuffle
+    partitions, so that a task sorts no more of it.
     """
-    base = df.withColumn("_chunk", chunk)
     parts = [*keys, "_chunk"]
+    dealt = lambda d, by: d if partitions is None else d.repartition(partitions, *by)
+    base = dealt(df.withColumn("_chunk", chunk), parts)
     up = Window.partitionBy(*parts).orderBy(*order)
     down = Window.partitionBy(*parts).orderBy(*(F.desc(o) for o in order))
     key_up = Window.partitionBy(*keys).orderBy("_chunk")
@@ -94,9 +107,9 @@ def prefix_scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column,
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[str], chunk: Column,
-             name: str = "rn") -> DataFrame:
+             name: str = "rn", partitions: int | None = None) -> DataFrame:
     """Row numbers from 1 within each key."""
-    return prefix_scan(df, keys, order, chunk, {name: running("sum", F.lit(1).cast("long"))})
+    return prefix_scan(df, keys, order, chunk, {name: running("sum", F.lit(1).cast("long"))}, partitions)
 
 
 def top_k(df: DataFrame, keys: list[str], order: list, k: int, rank: str = "rank",
