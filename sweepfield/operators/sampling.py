@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import Vec, XYZ, xyz
 from ..functions.hashed import gaussian, shuffle_key, uniform, uniform_between
 from ..functions.rigid import axis_angle
+from ..runtime import checkpointed
 from .scans import greedy_chain, numbered, prefix_scan, running, top_k
 from .selection import lowest, lowest_of_groups
 from .temporal import asof_bracket
@@ -91,7 +92,8 @@ def top_activations(rows: DataFrame, feature: str, label: str, value: str, k: in
     return top_k(flat, [feature], [F.desc(value), item], k)
 
 
-def pack_batches(items: DataFrame, shard: list[str], order: str, size: str, limit: float, chunk: float | None = None) -> DataFrame:
+def pack_batches(items: DataFrame, shard: list[str], order: str, size: str, limit: float, chunk: float | None = None,
+                 rows: int = 1 << 16) -> DataFrame:
     """Batch numbers from 0 for items taken in order; a batch closes when its total exceeds ``limit``.
 
     The item that overflows stays in its batch. Sizes must not be negative or
@@ -99,16 +101,18 @@ def pack_batches(items: DataFrame, shard: list[str], order: str, size: str, limi
     sum exceeds the sum before the start by more than ``limit``, which an as-of
     lookup on the running sum finds for all items at once; the starts are then
     the chain of jumps from the first item. ``chunk`` is the stretch of the
-    running sum that one task looks up.
+    running sum that one task looks up, ``rows`` that of the items whose jumps it follows.
     """
     block = F.floor(F.col(order) / 65536).cast("long")
-    summed = prefix_scan(items, shard, [order], block, {"_rn": running("sum", F.lit(1).cast("long")), "_run": running("sum", F.col(size).cast("double"))})
+    # Read by the lookup, from both sides, and by the last scan.
+    summed = checkpointed(prefix_scan(items, shard, [order], block, {"_rn": running("sum", F.lit(1).cast("long")), "_run": running("sum", F.col(size).cast("double"))}))
     probe = summed.select(*shard, "_rn", (F.col("_run") - F.col(size).cast("double") + F.lit(float(limit))).alias("_probe"))
     found = asof_bracket(probe, summed.select(*shard, F.col("_run").alias("_sum"), F.col("_rn").alias("_end")), shard, "_probe", "_sum", ["_end"],
                          chunk or 1024.0 * max(float(limit), 1.0), how="any")
-    starts = greedy_chain(found.select(*shard, F.col("_rn").alias("pos"), (F.col("_end1") + 1).alias("nxt")), shard)
+    starts = greedy_chain(found.select(*shard, F.col("_rn").alias("pos"), (F.col("_end1") + 1).alias("nxt")), shard, block=rows)
     marked = summed.join(starts.select(*shard, F.col("pos").alias("_rn"), F.lit(1).cast("long").alias("_first")), [*shard, "_rn"], "left")
-    return (prefix_scan(marked, shard, [order], block, {"_batch": running("sum", "_first")})
+    # Items of equal order are taken in the order of their numbers here too.
+    return (prefix_scan(marked, shard, [order, "_rn"], block, {"_batch": running("sum", "_first")})
             .select(*items.columns, (F.col("_batch") - 1).alias("batch")))
 
 

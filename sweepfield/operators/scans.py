@@ -10,8 +10,11 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.geometry import col
 from ..runtime import checkpointed
@@ -99,7 +102,7 @@ def prefix_scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column,
         kw = (key_down if s.reverse else key_up).rowsBetween(Window.unboundedPreceding, -1)
         carries["_c_" + name] = _WINDOWED[s.kind](F.col("_t_" + name)).over(kw)
 
-    carried = (base.groupBy(*parts).agg(*totals)
+    carried = (dealt(base.groupBy(*parts).agg(*totals), keys)
                .select(*parts, *(c.alias(n) for n, c in carries.items())))
     joined = base.withColumns(local).join(carried, parts)
     done = {n: _combine(s.kind, F.col("_c_" + n), F.col("_l_" + n)) for n, s in scans.items()}
@@ -129,14 +132,20 @@ def top_k(df: DataFrame, keys: list[str], order: list, k: int, rank: str = "rank
     return df.withColumn(rank, F.row_number().over(final)).where(F.col(rank) <= k)
 
 
-def greedy_chain(links: DataFrame, keys: list[str], pos: str = "pos", nxt: str = "nxt") -> DataFrame:
+def greedy_chain(links: DataFrame, keys: list[str], pos: str = "pos", nxt: str = "nxt", block: int | None = None) -> DataFrame:
     """Rows visited when each key starts at its first ``pos`` and jumps to ``nxt``.
 
     Greedy rules ("keep the next one far enough from the last kept") are chains
     of jumps. Jump lengths double every round, so a chain of n rows takes log n
     joins instead of one long fold in a single task. ``nxt`` must exceed
     ``pos``; it is null at the end.
+
+    ``block`` is for whole positions that are unique in a key and dense enough for
+    ``block`` of them to fit a task (row numbers); keys must then not be null.
+    Chains are followed within blocks, and only the jumps between blocks are doubled.
     """
+    if block is not None:
+        return _chain_in_blocks(links, keys, pos, nxt, block)
     jumps = checkpointed(links.select(*keys, F.col(pos).alias("_p"), F.col(nxt).alias("_n"))
                          .where(F.col("_n").isNotNull()))
     reached = checkpointed(links.groupBy(*keys).agg(F.min(pos).alias("_p")))
@@ -147,3 +156,74 @@ def greedy_chain(links: DataFrame, keys: list[str], pos: str = "pos", nxt: str =
         reached = reached.unionByName(fresh)
         hop = jumps.select(*keys, F.col("_p").alias("_n"), F.col("_n").alias("_far"))
         jumps = checkpointed(jumps.join(hop, [*keys, "_n"]).select(*keys, "_p", F.col("_far").alias("_n")))
+
+
+def _chain_in_blocks(links: DataFrame, keys: list[str], pos: str, nxt: str, block: int) -> DataFrame:
+    """See ``greedy_chain``.
+
+    Wherever chains enter a block, they leave it at few places; those are the only positions that a chain may
+    enter the next one at. The chain over these is found by doubling and then followed within its blocks.
+    """
+    number = lambda c: F.floor(F.col(c) / block).cast("long").alias("_b")
+    steps = checkpointed(links.select(*keys, number(pos), F.col(pos).cast("long").alias("_p"), F.col(nxt).cast("long").alias("_n")))
+    grouped = [*keys, "_b"]
+    plain = StructType([steps.schema[k] for k in keys] + [StructField("_p", LongType())])
+
+    def jumps(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Positions, where they lead (-1: nowhere, as null), the index of that in the block or the own one, and whether there is one."""
+        order = np.argsort(t.column("_p").to_numpy(), kind="stable")
+        p = t.column("_p").to_numpy()[order]
+        ends = t.column("_n").is_null().to_numpy()[order]
+        n = t.column("_n").fill_null(-1).to_numpy()[order]
+        at = np.minimum(np.searchsorted(p, n), len(p) - 1)
+        stays = (p[at] == n) & ~ends
+        return p, n, ends, np.where(stays, at, np.arange(len(p))), stays
+
+    def last(go: np.ndarray) -> np.ndarray:
+        """The index each chain comes to last."""
+        while True:
+            far = go[go]
+            if (far == go).all():
+                return go
+            go = far
+
+    def table(t: pa.Table, schema: StructType, **columns: np.ndarray) -> pa.Table:
+        rows = len(next(iter(columns.values())))
+        own = [pa.repeat(t.column(k)[0], rows) for k in keys]
+        return pa.table([*own, *(pa.array(c, pa.int64()) for c in columns.values())], names=schema.names)
+
+    def exits(t: pa.Table) -> pa.Table:
+        p, n, ends, go, _ = jumps(t)
+        out = np.unique(last(go))
+        return table(t, plain, _p=np.unique(n[out[~ends[out]]]))
+
+    between = StructType([*plain.fields, StructField("_n", LongType())])
+
+    def through(t: pa.Table, entered: pa.Table) -> pa.Table:
+        if not t.num_rows or not entered.num_rows:
+            return table(t if t.num_rows else entered, between, _p=np.zeros(0, np.int64), _n=np.zeros(0, np.int64))
+        p, n, ends, go, _ = jumps(t)
+        at = np.flatnonzero(np.isin(p, entered.column("_p").to_numpy()))
+        out = last(go)[at]
+        at, out = at[~ends[out]], out[~ends[out]]
+        return table(t, between, _p=p[at], _n=n[out])
+
+    def visited(t: pa.Table, entered: pa.Table) -> pa.Table:
+        if not entered.num_rows:
+            return table(t, plain, _p=np.zeros(0, np.int64))
+        seen = set(entered.column("_p").to_pylist())
+        if t.num_rows:
+            p, _, _, go, stays = jumps(t)
+            for i in np.flatnonzero(np.isin(p, entered.column("_p").to_numpy())).tolist():
+                while stays[i]:
+                    i = go[i]
+                    seen.add(int(p[i]))
+        return table(entered, plain, _p=np.array(sorted(seen), np.int64))
+
+    first = steps.groupBy(*keys).agg(F.min("_p").alias("_p"))
+    left = steps.groupBy(*grouped).applyInArrow(exits, plain)
+    entries = checkpointed(first.unionByName(left).distinct().withColumn("_b", number("_p")))
+    hops = steps.groupBy(*grouped).cogroup(entries.groupBy(*grouped)).applyInArrow(through, between)
+    # A key whose chain never leaves its first block has no hop.
+    chain = greedy_chain(hops, keys, "_p", "_n").unionByName(first).distinct().withColumn("_b", number("_p"))
+    return steps.groupBy(*grouped).cogroup(chain.groupBy(*grouped)).applyInArrow(visited, plain).withColumnRenamed("_p", pos)
