@@ -21,6 +21,7 @@ from pyspark.sql.types import (BooleanType, DateType, DoubleType, IntegerType, I
 
 from ..functions.geometry import Vec, XYZ, cell
 from ..functions.linalg import covariance, eigh3, moment_sums
+from ..runtime import checkpointed, small_enough
 from .octree import nearest_runs
 from .scans import top_k
 from .voxels import spread
@@ -29,6 +30,8 @@ from .voxels import spread
 _SLACK = 1 + 1e-9
 # Queries of a cell that one search holds, and pairs of a query and a support that it looks at at once.
 QUERY_ROWS, PAIRS = 1 << 12, 1 << 18
+# Cells by which a proximity is told apart first: so many distances wide, the largest index, and so many may be sent to all tasks.
+_COARSE, _LAST_CELL, FEW_CELLS = 4, 1e15, 1 << 14
 
 
 def _keyed(df: DataFrame, size: float, axes: tuple[str, ...]) -> tuple[DataFrame, list[str]]:
@@ -274,13 +277,42 @@ def proximity(candidates: DataFrame, others: DataFrame, distance: float, keep: s
 
     A nearest point at exactly ``distance`` satisfies neither.
     """
+    by, axes = list(by), tuple(axes)
     spots = others.select(*by, *axes).withColumn("_o", F.lit(0))
-    hit = nearest_join(candidates, spots, by, c_id, "_o", axes=axes,
+    asking, apart = candidates.select(*by, c_id, *axes), None
+    if distance > 0:
+        asking, apart, spots = _contested(asking, spots, distance, by, axes)
+    hit = nearest_join(asking, spots, by, c_id, "_o", axes=axes,
                        max_distance=distance).select(*by, c_id, "d2")
-    joined = candidates.join(hit, [*by, c_id])
     if keep == "near":
-        return joined.where(F.col("d2") < distance * distance).drop("d2")
-    return joined.where(F.col("d2").isNull()).drop("d2")
+        return candidates.join(hit.where(F.col("d2") < distance * distance).drop("d2"), [*by, c_id])
+    far = hit.where(F.col("d2").isNull()).drop("d2")
+    return candidates.join(far if apart is None else far.unionByName(apart.select(*by, c_id)), [*by, c_id])
+
+
+def _contested(candidates: DataFrame, others: DataFrame, distance: float, by: list[str],
+               axes: tuple[str, ...]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Candidates whose cell has another point in or beside it, the other candidates, and the points beside such cells.
+
+    Cells are wider than ``distance``, so what is left out is farther than that from everything. Of either
+    side only its occupied cells are shuffled, unless very many cells are contested.
+    """
+    size, names = _COARSE * distance, ["_c" + a for a in axes]
+
+    def placed(df: DataFrame) -> DataFrame:
+        # Cells beyond the largest ones are one, which leaves out less.
+        ends = (F.lit(-_LAST_CELL), F.lit(_LAST_CELL))
+        return df.withColumns({n: F.floor(F.least(F.greatest(F.col(a).cast("double") / F.lit(size), ends[0]), ends[1])).cast("long") for n, a in zip(names, axes)})
+
+    key = [*by, *names]
+    asking, spots = placed(candidates), placed(others)
+    beside = spread(spots.select(*key).distinct(), names)
+    cells_ = checkpointed(asking.select(*key).distinct().join(beside, key, "left_semi"))
+    around = spread(cells_, names).distinct()
+    if small_enough(cells_, FEW_CELLS):
+        cells_, around = F.broadcast(cells_), F.broadcast(around)
+    near = checkpointed(asking.join(cells_, key, "left_semi").drop(*names))
+    return near, asking.join(cells_, key, "left_anti").drop(*names), checkpointed(spots.join(around, key, "left_semi").drop(*names))
 
 
 def still_points(points: DataFrame, margin: float = 0.1, non_still: DataFrame | None = None,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import (Plane, Vec, XYZ, cells, clip, in_plane, plane_from_points, xyz)
 from ..functions.hashed import shuffle_key
-from ..runtime import checkpointed, one_row
+from ..runtime import checkpointed, one_row, small_enough
 from .filters import vertical_normals
 from .neighbors import proximity
 from .scans import top_k
@@ -20,6 +20,15 @@ from .voxels import VOXEL
 PLANE = ("a", "b", "c", "d")
 
 
+# Groups whose planes may be sent to all tasks: about 5 KB each for 100 draws.
+FEW_GROUPS = 1 << 10
+
+
+def _sent(groups: DataFrame) -> DataFrame:
+    """``groups``, a stored row a group, broadcast if they are few, so that a few large groups do not become a few tasks."""
+    return F.broadcast(groups) if small_enough(groups, FEW_GROUPS) else groups
+
+
 def ransac_plane(points: DataFrame, by: list[str], threshold: float = 0.1, draws: int = 100,
                  seed: int = 42, p_id: str = "id", min_votes: int = 3) -> DataFrame:
     """Plane with most inliers among ``draws`` random triples, per group.
@@ -27,7 +36,8 @@ def ransac_plane(points: DataFrame, by: list[str], threshold: float = 0.1, draws
     Triples come from three hashed points of a sample of 3 * ``draws`` (a fixed
     number) per group; all points vote. The first best draw wins and needs
     more than ``min_votes`` votes. Votes are counted map-side, so the only
-    shuffle carries at most ``draws`` rows per group and task.
+    shuffle carries at most ``draws`` rows per group and task, and points are
+    not shuffled unless there are very many groups.
     """
     by = list(by)
     key = by or ["_all"]
@@ -54,7 +64,7 @@ def ransac_plane(points: DataFrame, by: list[str], threshold: float = 0.1, draws
     packed = planes.groupBy(*key).agg(F.collect_list(F.struct("draw", *PLANE)).alias("_planes"))
 
     # Without groups the other side is a single row of at most ``draws`` planes.
-    packed = packed if by else F.broadcast(packed)
+    packed = _sent(checkpointed(packed)) if by else F.broadcast(packed)
     voters = points.select(*key, *XYZ).join(packed, key).select(
         *key, *XYZ, F.explode("_planes").alias("_pl"))
     near = in_plane(Plane(*(F.col("_pl")[c] for c in PLANE)), xyz(), threshold)
@@ -91,6 +101,7 @@ def extract_ground(points: DataFrame, by: list[str] = (), vertical_deg: float =
     if planes is None:
         # A row per group that both sides of the proximity join read.
         planes = checkpointed(ransac_plane(vertical_normals(points, vertical_deg), by, threshold, draws, seed, p_id))
+        planes = _sent(planes) if by else planes
     marked = mark_in_plane(points, planes, by, threshold)
     flat = marked.where("in_plane").drop("in_plane")
     others = marked.where(~F.col("in_plane"))

@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from sweepfield.operators import neighbors
+from sweepfield.operators import neighbors, planes
 from sweepfield.operators.sampling import pack_batches
 from sweepfield.operators.scans import greedy_chain, numbered
 from sweepfield.operators.temporal import merge_last_frames, scan_line_outliers
@@ -86,3 +86,41 @@ def test_facts_of_frames_come_with_their_points(spark):
     plain = merge_last_frames(points, ["session"], "ts", 3).join(facts, ["session", "newest_ts"])
     got = merge_last_frames(points, ["session"], "ts", 3, facts=facts)
     assert sorted(got.select(*plain.columns).collect()) == sorted(plain.collect()) and got.count() == 18
+
+
+def _placed(spark, rows, id_type="long"):
+    return spark.createDataFrame(rows, f"g long, id {id_type}, x double, y double, z double")
+
+
+@pytest.mark.parametrize("few", [neighbors.FEW_CELLS, 0])
+@pytest.mark.parametrize("keep", ["far", "near"])
+def test_proximity_searches_only_where_both_sides_are(spark, monkeypatch, keep, few):
+    monkeypatch.setattr(neighbors, "FEW_CELLS", few)
+    asked = []
+    nearest = neighbors.nearest_join
+    monkeypatch.setattr(neighbors, "nearest_join", lambda q, s, *a, **k: asked.append((q.count(), s.count())) or nearest(q, s, *a, **k))
+    draw = random.Random(5)
+    spot = lambda lo, hi: tuple(draw.uniform(lo, hi) for _ in range(3))
+    mine = [(i % 2, i, *spot(0, 30)) for i in range(400)] + [(0, 1000 + i, *spot(40, 41)) for i in range(60)]
+    others = [(i % 2, i, *spot(40, 41)) for i in range(80)] + [(0, i, *spot(-200, -100)) for i in range(300)]
+    odd = [(0, 7, *spot(40, 41)), (0, 8, None, 0.0, 0.0), (1, 9, float("nan"), 0.0, 0.0), (None, 2001, *spot(40, 41)), (0, None, 1.0, 1.0, 1.0)]
+    got = neighbors.proximity(_placed(spark, mine + odd), _placed(spark, others + odd[1:3]), 0.15, keep, ["g"]).select("g", "id", "x").collect()
+
+    def nearest_of(g, p):
+        return None if None in p or p[0] != p[0] else min(sum((a - b) ** 2 for a, b in zip(p, o[2:])) for o in others if o[0] == g)
+
+    at = defaultdict(list)
+    for g, i, *p in mine + odd:
+        if g is not None and i is not None:
+            d = nearest_of(g, p)
+            at[g, i].append((p[0], d is None or d > 0.15 ** 2, d is not None and d < 0.15 ** 2))
+    want = [(g, i, str(x)) for (g, i), rows in at.items() for x, _, _ in rows for _, far, near in rows if (far if keep == "far" else near)]
+    assert sorted((r.g, r.id, str(r.x)) for r in got) == sorted(want)
+    assert asked[0][0] < 80 and asked[0][1] < 90
+
+
+def test_planes_of_few_groups_are_sent_to_the_points(spark):
+    points = _placed(spark, [(i % 3, i, float(i * 7 % 50), float(i * 11 % 50), 0.0) for i in range(900)])
+    plan = planes.ransac_plane(points, ["g"], 0.1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in plan
+    assert sorted((r.g, r.votes) for r in planes.ransac_plane(points, ["g"], 0.1).collect()) == [(0, 300), (1, 300), (2, 300)]
