@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
-from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from .common import in_blocks, small, stored
 
@@ -42,6 +42,7 @@ CHANCE_ERROR = 0.45
 FREE_BITS = 6.0
 CHANCE = 0.01
 PLANE_VALUES = 1 << 20
+HELD_VALUES = 1 << 23
 
 
 def wav(samples: np.ndarray, rate: int = RATE) -> bytes:
@@ -146,15 +147,29 @@ def _spectrum(prints: list[np.ndarray], length: int, backwards: bool) -> np.ndar
     return np.ascontiguousarray((out.conj() if backwards else out).transpose(2, 0, 1))
 
 
+def most_differing(longest: int, least: float) -> np.ndarray:
+    """For each overlap from 0 to ``longest``: the most differing bits with which an alignment is as unlikely as ``least``; -1 where none is."""
+    overlap = np.arange(1, longest + 1)
+    low, high = np.full(longest, -1), 32 * overlap
+    while (low + 1 < high).any():
+        half = (low + high) // 2
+        rare = least_bits(overlap, np.maximum(half, 0)) >= least
+        low, high = np.where(rare, half, low), np.where(rare, high, half)
+    return np.concatenate([[-1], low])
+
+
 def alignments(queries: list[np.ndarray], records: list[np.ndarray], least: float) -> Iterator[tuple[int, int, int, int, float]]:
     """(query, recording, offset, equal integers, share of differing bits) of each pair whose best offset is as unlikely as ``least``.
 
-    Every offset is looked at. The best one is the least likely, then the smallest in size, then the smaller.
+    Every offset is looked at: whether an overlap differs in few enough bits is read from a table, and chances are
+    only computed for the pairs that have such an offset. The best one is the least likely, then the smallest in size,
+    then the smaller.
     """
     size = np.array([len(r) for r in records])
     by_size = np.argsort(size, kind="stable")
     longest = max(map(len, queries), default=0)
-    at = 0
+    most = most_differing(min(longest, int(size.max(initial=0))), least)
+    at, left, of_length, of_query = 0, [], 0, -1
     while at < len(by_size):
         # Recordings of like size together, as many as keep a transform small.
         length = 1 << int(longest + min(2 * size[by_size[at]], size[by_size[-1]]) - 1).bit_length()
@@ -162,25 +177,34 @@ def alignments(queries: list[np.ndarray], records: list[np.ndarray], least: floa
         some = some[longest + size[some] <= length]
         at += len(some)
         right = _spectrum([records[r] for r in some], length, False)
-        step = max(1, PLANE_VALUES // (length * len(some)))
-        for first in range(0, len(queries), step):
-            part = queries[first:first + step]
-            left = _spectrum(part, length, True)
+        if length != of_length:
+            step = max(1, PLANE_VALUES // (length * max(1, PLANE_VALUES // (32 * length))))
+            parts = [queries[first:first + step] for first in range(0, len(queries), step)]
+            # The transforms of queries serve all recordings of like size, if they are small enough to be held.
+            left = [_spectrum(part, length, True) for part in parts] if 32 * length * len(queries) <= HELD_VALUES else []
+            of_length = length
+        of_query = -1
+        for k, part in enumerate(parts):
             # (queries, recordings, offsets), offsets from 0 up and, at the end, from -1 down
-            same = np.fft.irfft((left @ right.transpose(0, 2, 1)).transpose(1, 2, 0), length, axis=2)
+            both = (left[k] if left else _spectrum(part, length, True)) @ right.transpose(0, 2, 1)
+            same = np.fft.irfft(np.ascontiguousarray(both.transpose(1, 2, 0)), length, axis=2)
             for i, query in enumerate(part):
-                off = np.arange(length)
-                off = np.where(off < length - len(query) + 1, off, off - length)
-                overlap = np.minimum(len(query), size[some][:, None] - off) - np.maximum(0, -off)
-                differing = np.where(overlap > 0, 16 * overlap - np.rint(same[i] / 2), 16 * np.maximum(overlap, 1))
-                rare = np.where(overlap > 0, least_bits(np.maximum(overlap, 1), np.maximum(differing, 0)), 0)
-                order = np.lexsort((off, np.abs(off)))
-                best = order[np.argmax(rare[:, order], axis=1)]
-                for r in np.flatnonzero(rare[np.arange(len(some)), best] >= least):
-                    own, d = records[some[r]], int(off[best[r]])
-                    a, b = max(0, -d), min(len(query), len(own) - d)
-                    x = query[a:b] ^ own[a + d:b + d]
-                    yield first + i, int(some[r]), d, int((x == 0).sum()), float(np.bitwise_count(x).sum() / (32 * (b - a)))
+                if len(query) != of_query:
+                    of_query, off = len(query), np.arange(length)
+                    off = np.where(off < length - len(query) + 1, off, off - length)
+                    overlap = np.maximum(np.minimum(len(query), size[some][:, None] - off) - np.maximum(0, -off), 0)
+                    # Agreeing less differing bits; half a bit is left to rounding.
+                    enough = np.where(most[overlap] < 0, np.inf, 32 * overlap - 2 * most[overlap] - 1).astype(np.float32)
+                for r in np.flatnonzero((same[i] >= enough).any(axis=1)):
+                    differing = 16 * overlap[r] - np.rint(same[i, r] / 2)
+                    rare = np.where(overlap[r] > 0, least_bits(np.maximum(overlap[r], 1), np.maximum(differing, 0)), 0)
+                    order = np.lexsort((off, np.abs(off)))
+                    best = order[np.argmax(rare[order])]
+                    if rare[best] >= least:
+                        own, d = records[some[r]], int(off[best])
+                        a, b = max(0, -d), min(len(query), len(own) - d)
+                        x = query[a:b] ^ own[a + d:b + d]
+                        yield k * step + i, int(some[r]), d, int((x == 0).sum()), float(np.bitwise_count(x).sum() / (32 * (b - a)))
 
 
 def align(prints: DataFrame, is_query: Column, k: int | None = None, key: str = "id") -> DataFrame:
@@ -196,6 +220,31 @@ def align(prints: DataFrame, is_query: Column, k: int | None = None, key: str =
     whose fingerprint equals the query's is always given. Recordings too short
     for a fingerprint and null ids take no part.
     """
+    hits = _found(prints, is_query, key)
+    w = W.partitionBy("query_id").orderBy("bit_error", "rec_id", "offset")
+    return hits.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k if k is not None else F.lit(True)).select("query_id", "rank", "rec_id", "copies", "offset", "votes", "bit_error")
+
+
+def links(prints: DataFrame, is_query: Column, key: str = "id") -> DataFrame:
+    """One row a query that ``align`` compares: its class, how many classes are like it, and the likest of these.
+
+    ``class_id`` and ``copies`` are the query's own class; ``n_links`` and ``n_recordings`` count the other classes
+    that ``align`` gives for it and their members, and ``links_hash`` is the exclusive or of the xxhash64 of their
+    ``rec_id, offset, votes``, so that a lost or changed link shows. ``nearest``, ``offset``, ``votes`` and
+    ``bit_error`` are those of the first of them by ``bit_error``, ``rec_id`` and ``offset``; null without any.
+    Counts are combined before they are shuffled, so a query with very many links is no large group.
+    """
+    hits, own = _found(prints, is_query, key), F.col("own")
+    best = F.min_by(F.struct("rec_id", "offset", "votes", "bit_error"), F.when(~own, F.struct("bit_error", "rec_id", "offset")))
+    mark = F.bit_xor(F.when(~own, F.xxhash64("rec_id", "offset", "votes")))
+    count = lambda c: F.coalesce(F.sum(F.when(~own, c)), F.lit(0))
+    out = hits.groupBy("query_id").agg(F.min(F.when(own, F.col("rec_id"))).alias("class_id"), F.sum(F.when(own, F.col("copies"))).alias("copies"),
+                                       count(F.lit(1)).cast("long").alias("n_links"), count(F.col("copies")).cast("long").alias("n_recordings"), best.alias("b"), mark.alias("links_hash"))
+    return out.select("query_id", "class_id", "copies", "n_links", "n_recordings", F.col("b.rec_id").alias("nearest"), "b.offset", "b.votes", "b.bit_error", "links_hash")
+
+
+def _found(prints: DataFrame, is_query: Column, key: str) -> DataFrame:
+    """The rows of ``align`` without their ranks; ``own`` marks the class whose fingerprint equals the query's."""
     rows = prints.where(F.col(key).isNotNull() & (F.size("prints") > 0)).select(F.col(key).cast("long").alias("id"), "prints")
     digest = F.sha2(F.array_join("prints", " "), 256)
     classes = stored(rows.groupBy(digest.alias("d")).agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.any_value("prints").alias("prints")))
@@ -203,7 +252,7 @@ def align(prints: DataFrame, is_query: Column, k: int | None = None, key: str =
     frames = F.coalesce(F.sum(F.size("prints")), F.lit(0)).alias("f")
     (n, long), (q, wide) = (t.agg(F.count("*"), frames).first() for t in (classes, asked))
     least = math.log(max(long * q + wide * n, 1) / CHANCE)
-    schema = StructType([StructField("query_id", LongType()), StructField("rec_id", LongType()), StructField("copies", LongType()), StructField("offset", IntegerType()), StructField("votes", IntegerType()), StructField("bit_error", DoubleType())])
+    schema = StructType([StructField("query_id", LongType()), StructField("rec_id", LongType()), StructField("copies", LongType()), StructField("offset", IntegerType()), StructField("votes", IntegerType()), StructField("bit_error", DoubleType()), StructField("own", BooleanType())])
 
     def search(shard: pa.Table, block: pa.Table) -> pa.Table:
         found = []
@@ -216,18 +265,16 @@ def align(prints: DataFrame, is_query: Column, k: int | None = None, key: str =
             queries = [np.array(p, np.int32).view(np.uint32) for p in block.column("prints").to_pylist()]
             asking = block.column("id").to_pylist()
             same = {r.tobytes(): i for i, r in enumerate(records)}
-            hits = {(i, r): (d, v, e) for i, r, d, v, e in alignments(queries, records, least)}
+            hits = {(i, r): (d, v, e, False) for i, r, d, v, e in alignments(queries, records, least)}
             for i, p in enumerate(queries):
                 if (r := same.get(p.tobytes())) is not None:
-                    hits[i, r] = (0, len(p), 0.0)
-            found = [(asking[i], int(ids[r]), int(copies[r]), d, v, e) for (i, r), (d, v, e) in hits.items()]
-        cols = list(zip(*found)) if found else [[]] * 6
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
+                    hits[i, r] = (0, len(p), 0.0, True)
+            found = [(asking[i], int(ids[r]), int(copies[r]), *hit) for (i, r), hit in hits.items()]
+        cols = list(zip(*found)) if found else [[]] * 7
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.bool_())
         return pa.table({c: pa.array(v, t) for c, v, t in zip(schema.names, cols, kinds)})
 
-    hits = in_blocks(classes.select("id", "copies", "prints"), asked, ["id"], n, q, SHARD_ROWS, BLOCK_ROWS, search, schema)
-    w = W.partitionBy("query_id").orderBy("bit_error", "rec_id", "offset")
-    return hits.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k if k is not None else F.lit(True)).select("query_id", "rank", "rec_id", "copies", "offset", "votes", "bit_error")
+    return in_blocks(classes.select("id", "copies", "prints"), asked, ["id"], n, q, SHARD_ROWS, BLOCK_ROWS, search, schema)
 
 
 def members(prints: DataFrame, key: str = "id") -> DataFrame:

@@ -48,10 +48,10 @@ def op7_personal_data(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op8_chroma(spark: SparkSession, sf: str) -> DataFrame:
-    """No table has a media column: every embedding is rendered as a recording, a note for each component."""
+    """No table has a media column: every embedding is rendered as a recording, a note for each component. One row a query."""
     media = chroma.melodies(_table(spark, sf, "embeddings"), "vec_id", "embedding")
     prints = stored(chroma.fingerprints(media, "vec_id", "audio"))
-    return chroma.align(prints.select(F.col("vec_id").alias("id"), "prints"), F.col("id") % 100 == 0)
+    return chroma.links(prints.select(F.col("vec_id").alias("id"), "prints"), F.col("id") % 100 == 0)
 
 
 def op9_quality(spark: SparkSession, sf: str) -> DataFrame:

@@ -213,6 +213,57 @@ def test_chroma_finds_noisy_bits_and_every_class(spark, error):
     assert {r.id: r.rec_id for r in chroma.members(prints).collect()} == {i: 0 if i == 500 else i for i, _ in rows}
 
 
+def test_chroma_gives_one_row_a_query(spark):
+    rng = np.random.default_rng(23)
+    tunes = [chroma.packed(chroma.chroma(tones(300 + i, 40), chroma.RATE)) for i in range(4)]
+    flipped = lambda p: p ^ ((rng.random((len(p), 32)) < 0.1) @ (1 << np.arange(32, dtype=np.uint64))).astype(np.uint32)
+    rows = [(i, tunes[0]) for i in (0, 1)] + [(i, flipped(tunes[0])) for i in range(2, 14)] + [(20, tunes[1]), (21, tunes[2][:30]), (22, tunes[2]), (23, tunes[2][5:]), (24, tunes[2]), (None, tunes[0]), (30, tunes[3][:0])]
+    prints = spark.createDataFrame([(i, [int(x) for x in p.view(np.int32)]) for i, p in rows], "id long, prints array<int>")
+    asks = F.col("id").isin(0, 1, 20, 21, 30)
+    all_of = {}
+    for r in chroma.align(prints, asks).withColumn("h", F.xxhash64("rec_id", "offset", "votes")).collect():
+        all_of.setdefault(r.query_id, []).append(r)
+    got = {r.query_id: r for r in chroma.links(prints, asks).collect()}
+    assert set(got) == {0, 1, 20, 21} and got[0].n_links == got[1].n_links == 12 and got[21].n_links == 2 and got[21].n_recordings == 3
+    for q, own in ((0, 0), (1, 0), (20, 20), (21, 21)):
+        others = [r for r in all_of[q] if r.rec_id != own]
+        mark = 0
+        for r in others:
+            mark ^= r.h
+        assert (got[q].class_id, got[q].copies, got[q].n_links, got[q].n_recordings) == (own, 2 if own == 0 else 1, len(others), sum(r.copies for r in others))
+        best = min(others, key=lambda r: (r.bit_error, r.rec_id, r.offset), default=None)
+        assert (got[q].nearest, got[q].offset, got[q].votes, got[q].bit_error) == ((best.rec_id, best.offset, best.votes, best.bit_error) if best else (None,) * 4)
+        assert got[q].links_hash == (mark if others else None)
+
+
+def test_chroma_alignments_equal_a_loop_over_offsets(monkeypatch):
+    asked = []
+    chances = chroma.least_bits
+    monkeypatch.setattr(chroma, "least_bits", lambda overlap, differing: asked.append(np.ndim(overlap)) or chances(overlap, differing))
+    rng = np.random.default_rng(29)
+    whole = chroma.packed(chroma.chroma(tones(400, 60), chroma.RATE))
+    cut = lambda: whole[rng.integers(0, 60):][:rng.integers(1, 70)] ^ ((rng.random(32) < rng.choice([0, 0.2])) @ (1 << np.arange(32, dtype=np.uint64))).astype(np.uint32)
+    queries, records = [cut() for _ in range(12)], [cut() for _ in range(30)] + [np.tile(whole[:9], 20)]
+    strangers = [chroma.packed(chroma.chroma(tones(500 + i, 30), chroma.RATE)) for i in range(20)]
+    for least in (6.0, 25.0):
+        want = []
+        for i, q in enumerate(queries):
+            for j, r in enumerate(records):
+                tried = []
+                for d in sorted(range(1 - len(q), len(r)), key=lambda d: (abs(d), d)):
+                    a, b = max(0, -d), min(len(q), len(r) - d)
+                    x = q[a:b] ^ r[a + d:b + d]
+                    bits = int(np.bitwise_count(x).sum())
+                    tried.append((float(chances(np.array(b - a), np.array(bits))), d, int((x == 0).sum()), bits / (32 * (b - a))))
+                best = max(tried, key=lambda t: t[0])
+                if best[0] >= least:
+                    want.append((i, j, *best[1:]))
+        got = sorted(chroma.alignments(queries, records, least))
+        assert [g[:4] for g in got] == [w[:4] for w in sorted(want)] and np.allclose([g[4] for g in got], [w[4] for w in sorted(want)])
+    asked.clear()
+    assert list(chroma.alignments(queries[:3], strangers, 40.0)) == [] and len(asked) < 16  # the table alone, not every pair
+
+
 def test_chroma_filters_equal_direct_sums():
     image = np.random.default_rng(5).random((30, 12))
     got = chroma.packed(image)
