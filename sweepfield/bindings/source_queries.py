@@ -1,5 +1,6 @@
 """Files of every kind written from the driver tables, read back, against the SQL of the tables themselves."""
 
+import math
 import uuid
 
 import numpy as np
@@ -11,7 +12,7 @@ from ..operators.voxels import voxel_barycentre
 from ..plans import maps
 from ..runtime import shared_root
 from ..sources import catalogue, logs, packets, ply, poses
-from ..storage import write_files
+from ..storage import FILES_A_FOLDER, write_files, write_many
 from .registry import LATTICE, TIMELINE, lattice, longs, query, r6, rounded, table, timeline
 from .stream_queries import _drain
 
@@ -21,6 +22,12 @@ def _folder(spark):
     return f"{shared_root(spark)}/files-{uuid.uuid4().hex}"
 
 
+def _among(df, key):
+    """A folder for each ``key``, so many that none holds many more than ``FILES_A_FOLDER`` files of one key each."""
+    folders = math.ceil(df.agg(F.approx_count_distinct(key)).first()[0] / FILES_A_FOLDER)
+    return F.concat(F.pmod(F.xxhash64(key), F.lit(max(1, folders))).cast("string"), F.lit("/"))
+
+
 def _day(session):
     return F.format_string("2020-01-%02d-00-00-00", session.cast("int") + 1)
 
@@ -183,12 +190,13 @@ def log_iou(spark, sf):
     text = F.concat(at(0, 0), F.lit(" "), at(0, 1), F.lit(" / "), at(1, 0))
     flat = F.concat(F.lit("["), at(0, 0), F.lit(", "), at(0, 1), F.lit("]"))
     ev = table(spark, sf, "events")
+    file = F.concat(_among(ev, "user_id"), F.col("user_id").cast("string")).alias("file")
     root, other = _folder(spark), _folder(spark)
-    write_files(_lines(ev.select("user_id", "event_id", text.alias("text")), "user_id", "event_id", "text"), root)
-    write_files(_lines(ev.select("user_id", "event_id", flat.alias("text")), "user_id", "event_id", "text"), other)
+    write_many(_lines(ev.select(file, "event_id", text.alias("text")), "file", "event_id", "text"), root)
+    write_many(_lines(ev.select(file, "event_id", flat.alias("text")), "file", "event_id", "text"), other)
     run = F.regexp_extract("path", r"/(\d+)$", 1).alias("run")
-    many = logs.read_multi_iou(spark, root).select(run, "epoch", "object", "label", "iou")
-    one = logs.read_single_iou(spark, other).select(run, "epoch", F.lit(0).alias("object"), "label", F.col("iou").alias("single"))
+    many = logs.read_multi_iou(spark, f"{root}/*").select(run, "epoch", "object", "label", "iou")
+    one = logs.read_single_iou(spark, f"{other}/*").select(run, "epoch", F.lit(0).alias("object"), "label", F.col("iou").alias("single"))
     both = many.join(one, ["run", "epoch", "object", "label"], "left")
     same = F.when(F.col("single").isNull() | (F.col("single") == F.col("iou")), F.col("iou"))
     return longs(both.select("run", "epoch", "object", "label", F.round(same, 4).alias("iou")), "run", "epoch", "object", "label")

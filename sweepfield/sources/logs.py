@@ -2,15 +2,33 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import shared_root
+from ..storage import lots
+
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """Non-empty lines with their number in the file.
 
-    Line numbers need the file whole; these logs are a few lines per epoch.
+    Line numbers need the file whole; these logs are a few lines per epoch. Very many files (in several folders, as
+    of ``folder/*``) are read in lots, whose lines are kept as Parquet: the driver never holds the listing of all.
     """
+    parts = lots(spark, path)
+    if len(parts) == 1:
+        return _lines(spark, path)
+    # Small files of a task; the session's own settings stay.
+    apart, kept = spark.newSession(), f"{shared_root(spark)}/lines-{uuid.uuid4().hex}"
+    apart.conf.set("spark.sql.files.openCostInBytes", "64k")
+    for part in parts:
+        _lines(apart, part).write.mode("append").parquet(kept)
+    return spark.read.parquet(kept)
+
+
+def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
     lines = files.select("path", F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
     return lines.where(F.trim("text") != "")

@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import contextlib
+import os
 import uuid
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import unquote
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # Files that are renamed at once.
 _MOVES = 16
+# Files of one folder, and files whose listing the driver holds at once.
+FILES_A_FOLDER, FILES_AT_ONCE = 1 << 12, 1 << 14
+# What Spark's writers call a file or folder without a name.
+_NO_NAME = "__HIVE_DEFAULT_PARTITION__"
 
 
 class Files:
@@ -96,3 +105,79 @@ def write_files(blobs: DataFrame, path: str, overwrite: bool = False) -> list[st
         list(pool.map(publish, parts))
     files.delete(staged)
     return sorted(parts)
+
+
+def write_many(blobs: DataFrame, path: str) -> None:
+    """``write_files`` for very many small files, whose names the driver never holds.
+
+    Below a folder that all machines see as ``file:``, tasks write the bytes to a staging folder, look for names that
+    exist or repeat before anything is published, and rename. Files of other file systems are written by ``write_files``,
+    whose list of names grows with their number.
+    """
+    spark = blobs.sparkSession
+    files, staged = Files(spark, path), f"_staging/{uuid.uuid4().hex}"
+    if files.fs.getScheme() != "file":
+        write_files(blobs, path)
+        return
+    root = files.fs.makeQualified(files.at("")).toUri().getPath()
+    files.fs.mkdirs(files.at(staged))
+    names = f"{path}/{staged}/names"
+
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        folder, n = f"{staged}/{context.partitionId()}-{context.taskAttemptId()}", 0
+        os.makedirs(f"{root}/{folder}")
+        for b in batches:
+            for raw in b.column("content"):
+                with open(f"{root}/{folder}/{n}", "wb") as out:
+                    if raw.is_valid:
+                        out.write(raw.as_buffer())
+                    out.write(b"\n")
+                n += 1
+            yield pa.RecordBatch.from_arrays([b.column("name"), pa.array([f"{folder}/{i}" for i in range(n - b.num_rows, n)])], ["name", "part"])
+
+    def existing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([n for n in b.column("name").to_pylist() if os.path.lexists(f"{root}/{n}")], pa.string())], ["name"])
+
+    def publish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = set()
+        for b in batches:
+            for name, part in zip(b.column("name").to_pylist(), b.column("part").to_pylist()):
+                folder, _, last = f"{root}/{name}".rpartition("/")
+                if folder not in made:
+                    os.makedirs(folder, exist_ok=True)
+                    made.add(folder)
+                # A task that runs again finds some of its files published.
+                if os.path.lexists(f"{root}/{part}") or not os.path.lexists(f"{root}/{name}"):
+                    os.rename(f"{root}/{part}", f"{root}/{name}")
+                    with contextlib.suppress(FileNotFoundError):  # the checksum of a file that had this name
+                        os.remove(f"{folder}/.{last}.crc")
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    try:
+        named = F.coalesce(F.nullif(F.col("name"), F.lit("")), F.lit(_NO_NAME)).alias("name")
+        blobs.select(named, F.col("content").cast("binary").alias("content")).mapInArrow(stage, "name string, part string").write.parquet(names)
+        made = spark.read.schema("name string, part string").parquet(names)
+        there, first = made.select("name").mapInArrow(existing, "name string").agg(F.count("name"), F.min("name")).first()
+        if there or not made.groupBy("name").count().where("count > 1").isEmpty():
+            raise FileExistsError(f"{there} files exist below {path}, among them {first}" if there else f"names of files repeat below {path}")
+        made.mapInArrow(publish, "n long").agg(F.sum("n")).collect()
+    finally:
+        files.delete(staged)
+
+
+def lots(spark: SparkSession, path: str) -> list[list[str]]:
+    """The folders and files that match ``path``, so many together that they hold about ``FILES_AT_ONCE`` files; a folder is not divided."""
+    files, found, total = Files(spark, path), [[]], 0
+    for status in files.fs.globStatus(files.at("")) or []:
+        at = status.getPath()
+        if at.getName().startswith(("_", ".")):
+            continue
+        n = files.fs.getContentSummary(at).getFileCount() if status.isDirectory() else 1
+        if total + n > FILES_AT_ONCE and found[-1]:
+            found.append([])
+            total = 0
+        found[-1].append(at.toString())
+        total += n
+    return found

@@ -1,11 +1,15 @@
 """Operators that work in blocks or partitions of bounded size give what they give in one."""
 
+import os
 import random
+import re
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
+from sweepfield import storage
+from sweepfield.bindings import source_queries
 from sweepfield.operators import neighbors, planes
 from sweepfield.operators.sampling import pack_batches
 from sweepfield.operators.scans import greedy_chain, numbered
@@ -124,3 +128,50 @@ def test_planes_of_few_groups_are_sent_to_the_points(spark):
     plan = planes.ransac_plane(points, ["g"], 0.1)._jdf.queryExecution().optimizedPlan().toString()
     assert "rightHint=(strategy=broadcast)" in plan
     assert sorted((r.g, r.votes) for r in planes.ransac_plane(points, ["g"], 0.1).collect()) == [(0, 300), (1, 300), (2, 300)]
+
+
+def _events(spark, folder, users):
+    rows = [(i, users[i * 7 % len(users)], "view" if i % 3 else "click", i * 37 % 500 / 10) for i in range(4 * len(users))]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double")
+    df.withColumn("ts", F.timestamp_seconds(F.col("event_id") + 1700000000)).write.parquet(f"{folder}/events.parquet")
+    return rows
+
+
+@pytest.mark.parametrize("name", ["log_iou"])
+def test_many_small_files_are_read_in_lots(spark, tmp_path, monkeypatch, name):
+    monkeypatch.setattr(storage, "FILES_AT_ONCE", 16)
+    monkeypatch.setattr(source_queries, "FILES_A_FOLDER", 8)
+    listed = []
+    read = storage.Files.names
+    monkeypatch.setattr(storage.Files, "names", lambda self, name="": listed.append(name) or read(self, name))
+    users = [k * 1009 for k in range(60)]
+    rows = _events(spark, tmp_path, users)
+    out = source_queries.__dict__[name](spark, str(tmp_path))
+    # No plan knows the files of all users, and the driver asked for no names.
+    assert not [f for f in out.inputFiles() if "calib_" in f or re.search(r"/\d+$", f)] and listed == []
+    want = set()
+    for u in users:
+        own = [v for _, who, _, v in sorted(rows) if who == u]
+        if name == "log_iou":
+            want |= {(u, k, o, c, round(v / 100 + o + c / 10, 4)) for k, v in enumerate(own) for o, c in ((0, 0), (0, 1), (1, 0))}
+        else:
+            want.add((u, 0.0, 1.0, -(len(own) + 2.0) + 7, round(max(own) + 9, 6), 9.0))
+    assert {tuple(r) for r in out.collect()} == want and out.count() == len(want)
+
+
+def test_small_files_are_published_by_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(storage, "write_files", None)
+    rows = spark.range(300).selectExpr("concat('a%b=', id % 7, '/n ', id, '.txt') AS name", "cast(cast(id AS string) AS binary) AS content").repartition(3)
+    storage.write_many(rows, f"file://{tmp_path}/out")
+    for i in (0, 8, 299):
+        assert (tmp_path / f"out/a%b={i % 7}/n {i}.txt").read_text() == f"{i}\n"
+    assert len(list((tmp_path / "out").glob("a*/n*"))) == 300 and os.listdir(tmp_path / "out/_staging") == []
+    twice = spark.createDataFrame([("x", b"1"), ("x", b"2"), ("y", b"3")], "name string, content binary")
+    new = spark.createDataFrame([("z", b"1"), ("a%b=1/n 8.txt", b"2")], "name string, content binary")
+    for wrong, said in ((twice, "repeat"), (new, "n 8.txt")):
+        with pytest.raises(FileExistsError, match=said):
+            storage.write_many(wrong, f"{tmp_path}/out")
+        assert sorted(os.listdir(tmp_path / "out"))[:1] == ["_staging"] and not (tmp_path / "out/x").exists() and not (tmp_path / "out/z").exists()
+        assert os.listdir(tmp_path / "out/_staging") == []
+    storage.write_many(spark.createDataFrame([(None, b"1"), ("w", None)], "name string, content binary"), f"{tmp_path}/odd")
+    assert (tmp_path / "odd/__HIVE_DEFAULT_PARTITION__").read_text() == "1\n" and (tmp_path / "odd/w").read_text() == "\n"
