@@ -143,9 +143,9 @@ def csv_calibration(spark, sf):
     line = lambda x, y, z, turn: F.concat_ws(",", F.lit("from"), F.lit("to"), *(F.col(v).cast("string") if isinstance(v, str) else F.lit(str(v)) for v in (x, y, z)), F.lit("0,0"), F.lit(str(turn)), F.lit(str(1.0 if turn == 0 else turn)))
     half = 0.5 ** 0.5
     text = F.concat_ws("\n", F.lit("header"), line("a", 2, 0, 0), F.lit("x"), F.lit("x"), line(1, "b", 0, 0), F.lit("x"), F.lit("x"), line(7, 8, 9, half))
-    root = _folder(spark)
-    write_files(s.select(F.concat(F.lit("calib_"), F.col("session").cast("string"), F.lit(".csv")).alias("name"), text.cast("binary").alias("content")), root)
-    back = poses.read_calibration(spark, root)
+    root, folder = _folder(spark), _among(timeline(spark, sf), "session")
+    write_many(s.select(F.concat(folder, F.lit("calib_"), F.col("session").cast("string"), F.lit(".csv")).alias("name"), text.cast("binary").alias("content")), root)
+    back = poses.read_calibration(spark, f"{root}/*")
     return rounded(back.select(F.regexp_extract("path", r"calib_(\d+)", 1).cast("long").alias("session"), "r00", "r10", "t0", "t1", "t2"), "r00", "r10", "t0", "t1")
 
 

@@ -137,7 +137,7 @@ def _events(spark, folder, users):
     return rows
 
 
-@pytest.mark.parametrize("name", ["log_iou"])
+@pytest.mark.parametrize("name", ["csv_calibration", "log_iou"])
 def test_many_small_files_are_read_in_lots(spark, tmp_path, monkeypatch, name):
     monkeypatch.setattr(storage, "FILES_AT_ONCE", 16)
     monkeypatch.setattr(source_queries, "FILES_A_FOLDER", 8)
