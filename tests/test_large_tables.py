@@ -5,6 +5,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,3 +176,35 @@ def test_small_files_are_published_by_tasks(spark, tmp_path, monkeypatch):
         assert os.listdir(tmp_path / "out/_staging") == []
     storage.write_many(spark.createDataFrame([(None, b"1"), ("w", None)], "name string, content binary"), f"{tmp_path}/odd")
     assert (tmp_path / "odd/__HIVE_DEFAULT_PARTITION__").read_text() == "1\n" and (tmp_path / "odd/w").read_text() == "\n"
+
+
+@pytest.mark.parametrize("rows", [1 << 12, 8])
+@pytest.mark.parametrize("limit", [None, 4])
+def test_supports_are_copied_to_few_blocks(spark, monkeypatch, rows, limit):
+    monkeypatch.setattr(neighbors, "QUERY_ROWS", rows)
+    monkeypatch.setattr(neighbors, "MOST_ROWS", 40 if rows == 8 else 1 << 16)
+    monkeypatch.setattr(neighbors, "_FEW_PAIRS", 100)
+    draw = np.random.default_rng(2)
+    # A crowd at one place, another in one cell, and points all over, also below zero.
+    p = np.vstack([np.full((90, 3), 0.35), draw.uniform(0.5, 0.55, (200, 3)), draw.uniform(-1, 1, (700, 3))])
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(p)], "id long, x double, y double, z double").repartition(3)
+    dealt, mapped = [], type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, *a, **k: dealt.append(self) or mapped(self, *a, **k))
+    q, s = df.withColumnRenamed("id", "q_id"), df.withColumnRenamed("id", "s_id")
+    out = neighbors.index_ordered_neighbours(q, s, 0.1) if limit is None else neighbors.radius_neighbours(q, s, 0.1, limit=limit)
+    d = p[:, None, :] - p[None, :, :]
+    d2 = d[..., 0] * d[..., 0] + d[..., 1] * d[..., 1] + d[..., 2] * d[..., 2]
+    want = set()
+    for i in range(len(p)):
+        near = np.flatnonzero(d2[i] < 0.1 * 0.1)
+        if limit is not None:
+            near = near[np.lexsort((near, d2[i][near]))][:limit]
+        want |= {(i, int(k), float(d2[i, k]), r + 1) for r, k in enumerate(near)}
+    got = [(r.q_id, r.s_id, r.d2, r["rank"]) for r in out.collect()]
+    assert len(got) == len(want) and set(got) == want
+    copies = dealt[0].where("NOT _first").count() / len(p)
+    levels = dealt[0].select("_level", "_share").distinct().collect()
+    if rows > 8:
+        assert copies < 5 and {r._level for r in levels} == {2}
+    else:
+        assert {r._level for r in levels} == {0, 1, 2} and max(r._share for r in levels) > 0
